@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,3 +36,32 @@ def smallest_by_hash(df: DataFrame, key: str, n: int) -> list:
     h: Column = F.xxhash64(F.col(key).cast("string"))
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), h.alias("h")).dropDuplicates(["k"]).orderBy("h", "k").limit(n).collect()
     return [r.k for r in rows]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of its own where the session names none (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+class Stored:
+    """Tables written to the shared folder, which cuts lineage; they can be dropped when no longer read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.parquet(path)
+        out.stored_at = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
