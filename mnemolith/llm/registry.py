@@ -7,14 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, license_scan, near_dedup, quality_rules, token_counts, url_filter
+from . import bpe_codec, decontaminate, language_crf, license_scan, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_crf.identify(docs, docs.where(~language_crf.held_out()))
+    return found.select("doc_id", language_crf.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), as_digest=True)
 
@@ -31,6 +41,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -40,7 +54,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op4_byte_bpe, op5_token_counts, op6_near_dedup, op7_url_filter, op9_license_scan, op10_quality_rules)}
+    all_ = (
+        op1_quality_classifier,
+        op2_benchmark_decontamination,
+        op3_language_id,
+        op4_byte_bpe,
+        op5_token_counts,
+        op6_near_dedup,
+        op7_url_filter,
+        op8_suffix_dedup,
+        op9_license_scan,
+        op10_quality_rules,
+    )
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
