@@ -11,8 +11,7 @@ one after the other. Nothing is shuffled.
 
 Null and empty texts have no words and no matches. Items without words match nothing. Items that
 share an id count as one; a null item id counts as the string "null". Rows with equal ids are
-judged each for itself. Columns of the documents whose names clash with the added ones are kept
-out of the result, except the id.
+judged each for itself. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -80,10 +79,9 @@ def _spans(doc: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(chars[start[a]]), "end": int(chars[end[b - 1]])} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_symbols: int = MAX_SYMBOLS, keep_columns: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_symbols: int = MAX_SYMBOLS) -> DataFrame:
     """The documents with n_words, n_hit (words inside any window), items (ids found, sorted as strings)
-    and spans (of hit words, in characters of the original). With keep_columns, all columns of the
-    documents stay; else only the id.
+    and spans (of hit words, in characters of the original). The id may be a struct of whole rows.
     """
     spark = docs.sparkSession
     patterns: dict[tuple[bytes, ...], list[str]] = {}
@@ -104,12 +102,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
         shards.append(patterns)
 
     added = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, `end`: bigint>>"
-    mine = {"n_words", "n_hit", "items", "spans"}
-    kept = [f for f in docs.columns if f.lower() not in mine] if keep_columns else [id_col]
-    fields = {f.name: f for f in docs.schema.fields}
     text = "_text_of_the_row"
-    df = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias(text))
-    ddl = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in kept)
+    df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text))
+    ddl = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}"
     hits_type = pa.list_(pa.int64())
     for k, shard in enumerate(shards):
         last = k == len(shards) - 1
@@ -130,18 +125,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                 if not first:
                     hits = [np.union1d(x, y).astype(np.int64) if len(y) else x for x, y in zip(hits, (np.asarray(v) for v in b.column("_hits").to_pylist()), strict=True)]
                     found = [sorted({*x, *y}) for x, y in zip(found, b.column("_found").to_pylist(), strict=True)]
-                own = [b.column(c) for c in kept_names]
+                own = b.column(0)
                 if not last:
-                    yield pa.RecordBatch.from_arrays([*own, b.column(text), pa.array([h.tolist() for h in hits], hits_type), pa.array(found, pa.list_(pa.string()))], names=[*kept_names, text, "_hits", "_found"])
+                    yield pa.RecordBatch.from_arrays([own, b.column(text), pa.array([h.tolist() for h in hits], hits_type), pa.array(found, pa.list_(pa.string()))], names=[id_col, text, "_hits", "_found"])
                     continue
                 spans = []
                 for d, n, h in zip(docs_, size, hits, strict=True):
                     mask = np.zeros(n, bool)
                     mask[h] = True
                     spans.append(_spans(d, mask) if len(h) else [])
-                yield pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[*kept_names, "n_words", "n_hit", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([own, pa.array(size, pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[id_col, "n_words", "n_hit", "items", "spans"])
 
-        kept_names = list(kept)
         df = df.mapInArrow(scan, f"{ddl}, {added}" if last else f"{ddl}, `{text}` string, _hits array<bigint>, _found array<string>")
     return df
 

@@ -126,30 +126,29 @@ def log_ratios(counts: DataFrame, bits: int = BITS, prior: float = PRIOR) -> np.
     return np.log((target + prior) / (expected + prior)).astype(np.float32)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", trusted: int = TRUSTED, threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:
-    """The id (or, with keep_columns, all columns) with n_words, word_chars, n_symbols, n_dup_lines,
+def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", trusted: int = TRUSTED, threshold: float = THRESHOLD, whole_rows: bool = False) -> DataFrame:
+    """The id (or, with whole_rows, all columns as one struct, `row`) with n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, score and kept.
     """
     ids = smallest_by_hash(labels.where(good), id_col, trusted)
     ratios = log_ratios(count_ngrams(docs, ids, id_col=id_col, text_col=text_col))
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
     mine = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    own = [f for f in docs.schema.fields if f.name.lower() not in mine] if keep_columns else [docs.schema[id_col]]
-    names = [f.name for f in own]
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole_rows else F.col(id_col)
+    rows = docs.select(own, F.col(text_col).cast("string").alias("_text_of_the_row"))
+    name, kind = rows.columns[0], rows.schema[0].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             cols = [[] for _ in mine]
-            for _, block in tb.blocks(tb.texts(b.column(len(names)))):
+            for _, block in tb.blocks(tb.texts(b.column(1))):
                 for c, x in zip(cols, measure(block, sent.value, threshold), strict=True):
                     c.append(x)
             made = [np.concatenate(c) if c else np.zeros(0) for c in cols]
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), *(pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(made, kinds, strict=True))], names=[*names, *mine])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(made, kinds, strict=True))], names=[name, *mine])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
-    rows = docs.select(*[F.col(f"`{n}`") for n in names], F.col(text_col).cast("string").alias("_text_of_the_row"))
-    return rows.mapInArrow(run, f"{ddl}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, score double, kept boolean")
+    return rows.mapInArrow(run, f"`{name}` {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, score double, kept boolean")
 
 
 def measure(block: tb.Block, ratios: np.ndarray, threshold: float) -> list[np.ndarray]:
