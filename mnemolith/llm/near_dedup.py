@@ -14,8 +14,10 @@ verified exactly. Not all pairs of a band are made, yet none is lost:
 - with u of its n shingles in no other candidate text, a text has similarity at most (n - u) / n to
   any other, and a pair at most min(n - u, n' - u') / max(n + u', n' + u), so that texts and pairs
   under 0.8 drop out exactly;
-- in each band all other texts are verified against the one with the smallest share of such
-  shingles; then only pairs of the band that lie in different components so far, and pass the bound.
+- in each band all texts are compared with one center, the text whose bands have most members; then
+  only pairs of the band that lie in different components so far and that can still be similar by
+  what each has besides the center and lacks of it (kept as bitmaps, which bound both from the safe
+  side).
 
 Classes are the connected components, found by repeated minimum and pointer jumping over tables
 in the shared folder; nothing but counts reaches the driver. A group's members meet neither in one
@@ -198,32 +200,61 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _verified(batches):
-    """Pairs that hold; rows come in the order of their left text, whose shingles are kept meanwhile."""
+LONGS = 8
+
+
+def _bitmap(values: np.ndarray) -> list[int]:
+    """A set as 64 * LONGS bits."""
+    bits = np.zeros(64 * LONGS, np.uint8)
+    bits[(tb.mix(values + np.uint64(11)) % np.uint64(64 * LONGS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def _compared(batches):
+    """Of each pair the size of x, what both have, whether it holds, and bitmaps of what y has besides x and lacks of it.
+
+    Rows come in the order of x, whose shingles are kept meanwhile.
+    """
     last, have = None, None
+    longs = pa.list_(pa.int64())
     for b in batches:
-        left, right = b.column(0), b.column(1)
-        right_text = tb.texts(b.column(3))
-        left_text = tb.texts(b.column(2))
-        good = []
-        for at, block in tb.blocks(right_text):
+        x, tx, ty = b.column("x"), tb.texts(b.column("tx")), tb.texts(b.column("ty"))
+        rows = []
+        for at, block in tb.blocks(ty):
             doc, value, _ = shingles(block)
-            order = np.argsort(doc, kind="stable")
+            order = np.lexsort((value, doc))
+            value = value[order]
             cut = np.searchsorted(doc[order], np.arange(len(block.docs) + 1))
             for i in range(len(block.docs)):
-                if left[at + i].as_py() != last:
-                    last = left[at + i].as_py()
-                    have = shingles(tb.Block([left_text[at + i]]))[1]
-                if jaccard(have, value[order[cut[i] : cut[i + 1]]]) >= SIMILARITY:
-                    good.append(at + i)
-        pick = pa.array(good, pa.int64())
-        yield pa.RecordBatch.from_arrays([left.take(pick), right.take(pick)], names=["x", "y"])
+                if x[at + i].as_py() != last:
+                    last = x[at + i].as_py()
+                    have = np.sort(shingles(tb.Block([tx[at + i]]))[1])
+                mine = value[cut[i] : cut[i + 1]]
+                shared = np.isin(mine, have, assume_unique=True)
+                both = int(shared.sum())
+                rows.append((len(have), both, both >= SIMILARITY * (len(have) + len(mine) - both), _bitmap(mine[~shared]), _bitmap(have[~np.isin(have, mine, assume_unique=True)])))
+        nx, both, holds, more, less = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+        yield pa.RecordBatch.from_arrays([x, b.column("y"), pa.array(nx, pa.int64()), pa.array(both, pa.int64()), pa.array(holds, pa.bool_()), pa.array(more, longs), pa.array(less, longs)], names=["x", "y", "nx", "both", "holds", "more", "less"])
 
 
 def _bound(a: str, b: str):
+    """By their own shingles, the pair can have the similarity."""
     return F.least(F.col(f"{a}.n") - F.col(f"{a}.u"), F.col(f"{b}.n") - F.col(f"{b}.u")) >= SIMILARITY * F.greatest(F.col(f"{a}.n") + F.col(f"{b}.u"), F.col(f"{b}.n") + F.col(f"{a}.u"))
 
 
+def _bound_by_center():
+    """So it can by what p and q have besides the center of their band and lack of it.
+
+    Both lack at least as many of the center's shingles as bits are set in either bitmap; besides the
+    center they share at most the bits set in both, and as many as share bits.
+    """
+    bits = lambda f: sum((F.bit_count(f(k)) for k in range(1, LONGS)), F.bit_count(f(0)))
+    lack = bits(lambda k: F.col("p.less")[k].bitwiseOR(F.col("q.less")[k]))
+    share = bits(lambda k: F.col("p.more")[k].bitwiseAND(F.col("q.more")[k])) + F.least(F.col("p.extra"), F.col("q.extra"))
+    both = F.col("p.nx") - lack + share
+    return (1 + SIMILARITY) * both >= SIMILARITY * (F.col("p.n") + F.col("q.n"))
+
+
 def components(links: DataFrame, store: Stored) -> DataFrame:
     """node and label (the smallest node of its component) for every node of the links x, y."""
     both = store.write(links.select("x", "y").union(links.select(F.col("y"), F.col("x"))).distinct())
@@ -264,26 +295,36 @@ def labels_of_texts(docs: DataFrame, text_col: str, store: Stored) -> DataFrame:
     member2 = store.write(member.join(facts, "node").select("band", F.struct("node", "n", "u").alias("m")))
     store.drop(member)
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def compare(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(texts.select(F.col("node").alias("y"), F.col("t").alias("ty")), "y")
         pairs = pairs.join(texts.select(F.col("node").alias("x"), F.col("t").alias("tx")), "x").select("x", "y", "tx", "ty").sortWithinPartitions("x")
-        return pairs.mapInArrow(_verified, "x binary, y binary")
-
-    heart = member2.groupBy("band").agg(F.min(F.struct((F.col("m.u") / F.col("m.n")).alias("share"), F.col("m.node").alias("node"), F.col("m.n").alias("n"), F.col("m.u").alias("u"))).alias("c"))
-    stars = member2.join(heart, "band").where("m.node <> c.node").where(_bound("m", "c")).select(F.col("c.node").alias("x"), F.col("m.node").alias("y")).distinct()
-    first = store.write(verify(stars))
+        return pairs.mapInArrow(_compared, "x binary, y binary, nx bigint, both bigint, holds boolean, more array<bigint>, less array<bigint>")
+
+    # The center of a band is the text whose bands have most members altogether.
+    crowd = member2.groupBy("band").agg(F.count("*").alias("members"))
+    weight = member2.join(crowd, "band").groupBy(F.col("m.node").alias("k")).agg(F.sum("members").alias("w"))
+    weighed = member2.join(weight, F.col("m.node") == F.col("k"))
+    center = weighed.groupBy("band").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("m.node").alias("node"))).alias("c")).select("band", F.col("c.node").alias("x"))
+    spokes = store.write(member2.join(center, "band").select("band", "m", "x"))
+    stars = store.write(compare(spokes.where("m.node <> x").select("x", F.col("m.node").alias("y")).distinct()))
+    first = stars.where("holds").select("x", "y")
     label = components(first, store)
-    placed = member2.join(label.select(F.col("node").alias("k"), "label"), F.col("m.node") == F.col("k"), "left").select("band", "m", F.coalesce("label", "m.node").alias("label"))
+    # What is left: pairs of a band, both besides the center, in different components.
+    placed = spokes.join(label.select(F.col("node").alias("k"), "label"), F.col("m.node") == F.col("k"), "left").select("band", "m", "x", F.coalesce("label", "m.node").alias("label"))
     placed = store.write(placed)
     split = placed.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("band")
-    open_ = placed.join(split, "band", "left_semi")
-    left, right = open_.select("band", F.col("m").alias("p"), F.col("label").alias("lp")), open_.select("band", F.col("m").alias("q"), F.col("label").alias("lq"))
-    rest = left.join(right, "band").where("p.node < q.node and lp <> lq").where(_bound("p", "q")).select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).distinct()
+    facts = stars.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "nx", "both", "more", "less")
+    open_ = placed.join(split, "band", "left_semi").join(facts, (F.col("x") == F.col("sx")) & (F.col("m.node") == F.col("sy")))
+    besides = F.col("m.n") - F.col("both")
+    set_bits = sum((F.bit_count(F.col("more")[k]) for k in range(1, LONGS)), F.bit_count(F.col("more")[0]))
+    member3 = open_.select("band", "label", F.struct("m.node", "m.n", "m.u", "nx", "more", "less", (besides - set_bits).alias("extra")).alias("p"))
+    rest = member3.join(member3.select("band", F.col("label").alias("label_q"), F.col("p").alias("q")), "band")
+    rest = rest.where("p.node < q.node and label <> label_q").where(_bound("p", "q")).where(_bound_by_center()).select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).distinct()
     tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    second = store.write(verify(rest.join(tried, ["x", "y"], "left_anti")))
+    second = store.write(compare(rest.join(tried, ["x", "y"], "left_anti")).where("holds").select("x", "y"))
     if second.limit(1).count():
         label = components(first.union(second), store)
-    store.drop(texts, member2, placed, first, second)
+    store.drop(texts, member2, spokes, placed, stars, second)
     return label
 
 
