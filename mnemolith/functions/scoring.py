@@ -91,11 +91,11 @@ def fact_quality_sql(text: str) -> str:
 def importance(text: Column) -> Column:
     """0.1 to 1.0 in tenths, halves up; 0.5 for an empty text."""
     tenths = F.floor((20 + total(IMPORTANCE, text) + 5) / 10)
-    return F.when(text == "", 0.5).otherwise(F.greatest(F.lit(1), F.least(F.lit(10), tenths)) / 10.0)
+    return F.when(text == "", 0.5).when(text.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(10), tenths)) / 10.0)
 
 
 def importance_sql(text: str) -> str:
-    return f"CASE WHEN {text} = '' THEN 0.5 ELSE greatest(1, least(10, floor((20 + {total_sql(IMPORTANCE, text)} + 5) / 10.0))) / 10.0 END"
+    return f"CASE WHEN {text} = '' THEN 0.5 WHEN {text} IS NOT NULL THEN greatest(1, least(10, floor((20 + {total_sql(IMPORTANCE, text)} + 5) / 10.0))) / 10.0 END"
 
 
 def kind(text: Column) -> Column:

@@ -47,10 +47,11 @@ def tf_cosine_pairs(rows: DataFrame, key: str, terms: str, least: float) -> Data
     tails = F.transform("v", lambda e, k: F.struct(e["x"].alias("x"), square(F.slice("v", k + 1, F.size("v"))).alias("left")))
     prefix = vectors.select("i", "q", F.explode(F.filter(tails, lambda e: e["left"] >= least * least * F.col("q") - 1e-9)).alias("e")).select("i", F.col("e.x").alias("x"))
     near = prefix.join(prefix.select(F.col("i").alias("j"), "x"), "x").where(F.col("i") < F.col("j")).select("i", "j").distinct()
-    mapped = vectors.select("i", F.map_from_arrays(F.transform("v", lambda e: e["x"]), F.transform("v", lambda e: e["c"])).alias("m"), "q")
-    both = near.join(mapped, "i").join(mapped.select(F.col("i").alias("j"), F.col("m").alias("n"), F.col("q").alias("r")), "j")
-    dot = F.aggregate(F.map_entries("m"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.element_at("n", e["key"]), F.lit(0.0)))
-    return both.select("i", "j", (dot / (F.sqrt("q") * F.sqrt("r"))).alias("similarity")).where(F.col("similarity") >= least)
+    other = counts.select(F.col("i").alias("j"), "x", F.col("c").alias("e"))
+    dots = near.join(counts, "i").join(other, ["j", "x"]).groupBy("i", "j").agg(F.sum(F.col("c") * F.col("e")).alias("dot"))
+    norms = vectors.select("i", F.sqrt("q").alias("n"))
+    both = dots.join(norms, "i").join(norms.select(F.col("i").alias("j"), F.col("n").alias("m")), "j")
+    return both.select("i", "j", (F.col("dot") / (F.col("n") * F.col("m"))).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def _stored(df: DataFrame) -> DataFrame:

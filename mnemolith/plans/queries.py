@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -19,10 +19,13 @@ SQL: dict[str, str] = {}
 
 #: The moment at which ages are measured.
 AS_OF = "2024-02-01 00:00:00"
-NOW = F.lit(AS_OF).cast("timestamp")
 NOW_SQL = f"TIMESTAMP '{AS_OF}'"
 
 
+def now() -> Column:
+    return F.lit(AS_OF).cast("timestamp")
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -52,8 +55,8 @@ def memory_state(spark: SparkSession, d: str) -> DataFrame:
         F.when(v % 5 != 0, (v % 3) / 2.0).alias("confidence"),
         F.when(v % 2 == 0, "state").otherwise("fact").alias("kind"),
         F.when(v % 13 == 0, "archived").otherwise("active").alias("status"),
-        (NOW - F.make_dt_interval((v % 200).cast("int"))).alias("created_at"),
-        F.when(v % 3 == 0, NOW - F.make_dt_interval((v % 40).cast("int"))).alias("updated_at"),
+        (now() - F.make_dt_interval((v % 200).cast("int"))).alias("created_at"),
+        F.when(v % 3 == 0, now() - F.make_dt_interval((v % 40).cast("int"))).alias("updated_at"),
     )
 
 
@@ -72,7 +75,7 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY adjusted DES
 
 def _recalled(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d)
-    return recall.recall(m, m.where("id % 20 = 0"), memory_state(spark, d), NOW)
+    return recall.recall(m, m.where("id % 20 = 0"), memory_state(spark, d), now())
 
 
 @query(f"{RANKED_SQL} SELECT query, id, rank::INT AS rank, round(score, 6) AS score, round(adjusted, 6) AS adjusted, place::INT AS place FROM placed")
@@ -104,7 +107,7 @@ SELECT id, round(CASE WHEN days <= 0 THEN 1.0 ELSE pow(2.0, -days / ({HALF_SQL})
 def age_decay_and_tier(spark: SparkSession, d: str) -> DataFrame:
     s = memory_state(spark, d)
     seen = F.coalesce("updated_at", "created_at")
-    return s.select("id", F.round(scoring.age_decay(seen, NOW, F.col("importance"), F.col("kind")), 6).alias("decay"), scoring.tier(seen, NOW, F.col("id") % 2 == 0).alias("tier"))
+    return s.select("id", F.round(scoring.age_decay(seen, now(), F.col("importance"), F.col("kind")), 6).alias("decay"), scoring.tier(seen, now(), F.col("id") % 2 == 0).alias("tier"))
 
 
 @query(f"""WITH {STATE_SQL}, r AS (SELECT *, coalesce(updated_at, created_at) AS seen FROM state)
@@ -112,7 +115,7 @@ SELECT CASE WHEN seen > {NOW_SQL} - INTERVAL 90 DAY THEN 'skip_age' WHEN importa
   max(date_diff('microsecond', seen, {NOW_SQL}) // 86400000000)::BIGINT AS oldest FROM r GROUP BY 1""")
 def reaper_events(spark: SparkSession, d: str) -> DataFrame:
     s = memory_state(spark, d).withColumn("seen", F.coalesce("updated_at", "created_at"))
-    return s.groupBy(hygiene.reaper_event(F.col("seen"), F.col("importance"), NOW).alias("event")).agg(F.count("*").alias("n"), F.max(hygiene.age_days(F.col("seen"), NOW)).cast("bigint").alias("oldest"))
+    return s.groupBy(hygiene.reaper_event(F.col("seen"), F.col("importance"), now()).alias("event")).agg(F.count("*").alias("n"), F.max(hygiene.age_days(F.col("seen"), now())).cast("bigint").alias("oldest"))
 
 
 BUCKET_SQL = "CASE WHEN importance IS NULL THEN 'none' WHEN importance <= 0.2 THEN '<=0.2' WHEN importance <= 0.35 THEN '<=0.35' WHEN importance <= 0.5 THEN '<=0.5' WHEN importance <= 0.7 THEN '<=0.7' WHEN importance <= 0.85 THEN '<=0.85' ELSE '>0.85' END"
@@ -221,19 +224,20 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return found.join(size, "i").join(size.select(F.col("i").alias("j"), F.col("texts_i").alias("texts_j")), "j").select("i", "j", "texts_i", "texts_j", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH u AS (SELECT min(doc_id) AS id, text FROM documents GROUP BY text), t AS (SELECT id, x, count(*) AS c FROM (SELECT id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9_A-Z]+'), lambda w: length(w) > 2)) AS x FROM u) GROUP BY 1, 2),
+@query("""WITH u AS (SELECT min(conv_id * 1000 + turn) AS id, text FROM conversations GROUP BY text), t AS (SELECT id, x, count(*) AS c FROM (SELECT id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9_A-Z]+'), lambda w: length(w) > 2)) AS x FROM u) GROUP BY 1, 2),
 n AS (SELECT id, sqrt(sum(c * c)::DOUBLE) AS norm FROM t GROUP BY id), p AS (SELECT a.id AS i, b.id AS j, sum(a.c * b.c)::DOUBLE AS dot FROM t a JOIN t b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
-SELECT i, j, round(dot / (n.norm * m.norm), 6) AS similarity FROM p JOIN n ON n.id = i JOIN n m ON m.id = j WHERE dot / (n.norm * m.norm) >= 0.92""")
+SELECT i, j, round(dot / (n.norm * m.norm), 6) AS similarity FROM p JOIN n ON n.id = i JOIN n m ON m.id = j WHERE dot / (n.norm * m.norm) >= 0.6""")
 def tf_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Different documents whose term counts point the same way; of equal texts the first."""
-    one = read(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("id"))
-    return pairs.tf_cosine_pairs(one.select("id", text.terms(F.col("text")).alias("t")), "id", "t", P.DEDUP_COSINE).withColumn("similarity", F.round("similarity", 6))
+    """Different turns whose term counts point the same way; of equal texts the first."""
+    one = read(spark, d, "conversations").groupBy("text").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    return pairs.tf_cosine_pairs(one.select("id", text.terms(F.col("text")).alias("t")), "id", "t", 0.6).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
 def dedup_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that a sweep archives; tests hold it against the sweep one by one."""
-    return hygiene.dedup_sweep(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("memory"), F.col("n_chars").alias("seen")))
+    """Turns that a sweep at 0.6 archives; tests hold it against the sweep one by one."""
+    rows = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("memory"), F.col("turn").alias("seen"))
+    return hygiene.dedup_sweep(rows, least=0.6)
 
 
 @query()
@@ -321,9 +325,9 @@ def graph_reach(spark: SparkSession, d: str) -> DataFrame:
     return graph.reach(nodes.where("id like 'region %'"), place_edges(spark, d), 3)
 
 
-@query(f"WITH {GRAPH_SQL}, m AS (SELECT id FROM nodes WHERE contains(id, 'about') AND contains(id, 'europe')) SELECT source, predicate, target FROM edges WHERE source IN (SELECT id FROM m)")
+@query(f"WITH {GRAPH_SQL}, m AS (SELECT id FROM nodes WHERE contains(id, 'region') AND contains(id, 'europe')) SELECT source, predicate, target FROM edges WHERE source IN (SELECT id FROM m)")
 def graph_matches(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.matches(place_nodes(spark, d), "What about Europe")
+    found = graph.matches(place_nodes(spark, d), "Which region is Europe")
     return place_edges(spark, d).join(found.select(F.col("id").alias("source")), "source", "left_semi").select("source", "predicate", "target")
 
 
@@ -507,5 +511,5 @@ def archive_outcomes(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("scope"))
     lab = read(spark, d, "labels")
     doomed = lab.where("quality = 0").select(F.col("doc_id").alias("id")).union(lab.where("toxic = 1").select(F.col("doc_id") + 1000000000)).withColumn("reason", F.lit("label"))
-    stay, _, audit = hygiene.archive(docs, doomed, NOW)
+    stay, _, audit = hygiene.archive(docs, doomed, now())
     return audit.groupBy("outcome").agg(F.count("*").alias("n")).union(stay.agg(F.count("*").alias("n")).select(F.lit("stays"), "n"))
