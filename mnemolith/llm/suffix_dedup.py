@@ -16,7 +16,7 @@ over the cluster by content, and sorted there by the difference-cover algorithm:
 4. Buckets of more than `crowd` stretches would be too much for a task. Their windows are dealt by
    the hash of all their bytes instead, repeated ones of a task first put together: still exact.
 
-Only places (about one for 190 bytes), the stretches of step 3 and, by their 128-bit digest, one
+Only places (about one for 170 bytes), the stretches of step 3 and, by their 128-bit digest, one
 copy of each text are shuffled. Nothing reaches the driver. Equal texts are looked at once: their
 number says that all of them repeat.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import textblock as tb
 from .common import Stored
 
-SPAN, GRAM = 400, 16
+SPAN, GRAM = 400, 64
 PIECE = 1 << 21
 CROWD = 1500
 STEP = 1 << 20
