@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import scoring, text
 from ..functions.rules import quoted
-from ..operators import documents, evaluate, graph, hygiene, pairs, partitions, recall
+from ..operators import documents, evaluate, graph, hygiene, lifecycle, pairs, partitions, recall
 from ..sources import tables
 from ..streaming import limits
 
@@ -513,3 +513,47 @@ def archive_outcomes(spark: SparkSession, d: str) -> DataFrame:
     doomed = lab.where("quality = 0").select(F.col("doc_id").alias("id")).union(lab.where("toxic = 1").select(F.col("doc_id") + 1000000000)).withColumn("reason", F.lit("label"))
     stay, _, audit = hygiene.archive(docs, doomed, now())
     return audit.groupBy("outcome").agg(F.count("*").alias("n")).union(stay.agg(F.count("*").alias("n")).select(F.lit("stays"), "n"))
+
+
+# Queue, log, tenants.
+
+
+@query("""WITH q AS (SELECT event_id AS id, CASE WHEN event_type IN ('view', 'click') THEN 'merge' ELSE 'contradiction' END AS kind, CASE WHEN event_id % 3 = 0 THEN 'pending' ELSE 'done' END AS status, 'u' || user_id % 7 AS scope, (event_id % 4)::INT AS attempts, ts FROM events),
+c AS (SELECT id FROM q WHERE status = 'pending' AND kind = 'merge' AND scope = 'u3' AND attempts < 3 ORDER BY ts, id LIMIT 5), d AS (SELECT id FROM q WHERE status <> 'pending' ORDER BY ts DESC, id LIMIT 200)
+SELECT id, status, attempts + CASE WHEN id IN (SELECT id FROM c) THEN 1 ELSE 0 END AS attempts FROM q WHERE status = 'pending' OR id IN (SELECT id FROM d)""")
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    ts = F.col("ts").cast("timestamp")
+    q = e.select(F.col("event_id").alias("id"), F.when(F.col("event_type").isin("view", "click"), "merge").otherwise("contradiction").alias("kind"), F.when(F.col("event_id") % 3 == 0, "pending").otherwise("done").alias("status"), F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("scope"), (F.col("event_id") % 4).cast("int").alias("attempts"), ts.alias("detected_at"), ts.alias("updated_at"))
+    return lifecycle.pruned(lifecycle.claim(q, "u3", now())[1]).select("id", "status", "attempts")
+
+
+@query("SELECT event_id, ts, event_type FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 50")
+def newest_log_entries(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").where("event_type = 'purchase'")
+    return e.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "ts", "event_type")
+
+
+@query(f"""WITH s AS (SELECT c_custkey AS id, regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(c_name || ' __ É' || c_mktsegment), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 32), '-+$', '') AS slug FROM customer)
+SELECT id, replace(slug, '--', '-') AS slug FROM s""".replace("lower(c_name || ' __ É' || c_mktsegment)", "translate(lower(c_name || ' __ É' || c_mktsegment), 'é', 'e')"))
+def tenant_slugs(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), lifecycle.tenant_slug(F.concat("c_name", F.lit(" __ É"), "c_mktsegment")).alias("slug"))
+
+
+@query(f"WITH {TEXTS_SQL} SELECT id, list_sort(list_distinct(list_transform(regexp_extract_all(t, '(?i)https?://[^\\s''\"`)\\]}}>]+'), lambda u: lower(regexp_replace(u, '[.,;:]+$', ''))))) AS urls FROM texts")
+def absolute_urls(spark: SparkSession, d: str) -> DataFrame:
+    return texts(spark, d).select("id", F.array_sort(lifecycle.absolute_urls(F.col("t"))).alias("urls"))
+
+
+@query(f"""WITH f AS (SELECT conv_id, turn, text FROM conversations WHERE ({scoring.fact_quality_sql('text')}) >= 1), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM f) SELECT conv_id, turn, place::INT AS place FROM k WHERE place <= 10""")
+def saved_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of each conversation that score as facts, from 1 on here: ten at most."""
+    t = read(spark, d, "conversations").where(scoring.fact_quality(F.col("text")) >= 1)
+    return t.withColumn("place", F.row_number().over(recall.Window.partitionBy("conv_id").orderBy("turn"))).where("place <= 10").select("conv_id", "turn", "place")
+
+
+@query("""SELECT source, count(*)::BIGINT AS moved FROM (SELECT DISTINCT ON (doc_id) doc_id, source, text FROM documents) d WHERE source <> 'src0' AND length(text) > 200 AND text NOT IN (SELECT text FROM documents WHERE source = 'src0') GROUP BY source""")
+def moved_scope(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("memory"), F.col("source").alias("scope"), F.col("source").alias("src"))
+    return lifecycle.moved_scope(m, F.length("memory") > 200, "src0").groupBy(F.col("src").alias("source")).agg(F.count("*").alias("moved"))
