@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,6 +68,35 @@ def java_pattern(pattern: str, fold: bool = False) -> str:
     return (("(?i)" if pattern.isascii() else "(?iu)") if fold else "") + "".join(out)
 
 
+@cache
+def required(pattern: str, least: int = 3) -> frozenset[str]:
+    """Strings of `least` characters or more one of which every match has in it; none if there aren't such.
+
+    Looking for them first is much faster than the pattern.
+    """
+
+    def of(parts) -> frozenset[str]:
+        options: list[frozenset[str]] = []
+        run = ""
+        for op, arg in [*parts, (None, None)]:
+            if op is parser.LITERAL:
+                run += chr(arg)
+                continue
+            options.append(frozenset([run]) if run else frozenset())
+            run = ""
+            if op is parser.SUBPATTERN:
+                options.append(of(arg[-1]))
+            elif op is parser.MAX_REPEAT and arg[0] >= 1:
+                options.append(of(arg[2]))
+            elif op is parser.BRANCH:
+                each = [of(x) for x in arg[1]]
+                options.append(frozenset().union(*each) if all(each) else frozenset())
+        fit = [o for o in options if o and min(map(len, o)) >= least]
+        return max(fit, key=lambda o: (min(map(len, o)), -len(o)), default=frozenset())
+
+    return of(parser.parse(pattern))
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -81,7 +111,8 @@ class Condition:
     def __invert__(self) -> Condition:
         return Not(self)
 
-    def column(self, text: Column) -> Column:
+    def column(self, text: Column, lower: Column | None = None) -> Column:
+        """lower: the text in lower case, if there is a column of it; it saves making it for each pattern."""
         raise NotImplementedError
 
     def sql(self, text: str) -> str:
@@ -95,8 +126,14 @@ class Has(Condition):
     pattern: str
     fold: bool = False
 
-    def column(self, text: Column) -> Column:
-        return text.rlike(java_pattern(self.pattern, self.fold))
+    def column(self, text: Column, lower: Column | None = None) -> Column:
+        found = text.rlike(java_pattern(self.pattern, self.fold))
+        needed = required(self.pattern)
+        if not needed:
+            return found
+        where = (F.lower(text) if lower is None else lower) if self.fold else text
+        some = [F.contains(where, F.lit(x.lower() if self.fold else x)) for x in sorted(needed)]
+        return reduce(lambda a, b: a | b, some) & found
 
     def sql(self, text: str) -> str:
         return f"regexp_matches({text}, {quoted(self.pattern)}, {quoted('i' if self.fold else 'c')})"
@@ -108,7 +145,7 @@ class Longer(Condition):
 
     n: int
 
-    def column(self, text: Column) -> Column:
+    def column(self, text: Column, lower: Column | None = None) -> Column:
         return F.length(text) > self.n
 
     def sql(self, text: str) -> str:
@@ -119,7 +156,7 @@ class Longer(Condition):
 class Shorter(Condition):
     n: int
 
-    def column(self, text: Column) -> Column:
+    def column(self, text: Column, lower: Column | None = None) -> Column:
         return F.length(text) < self.n
 
     def sql(self, text: str) -> str:
@@ -131,8 +168,8 @@ class Both(Condition):
     a: Condition
     b: Condition
 
-    def column(self, text: Column) -> Column:
-        return self.a.column(text) & self.b.column(text)
+    def column(self, text: Column, lower: Column | None = None) -> Column:
+        return self.a.column(text, lower) & self.b.column(text, lower)
 
     def sql(self, text: str) -> str:
         return f"({self.a.sql(text)} AND {self.b.sql(text)})"
@@ -143,8 +180,8 @@ class Either(Condition):
     a: Condition
     b: Condition
 
-    def column(self, text: Column) -> Column:
-        return self.a.column(text) | self.b.column(text)
+    def column(self, text: Column, lower: Column | None = None) -> Column:
+        return self.a.column(text, lower) | self.b.column(text, lower)
 
     def sql(self, text: str) -> str:
         return f"({self.a.sql(text)} OR {self.b.sql(text)})"
@@ -154,8 +191,8 @@ class Either(Condition):
 class Not(Condition):
     a: Condition
 
-    def column(self, text: Column) -> Column:
-        return ~self.a.column(text)
+    def column(self, text: Column, lower: Column | None = None) -> Column:
+        return ~self.a.column(text, lower)
 
     def sql(self, text: str) -> str:
         return f"(NOT {self.a.sql(text)})"
@@ -168,17 +205,17 @@ def any_of(conditions: Sequence[Condition]) -> Condition:
 Points = Sequence[tuple[float, Condition]]
 
 
-def total(points: Points, text: Column) -> Column:
-    return reduce(lambda a, b: a + b, (F.when(c.column(text), F.lit(p)).otherwise(F.lit(type(p)(0))) for p, c in points))
+def total(points: Points, text: Column, lower: Column | None = None) -> Column:
+    return reduce(lambda a, b: a + b, (F.when(c.column(text, lower), F.lit(p)).otherwise(F.lit(type(p)(0))) for p, c in points))
 
 
 def total_sql(points: Points, text: str) -> str:
     return "(" + " + ".join(f"CASE WHEN {c.sql(text)} THEN {p} ELSE {type(p)(0)} END" for p, c in points) + ")"
 
 
-def first_match(named: Sequence[tuple[str, Condition]], text: Column) -> Column:
+def first_match(named: Sequence[tuple[str, Condition]], text: Column, lower: Column | None = None) -> Column:
     """The name of the first condition that holds, or null."""
-    return F.coalesce(*[F.when(c.column(text), name) for name, c in named])
+    return F.coalesce(*[F.when(c.column(text, lower), name) for name, c in named])
 
 
 def first_match_sql(named: Sequence[tuple[str, Condition]], text: str) -> str:

@@ -53,9 +53,9 @@ DECISION = any_of([Has(p, True) for p in P.DECISION_LANGUAGE])
 DISQUALIFIED = [(f"boilerplate_{i + 1}", Has(p, True)) for i, p in enumerate(P.BOILERPLATE)] + [(f"credential_{i + 1}", Has(p, f)) for i, (p, f) in enumerate(P.CREDENTIALS)]
 
 
-def actionability(text: Column, frontend: bool = True) -> Column:
+def actionability(text: Column, frontend: bool = True, lower: Column | None = None) -> Column:
     """0 to 5; 0 if not technical."""
-    return F.when(TECHNICAL.column(text), F.least(F.lit(5), 1 + total(ACTIONABLE_WITH_FRONTEND if frontend else ACTIONABLE, text))).otherwise(F.when(text.isNotNull(), 0))
+    return F.when(TECHNICAL.column(text, lower), F.least(F.lit(5), 1 + total(ACTIONABLE_WITH_FRONTEND if frontend else ACTIONABLE, text, lower))).otherwise(F.when(text.isNotNull(), 0))
 
 
 def actionability_sql(text: str, frontend: bool = True) -> str:
@@ -66,10 +66,10 @@ def _by_actionability(score: Column, then) -> Column:
     return F.transform(F.array(score), then)[0]
 
 
-def memory_quality(text: Column) -> Column:
+def memory_quality(text: Column, lower: Column | None = None) -> Column:
     # Looked at once: the score of an array of one.
-    adjust = _by_actionability(actionability(text), lambda a: F.when((a == 1) & ~Has(P.CONTEXT, True).column(text), -2).when(a >= 4, 2).otherwise(0))
-    return F.when(BOILERPLATE.column(text) | CREDENTIALS.column(text), -10).otherwise(F.when(text.isNotNull(), total(QUALITY, text) + adjust))
+    adjust = _by_actionability(actionability(text, lower=lower), lambda a: F.when((a == 1) & ~Has(P.CONTEXT, True).column(text, lower), -2).when(a >= 4, 2).otherwise(0))
+    return F.when(BOILERPLATE.column(text, lower) | CREDENTIALS.column(text, lower), -10).otherwise(F.when(text.isNotNull(), total(QUALITY, text, lower) + adjust))
 
 
 def memory_quality_sql(text: str) -> str:
@@ -78,9 +78,9 @@ def memory_quality_sql(text: str) -> str:
     return f"CASE WHEN {BOILERPLATE.sql(text)} OR {CREDENTIALS.sql(text)} THEN -10 WHEN {text} IS NOT NULL THEN {total_sql(QUALITY, text)} + {adjust} END"
 
 
-def fact_quality(text: Column) -> Column:
-    adjust = _by_actionability(actionability(text, frontend=False), lambda a: F.when(a == 1, -1).when(a >= 4, 1).otherwise(0))
-    return F.when(BOILERPLATE.column(text), -10).otherwise(F.when(text.isNotNull(), total(FACT, text) + adjust))
+def fact_quality(text: Column, lower: Column | None = None) -> Column:
+    adjust = _by_actionability(actionability(text, frontend=False, lower=lower), lambda a: F.when(a == 1, -1).when(a >= 4, 1).otherwise(0))
+    return F.when(BOILERPLATE.column(text, lower), -10).otherwise(F.when(text.isNotNull(), total(FACT, text, lower) + adjust))
 
 
 def fact_quality_sql(text: str) -> str:
@@ -88,9 +88,9 @@ def fact_quality_sql(text: str) -> str:
     return f"CASE WHEN {BOILERPLATE.sql(text)} THEN -10 WHEN {text} IS NOT NULL THEN {total_sql(FACT, text)} + CASE WHEN {a} = 1 THEN -1 WHEN {a} >= 4 THEN 1 ELSE 0 END END"
 
 
-def importance(text: Column) -> Column:
+def importance(text: Column, lower: Column | None = None) -> Column:
     """0.1 to 1.0 in tenths, halves up; 0.5 for an empty text."""
-    tenths = F.floor((20 + total(IMPORTANCE, text) + 5) / 10)
+    tenths = F.floor((20 + total(IMPORTANCE, text, lower) + 5) / 10)
     return F.when(text == "", 0.5).when(text.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(10), tenths)) / 10.0)
 
 
@@ -98,16 +98,16 @@ def importance_sql(text: str) -> str:
     return f"CASE WHEN {text} = '' THEN 0.5 WHEN {text} IS NOT NULL THEN greatest(1, least(10, floor((20 + {total_sql(IMPORTANCE, text)} + 5) / 10.0))) / 10.0 END"
 
 
-def kind(text: Column) -> Column:
-    return F.when(STATE.column(text), "state").otherwise(F.when(text.isNotNull(), "fact"))
+def kind(text: Column, lower: Column | None = None) -> Column:
+    return F.when(STATE.column(text, lower), "state").otherwise(F.when(text.isNotNull(), "fact"))
 
 
 def kind_sql(text: str) -> str:
     return f"CASE WHEN {STATE.sql(text)} THEN 'state' WHEN {text} IS NOT NULL THEN 'fact' END"
 
 
-def disqualified(text: Column) -> Column:
-    return first_match(DISQUALIFIED, text)
+def disqualified(text: Column, lower: Column | None = None) -> Column:
+    return first_match(DISQUALIFIED, text, lower)
 
 
 def disqualified_sql(text: str) -> str:

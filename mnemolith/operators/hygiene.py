@@ -16,14 +16,14 @@ def gate(memories: DataFrame, text_col: str = "memory", *, blocked: DataFrame |
     blocked is a table of hashes; an id of null text is rejected. chat marks rows that skip the quality score.
     """
     t = F.col(text_col)
-    df = memories.withColumn("_hash", F.when(F.trim(t) != "", text.blocklist_hash(t)))
+    df = memories.withColumn("_lower", F.lower(t)).withColumn("_hash", F.when(F.trim(t) != "", text.blocklist_hash(t)))
     known = F.lit(False)
     if blocked is not None:
         df = df.join(blocked.select(F.col("hash").alias("_blocked")).distinct(), F.col("_hash") == F.col("_blocked"), "left")
         known = F.col("_blocked").isNotNull()
-    low = (scoring.memory_quality(t) < P.MIN_MEMORY_QUALITY) & ~(chat if chat is not None else F.lit(False))
-    verdict = F.when(known, "blocked").when(t.isNull(), "rejected").otherwise(F.coalesce(scoring.disqualified(t), F.when(low, "low_quality"), F.lit("saved")))
-    return df.withColumn("verdict", verdict).drop("_hash", "_blocked")
+    low = (scoring.memory_quality(t, F.col("_lower")) < P.MIN_MEMORY_QUALITY) & ~(chat if chat is not None else F.lit(False))
+    verdict = F.when(known, "blocked").when(t.isNull(), "rejected").otherwise(F.coalesce(scoring.disqualified(t, F.col("_lower")), F.when(low, "low_quality"), F.lit("saved")))
+    return df.withColumn("verdict", verdict).drop("_hash", "_blocked", "_lower")
 
 
 def dedup_sweep(memories: DataFrame, *, id_col: str = "id", text_col: str = "memory", seen_col: str = "seen", least: float = P.DEDUP_COSINE) -> DataFrame:

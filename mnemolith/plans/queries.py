@@ -160,21 +160,26 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")).union(more)
 
 
+def _with_lower(df: DataFrame) -> DataFrame:
+    """Lower case once for all patterns, over as many tasks as there are cores: the patterns are what takes time."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism).withColumn("l", F.lower("t"))
+
+
 @query(f"WITH {TEXTS_SQL} SELECT id, ({scoring.actionability_sql('t')})::INT AS actionability, ({scoring.memory_quality_sql('t')})::INT AS quality, ({scoring.fact_quality_sql('t')})::INT AS fact_quality FROM texts")
 def text_quality(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("t")
-    return texts(spark, d).select("id", scoring.actionability(t).cast("int").alias("actionability"), scoring.memory_quality(t).cast("int").alias("quality"), scoring.fact_quality(t).cast("int").alias("fact_quality"))
+    t, l = F.col("t"), F.col("l")
+    return _with_lower(texts(spark, d)).select("id", scoring.actionability(t, lower=l).cast("int").alias("actionability"), scoring.memory_quality(t, l).cast("int").alias("quality"), scoring.fact_quality(t, l).cast("int").alias("fact_quality"))
 
 
 @query(f"WITH {TEXTS_SQL} SELECT id, round(({scoring.importance_sql('t')})::DOUBLE, 6) AS importance, {scoring.kind_sql('t')} AS kind, {scoring.DECISION.sql('t')} AS decides FROM texts")
 def text_importance(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("t")
-    return texts(spark, d).select("id", F.round(scoring.importance(t), 6).alias("importance"), scoring.kind(t).alias("kind"), scoring.DECISION.column(t).alias("decides"))
+    t, l = F.col("t"), F.col("l")
+    return _with_lower(texts(spark, d)).select("id", F.round(scoring.importance(t, l), 6).alias("importance"), scoring.kind(t, l).alias("kind"), scoring.DECISION.column(t, l).alias("decides"))
 
 
 @query(f"WITH {TEXTS_SQL} SELECT id, {scoring.disqualified_sql('t')} AS reason FROM texts WHERE {scoring.disqualified_sql('t')} IS NOT NULL")
 def disqualified_texts(spark: SparkSession, d: str) -> DataFrame:
-    return texts(spark, d).select("id", scoring.disqualified(F.col("t")).alias("reason")).where("reason is not null")
+    return _with_lower(texts(spark, d)).select("id", scoring.disqualified(F.col("t"), F.col("l")).alias("reason")).where("reason is not null")
 
 
 _MARKERS_SQL = ", ".join(quoted(w) for w in P.PORTUGUESE_MARKERS)
