@@ -1 +1,25 @@
 """Memory analytics on Spark: corpora of short texts, vectors, votes and relations as DataFrame queries."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Sends this package to the session's Python workers, once, so that they can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():  # runs out of an archive that was sent already
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(archive))
