@@ -132,9 +132,11 @@ def resolve(nodes: DataFrame, edges: DataFrame, least: float = P.ENTITY_SIMILARI
     while True:
         up = mapping.select(F.col("node").alias("n2"), F.col("into").alias("i2"))
         after = pairs._stored(mapping.join(up, mapping.into == F.col("n2"), "left").select("node", F.coalesce("i2", "into").alias("into")).where("node <> into"))
-        if not after.join(mapping, ["node", "into"], "left_anti").limit(1).count():
-            break
+        moved_on = after.join(mapping, ["node", "into"], "left_anti").limit(1).count()
+        pairs._drop(mapping)
         mapping = after
+        if not moved_on:
+            break
     rename = mapping.select(F.col("node").alias("n2"), F.col("into"))
     named = nodes.join(rename, nodes.id == F.col("n2"), "left").withColumn("new", F.coalesce("into", "id"))
     longest = F.max_by("description", F.when(F.col("description").isNotNull(), F.struct(F.length("description"), (F.col("id") == F.col("new")).cast("int"))))

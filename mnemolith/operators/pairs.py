@@ -65,7 +65,17 @@ def _stored(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/pairs-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _drop(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def greedy_removals(pairs: DataFrame, loser: Column) -> DataFrame:
@@ -86,6 +96,8 @@ def greedy_removals(pairs: DataFrame, loser: Column) -> DataFrame:
         valid = open_.where((F.col("bi").isNull() | (F.col("bi") >= F.col("i"))) & (F.col("bj").isNull() | (F.col("bj") >= F.col("i"))))
         now = _stored(valid.groupBy(F.col("lost").alias("node")).agg(F.min("i").alias("by")))
         same = now.join(removed, ["node", "by"], "left_anti").limit(1).count() + removed.join(now, ["node", "by"], "left_anti").limit(1).count()
+        _drop(removed)
         removed = now
         if not same:
+            _drop(p)
             return removed
