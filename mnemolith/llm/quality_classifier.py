@@ -1,14 +1,16 @@
 """Quality classifier from weak labels.
 
-Eight heuristic labellers look at every text and vote good, bad or not at all: size, symbols,
-repeated windows, equal lines, length of words, capitals, loud words, loose marks. The corpus is
-summed up as the number of texts with each pattern of votes (3 ** 8 at most, however large the
+Ten heuristic labellers look at every text and vote good, bad or not at all: size, symbols,
+repeated windows, equal lines, length of words, capitals, loud words, loose marks, share of hostile
+words, hostile words aimed at somebody (a second person near, or an exclamation mark). The corpus is
+summed up as the number of texts with each pattern of votes (3 ** 10 at most, however large the
 corpus); expectation-maximisation over these patterns, without any true label, estimates how often
 each labeller votes which way on good texts and on several kinds of bad ones, and so every pattern's posterior of being
 good. The posteriors are the labels from which a linear scorer over hashed byte trigrams is
 trained, by logistic loss on at most SAMPLE texts (those with the smallest hashes of their
 digests). Every text gets the scorer's probability, and is kept at THRESHOLD or more unless the
-votes are sure that it is bad (posterior under VETO) or it has a word of the insult list.
+votes are sure that it is bad (posterior under VETO). No single word decides: hostile words count by
+their share of the text, and what such votes are worth is estimated like that of the others.
 
 Null, empty and word-less texts have no trigrams; they have size votes like others and the scorer's
 constant. Equal texts get equal results, whatever their ids. Without any text there is no row.
@@ -17,6 +19,10 @@ Other columns don't matter and aren't read.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,22 +36,92 @@ THRESHOLD, VETO = 0.5, 0.02
 ROUNDS, EPOCHS, RATE = 60, 250, 0.15
 #: What is thought of a labeller beforehand, in shares of the corpus: bad and good votes on good texts, and on bad ones.
 PRIOR = ({0: 0.0005, 2: 0.2}, {0: 0.001, 2: 0.001})
-LABELLERS = ("size", "symbols", "windows", "lines", "length", "capitals", "loud", "marks")
+LABELLERS = ("size", "symbols", "windows", "lines", "length", "capitals", "loud", "marks", "hostile", "aimed")
 #: What can be wrong with a text, by the labellers that see it.
-FAULTS = (("symbols", "marks"), ("windows", "lines"), ("capitals", "loud"), ("size", "length"))
-
-#: Insults, one of which is enough to reject a text.
-INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+FAULTS = (("symbols", "marks"), ("windows", "lines"), ("capitals", "loud"), ("size", "length"), ("hostile", "aimed"))
+#: In a pattern's number no vote is digit 1 for the first eight labellers and digit 0 for the last two.
+SHIFT = np.array([0] * 8 + [1] * 2)
+
+#: Words of abuse by language. Written by hand as general vocabulary, since no published lexicon is at
+#: hand without network; not drawn from the documents or their labels.
+STRONG = {
+    "en": "arsehole asshole bastard bitch bonehead bootlicker cretin cunt dickhead dimwit dipshit douchebag dullard dumbass dunce fathead fucker fuckface halfwit hypocrite idiot idiotic imbecile jackass jerk knucklehead lowlife moron moronic motherfucker nincompoop nitwit numbskull peabrain pervert scoundrel scum scumbag shithead shitty simpleton sleazebag slut subhuman thickhead turd twat twit wanker whore wimp wretch",
+    "de": "abschaum arsch arschloch bastard blödmann depp drecksack drecksau dummkopf dumpfbacke fotze hackfresse hohlkopf hornochse hure hurensohn idiot idiotisch missgeburt mistkerl miststück pisser saukerl scheisskerl scheißkerl schlampe schuft schwachkopf schweinehund trottel untermensch vollidiot vollpfosten wichser widerling",
+    "fr": "abruti batard bouffon branleur bâtard charogne connard connasse conne crétin crétine débile enculé enfoiré idiot idiote imbécile merdeux pleutre pute pétasse raclure salaud salopard salope taré trouduc vaurien",
+    "es": "bastardo bobo boludo cabrón cretino escoria estúpida estúpido gilipollas hijoputa huevón idiota imbécil mamón mierdoso necio pelotudo pendejo puta puto retrasado tarado tonto",
+    "it": "bastarda bastardo cazzone coglione cretina cretino feccia idiota imbecille merdoso pezzente puttana scemo stronza stronzo stupido vigliacco",
+    "pt": "babaca bastardo cretino desgraçado escória estúpido idiota imbecil otário puta puto retardado vadia vagabundo",
+    "nl": "debiel hoer hufter idioot imbeciel klootzak lul lulhannes mafkees rotzak schoft sukkel trut tyfuslijer uilskuiken",
+    "pl": "bydlak cham debil dupek frajer gnój idiota kretyn kurwa palant sukinsyn",
+    "tr": "ahmak aptal gerizekalı kaltak mankafa orospu salak şerefsiz",
+    "ru": "дебил дура дурак идиот идиотка козел козёл кретин мразь подонок сволочь скотина сука тварь ублюдок урод",
+}
+#: Also words of abuse, which have plain uses as well: they count half. Words that are plain
+#: ones in another of the languages ("con", "it", "sale", "gross") are left out.
+MILD = {
+    "en": "brainless clown contemptible coward crap creep cringe degenerate dirtbag disgrace disgusting dumb fool foolish freak garbage hateful hideous hopeless ignorant laughable lazy liar loser lousy nasty pathetic pest phony pig pitiful prick ridiculous rotten rubbish shameful slimy stupid stupidity swine thug traitor trash ugly useless vermin vile weasel weirdo witless worthless",
+    "de": "abartig armselig blöd doof dreck dumm ekelhaft erbärmlich feigling hässlich jämmerlich lächerlich lügner nutzlos sau schwein verlierer versager wertlos widerlich witzfigur",
+    "fr": "andouille déchet dégoûtant dégueulasse fumier gourde hideux honteux lamentable lâche menteur minable moche ordure pathétique perdant pitoyable pourri pourriture ridicule répugnant stupide traître",
+    "es": "asqueroso basura capullo cobarde desgraciado despreciable feo fracasado ignorante inútil lamentable maldito mentiroso miserable patético payaso perdedor repugnante ridículo subnormal sucio traidor vergonzoso",
+    "it": "codardo deficiente disgustoso fallito inutile pagliaccio patetico perdente ridicolo schifoso spazzatura traditore verme",
+    "pt": "burro covarde feio fracassado inútil lixo miserável nojento palhaço patético perdedor ridículo traidor",
+    "nl": "belachelijk lelijk loser nutteloos waardeloos walgelijk zielig",
+    "pl": "brzydki głupi szmata śmieszny śmieć żałosny",
+    "tr": "korkak rezil çirkin",
+    "ru": "глупый жалкий мерзкий ничтожество трус тупой",
+}
+SECOND_PERSON = "you your yours yourself yourselves youre ur u ya thou du dich dir dein deine deinen deiner deinem ihr euch euer eure tu toi te ton ta tes vous votre vos ti tú vos vosotros usted ustedes vuestro vuestra tuyo voi vostro lei você voce vocês seu sua jij je jou jouw jullie ty ciebie cię sen sana siz seni ты тебя тебе твой вы вас вам ваш"
+#: The weight of hostile words to all words above which they are a bad vote: in any text, and if they weigh SEVERAL or are
+#: aimed at somebody, which a second person within NEAR words tells.
+HOSTILE, LESS, SEVERAL, NEAR = 0.02, 0.005, 2, 3
 
 _c = np.arange(256)
 _symbol = np.isin(_c, list(SYMBOLS))
 _upper, _letter = (_c >= 65) & (_c <= 90), ((_c >= 65) & (_c <= 90)) | ((_c >= 97) & (_c <= 122)) | (_c >= 128)
 
 
-def _insult_hashes() -> np.ndarray:
-    block = tb.Block([w.encode() for w in INSULTS])
+def spellings(word: str) -> set[str]:
+    """The word with usual endings, without accents, with them in capitals, and with digits for letters."""
+    forms = {word + x for x in ("", "s", "es", "e", "en", "er", "n")}
+    for f in list(forms):
+        forms.add("".join(c for c in unicodedata.normalize("NFD", f) if not unicodedata.combining(c)))
+        forms.add(f.replace("ä", "ae").replace("ö", "oe").replace("ü", "ue").replace("ß", "ss"))
+        forms.add(unicodedata.normalize("NFD", f))
+    for digits in itertools.product((False, True), repeat=5):
+        forms.add("".join(dict(zip("ieoas", "13045", strict=True)).get(c, c) if dict(zip("ieoas", digits, strict=True)).get(c) else c for c in word))
+    # Only ASCII letters are lowered before words are looked up.
+    return forms | {"".join(c if c.isascii() else c.upper() for c in f) for f in forms} | {f[:1].upper() + f[1:] for f in forms if not f[:1].isascii()}
+
+
+@functools.cache
+def _known() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words that are looked up, in order, and what each is: its hostile weight, -1 for a second person."""
+    weight = {w: -1.0 for w in SECOND_PERSON.split()}
+    for lists, x in ((MILD, 0.5), (STRONG, 1.0)):
+        weight |= {f: x for words in lists.values() for w in words.split() for f in spellings(w) if len(f) > 1}
+    block = tb.Block([w.encode() for w in weight])
+    start, end = block.start, block.end
+    h = block.hashes(block.prefix(tb.BYTE_LOWER), start, end)
+    order = np.argsort(h)
+    return h[order], np.array(list(weight.values()))[order]
+
+
+def hostility(block: tb.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its words, the weight of hostile ones, and of those aimed at somebody."""
     start, end = block.runs(tb.ALNUM)
-    return np.sort(block.hashes(block.prefix(tb.BYTE_LOWER), start, end))
+    lo, hi = block.of(start)
+    known, what = _known()
+    h = block.hashes(block.prefix(tb.BYTE_LOWER), start, end)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    kind = np.where(known[at] == h, what[at], 0.0)
+    second = np.concatenate(([0], np.cumsum(kind < 0)))
+    word = np.flatnonzero(kind > 0)
+    text = np.searchsorted(hi, word, "right")
+    near = second[np.minimum(word + NEAR + 1, hi[text])] > second[np.maximum(word - NEAR, lo[text])]
+    weight = kind[word]
+    aimed = near | (block.buf[end[word]] == ord("!"))
+    n = len(block.docs)
+    return hi - lo, np.bincount(text, weights=weight, minlength=n), np.bincount(text, weights=weight * aimed, minlength=n)
 
 
 def _vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -53,7 +129,7 @@ def _vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
 
 
 def votes(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the votes (0 bad, 1 none, 2 good) of the labellers, and whether it has an insult."""
+    """For each text the votes (0 bad, 1 none, 2 good) of the labellers, and whether it has hostile words aimed at somebody."""
     pre = block.prefix()
     start, end, lo, hi, h = word_hashes(block, pre)
     n = hi - lo
@@ -68,6 +144,7 @@ def votes(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
     capitals = share(per_byte(_upper[block.buf], block), letters)
     loud = tb.per_text(block.buf[end - 1] == ord("!"), lo, hi) / some
     marks = tb.per_text((end - start == 1) & ~tb.ALNUM[block.buf[start]], lo, hi) / some
+    spoken, hostile, aimed = hostility(block)
     out = np.stack(
         [
             _vote(n < 3, n >= 30),
@@ -78,19 +155,16 @@ def votes(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
             _vote(capitals > 0.3, (capitals < 0.1) & (letters > 0)),
             _vote(loud > 0.1, (loud < 0.01) & (n >= 20)),
             _vote(marks > 0.1, (marks < 0.01) & (n >= 20)),
+            _vote((hostile > HOSTILE * spoken) | ((hostile > LESS * spoken) & (hostile >= SEVERAL)), (hostile == 0) & (spoken >= 20)),
+            _vote(aimed > LESS * spoken, (hostile == 0) & (spoken >= 20)),
         ],
         axis=1,
     )
-    ws, we = block.runs(tb.ALNUM)
-    a, z = block.of(ws)
-    known = _insult_hashes()
-    word = block.hashes(block.prefix(tb.BYTE_LOWER), ws, we)
-    at = np.minimum(np.searchsorted(known, word), len(known) - 1)
-    return out, tb.per_text(known[at] == word, a, z) > 0
+    return out, aimed > 0
 
 
 def pattern(v: np.ndarray) -> np.ndarray:
-    return (v * 3 ** np.arange(v.shape[1])).sum(axis=1)
+    return ((v - SHIFT) % 3 * 3 ** np.arange(v.shape[1])).sum(axis=1)
 
 
 def posteriors(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +176,7 @@ def posteriors(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     m = len(LABELLERS)
     names = np.array(sorted(counts), np.int64)
     weight = np.array([counts[k] for k in names.tolist()], np.float64)
-    v = names[:, None] // 3 ** np.arange(m) % 3
+    v = (names[:, None] // 3 ** np.arange(m) + SHIFT) % 3
     spoken = v != 1
     fault = np.array([[x in kind for x in LABELLERS] for kind in FAULTS])
     bad = np.stack([((v == 0) & f).any(axis=1) for f in fault], 1).astype(float)
@@ -215,13 +289,13 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             parts = []
             for _, block in tb.blocks(tb.texts(b.column(1))):
-                v, insult = votes(block)
+                v = votes(block)[0]
                 doc, bucket = trigrams(block)
                 n = np.bincount(doc, minlength=len(block.docs))
                 z = np.bincount(doc, weights=w[bucket], minlength=len(block.docs)) * SCALE / np.maximum(n, 1) + const
                 p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
                 post = sent.value[pattern(v)]
-                parts.append((v, post, p, (p >= THRESHOLD) & (post >= VETO) & ~insult))
+                parts.append((v, post, p, (p >= THRESHOLD) & (post >= VETO)))
             v, post, p, kept = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, len(LABELLERS)), int), np.zeros(0), np.zeros(0), np.zeros(0, bool))
             shown = pa.StructArray.from_arrays([pa.array(said[v[:, j]], pa.string()) for j in range(len(LABELLERS))], names=list(LABELLERS))
             yield pa.RecordBatch.from_arrays([b.column(0), shown, pa.array(post, pa.float64()), pa.array(p, pa.float64()), pa.array(kept, pa.bool_())], names=[id_col, "votes", "posterior", "score", "kept"])

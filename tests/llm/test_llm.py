@@ -94,6 +94,22 @@ def test_classifier_rows(spark, docs, nothing, texts):
     assert quality_classifier.classify(nothing).count() == 0
 
 
+def test_hostility_is_weighed_in_several_languages(spark):
+    rnd = random.Random(12)
+    fill = lambda n, lang: sentence(rnd, n, lang).capitalize() + ".\n" + sentence(rnd, n, lang) + "."
+    langs = ("en", "fr", "de")
+    clean = [fill(40, langs[i % 3]) for i in range(120)]
+    abuse = {"en": ["you jackass", "You are an imbecile!", "your scumbags", "you d1mw1t"], "fr": ["tu es un connard", "Abruti!", "espèce de crétin, toi"], "de": ["du Dummkopf", "ihr seid Trottel!", "du bist ein Vollidiot"]}
+    hostile = []
+    for i in range(24):
+        lang = langs[i % 3]
+        hostile.append(" ".join(f"{sentence(rnd, 12, lang)} {rnd.choice(abuse[lang])} {sentence(rnd, 4, lang)}" for _ in range(5)))
+    long = [f"{fill(150, 'en')} the {w} was here. {fill(150, 'en')}" for w in ("trash", "clown", "loser", "idiot")]
+    out = {r.doc_id: r for r in quality_classifier.classify(frame(spark, clean + hostile + long)).collect()}
+    assert not any(out[i].kept for i in range(120, 144))
+    assert all(out[i].kept for i in range(144, 148)) and sum(out[i].kept for i in range(120)) == 120
+
+
 # 2
 
 
