@@ -1,4 +1,4 @@
-"""What several operators share: tables of a folder, sample selection, hashed count tables."""
+"""What several operators share: tables of a folder, free column names, stored tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,16 +28,6 @@ def free_name(taken: Sequence[str], name: str) -> str:
     return name
 
 
-def smallest_by_hash(df: DataFrame, key: str, n: int) -> list:
-    """At most n distinct non-null keys, those with the smallest hashes: the same rows wherever they lie.
-
-    Each task keeps its own n before they are merged, so n bounds what reaches the driver.
-    """
-    h: Column = F.xxhash64(F.col(key).cast("string"))
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), h.alias("h")).dropDuplicates(["k"]).orderBy("h", "k").limit(n).collect()
-    return [r.k for r in rows]
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of its own where the session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,14 +1,13 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between trusted target and raw corpus.
 
 Every document passes plain rules (size, repeated windows of words), and then a ratio of two
-multinomials over hashed words and word pairs: one counted over trusted documents (labelled as
-good, a bounded sample of at most `trusted` rows, taken by the hash of their ids), one over all
-documents. In bucket b, with E the count that the trusted documents would have at the corpus's
+multinomials over hashed words and word pairs: one counted over all trusted documents (labelled as
+good; the labels' different ids are joined to the documents), one over all documents. In bucket b, with E the count that the trusted documents would have at the corpus's
 rate, the ratio is (trusted count + PRIOR) / (E + PRIOR): where little is expected it stays near
 one. A document's score is the mean log ratio of its n-grams; it is kept if the score is at least
 `threshold`, each document by the same constant.
 
-Counts are made in one pass over all documents, summed in each task first; what reaches the driver
+Counts are made in one pass over all documents, whose rows meet the trusted ids in a shuffle, summed in each task first; what reaches the driver
 is one table of at most `2 ** BITS` buckets, whatever the corpus. A second pass scores.
 
 Null, empty and word-less texts have no words, fail the base rules and have score 0. Rows with the
@@ -24,11 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblock as tb
-from .common import smallest_by_hash
 
 BITS = 18
 PRIOR = 20.0
-TRUSTED = 20_000
 THRESHOLD = -0.1
 WINDOW = 8
 MIN_WORDS = 20
@@ -93,14 +90,13 @@ def base_rules(n_words: np.ndarray, n_repeat: np.ndarray) -> np.ndarray:
     return (n_words < MIN_WORDS) | (100 * n_repeat > 30 * n_words)
 
 
-def count_ngrams(docs: DataFrame, trusted: list, *, id_col: str, text_col: str, bits: int = BITS) -> DataFrame:
-    """bucket, raw and target: how often each bucket's n-grams stand in all documents, and in trusted ones."""
-    sent = docs.sparkSession.sparkContext.broadcast(set(trusted))
+def count_ngrams(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str, bits: int = BITS) -> DataFrame:
+    """bucket, raw and target: how often each bucket's n-grams stand in all documents, and in those whose id `trusted` has."""
 
     def run(batches):
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for b in batches:
-            good = np.array([i in sent.value for i in b.column(0).to_pylist()], bool)
+            good = np.array(b.column(0).to_pylist(), bool)
             for at, block in tb.blocks(tb.texts(b.column(1))):
                 _, _, lo, hi, h = word_hashes(block, block.prefix())
                 one, two, within = ngram_buckets(h, lo, hi, bits)
@@ -113,7 +109,11 @@ def count_ngrams(docs: DataFrame, trusted: list, *, id_col: str, text_col: str,
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw[seen]), pa.array(target[seen])], names=["bucket", "raw", "target"])
 
-    counts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text_of_the_row")).mapInArrow(run, "bucket int, raw bigint, target bigint")
+    ids = trusted.select(F.col(id_col).alias("_trusted_id")).where("_trusted_id is not null").distinct()
+    rows = docs.select(F.col(id_col).alias("_id_of_the_row"), F.col(text_col).cast("string").alias("_text_of_the_row"))
+    # Both sides are dealt out at every size: ids grow with the input.
+    rows = rows.join(ids.hint("merge"), F.col("_id_of_the_row") == F.col("_trusted_id"), "left")
+    counts = rows.select(F.col("_trusted_id").isNotNull(), "_text_of_the_row").mapInArrow(run, "bucket int, raw bigint, target bigint")
     return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -126,12 +126,11 @@ def log_ratios(counts: DataFrame, bits: int = BITS, prior: float = PRIOR) -> np.
     return np.log((target + prior) / (expected + prior)).astype(np.float32)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", trusted: int = TRUSTED, threshold: float = THRESHOLD, whole_rows: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", threshold: float = THRESHOLD, whole_rows: bool = False) -> DataFrame:
     """The id (or, with whole_rows, all columns as one struct, `row`) with n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, score and kept.
     """
-    ids = smallest_by_hash(labels.where(good), id_col, trusted)
-    ratios = log_ratios(count_ngrams(docs, ids, id_col=id_col, text_col=text_col))
+    ratios = log_ratios(count_ngrams(docs, labels.where(good), id_col=id_col, text_col=text_col))
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
     mine = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole_rows else F.col(id_col)

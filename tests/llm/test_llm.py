@@ -421,6 +421,23 @@ def test_ratio_rejects_what_the_trusted_lack(spark):
     assert kept == set(range(60))
 
 
+def test_every_trusted_document_is_counted(spark):
+    """More trusted ids than a fixed bound of 20,000, most of them absent, some repeated or null."""
+    words = [("alpha beta", 1), ("gamma delta", 2), ("alpha beta", 2), ("epsilon", None), (None, 3)]
+    docs = spark.createDataFrame([(i, t) for t, i in words], "doc_id bigint, text string")
+    labels = spark.range(-30000, 2).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    labels = labels.union(labels.where("doc_id = 1")).union(spark.createDataFrame([(None, 1)], "doc_id bigint, quality int"))
+    rows = quality_rules.count_ngrams(docs, labels.where("quality = 1"), id_col="doc_id", text_col="text").collect()
+    assert (sum(r.raw for r in rows), sum(r.target for r in rows)) == (10, 3)
+    # Labels without documents change nothing.
+    rnd = random.Random(6)
+    texts = frame(spark, [sentence(rnd, 40, "en" if i % 2 else "fr") for i in range(40)])
+    present = spark.range(0, 40, 2).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    absent = spark.range(1000, 61000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    a, b = ({r.doc_id: r.score for r in quality_rules.quality_rules(texts, x).collect()} for x in (present, present.union(absent)))
+    assert a == b and a[0] > a[1]
+
+
 # The pipeline.
 
 
