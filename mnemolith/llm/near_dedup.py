@@ -1,11 +1,13 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
 A text's shingles are all runs of five words (lower-case letters and digits; a text of one to four
-words is one shingle), weighted 1 + ln(times it stands in the text). ProbMinHash: every shingle
+words is one shingle), each with weight 1 however often it stands in the text, so that candidates
+come from the same similarity by which links are verified. ProbMinHash: every shingle
 sends arrivals of a Poisson process whose rate is its weight, each to a register chosen by hash;
 the earliest arrival's shingle is the register's value. Only arrivals before a bound are made, and
 the bound is raised for texts that still have an empty register: that ends early, and changes no
-register. Two texts agree in a register with their probability Jaccard similarity. BANDS bands of
+register. Two texts agree in a register with their probability Jaccard similarity, which for equal
+weights is the plain Jaccard similarity of the sets. BANDS bands of
 ROWS registers make candidates: a pair at 0.8 is missed with probability 3e-6.
 
 Links are pairs of different texts whose sets of shingles have a Jaccard similarity of 0.8 or more,
@@ -129,9 +131,9 @@ def _band_rows(batches):
                 ids.append(key)
         for at, block in tb.blocks(docs):
             n = len(block.docs)
-            doc, value, count = shingles(block)
+            doc, value, _ = shingles(block)
             has = np.flatnonzero(np.bincount(doc, minlength=n))
-            rows = bands(signatures(n, doc, value, 1 + np.log(count)))[has].view(np.int64)
+            rows = bands(signatures(n, doc, value, np.ones(len(value))))[has].view(np.int64)
             names = pa.array([ids[at + i] for i in has], pa.binary())
             short = np.array([int.from_bytes(ids[at + i][:8], "big", signed=True) for i in has], np.int64)
             pick = np.repeat(np.arange(len(has)), BANDS)

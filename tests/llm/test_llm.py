@@ -266,6 +266,17 @@ def test_near_duplicates(spark, docs, nothing, texts):
     assert near_dedup.near_duplicates(nothing).count() == 0 == near_dedup.keep_one(nothing).count()
 
 
+def test_copies_with_a_repeated_line_are_linked(spark):
+    rnd = random.Random(3)
+    texts = []
+    for i in range(24):
+        text = " ".join(f"w{rnd.randrange(10**9)}" for _ in range(104))
+        line = " ".join(f"v{rnd.randrange(10**9)}" for _ in range(18))
+        texts += [text, text + f"\n{line}" * 1000]  # 100 of 122 shingles
+    rows = near_dedup.near_duplicates(frame(spark, texts)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: i - i % 2 for i in range(48)}
+
+
 def test_registers_estimate_similarity():
     value = np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     doc = np.repeat([0, 1], 900)
