@@ -65,6 +65,14 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - length), length) + np.arange(total)
 
 
+def prefix(values: np.ndarray) -> np.ndarray:
+    """What Block.hashes() needs of a row of 64-bit numbers."""
+    x = values.astype(np.uint64) * powers(_P_INV, len(values))
+    pre = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x, out=pre[1:])
+    return pre
+
+
 class Block:
     """Some texts, as bytes, in one buffer; a line feed follows each."""
 
@@ -89,11 +97,7 @@ class Block:
 
     def prefix(self, values: np.ndarray = BYTE_CASED) -> np.ndarray:
         """What hashes() needs of the buffer."""
-        x = values[self.buf]
-        x *= powers(_P_INV, len(x))
-        pre = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(x, out=pre[1:])
-        return pre
+        return prefix(values[self.buf])
 
     @staticmethod
     def hashes(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

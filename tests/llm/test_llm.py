@@ -356,21 +356,56 @@ def test_suffix_array():
 
 @pytest.mark.parametrize("crowd", [1500, 1])
 def test_repeats(docs, texts, crowd, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
-    monkeypatch.setattr(suffix_dedup.repeated_spans, "__kwdefaults__", {"crowd": crowd, "store": None})
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 1000)
     want = suffix_dedup.brute_force([(t or "").encode() for t in [*texts, texts[0]]])
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(docs).collect()}
-    assert got == {i: w for i, w in enumerate(want[:-1])} and any(w[1] for w in want)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(docs, crowd=crowd).collect()}
+    assert got == {i: w for i, w in enumerate(want[:-1])} and any(w[1] for w in want) and any(w[4] for w in want)
+
+
+def test_equal_hashes_are_compared():
+    s = np.array([1, 2, 3, 4, 5, 1, 2, 3, 9, 5, 1, 2, 3, 4, 5])
+    i, j = np.array([5, 10, 11, 12, 6, 7]), np.array([0, 0, 1, 2, 1, 2])
+    for at_once in (3, 1 << 20):
+        assert suffix_dedup.really_equal(s, i, j, 3, at_once).tolist() == [s[a : a + 3].tolist() == s[b : b + 3].tolist() for a, b in zip(i, j)]
+
+
+def test_long_texts_are_cut_without_losing_or_doubling_windows(spark, monkeypatch):
+    rnd = random.Random(21)
+    long = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(3000))
+    words = long.split()
+    texts = [long, f"{sentence(rnd, 100)} {' '.join(words[2000:2060])} {sentence(rnd, 20)}", "z" * 5000, " ".join(words[:51])]
+    want = suffix_dedup.brute_force([t.encode() for t in texts])
+    df = frame(spark, texts).coalesce(1)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+    units = (suffix_dedup.BYTES, suffix_dedup.WORDS)
+    rows = [r for b in suffix_dedup._places(units)([df.select("text").toArrow().to_batches()[0]]) for r in b.to_pylist()]
+    place = [(r["unit"], r["bucket"], r["stretch"]) for r in rows if r["n"] == 1 and r["lo"] < 20000 and r["node"] == hashlib.sha256(long.encode()).digest()[:16]]
+    assert len(place) > 50 and len(set(place)) == len(place)
+    assert [tuple(r)[1:] for r in sorted(suffix_dedup.digest(df).collect())] == want
+
+
+def test_repeats_rewritten(spark, docs, nothing, texts):
+    clashing = docs.withColumns({c: F.lit("clash") for c in ("_n2", "node_of_row", "node_of_text", "Kept_Text", "a.b")})
+    raw = [(t or "").encode() for t in [*texts, texts[0]]]
+    for units in ((suffix_dedup.BYTES,), (suffix_dedup.BYTES, suffix_dedup.WORDS)):
+        out = suffix_dedup.remove_repeats(clashing, size_col="n_chars", units=units)
+        assert out.columns == clashing.columns
+        runs = [suffix_dedup.brute_runs(raw, u) for u in units]
+        want = [suffix_dedup.without(t, suffix_dedup.merged([x for u in runs for r in u[i] for x in r])).decode("utf-8", "ignore") for i, t in enumerate(raw)]
+        for r in out.collect():
+            assert (r.text is None) == (texts[r.doc_id] is None) and r._n2 == "clash"
+            assert (r.text or "") == want[r.doc_id] and r.n_chars == len(r.text or "")
+    assert suffix_dedup.digest(nothing).count() == 0 == suffix_dedup.remove_repeats(nothing).count()
 
 
-def test_repeats_rewritten(docs, nothing, texts):
-    want = suffix_dedup.brute_force([(t or "").encode() for t in [*texts, texts[0]]])
-    out = suffix_dedup.remove_repeats(docs, size_col="n_chars")
-    assert out.columns == docs.columns
-    for r in out.collect():
-        assert (r.text is None) == (texts[r.doc_id] is None)
-        assert r.n_chars == len(r.text or "") and want[r.doc_id][0] - want[r.doc_id][1] - 6 <= len((r.text or "").encode()) <= want[r.doc_id][0] - want[r.doc_id][1]
-    assert suffix_dedup.digest(nothing).count() == 0 == suffix_dedup.remove_repeats(nothing).count()
+def test_passages_of_fifty_words_go(spark):
+    """Short words: 51 of them are far below the bytes of the other unit."""
+    rnd = random.Random(23)
+    passage = " ".join(rnd.choice("abcdefgh") + rnd.choice("ijklmn") for _ in range(51))
+    short = " ".join(passage.split()[:49])
+    texts = [f"{sentence(rnd, 30)} {p} {sentence(rnd, 30)}" for p in (passage, passage.replace(" ", "\n"), short, short)]
+    out = [r.text for r in sorted(suffix_dedup.remove_repeats(frame(spark, texts), units=(suffix_dedup.WORDS,)).collect())]
+    assert [len(x.split()) for x in out] == [60, 60, 109, 109]
 
 
 # 9
