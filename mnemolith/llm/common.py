@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -29,9 +30,11 @@ def free_name(taken: Sequence[str], name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own where the session names none (tests)."""
+    """The folder that driver and executors share. In one process, where the session names none, a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -85,9 +85,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     patterns: dict[tuple[bytes, ...], list[str]] = {}
-    shards: list[dict] = []
+    shards: list = []
     symbols = 0
-    # The items come in one at a time; a shard is closed as soon as it is full.
+    # The items come in one at a time; a shard is sent as soon as it is full, and forgotten here.
     rows = items.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t")).toLocalIterator()
     for r in rows:
         for w in windows_of(r.t, window):
@@ -96,19 +96,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                 symbols += len(w) if not ids else 0
                 ids.append(r.i)
         if symbols > max_symbols:
-            shards.append(patterns)
+            shards.append(spark.sparkContext.broadcast(list(patterns.items())))
             patterns, symbols = {}, 0
     if patterns or not shards:
-        shards.append(patterns)
+        shards.append(spark.sparkContext.broadcast(list(patterns.items())))
 
     added = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, `end`: bigint>>"
     text = "_text_of_the_row"
     df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text))
     ddl = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}"
     hits_type = pa.list_(pa.int64())
-    for k, shard in enumerate(shards):
+    for k, sent in enumerate(shards):
         last = k == len(shards) - 1
-        sent = spark.sparkContext.broadcast(list(shard.items()))
 
         def scan(batches, sent=sent, first=k == 0, last=last, key=uuid.uuid4().hex):
             if key not in _automata:

@@ -6,10 +6,13 @@ neighbouring words, and forward-backward gives every word a probability of each
 code-switched texts get a label for every word; a text's language is the one with the greatest
 mean probability, which is its score.
 
-Learning: at most PER_LANG texts of each language and MAX_ROWS in all, of at most MAX_CHARS
-characters each, those with the smallest hashes of their ids. They are cut in pieces of a few words
-and put together to chains in which languages change, from which transitions are learned too. The
-sample is all that reaches the driver. Every text is then labelled whole, in chains of CHAIN words.
+Learning: at most PER_LANG texts of each language and MAX_ROWS in all, those with the smallest hashes
+of their ids, one row of each id; of a text longer than MAX_CHARS, PIECES pieces from all over it,
+MAX_CHARS characters together. They are cut in pieces of a few words and put together to chains in
+which languages change, from which transitions are learned too. The sample is all that reaches the
+driver. Every text is then labelled whole, as one chain of all its words: it is worked on in links of
+CHAIN words, whose products of transitions carry what is known before and after across all of them,
+so that results equal those of one long chain.
 
 Texts that are null or have no letter are "und" with score 0, and so is everything if nothing can be
 learned from. Null languages and null ids are not learned from. Neither language, source nor id is
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textblock as tb
 
-PER_LANG, MAX_ROWS, MAX_CHARS = 250, 4000, 20_000
+PER_LANG, MAX_ROWS, MAX_CHARS, PIECES = 250, 4000, 20_000, 16
 BITS, LEXICON, OFTEN = 16, 20_000, 5
 CHAIN = 64
 EPOCHS, BATCH, RATE = 6, 256, 0.3
@@ -77,16 +80,17 @@ class Model:
         return out
 
 
-def marginals(emission: np.ndarray, size: np.ndarray, step: np.ndarray, begin: np.ndarray, with_steps: bool = False):
+def marginals(emission: np.ndarray, size: np.ndarray, step: np.ndarray, begin: np.ndarray, with_steps: bool = False, after: np.ndarray | None = None):
     """Forward-backward over chains (chain, place, label) of the given sizes, longest first.
 
-    Probabilities of the labels of each place; with_steps, also the expected number of each transition.
+    Probabilities of the labels of each place; with_steps, also the expected number of each transition. begin: one
+    row of weights (logarithms) for all chains or one for each; after: weights of the last labels by what follows.
     """
     n, t, k = emission.shape
     move = np.exp(step)
     e = np.exp(emission - emission.max(axis=2, keepdims=True))
     forward = np.zeros_like(e)
-    here = np.exp(begin)[None] * e[:, 0]
+    here = np.exp(np.atleast_2d(begin)) * e[:, 0]
     forward[:, 0] = here / here.sum(axis=1, keepdims=True)
     going = [int(np.searchsorted(-size, -i, "left")) for i in range(t + 1)]  # chains longer than i
     for i in range(1, t):
@@ -96,6 +100,8 @@ def marginals(emission: np.ndarray, size: np.ndarray, step: np.ndarray, begin: n
         here = (forward[:m, i - 1] @ move) * e[:m, i]
         forward[:m, i] = here / here.sum(axis=1, keepdims=True)
     backward = np.ones_like(e)
+    if after is not None:
+        backward[np.arange(n), size - 1] = after
     steps = np.zeros((k, k))
     for i in range(t - 2, -1, -1):
         m = going[i + 1]
@@ -182,48 +188,125 @@ def label_block(block: tb.Block, model: Model) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(n_words), k))
     if not len(h):
         return out, n_words
-    score = model.emissions(fixed, word, grams, h)
-    chains = -(-n_words // CHAIN)
-    doc = np.repeat(np.arange(len(n_words)), chains)
-    begin = lo[doc] + CHAIN * (np.arange(len(doc)) - np.repeat(np.cumsum(chains) - chains, chains))
-    size = np.minimum(hi[doc] - begin, CHAIN)
+    p = chained(model.emissions(fixed, word, grams, h), lo, hi, model.step, model.begin)
+    for j in range(k):
+        out[:, j] = tb.per_text(p[:, j], lo, hi)
+    return out, n_words
+
+
+def transfer(emission: np.ndarray, size: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """For links of the given sizes, longest first, the weight of each last label for each first one, up to a factor."""
+    n, t, k = emission.shape
+    move = np.exp(step)
+    e = np.exp(emission - emission.max(axis=2, keepdims=True)).astype(np.float64)
+    out = e[:, 0][:, None, :] * np.eye(k)
+    for i in range(1, t):
+        m = int(np.searchsorted(-size, -i, "left"))
+        if not m:
+            break
+        here = (out[:m] @ move) * e[:m, i][:, None, :]
+        out[:m] = here / here.max(axis=(1, 2), keepdims=True)
+    return out
+
+
+def chained(score: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: np.ndarray, begin: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """Probability of each label for each word; the words of a text (lo to hi) are one chain, however long."""
+    n_words = hi - lo
+    k = score.shape[1]
+    links = -(-n_words // CHAIN)
+    total = int(links.sum())
+    doc = np.repeat(np.arange(len(n_words)), links)
+    first = np.cumsum(links) - links
+    nth = np.arange(total) - first[doc]
+    start = lo[doc] + CHAIN * nth
+    size = np.minimum(hi[doc] - start, CHAIN)
     order = np.argsort(-size, kind="stable")
-    doc, begin, size = doc[order], begin[order], size[order]
-    for a in range(0, len(doc), 4096):
-        d, s = doc[a : a + 4096], size[a : a + 4096]
-        places = tb.ranges(begin[a : a + 4096], s)
-        row = np.repeat(np.arange(len(d)), s)
-        col = tb.ranges(np.zeros(len(d), np.int64), s)
-        e = np.zeros((len(d), CHAIN, k), np.float32)
+
+    def tables(which: np.ndarray):
+        s = size[which]
+        row = np.repeat(np.arange(len(which)), s)
+        col = tb.ranges(np.zeros(len(which), np.int64), s)
+        e = np.zeros((len(which), int(s.max()), k), np.float32)
+        places = tb.ranges(start[which], s)
         e[row, col] = score[places]
-        p = marginals(e, s, model.step, model.begin)[row, col]
-        for j in range(k):
-            out[:, j] += np.bincount(d[row], weights=p[:, j], minlength=len(out))
-    return out, n_words
+        return e, s, row, col, places
+
+    # What comes into each link from before, and from after, as weights of its first and last label.
+    before = np.tile(np.exp(begin.astype(np.float64)), (total, 1))
+    after = np.ones((total, k))
+    several = order[links[doc[order]] > 1]
+    if len(several):
+        product = np.zeros((total, k, k))
+        for a in range(0, len(several), at_once):
+            which = several[a : a + at_once]
+            e, s, *_ = tables(which)
+            product[which] = transfer(e, s, step)
+        move = np.exp(step.astype(np.float64))
+        most = int(links.max())
+        unit = lambda x: x / x.sum(axis=1, keepdims=True)
+        for i in range(1, most):
+            here = first[links > i] + i
+            before[here] = unit(np.einsum("ni,nij->nj", before[here - 1], product[here - 1]) @ move)
+        for i in range(most - 2, -1, -1):
+            here = first[links > i + 1] + i
+            after[here] = unit(np.einsum("nij,nj->ni", product[here + 1], after[here + 1]) @ move.T)
+    out = np.empty((len(score), k))
+    for a in range(0, total, at_once):
+        which = order[a : a + at_once]
+        e, s, row, col, places = tables(which)
+        out[places] = marginals(e, s, step, np.log(np.maximum(before[which], 1e-300)), after=after[which])[row, col]
+    return out
+
+
+def label_words(block: tb.Block, model: Model) -> list[list[tuple[int, int, str]]]:
+    """Of each text the runs of words with the same likeliest language: first and past-the-last character, language."""
+    lo, hi, fixed, word, grams, h = word_features(block)
+    if not len(h):
+        return [[] for _ in block.docs]
+    best = chained(model.emissions(fixed, word, grams, h), lo, hi, model.step, model.begin).argmax(axis=1)
+    start, end = block.runs(tb.ALNUM)
+    chars = block.code_points()
+    out = []
+    for i, (a, z) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+        cut = a + np.flatnonzero(np.concatenate(([True], best[a + 1 : z] != best[a : z - 1]))) if z > a else np.zeros(0, np.int64)
+        base = chars[block.start[i]]
+        out.append([(int(chars[start[x]] - base), int(chars[end[y - 1]] - base), model.langs[best[x]]) for x, y in zip(cut.tolist(), [*cut[1:].tolist(), z])])
+    return out
+
 
 
 def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS) -> list[tuple[str, bytes]]:
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.length(text_col).between(1, MAX_CHARS)).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), key.alias("h"))
+    """(language, text) of the rows to learn from."""
+    t = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{lang_col}`").cast("string").alias("l"), t.alias("t")).where("i is not null and l is not null and t <> ''")
+    # One row of each id, however often it is repeated; of different ones that with the smallest hash.
+    one = rows.groupBy("i").agg(F.min(F.struct(F.xxhash64("t").alias("x"), "l")).alias("m")).select("i", "m.l", "m.x", F.xxhash64(F.col("i").cast("string")).alias("h"))
     # First within 64 parts of each language, so that none is ranked by one task.
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("l", F.pmod("h", F.lit(64))).orderBy("h", "i"))).where(F.col("r") <= per_lang)
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("r") <= per_lang)
-    ids = rows.orderBy("r", "l").limit(max_rows).select("i").distinct()
-    held = docs.where(F.col(lang_col).isNotNull() & F.length(text_col).between(1, MAX_CHARS)).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    return [(r.l, r.t.encode()) for r in held.join(F.broadcast(ids), "i", "left_semi").select("l", "t").collect()]
+    one = one.withColumn("r", F.row_number().over(Window.partitionBy("l", F.pmod("h", F.lit(64))).orderBy("h", "i"))).where(F.col("r") <= per_lang)
+    one = one.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("r") <= per_lang)
+    chosen = one.orderBy("r", "l", "i").limit(max_rows).select("i", "l", "x")
+    n = F.length("t")
+    part = MAX_CHARS // PIECES
+    from_all_over = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substr("t", (k * (n - part) / (PIECES - 1)).cast("int") + 1, F.lit(part))), " ")
+    held = rows.select("i", "l", F.xxhash64("t").alias("x"), "t").join(F.broadcast(chosen), ["i", "l", "x"], "left_semi")
+    held = held.select("i", "l", F.when(n <= MAX_CHARS, F.col("t")).otherwise(from_all_over).alias("t")).dropDuplicates(["i"])
+    return [(r.l, r.t.encode()) for r in held.select("l", "t").collect()]
 
 
-def identify(docs: DataFrame, learn_from: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The id with lang_pred and score."""
+def identify(docs: DataFrame, learn_from: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", runs: bool = False) -> DataFrame:
+    """The id with lang_pred and score; with runs also `runs`, the stretches of words of one language (start and end in
+    characters of the text, lang), from which code-switched texts are seen.
+    """
     model = learn(sample(learn_from, id_col=id_col, text_col=text_col, lang_col=lang_col))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
+    run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
-    def run(batches):
+    def label(batches):
         m = sent.value
         for b in batches:
             docs_ = tb.texts(b.column(1))
-            pred, score = ["und"] * len(docs_), np.zeros(len(docs_))
+            pred, score, found = ["und"] * len(docs_), np.zeros(len(docs_)), [[] for _ in docs_]
             for at, block in tb.blocks(docs_) if m else ():
                 total, n = label_block(block, m)
                 best = total.argmax(axis=1)
@@ -231,10 +314,18 @@ def identify(docs: DataFrame, learn_from: DataFrame, *, id_col: str = "doc_id",
                     if n[i] and _LETTER.search(d.decode()):
                         pred[at + i] = m.langs[best[i]]
                         score[at + i] = min(1.0, total[i, best[i]] / n[i])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
+                if runs:
+                    found[at : at + len(block.docs)] = label_words(block, m)
+            columns = [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+            names = [id_col, "lang_pred", "score"]
+            if runs:
+                columns.append(pa.array([[{"start": a, "end": z, "lang": x} for a, z, x in r] for r in found], run_type))
+                names.append("runs")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text_of_the_row"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text_of_the_row"))
+    more = ", runs array<struct<start: bigint, `end`: bigint, lang: string>>" if runs else ""
+    return rows.mapInArrow(label, f"`{id_col}` {kind}, lang_pred string, score double{more}")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP, COVER, STRETCH = 3, 0.6, 1.5
 
 #: Phrases of the contract, with their labels.
@@ -60,7 +61,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """
     spark = docs.sparkSession
     templates = _templates(spark)
-    words = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), SPLIT), "").alias("w"))
+    words = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.array_remove(F.split(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER), SPLIT), "").alias("w"))
     zipped = words.select("id", "row", F.size("w").cast("bigint").alias("n_words"), F.arrays_zip("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), F.slice("w", 3, F.greatest(F.size("w"), F.lit(1)))).alias("z"))
     each = zipped.select("id", "row", "n_words", F.posexplode_outer("z").alias("at", "g"))
     each = each.select("id", "row", "n_words", "at", F.col("g.w").alias("w1"), F.col("g.1").alias("w2"), F.col("g.2").alias("w3"))

@@ -140,53 +140,70 @@ def _band_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(rows.reshape(-1)), pa.array(short[pick]), names.take(pa.array(pick))], names=["band", "short", "node"])
 
 
-PARTS = 64
-
-
-def _local_shingles(batches):
-    """Shingles of the batch by part: those of one text here with its place in `nodes`, others once, with -1."""
-    for b in batches:
-        nodes = b.column(0).to_pylist()
-        for at, block in tb.blocks(tb.texts(b.column(1))):
-            n = len(block.docs)
-            doc, value, _ = shingles(block)
-            order = np.argsort(value)
-            value, doc = value[order], doc[order]
-            new = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else order
-            count = np.diff(np.concatenate((new, [len(value)])))
-            owner = np.where(count == 1, doc[new], -1).astype(np.int32)
-            mixed = tb.mix(value[new] + np.uint64(7))
-            part = (mixed >> np.uint64(58)).astype(np.int64)
-            low = (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            own = nodes[at : at + n]
-            for p in range(PARTS):
-                mine = part == p
-                keep = np.unique(owner[mine])
-                keep = keep[keep >= 0]
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([low[mine].tobytes()]), pa.array([np.searchsorted(keep, owner[mine]).astype(np.int32).tobytes()]), pa.array([(owner[mine] >= 0).tobytes()]), pa.array([[own[i] for i in keep]], pa.list_(pa.binary()))], names=["part", "low", "owner", "single", "nodes"])
+#: Bytes of text for each part that shingles are dealt into to find those of one text only.
+PART_BYTES = 1 << 22
+
+
+def _local_shingles(parts: int):
+    def rows(batches):
+        """Shingles of the batch by part: those of one text here with its place in `nodes`, others once, with -1."""
+        for b in batches:
+            nodes = b.column(0).to_pylist()
+            for at, block in tb.blocks(tb.texts(b.column(1))):
+                doc, value, _ = shingles(block)
+                order = np.argsort(value)
+                value, doc = value[order], doc[order]
+                new = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else order
+                count = np.diff(np.concatenate((new, [len(value)])))
+                owner = np.where(count == 1, doc[new], -1).astype(np.int32)
+                mixed = tb.mix(value[new] + np.uint64(7))
+                part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+                low = (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                by = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[by], np.arange(parts + 1)) if parts < len(by) else np.concatenate((np.flatnonzero(np.concatenate(([True], np.diff(part[by]) > 0))) if len(by) else [], [len(by)])).astype(np.int64)
+                out: list[tuple] = []
+                for x, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if x < z:
+                        mine = by[x:z]
+                        own = owner[mine]
+                        keep = np.unique(own)
+                        keep = keep[keep >= 0]
+                        out.append((int(part[mine[0]]), low[mine].tobytes(), np.searchsorted(keep, own).astype(np.int32).tobytes(), (own >= 0).tobytes(), [nodes[at + i] for i in keep.tolist()]))
+                columns = list(zip(*out, strict=True)) if out else [()] * 5
+                types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "low", "owner", "single", "nodes"])
+
+    return rows
 
 
 def _unique_of_part(batches):
-    """Rows of whole parts: for each text the number of its shingles that no other row of the part has."""
-    of: dict[int, list] = {}
-    for b in batches:
-        for r in b.to_pylist():
-            of.setdefault(r["part"], []).append(r)
-    for rows in of.values():
-        low = np.concatenate([np.frombuffer(r["low"], np.uint32) for r in rows])
+    """Rows sorted by part, one part at a time: for each text the number of its shingles that no other row of the part has."""
+
+    def flush(rows):
+        low = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows])
         base, nodes = [], []
         for r in rows:
-            base.append(np.frombuffer(r["owner"], np.int32).astype(np.int64) + len(nodes))
-            nodes += r["nodes"]
+            base.append(np.frombuffer(r[2], np.int32).astype(np.int64) + len(nodes))
+            nodes += r[4]
         owner = np.concatenate(base)
-        single = np.concatenate([np.frombuffer(r["single"], bool) for r in rows])
+        single = np.concatenate([np.frombuffer(r[3], bool) for r in rows])
         order = np.argsort(low, kind="stable")
         same = low[order[1:]] == low[order[:-1]]
         alone = np.ones(len(low), bool)
         alone[order[1:][same]] = False
         alone[order[:-1][same]] = False
         n = np.bincount(owner[alone & single], minlength=len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(n, pa.int64())], names=["node", "u"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(n, pa.int64())], names=["node", "u"])
+
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in ("part", "low", "owner", "single", "nodes")), strict=True):
+            if held and row[0] != held[0][0]:
+                yield flush(held)
+                held = []
+            held.append(row)
+    if held:
+        yield flush(held)
 
 
 def _sizes(batches):
@@ -276,13 +293,13 @@ def components(links: DataFrame, store: Stored) -> DataFrame:
 
 def with_nodes(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """docs with the node of each row's text, null for null and empty texts."""
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
     return docs.withColumn(name, F.when(F.length(text) > 0, F.unhex(F.substring(F.sha2(text, 256), 1, 32))))
 
 
 def labels_of_texts(docs: DataFrame, text_col: str, store: Stored) -> DataFrame:
     """node and label for every text that is linked to a different one."""
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
     made = store.write(docs.select(text.alias("t")).where("t <> ''").mapInArrow(_band_rows, "band bigint, short bigint, node binary"))
     shared = made.groupBy("band").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a < b").select("band")
     member = store.write(made.join(shared, "band", "left_semi").select("band", "node").distinct())
@@ -290,8 +307,9 @@ def labels_of_texts(docs: DataFrame, text_col: str, store: Stored) -> DataFrame:
     wanted = member.select("node").distinct()
     texts = with_nodes(docs.select(text.alias("t")), "t", "node").where("node is not null").dropDuplicates(["node"])
     texts = store.write(texts.join(wanted, "node", "left_semi").select("node", "t"))
-    alone = texts.mapInArrow(_local_shingles, "part int, low binary, owner binary, single binary, nodes array<binary>")
-    alone = alone.repartition(PARTS, "part").mapInArrow(_unique_of_part, "node binary, u bigint").groupBy("node").agg(F.sum("u").alias("u"))
+    parts = 1 + (texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // PART_BYTES
+    alone = texts.mapInArrow(_local_shingles(parts), "part int, low binary, owner binary, single binary, nodes array<binary>")
+    alone = alone.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_unique_of_part, "node binary, u bigint").groupBy("node").agg(F.sum("u").alias("u"))
     sizes = texts.mapInArrow(_sizes, "node binary, n bigint")
     facts = sizes.join(alone, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u")).where(F.col("n") - F.col("u") >= SIMILARITY * F.col("n"))
     member2 = store.write(member.join(facts, "node").select("band", F.struct("node", "n", "u").alias("m")))
@@ -330,13 +348,18 @@ def labels_of_texts(docs: DataFrame, text_col: str, store: Stored) -> DataFrame:
     return label
 
 
+def labelled_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """id, node and label of each row (label null where there is no text), and of each label the id and node that stay."""
+    label = labels_of_texts(docs, text_col, Stored(docs.sparkSession))
+    rows = with_nodes(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")), "t", "node").drop("t")
+    rows = rows.join(label.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("id", "node", F.coalesce("label", "node").alias("label"))
+    winner = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "node")).alias("w"))
+    return rows, winner.select(F.col("label").alias("l2"), "w")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of docs: the id, class_id and kept (the row with the class's smallest id)."""
-    store = Stored(docs.sparkSession)
-    label = labels_of_texts(docs, text_col, store)
-    rows = with_nodes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t", "node").drop("t")
-    rows = rows.join(label.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("id", "node", F.coalesce("label", "node").alias("label"))
-    winner = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "node")).alias("w")).select(F.col("label").alias("l2"), "w")
+    rows, winner = labelled_rows(docs, id_col, text_col)
     out = rows.join(winner, F.col("label") == F.col("l2"), "left")
     alone = F.col("label").isNull()
     return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("w.id")).alias("class_id"), (alone | (F.col("id").eqNullSafe(F.col("w.id")) & (F.col("node") == F.col("w.node")))).alias("kept"))
@@ -344,12 +367,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates: all columns of one row of each class, and all null and empty texts."""
-    store = Stored(docs.sparkSession)
-    label = labels_of_texts(docs, text_col, store)
-    node = free_name(docs.columns, "node")
-    rows = with_nodes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t", "node").where("node is not null").select("id", "node")
-    rows = rows.join(label.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("id", "node", F.coalesce("label", "node").alias("label"))
-    winner = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "node")).alias("w")).select(F.col("w.id").alias("_win_id"), F.col("w.node").alias("_win_node"))
+    _, winner = labelled_rows(docs, id_col, text_col)
+    node, win_id, win_node = (free_name(docs.columns, c) for c in ("node", "win_id", "win_node"))
     full = with_nodes(docs, text_col, node)
-    kept = full.where(F.col(node).isNotNull()).join(winner, (F.col(node) == F.col("_win_node")) & F.col(id_col).eqNullSafe(F.col("_win_id")), "left_semi").dropDuplicates([node])
+    winner = winner.select(F.col("w.id").alias(win_id), F.col("w.node").alias(win_node))
+    kept = full.where(F.col(node).isNotNull()).join(winner, (F.col(node) == F.col(win_node)) & F.col(f"`{id_col}`").eqNullSafe(F.col(win_id)), "left_semi").dropDuplicates([node])
     return kept.union(full.where(F.col(node).isNull())).drop(node)

@@ -234,6 +234,8 @@ def train(rows: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 
 SCALE = 100.0
+#: Features of the sample's texts together; with very long texts it has fewer of them.
+MAX_FEATURES = 1 << 24
 
 
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -277,8 +279,12 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                             names=["k", "label", "buckets", "shares"],
                         )
 
-    got = texts.mapInArrow(features, "k bigint, label double, buckets binary, shares binary").dropDuplicates(["k"]).collect()
-    got.sort(key=lambda r: r.k)
+    got, held = [], 0
+    for r in texts.mapInArrow(features, "k bigint, label double, buckets binary, shares binary").dropDuplicates(["k"]).orderBy(F.xxhash64("k"), "k").toLocalIterator():
+        if got and held + len(r.buckets) > MAX_FEATURES * 4:
+            break
+        got.append(r)
+        held += len(r.buckets)
     w, const = train([(r.label, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32).astype(np.float64)) for r in got])
     scorer = spark.sparkContext.broadcast((w.astype(np.float32), const))
     kind = docs.schema[id_col].dataType.simpleString()

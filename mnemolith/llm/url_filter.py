@@ -1,13 +1,15 @@
 """URL filter: rules by host and path, and a ratio of two character language models for the rest.
 
 URLs that a rule decides are the examples: two smoothed Markov models of variable order, one of
-allowed and one of blocked URLs, over the characters (UTF-8 bytes) of host and path. The model of
+allowed and one of blocked URLs, over the characters (UTF-8 bytes) of host and path; all digits are
+one character, as numbers of pages and dates would fill the tables without saying anything. The model of
 order k mixes its own rate with that of order k - 1: p_k = (n(context, c) + SMOOTH * p_(k-1)) /
 (n(context) + SMOOTH). A URL's score is the difference of the two log-likelihoods divided by its
 length. The threshold is calibrated on all examples, each scored without its own count, as the
 score that sets the two kinds apart best (greatest sum of both rates of right verdicts).
 
-Counts are hashed to 2 ** BITS buckets, summed in each task before they are shuffled; the summed
+The examples are what the rules decide, so the models learn how such hosts and paths read, language
+paths above all. Counts are hashed to 2 ** BITS buckets, summed in each task before they are shuffled; the summed
 table, the only thing that reaches the driver, is bounded by the number of buckets, and so is its
 broadcast. The calibration gathers counts of 2 * BINS score bins.
 
@@ -50,9 +52,14 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return name, verdict
 
 
+#: Values of bytes by which 0 to 9 are the same.
+_ONE_DIGIT = tb.BYTE_CASED.copy()
+_ONE_DIGIT[48:58] = tb.BYTE_CASED[48]
+
+
 def _grams(block: tb.Block):
     """For each order the places that have so much context, with the buckets of gram and context."""
-    pre = block.prefix()
+    pre = block.prefix(_ONE_DIGIT)
     at = tb.ranges(block.start, block.end - block.start)
     doc = np.repeat(np.arange(len(block.start)), block.end - block.start)
     inner = at - block.start[doc]
@@ -139,9 +146,9 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).select(id_col, "host", "path", name.alias("rule"), said.alias("said"))
     examples = rows.where("said is not null").select(F.concat("host", "path").alias("t"), F.when(F.col("said") == "allow", 0).otherwise(1).alias("k"))
     got = _counts(examples).toArrow()
-    table = np.zeros((2, 1 << BITS), np.int32)
+    table = np.zeros((2, 1 << BITS), np.int64)
     for k, c in enumerate(("allowed", "blocked")):
-        table[k][got["bucket"].to_numpy()] = np.minimum(got[c].to_numpy(), 2**31 - 1)
+        table[k][got["bucket"].to_numpy()] = got[c].to_numpy()
     sent = spark.sparkContext.broadcast(table)
     threshold = _threshold(examples, sent)
     kind = pages.schema[id_col].dataType.simpleString()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mnemolith.llm import bpe_codec, decontaminate, language_crf, license_scan, near_dedup, quality_classifier, quality_rules, suffix_dedup, textblock, token_counts, url_filter
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-CLASHING = ["n_words", "kept", "score", "node", "t", "row", "label", "band", "spans", "copies", "ids"]
+CLASHING = ["_n2", "_win_id", "_win_node", "node_of_row", "n2", "l2", "w", "n_words", "kept", "score", "node", "t", "row", "label", "band", "spans", "copies", "ids"]
 
 
 def sentence(rnd, n, lang="en"):
@@ -156,6 +156,42 @@ def test_forward_backward_is_exact():
     assert np.allclose(got, total / total.sum(axis=1, keepdims=True))
 
 
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 130, 1000])
+def test_long_texts_are_one_chain(n):
+    """Links of 64 words give what one chain of all words gives."""
+    rng = np.random.default_rng(n)
+    sizes = [n, 5, 200, 0, 64]
+    hi = np.cumsum(sizes)
+    lo = hi - sizes
+    score, step, begin = rng.normal(size=(hi[-1], 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32) * 2, rng.normal(size=3).astype(np.float32)
+    got = language_crf.chained(score, lo, hi, step, begin, at_once=3)
+    for a, z in zip(lo, hi):
+        if z > a:
+            want = language_crf.marginals(score[None, a:z], np.array([z - a]), step, begin)[0]
+            assert np.allclose(got[a:z], want, atol=1e-4)
+
+
+def test_code_switched_texts(spark):
+    rnd = random.Random(2)
+    rows = [(i, sentence(rnd, 40, lang), lang) for i, lang in enumerate(["en", "fr", "de"] * 30)]
+    rows += [(1000, sentence(rnd, 8000, "en"), "en")] * 5  # very long, and repeated: learned from once, in pieces
+    learn = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = language_crf.sample(learn, id_col="doc_id", text_col="text", lang_col="lang")
+    assert len(sample) == 91 and max(len(t) for _, t in sample) <= language_crf.MAX_CHARS + language_crf.PIECES
+    parts = [sentence(rnd, 70, "de"), sentence(rnd, 90, "fr"), sentence(rnd, 60, "en")]
+    mixed = " ".join(parts)
+    out = language_crf.identify(spark.createDataFrame([(1, mixed), (2, None), (3, "--")], "doc_id bigint, text string"), learn, runs=True).collect()
+    right = 0
+    for r in out[0].runs:
+        right += sum(len(p) for x, p in [(x, p) for x, p in zip(("de", "fr", "en"), parts) if x == r.lang] for p in [mixed[max(r.start, mixed.index(p)) : min(r.end, mixed.index(p) + len(p))]])
+    assert right > 0.9 * len(mixed) and out[0].lang_pred == "fr" and out[1].runs == out[2].runs == []
+    # The labels of words, the plain way.
+    model = language_crf.learn(sample)
+    _, _, fixed, word, grams, h = language_crf.word_features(textblock.Block([mixed.encode()]))
+    score = model.emissions(fixed, word, grams, h)
+    assert np.allclose(language_crf.chained(score, np.array([0]), np.array([len(h)]), model.step, model.begin), language_crf.marginals(score[None], np.array([len(h)]), model.step, model.begin)[0], atol=1e-4)
+
+
 # 4 and 5
 
 FUZZ = "aaabbbé ñ 'sStT'll\n\n\t  日本語ßüö🙂🙂 123١٢ \x85\xa0 \x1c\x1f.,;!!!###---===́​"
@@ -507,17 +543,10 @@ def test_pipeline(spark, tmp_path, texts):
     ids = sorted(kept)
     cls = classes([rows[i] for i in ids])
     ids = [ids[k] for k in sorted(set(cls))]
-    left = {}
     raw = [rows[i].encode() for i in ids]
-    for i, t, w in zip(ids, raw, suffix_dedup.brute_force(raw)):
-        runs = suffix_dedup.merged([], 1, len(t))
-        if w[1]:
-            count = defaultdict(int)
-            for x in raw:
-                for a in range(len(x) - 399):
-                    count[x[a : a + 400]] += 1
-            runs = suffix_dedup.merged([v for a in range(len(t) - 399) if count[t[a : a + 400]] > 1 for v in (a, a + 400)], 1, len(t))
-        left[i] = suffix_dedup.without(t, runs).decode()
+    bytes_, words = (suffix_dedup.brute_runs(raw, u) for u in (suffix_dedup.BYTES, suffix_dedup.WORDS))
+    left = {i: suffix_dedup.without(t, suffix_dedup.merged([x for r in (*p, *q) for x in r])).decode() for i, t, p, q in zip(ids, raw, bytes_, words)}
+    assert sum(len(left[i]) < len(rows[i]) for i in ids) >= 2
     marked = decontaminate.brute_force(sorted(left.items()), [(1, " ".join(plain[4].split()[:30]))])
     final = {r[0] for r in marked if not r[5]}
     assert set(got) == final and 4 not in final and 25 not in final
@@ -525,3 +554,25 @@ def test_pipeline(spark, tmp_path, texts):
     for i in final:
         assert got[i].ids == enc.encode_ordinary(left[i]) and got[i].n_tokens == len(got[i].ids)
         assert got[i].decoded_sha256 == hashlib.sha256(left[i].encode()).hexdigest()
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, clashing columns; then no rows at all."""
+    import corpus_pipeline
+
+    rnd = random.Random(18)
+    plain = [sentence(rnd, 80) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(plain)] + [(0, plain[0]), (0, plain[0]), (None, sentence(rnd, 80)), (None, None), (40, None), (41, ""), (42, sentence(rnd, 30000))]
+    df = spark.createDataFrame([Row(i, t, "en", None, None) for i, t in rows], SCHEMA).withColumns({c: F.lit("clash") for c in CLASHING})
+    for name, n in (("some", 100), ("none", 0)):
+        d = f"{tmp_path}/{name}"
+        df.limit(n).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, None), (None, "")], "item_id bigint, text string").limit(n).write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([(i, 1) for i in range(10)], "doc_id bigint, quality int").limit(n).write.parquet(f"{d}/labels.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, d)
+            assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == df.columns
+            out.write.parquet(f"{d}/{k}")
+            docs = spark.read.parquet(f"{d}/{k}")
+        assert sorted((r.doc_id is None, r.doc_id) for r in docs.select("doc_id").collect()) == ([(False, i) for i in (*range(12), 42)] + [(True, None)] if n else [])
