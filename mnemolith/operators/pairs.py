@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,12 +57,12 @@ def tf_cosine_pairs(rows: DataFrame, key: str, terms: str, least: float) -> Data
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """The rows from the shared folder, which cuts lineage."""
+    """The rows from the folder that driver and executors share, which cuts lineage."""
     spark: SparkSession = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/pairs-{uuid.uuid4().hex}"
