@@ -214,9 +214,8 @@ def _sizes(batches):
             yield pa.RecordBatch.from_arrays([nodes.slice(at, len(block.docs)), pa.array(np.bincount(doc, minlength=len(block.docs)), pa.int64())], names=["node", "n"])
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+#: How many texts are compared with another one in one share.
+SHARE = 512
 
 
 LONGS = 8
@@ -232,28 +231,30 @@ def _bitmap(values: np.ndarray) -> list[int]:
 def _compared(batches):
     """Of each pair the size of x, what both have, whether it holds, and bitmaps of what y has besides x and lacks of it.
 
-    Rows come in the order of x, whose shingles are kept meanwhile.
+    The rows of x come in a row, its own text first (y null), whose shingles are kept meanwhile.
     """
-    last, have = None, None
+    have = np.zeros(0, np.uint64)
     longs = pa.list_(pa.int64())
     for b in batches:
-        x, tx, ty = b.column("x"), tb.texts(b.column("tx")), tb.texts(b.column("ty"))
+        x, y, text = b.column("x"), b.column("y"), tb.texts(b.column("t"))
+        own = y.is_null().to_numpy(zero_copy_only=False)
         rows = []
-        for at, block in tb.blocks(ty):
+        for at, block in tb.blocks(text):
             doc, value, _ = shingles(block)
             order = np.lexsort((value, doc))
             value = value[order]
             cut = np.searchsorted(doc[order], np.arange(len(block.docs) + 1))
             for i in range(len(block.docs)):
-                if x[at + i].as_py() != last:
-                    last = x[at + i].as_py()
-                    have = np.sort(shingles(tb.Block([tx[at + i]]))[1])
                 mine = value[cut[i] : cut[i + 1]]
+                if own[at + i]:
+                    have = mine
+                    continue
                 shared = np.isin(mine, have, assume_unique=True)
                 both = int(shared.sum())
                 rows.append((len(have), both, both >= SIMILARITY * (len(have) + len(mine) - both), _bitmap(mine[~shared]), _bitmap(have[~np.isin(have, mine, assume_unique=True)])))
         nx, both, holds, more, less = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-        yield pa.RecordBatch.from_arrays([x, b.column("y"), pa.array(nx, pa.int64()), pa.array(both, pa.int64()), pa.array(holds, pa.bool_()), pa.array(more, longs), pa.array(less, longs)], names=["x", "y", "nx", "both", "holds", "more", "less"])
+        others = pa.array(~own)
+        yield pa.RecordBatch.from_arrays([x.filter(others), y.filter(others), pa.array(nx, pa.int64()), pa.array(both, pa.int64()), pa.array(holds, pa.bool_()), pa.array(more, longs), pa.array(less, longs)], names=["x", "y", "nx", "both", "holds", "more", "less"])
 
 
 def _bound(a: str, b: str):
@@ -307,6 +308,7 @@ def labels_of_texts(docs: DataFrame, text_col: str, store: Stored) -> DataFrame:
     wanted = member.select("node").distinct()
     texts = with_nodes(docs.select(text.alias("t")), "t", "node").where("node is not null").dropDuplicates(["node"])
     texts = store.write(texts.join(wanted, "node", "left_semi").select("node", "t"))
+    written: list[DataFrame] = []
     parts = 1 + (texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // PART_BYTES
     alone = texts.mapInArrow(_local_shingles(parts), "part int, low binary, owner binary, single binary, nodes array<binary>")
     alone = alone.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_unique_of_part, "node binary, u bigint").groupBy("node").agg(F.sum("u").alias("u"))
@@ -316,9 +318,14 @@ def labels_of_texts(docs: DataFrame, text_col: str, store: Stored) -> DataFrame:
     store.drop(member)
 
     def compare(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(texts.select(F.col("node").alias("y"), F.col("t").alias("ty")), "y")
-        pairs = pairs.join(texts.select(F.col("node").alias("x"), F.col("t").alias("tx")), "x").select("x", "y", "tx", "ty").sortWithinPartitions("x")
-        return pairs.mapInArrow(_compared, "x binary, y binary, nx bigint, both bigint, holds boolean, more array<bigint>, less array<bigint>")
+        """Each x meets its ys in shares of about SHARE, to each of which its text is sent once."""
+        pairs = store.write(pairs.select("x", "y"))
+        written.append(pairs)
+        shares = pairs.groupBy("x").agg(F.ceil(F.count("*") / SHARE).alias("n"))
+        first = shares.join(texts, F.col("x") == F.col("node")).select("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("share"), F.lit(None).cast("binary").alias("y"), "t")
+        rest = pairs.join(shares, "x").select("x", F.pmod(F.xxhash64("y"), "n").alias("share"), "y").join(texts, F.col("y") == F.col("node")).select("x", "share", "y", "t")
+        rows = first.union(rest).repartition("x", "share").sortWithinPartitions("x", "share", F.asc_nulls_first("y")).select("x", "y", "t")
+        return rows.mapInArrow(_compared, "x binary, y binary, nx bigint, both bigint, holds boolean, more array<bigint>, less array<bigint>")
 
     # The center of a band is the text whose bands have most members altogether.
     crowd = member2.groupBy("band").agg(F.count("*").alias("members"))
@@ -344,7 +351,7 @@ def labels_of_texts(docs: DataFrame, text_col: str, store: Stored) -> DataFrame:
     second = store.write(compare(rest.join(tried, ["x", "y"], "left_anti")).where("holds").select("x", "y"))
     if second.limit(1).count():
         label = components(first.union(second), store)
-    store.drop(texts, member2, spokes, placed, stars, second)
+    store.drop(texts, member2, spokes, placed, stars, second, *written)
     return label
 
 
