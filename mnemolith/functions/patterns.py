@@ -187,8 +187,12 @@ QUERY_STOPWORDS = (
 
 TITLE_PAST = r"^(?:na época[^,]*,|antes[^,]*,)\s*"
 TITLE_LEAD = r"^(?:o usuário|a usuária)\b[,\s]*"
+TITLE_QUOTES = "\"'«»“”‘’*_\\-–—"
+TITLE_WORDS = 6
 TITLE_FILLER = r"^(?:está|é|são|tem|têm|foi|era|estava|ficou|fica|anda|com|sem|de|da|do|das|dos|na|no|nas|nos|em|por|para|que|e)(?=\s|$)\s*"
-USER_ANCHOR = r"\b(?:o usuário|a usuária)\b"
+USER_ANCHOR = r"\b(usu[aá]rio|user)\b"
+ASSISTANT_VOICE = r"\b(assistente|assistant|o modelo|a ia|segundo o assistente|according to the assistant)\b"
+GREETING = r"^(oi|ol[aá]|obrigad[oa]|valeu|kk+|haha+|ok|certo|entendi|beleza|sim|isso|fechado)[.!?\s]*$"
 
 MIN_RECALL_SCORE = 0.356
 HALF_LIFE_PROTECTED, HALF_LIFE_STATE, HALF_LIFE_FACT, PROTECTED_IMPORTANCE = 180, 7, 90, 0.8

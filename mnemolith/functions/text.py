@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and the letters without them.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+#: Combining marks, which are dropped.
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _decomposed(first: int, last: int) -> tuple[str, str]:
+    """Letters that decompose into one letter and combining marks, and those letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c)).translate(dict.fromkeys(map(ord, _MARKS)))) for c in range(first, last)]
+    pairs = [(a, b) for a, b in pairs if a != b and len(b) == 1]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+#: Latin, Greek and Cyrillic letters with marks, and the letters without them.
+MARKED, PLAIN = _decomposed(0xC0, 0x2000)
 
 
 def strip_marks(text: Column) -> Column:
-    return F.translate(text, MARKED + MARKED.upper(), PLAIN + PLAIN.upper())
+    return F.translate(text, MARKED + _MARKS, PLAIN)
 
 
 def normalize_name(name: Column) -> Column:
@@ -20,8 +32,8 @@ def normalize_name(name: Column) -> Column:
 
 
 def normalize_for_blocklist(text: Column) -> Column:
-    """Lower case, no marks, everything but letters and digits a single space."""
-    return F.trim(F.regexp_replace(strip_marks(F.lower(text)), r"[^\p{L}\p{N}]+", " "))
+    """Lower case, no marks, everything but a-z and 0-9 a single space: paraphrases pass, near-exact repeats don't."""
+    return F.trim(F.regexp_replace(strip_marks(F.lower(text)), r"[^a-z0-9]+", " "))
 
 
 def blocklist_hash(text: Column) -> Column:

@@ -73,24 +73,57 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"\s+", " ")
 
 
-GREETING = r"^(?:oi|olá|bom dia|boa tarde|boa noite|hi|hello|hey)\b"
-ASSISTANT_VOICE = r"\b(?:as an ai|i'm an ai|como assistente|posso ajudar|how can i help)\b"
-
-
-def accepts_fact(text: Column, *, anchor: str | None = P.USER_ANCHOR, most: int = 320) -> Column:
-    """A statement about the user: 12 to 320 characters, no greeting, not the assistant's voice, with the anchor."""
+def names_tenant(text: Column, tenant_name: Column) -> Column:
+    """The tenant's full or first name stands in the text as a word, in any case; false without a name of two letters."""
+    clean = squeeze(F.coalesce(tenant_name, F.lit("")))
+    # Words of the text and of the name, each between spaces: letters, digits and _ are kept, other characters parted.
+    parted = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"([^\p{L}\p{N}_])", " $1 "), r"\s+", " ")), F.lit(" "))
+    said = lambda name: (F.length(name) >= 2) & F.contains(parted(text), parted(name))
+    return F.coalesce(said(clean) | said(F.split_part(clean, F.lit(" "), F.lit(1))), F.lit(False))
+
+
+def accepts_fact(text: Column, *, tenant_name: Column | None = None, most: int = 320) -> Column:
+    """A statement about the user: 12 to 320 characters, no greeting, not the assistant's voice, which wins over all, and
+    the user is mentioned, or the tenant by name.
+    """
     t = squeeze(text)
-    ok = F.length(t).between(12, most) & ~t.rlike(java_pattern(GREETING, True)) & ~t.rlike(java_pattern(ASSISTANT_VOICE, True))
-    return ok if anchor is None else ok & t.rlike(java_pattern(anchor, True))
+    ok = F.length(t).between(12, most) & ~t.rlike(java_pattern(P.GREETING, True)) & ~t.rlike(java_pattern(P.ASSISTANT_VOICE, True))
+    anchor = t.rlike(java_pattern(P.USER_ANCHOR, True))
+    return F.coalesce(ok & (anchor if tenant_name is None else anchor | names_tenant(t, tenant_name)), F.lit(False))
 
 
-def chat_facts(turns: DataFrame, *, key: str, order: str, text_col: str = "text", anchor: str | None = P.USER_ANCHOR, most: int = 5) -> DataFrame:
+def chat_facts(turns: DataFrame, *, key: str, order: str, text_col: str = "text", title_col: str | None = None, tenant_name: Column | None = None, most: int = 5) -> DataFrame:
     """The first accepted facts of each conversation, equal ones (but for case) once, `most` of them: key, place, fact, title."""
     t = squeeze(F.col(text_col))
-    rows = turns.where(accepts_fact(F.col(text_col), anchor=anchor)).select(F.col(key), F.col(order).alias("ord"), t.alias("fact"))
-    first = rows.groupBy(key, F.lower("fact").alias("_same")).agg(F.min(F.struct("ord", "fact")).alias("m")).select(key, "m.ord", "m.fact")
+    raw = F.col(title_col) if title_col else F.lit(None).cast("string")
+    rows = turns.where(accepts_fact(F.col(text_col), tenant_name=tenant_name)).select(F.col(key), F.col(order).alias("ord"), t.alias("fact"), raw.alias("raw"))
+    first = rows.groupBy(key, F.lower("fact").alias("_same")).agg(F.min(F.struct("ord", "fact", "raw")).alias("m")).select(key, "m.ord", "m.fact", "m.raw")
     ranked = first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("ord", "fact")))
-    return ranked.where(F.col("place") <= most).select(key, "place", "fact", fallback_title(F.col("fact")).alias("title"))
+    return ranked.where(F.col("place") <= most).select(key, "place", "fact", chat_title(F.col("raw"), F.col("fact")).alias("title"))
+
+
+_EDGE = r"^[.,;:«»“”\"'()]+|[.,;:«»“”\"'()]+\z"
+
+
+def _head(text: Column) -> Column:
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 100_000))
+
+
+def _bare_words(text: Column) -> Column:
+    """Words without punctuation around them; those that were nothing else are left out."""
+    return F.filter(F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, _EDGE, "")), lambda w: w != "")
+
+
+def chat_title(raw: Column, fact: Column) -> Column:
+    """A provider's title without quotes, final marks and the opening about the user, of six words at most; else from the fact."""
+    t = squeeze(F.coalesce(raw, F.lit("")))
+    q = f"[{P.TITLE_QUOTES}]+"
+    t = F.regexp_replace(F.regexp_replace(t, rf"^{q}\s*", ""), rf"\s*{q}\z", "")
+    ended = lambda c: F.trim(F.regexp_replace(c, r"[.!?…;:]+\z", ""))
+    t = ended(F.regexp_replace(ended(t), java_pattern(P.TITLE_LEAD, True), ""))
+    long = F.size(F.split(t, r"\s+")) > P.TITLE_WORDS
+    cut = F.array_join(_bare_words(F.array_join(F.slice(F.split(t, r"\s+"), 1, P.TITLE_WORDS), " ")), " ")
+    return F.when(t == "", fallback_title(fact)).otherwise(_head(F.when(long, cut).otherwise(t)))
 
 
 def fallback_title(fact: Column) -> Column:
@@ -100,9 +133,8 @@ def fallback_title(fact: Column) -> Column:
     t = F.regexp_replace(t, java_pattern(P.TITLE_LEAD, True), "")
     for _ in range(3):
         t = F.regexp_replace(t, java_pattern(P.TITLE_FILLER, True), "")
-    words = F.filter(F.transform(F.split(t, r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:«»“”\"'()]+|[.,;:«»“”\"'()]+\z", "")), lambda w: w != "")
-    title = F.array_join(F.slice(words, 1, 5), " ")
-    return F.concat(F.upper(F.substring(title, 1, 1)), F.substring(title, 2, 100_000))
+    title = F.array_join(F.slice(_bare_words(t), 1, 5), " ")
+    return _head(F.when(title != "", title).otherwise(F.array_join(F.slice(F.split(t, r"\s+"), 1, 5), " ")))
 
 
 def merged_facts(results: DataFrame, *, key: str = "doc_id", order: str = "chunk") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,14 @@ def histogram(rows: DataFrame, importance: Column) -> DataFrame:
     return rows.groupBy(bucket(importance).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def movers(compared: DataFrame, most: int = 20) -> DataFrame:
+    """Of the rows of compare() in both snapshots the `most` that rose and that fell most: direction, place, id, delta."""
+    both = compared.where("found = 'both'").select("id", "delta")
+    up = both.orderBy(F.desc("delta"), "id").limit(most).select(F.lit("up").alias("direction"), F.row_number().over(Window.orderBy(F.desc("delta"), "id")).alias("place"), "id", "delta")
+    down = both.orderBy("delta", F.desc("id")).limit(most).select(F.lit("down").alias("direction"), F.row_number().over(Window.orderBy("delta", F.desc("id"))).alias("place"), "id", "delta")
+    return up.union(down)
+
+
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """id, where it is (both, before, after), the change of importance (none counts as 0.5), and of kind."""
     b = before.select(F.col("id"), F.col("importance").alias("ib"), F.col("kind").alias("kb"), F.lit(True).alias("inb"))

@@ -98,8 +98,8 @@ def subgraph(nodes: DataFrame, edges: DataFrame, query: str, *, max_depth: int =
 def similar_entities(nodes: DataFrame, least: float = P.ENTITY_SIMILARITY, *, on: str = "id") -> DataFrame:
     """i < j and similarity of nodes of one scope and type, on their ids or bare names.
 
-    Pairs meet by a shared bigram of a rare prefix (Dice), or as one name inside the other, found by the
-    windows of the longer that have the shorter's length.
+    Pairs meet by a shared bigram of a rare prefix (Dice), or as one name inside the other: the longer has the
+    shorter's rarest bigram too.
     """
     rows = nodes.select(F.col("id").alias("key"), F.col(on).alias("n"), F.coalesce("scope", F.lit("")).alias("scope"), F.coalesce("type", F.lit("Other")).alias("type")).where("n <> ''")
     rows = rows.withColumn("g", F.concat_ws("\u0000", "scope", "type"))
@@ -107,9 +107,11 @@ def similar_entities(nodes: DataFrame, least: float = P.ENTITY_SIMILARITY, *, on
     dice = pairs.set_pairs(tagged, "key", "b", least, "dice").select("i", "j")
     near = dice
     if least <= P.CONTAINED_SIMILARITY:
-        lengths = rows.select("g", F.length("n").alias("l")).distinct()
-        windows = rows.join(lengths, "g").where(F.col("l") <= F.length("n")).select("key", "g", F.explode(F.transform(F.sequence(F.lit(1), F.length("n") - F.col("l") + 1), lambda p: F.substr("n", p, F.col("l")))).alias("w")).distinct()
-        inside = windows.join(rows.select(F.col("key").alias("k2"), "g", F.col("n").alias("w")), ["g", "w"]).where("key <> k2")
+        # Bigrams and characters; a name of one character has nothing else to be found by.
+        has = rows.select("key", "g", "n", F.explode(F.array_union(text.bigrams(F.col("n")), F.split("n", ""))).alias("x")).distinct()
+        rarity = has.groupBy("g", "x").agg(F.count("*").alias("df"))
+        probe = has.where(F.length("x") == F.least(F.length("n"), F.lit(2))).join(rarity, ["g", "x"]).groupBy("key", "g", "n").agg(F.min(F.struct("df", "x")).alias("m")).select("key", "g", "n", "m.x")
+        inside = probe.join(has.select(F.col("key").alias("k2"), "g", F.col("n").alias("n2"), "x"), ["g", "x"]).where((F.col("key") != F.col("k2")) & F.contains("n2", "n"))
         near = near.union(inside.select(F.least("key", "k2").alias("i"), F.greatest("key", "k2").alias("j"))).distinct()
     both = near.join(rows.select(F.col("key").alias("i"), F.col("n").alias("a")), "i").join(rows.select(F.col("key").alias("j"), F.col("n").alias("b")), "j")
     return both.select("i", "j", text.entity_similarity(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= least)

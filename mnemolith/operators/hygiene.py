@@ -10,10 +10,11 @@ from ..functions import scoring, text
 from . import pairs
 
 
-def gate(memories: DataFrame, text_col: str = "memory", *, blocked: DataFrame | None = None, chat: Column | None = None) -> DataFrame:
+def gate(memories: DataFrame, text_col: str = "memory", *, blocked: DataFrame | None = None, block_all: bool = False, chat: Column | None = None) -> DataFrame:
     """Memories with their verdict: blocked, a reason to disqualify, low_quality, or saved.
 
-    blocked is a table of hashes; an id of null text is rejected. chat marks rows that skip the quality score.
+    blocked is a table of hashes; block_all says that it could not be read, which blocks all but blank texts. An id of
+    null text is rejected. chat marks rows that skip the quality score.
     """
     t = F.col(text_col)
     df = memories.withColumn("_lower", F.lower(t)).withColumn("_hash", F.when(F.trim(t) != "", text.blocklist_hash(t)))
@@ -21,6 +22,8 @@ def gate(memories: DataFrame, text_col: str = "memory", *, blocked: DataFrame |
     if blocked is not None:
         df = df.join(blocked.select(F.col("hash").alias("_blocked")).distinct(), F.col("_hash") == F.col("_blocked"), "left")
         known = F.col("_blocked").isNotNull()
+    if block_all:
+        known = F.col("_hash").isNotNull()
     low = (scoring.memory_quality(t, F.col("_lower")) < P.MIN_MEMORY_QUALITY) & ~(chat if chat is not None else F.lit(False))
     verdict = F.when(known, "blocked").when(t.isNull(), "rejected").otherwise(F.coalesce(scoring.disqualified(t, F.col("_lower")), F.when(low, "low_quality"), F.lit("saved")))
     return df.withColumn("verdict", verdict).drop("_hash", "_blocked", "_lower")
@@ -43,13 +46,17 @@ def dedup_sweep(memories: DataFrame, *, id_col: str = "id", text_col: str = "mem
     return copies.union(swept.select(F.col("node").alias("id"), "by"))
 
 
-def topic_groups(memories: DataFrame, *, id_col: str = "id", text_col: str = "memory", least: float = P.TOPIC_DICE) -> DataFrame:
-    """Group and id of memories in groups of two or more: by their "[Seed: title]", the others around the first of a topic."""
+def topic_groups(memories: DataFrame, *, id_col: str = "id", text_col: str = "memory", least: float = P.TOPIC_DICE, scope_col: str | None = None) -> DataFrame:
+    """Group and id of memories in groups of two or more: by their "[Seed: title]", the others around the first of a topic.
+
+    With scope_col groups are within scopes.
+    """
     title = F.lower(F.trim(F.regexp_extract(F.col(text_col), r"^\[Seed:\s*(.+?)\]", 1)))
-    rows = memories.select(F.col(id_col).alias("i"), F.col(text_col).alias("m"), title.alias("title"))
-    seeds = rows.where("title <> ''").select(F.concat(F.lit("seed:"), "title").alias("grp"), F.col("i").alias("id"))
+    scope = F.concat(F.coalesce(F.col(scope_col).cast("string"), F.lit("")), F.lit(":")) if scope_col else F.lit("")
+    rows = memories.select(F.col(id_col).alias("i"), F.col(text_col).alias("m"), title.alias("title"), scope.alias("sc"))
+    seeds = rows.where("title <> ''").select(F.concat(F.lit("seed:"), "sc", "title").alias("grp"), F.col("i").alias("id"))
     many = seeds.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
-    found = pairs.set_pairs(rows.where("title = ''").select("i", text.words(F.col("m"), 4).alias("w")), "i", "w", least, "dice")
+    found = pairs.set_pairs(rows.where("title = ''").select("i", F.transform(text.words(F.col("m"), 4), lambda w: F.concat("sc", w)).alias("w")), "i", "w", least, "dice")
     star = pairs.greedy_removals(found, F.col("j"))
     member = star.select(F.concat(F.lit("topic:"), F.col("by").cast("string")).alias("grp"), F.col("node").alias("id"))
     head = star.select(F.concat(F.lit("topic:"), F.col("by").cast("string")).alias("grp"), F.col("by").alias("id")).distinct()

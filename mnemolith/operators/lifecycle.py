@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scoring, text
-from . import hygiene
+from . import hygiene, pairs
 
 #: Bounds of the review queue and the log, and names that no tenant may have.
 MAX_DONE_KEPT, MAX_ATTEMPTS, MAX_CLAIMED, MAX_TEXT, MAX_REASON, MAX_LOG = 200, 3, 5, 2000, 500, 500
-RESERVED_TENANTS = ["master", "admin", "root", "trash", "global", "system"]
+RESERVED_TENANTS = ["master", "admin", "trash", "global", "api", "root", "system"]
 
 
 # Review queue: id, kind, status, scope, memory_id, memory, reason, verdict, attempts, detected_at, updated_at
@@ -58,7 +58,7 @@ def set_status(queue: DataFrame, ids: DataFrame, status: str, as_of: Column) ->
 def log_entries(log: DataFrame, action: str | None = None, most: int = 50) -> DataFrame:
     """The newest entries, of one action or all."""
     rows = log if action is None else log.where(F.col("action") == action)
-    return rows.orderBy(F.desc("timestamp"), "action").limit(most)
+    return rows.orderBy(F.desc("timestamp"), "action", *[c for c in ("id",) if c in log.columns]).limit(most)
 
 
 def log_actions(log: DataFrame) -> DataFrame:
@@ -164,9 +164,9 @@ def merged_results(results: DataFrame, *, key: str = "doc_id", order: str = "chu
     return base.join(merged_facts(results, key=key, order=order), key, "left").join(e, key, "left").join(r, key, "left")
 
 
-def good_facts(facts: DataFrame, *, text_col: str = "fact", most: int = 10, key: str = "doc_id", order: str = "ord") -> DataFrame:
-    """The first facts of each document that score well enough to be saved."""
-    kept = facts.where(scoring.fact_quality(F.col(text_col)) >= P.MIN_FACT_QUALITY)
+def good_facts(facts: DataFrame, *, text_col: str = "fact", most: int = 10, key: str = "doc_id", order: str = "ord", least: int = P.MIN_FACT_QUALITY) -> DataFrame:
+    """The first facts of each document that score well enough to be saved, with their place."""
+    kept = facts.where(scoring.fact_quality(F.col(text_col)) >= least)
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("place") <= most)
 
 
@@ -176,10 +176,10 @@ def is_title_candidate(memory: Column, title: Column) -> Column:
 
 def bundle_exists(bundles: DataFrame, merged: DataFrame) -> DataFrame:
     """Merged texts (id, memory) that a bundle says already in nearly the same words."""
-    b = bundles.select(text.words(F.col("memory"), 2).alias("_b"))
-    m = merged.select("id", text.words(F.col("memory"), 2).alias("_w"))
-    shared = m.select("id", "_w", F.explode("_w").alias("x")).join(b.select("_b", F.explode("_b").alias("x")), "x").select("id", "_w", "_b").distinct()
-    return shared.where(text.jaccard(F.col("_w"), F.col("_b")) > P.NOOP_JACCARD).select("id").distinct()
+    rows = bundles.select(F.struct(F.lit(0).alias("new"), F.sha2("memory", 256).alias("key")).alias("k"), text.words(F.col("memory"), 2).alias("w"))
+    rows = rows.union(merged.select(F.struct(F.lit(1), F.col("id").cast("string")), text.words(F.col("memory"), 2))).dropDuplicates(["k"])
+    near = pairs.set_pairs(rows, "k", "w", P.NOOP_JACCARD).where((F.col("i.new") == 0) & (F.col("j.new") == 1) & (F.col("similarity") > P.NOOP_JACCARD))
+    return merged.join(near.select(F.col("j.key").alias("_k")).distinct(), F.col("id").cast("string") == F.col("_k"), "left_semi").select("id").distinct()
 
 
 # Tenants
@@ -200,6 +200,55 @@ def slug_problem(slug: Column) -> Column:
     return F.when(F.length(slug) < 2, "too short").when(slug.isin(RESERVED_TENANTS), "reserved")
 
 
+def wiped(tables: dict[str, DataFrame], tenant: str, scopes: dict[str, Column]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All of an account's stores without the tenant's rows, and how many rows each loses: store, removed.
+
+    scopes names for each table the column that holds a scope, tn-x or tn-x--project (for nodes and edges the scope of
+    an id). A column of memories' scopes (tenant or tenant:project) is rendered so first by graph_style().
+    """
+    left = {name: without_tenant(t, tenant, scopes[name]) for name, t in tables.items()}
+    own = f"tn-{tenant}"
+    gone = None
+    for name, t in tables.items():
+        mine = F.coalesce((scopes[name] == own) | scopes[name].startswith(own + "--"), F.lit(False))
+        n = t.agg(F.coalesce(F.sum(mine.cast("bigint")), F.lit(0)).alias("removed")).select(F.lit(name).alias("store"), "removed")
+        gone = n if gone is None else gone.union(n)
+    return left, gone
+
+
+def graph_style(scope: Column) -> Column:
+    """tenant or tenant:project of a memory as tn-tenant or tn-tenant--project; null for the master's."""
+    tenant = F.split_part(scope, F.lit(":"), F.lit(1))
+    return F.when(tenant != "master", F.concat(F.lit("tn-"), F.regexp_replace(scope, ":", "--")))
+
+
+def next_cursor(cursors: DataFrame, scope: str, taken: int, total: int) -> DataFrame:
+    """The table of rotating cursors (scope, cursor) after `taken` rows of `total` were looked at in a scope."""
+    before = cursors.where(F.col("scope") == scope).select("cursor")
+    start = F.coalesce(F.max("cursor"), F.lit(0))
+    after = before.agg(F.pmod(start + taken, F.lit(max(total, 1))).cast("bigint").alias("cursor")).select(F.lit(scope).alias("scope"), "cursor")
+    return cursors.where(F.col("scope") != scope).select("scope", "cursor").union(after)
+
+
+def doctor(events: DataFrame, settings: dict[str, object], as_of: Column, *, every_days: int = 7, most_bytes: int = 10_000_000) -> DataFrame:
+    """Health of the reaper, from its audit rows (event, ts, run_id, size): name, status (ok, warn, fail), detail."""
+    said = events.agg(F.max("ts").alias("last"), F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    days = (F.unix_micros(as_of) - F.unix_micros("last")) / F.lit(86_400_000_000.0)
+    limit = int(settings.get("fetch_limit", 0) or 0)
+    check = lambda name, status, detail: F.struct(F.lit(name).alias("name"), status.alias("status"), detail.cast("string").alias("detail"))
+    lit = F.lit
+    checks = F.array(
+        check("enabled", lit("ok" if settings.get("enabled") else "warn"), lit(str(bool(settings.get("enabled"))))),
+        check("mode", lit("ok" if settings.get("mode") in ("dry", "purge") else "fail"), lit(str(settings.get("mode")))),
+        check("fetch-limit", lit("ok" if limit > 0 else "fail"), lit(str(limit))),
+        check("scopes-found", lit("ok" if settings.get("scopes") else "warn"), lit(str(len(settings.get("scopes") or [])))),
+        check("audit-log", F.when(F.col("rows") > 0, "ok").otherwise("warn"), F.col("rows")),
+        check("audit-log-size", F.when(F.col("bytes") <= most_bytes, "ok").otherwise("warn"), F.col("bytes")),
+        check("last-sweep", F.when(F.col("last").isNull(), "warn").when(days <= 2 * every_days, "ok").otherwise("fail"), F.col("last")),
+    )
+    return said.select(F.explode(checks).alias("c")).select("c.*")
+
+
 def without_tenant(table: DataFrame, tenant: str, scope: Column) -> DataFrame:
     """The table without a tenant's rows, in all its scopes; the master's cannot be removed."""
     if tenant == "master":

@@ -14,6 +14,7 @@ from ..functions import patterns as P
 from ..functions import text
 from ..functions.rules import Has, any_of
 from .pairs import _stored
+from .recall import top_k
 
 ROUNDS, SMALLEST = 20, 3
 BROAD = any_of([Has(p, True) for p in P.BROAD_QUERIES])
@@ -107,20 +108,70 @@ def summary(words: DataFrame, members: DataFrame, *, text_col: str = "concept")
     return top.join(listed, "community", "left").select("community", F.concat(F.coalesce("w", F.lit("")), F.lit(". Top: "), snippet, F.lit("...")).alias("summary"))
 
 
-def route(partitions: DataFrame, queries: DataFrame, *, least: float = 0.25, at_least: int = 0, at_most: int = 5) -> DataFrame:
+def route(partitions: DataFrame, queries: DataFrame, *, least: float = 0.25, at_least: int = 0, at_most: int = 5, searched: DataFrame | None = None) -> DataFrame:
     """Which communities (community, centroid) each query (query, text, vector) visits: query, community, similarity, place.
 
-    A query without vector or with a broad wording visits the first ones; others the most similar at or above
-    `least`, `at_least` of them in any case. Communities are few beside their members; they are joined to
-    queries as they are.
+    A query without vector or with a broad wording visits the first ones; others the most similar at or above `least`,
+    `at_least` of them in any case. Both ids are whole numbers. With searched (query, community) those are left out, and
+    the next ones take their places.
     """
     broad = F.col("vector").isNull() | F.coalesce(BROAD.column(F.col("text")), F.lit(False))
-    both = queries.join(partitions, F.lit(True))
-    score = both.withColumn("similarity", text.dense_cosine(F.col("vector"), F.col("centroid"))).withColumn("broad", broad)
-    order = Window.partitionBy("query").orderBy(F.when(F.col("broad"), 0.0).otherwise(-F.col("similarity")), "community")
-    ranked = score.withColumn("place", F.row_number().over(order))
-    chosen = F.col("broad") | (F.col("similarity") >= least) | (F.col("place") <= at_least)
-    return ranked.where(chosen & (F.col("place") <= at_most)).select("query", "community", F.when(~F.col("broad"), F.col("similarity")).alias("similarity"), "place")
+    more = 0 if searched is None else searched.groupBy("query").agg(F.countDistinct("community").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    k = max(at_most, at_least) + more
+    # The vectors' queries look for the nearest centroids, the others take the first k.
+    near = top_k(partitions.select(F.col("community").alias("id"), F.col("centroid").alias("embedding")), queries.where(~broad).select(F.col("query").alias("id"), F.col("vector").alias("embedding")), k)
+    near = near.select("query", F.col("id").alias("community"), F.col("score").alias("similarity"))
+    first = F.broadcast(partitions.select("community").distinct().orderBy("community").limit(k))  # k rows
+    wide = queries.where(broad).select(F.col("query").cast("bigint").alias("query")).join(first, F.lit(True)).select("query", F.col("community").cast("bigint").alias("community"), F.lit(None).cast("double").alias("similarity"))
+    both = near.union(wide)
+    if searched is not None:
+        both = both.join(searched.select("query", "community").distinct(), ["query", "community"], "left_anti")
+    order = Window.partitionBy("query").orderBy(F.coalesce(-F.col("similarity"), F.lit(0.0)), "community")
+    chosen = F.col("similarity").isNull() | (F.col("similarity") >= least) | (F.col("place") <= at_least)
+    return both.withColumn("place", F.row_number().over(order)).where(chosen & (F.col("place") <= at_most)).select("query", "community", "similarity", "place")
+
+
+def execute(partitions: DataFrame, queries: DataFrame, searched: DataFrame, mode: str = "full", *, full_sweep: bool = False, fraction: float | None = None, at_most: int = 5, least: float = 0.25, at_least: int = 0) -> DataFrame:
+    """query and community to sweep, for queries with a session whose searched communities (session, community) are known.
+
+    full: the routed ones, that share of them (one at least) if a fraction is given, or all if full_sweep; continue: all
+    not searched yet, or all if none is left; targeted: those routed among what is not searched, or all of that if none
+    is routed, or all if none is left.
+    """
+    every = queries.select("query").join(F.broadcast(partitions.select("community").distinct()), F.lit(True))  # what full sweeps return
+    options = {"least": least, "at_least": at_least, "at_most": at_most}
+    if mode == "full":
+        if full_sweep:
+            return every
+        routed = route(partitions, queries, **options)
+        if fraction is not None and 0 < fraction <= 1:
+            n = routed.groupBy("query").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(fraction))).alias("_n"))
+            routed = routed.join(n, "query").where(F.col("place") <= F.col("_n"))
+        return routed.select("query", "community")
+    known = queries.select("query", "session").join(searched, "session").select("query", "community").distinct()
+    left = every.join(known, ["query", "community"], "left_anti")
+    done = queries.select("query").join(left.select("query").distinct(), "query", "left_anti")
+    again = every.join(done, "query", "left_semi")
+    if mode == "continue":
+        return left.union(again)
+    if mode != "targeted":
+        raise ValueError(f"unknown mode {mode}")
+    routed = route(partitions, queries.join(done, "query", "left_anti"), searched=known, **options).select("query", "community")
+    unrouted = left.join(routed.select("query").distinct(), "query", "left_anti")
+    return routed.union(unrouted).union(again)
+
+
+def covered(searched: DataFrame, swept: DataFrame) -> DataFrame:
+    """The table of searched communities (session, community) with those swept now, also where a sweep failed."""
+    return searched.union(swept.select("session", "community")).distinct()
+
+
+def without_sessions(searched: DataFrame, tenant: str) -> DataFrame:
+    """The table without a tenant's sessions, which are named by it alone or begin with it and _, - or :."""
+    if tenant in ("", "master"):
+        return searched
+    own = (F.col("session") == tenant) | F.substring("session", 1, len(tenant) + 1).isin(*(tenant + c for c in "_-:"))
+    return searched.where(~own)
 
 
 def still_to_search(partitions: DataFrame, searched: DataFrame, mode: str = "continue") -> DataFrame:
@@ -131,6 +182,49 @@ def still_to_search(partitions: DataFrame, searched: DataFrame, mode: str = "con
     return left if left.limit(1).count() else partitions
 
 
+def split_large(members: DataFrame, nodes: DataFrame, edges: DataFrame, *, largest: int = 500, rounds: int = ROUNDS) -> DataFrame:
+    """id and community, after each community of more than `largest` members was split once in two.
+
+    The first and the middle member lead the halves; in each round members that touch a half join that with more weight
+    of edges to them, the first on a tie; those that no half reaches are dealt in turn. Halves may still be large.
+    """
+    from .hygiene import with_numbers
+
+    place = members.select("id", "community")
+    big = _stored(place.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") > largest))
+    numbered = with_numbers(place.join(big.select("community"), "community", "left_semi"), [F.col("community"), F.col("id")])
+    numbered = _stored(numbered.join(numbered.groupBy("community").agg(F.min("n").alias("base")), "community").select("id", "community", (F.col("n") - F.col("base")).alias("nth")).join(big, "community"))
+    both = _undirected(nodes, edges)
+    c = numbered.select("id", "community")
+    links = _stored(both.join(c.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(c.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b").where("ca = cb").select("a", "b", "w"))
+    side = _stored(numbered.where((F.col("nth") == 0) | (F.col("nth") == F.floor(F.col("n") / 2))).select("id", (F.col("nth") > 0).alias("second")))
+    for _ in range(rounds):
+        reached = links.join(side.select(F.col("id").alias("b"), "second"), "b").join(side.select(F.col("id").alias("a")), "a", "left_anti")
+        new = _stored(reached.groupBy(F.col("a").alias("id")).agg((F.sum(F.when(F.col("second"), F.col("w")).otherwise(0.0)) > F.sum(F.when(F.col("second"), 0.0).otherwise(F.col("w")))).alias("second")))
+        if not new.limit(1).count():
+            break
+        side = _stored(side.union(new))
+    halves = numbered.join(side, "id", "left").select("id", "community", F.coalesce("second", F.col("nth") % 2 == 1).alias("second"))
+    most = place.agg(F.max("community").alias("m"))
+    names = with_numbers(big.select("community"), [F.col("community")]).select("community", F.col("n").alias("k"))
+    fresh = halves.where("second").join(names, "community").join(F.broadcast(most), F.lit(True)).select("id", (F.col("m") + 1 + F.col("k")).cast("bigint").alias("community"))
+    return place.join(fresh.select("id"), "id", "left_anti").union(fresh)
+
+
+def synthesis_context(sweeps: DataFrame, totals: DataFrame) -> DataFrame:
+    """What a provider reads to answer each query, out of all sweeps of it: query, context.
+
+    sweeps: query, community, summary, nodes, keywords (array), output (null: failed); totals: query, nodes, edges,
+    partitions, selected.
+    """
+    ok = sweeps.where("output is not null")
+    part = F.concat(F.lit("---\n\n## Partition P-"), F.col("community").cast("string"), F.lit(": "), F.coalesce("summary", F.lit("Unknown domain")), F.lit("\n("), F.col("nodes").cast("string"), F.lit(" nodes analyzed, keywords: "), F.array_join("keywords", ", "), F.lit(")\n\n"), F.col("output"), F.lit("\n\n"))
+    said = ok.select("query", "community", part.alias("part")).groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("community", "part"))), lambda x: x["part"]), "").alias("parts"), F.count("*").alias("good"))
+    j = totals.join(said, "query", "left")
+    head = F.concat(F.lit("# Partitioned Graph Synthesis\nFull graph: "), F.col("nodes").cast("string"), F.lit(" nodes, "), F.col("edges").cast("string"), F.lit(" edges across "), F.col("partitions").cast("string"), F.lit(" partitions.\nSwept "), F.col("selected").cast("string"), F.lit(" partitions ("), F.coalesce("good", F.lit(0)).cast("string"), F.lit(" successful).\n\n"))
+    return j.select("query", F.concat(head, F.coalesce("parts", F.lit(""))).alias("context"))
+
+
 def sweep_context(members: DataFrame, *, text_col: str = "concept", budget: int = 500_000) -> DataFrame:
     """What a provider reads of each community: members by weight, up to the first beyond the budget, as one text."""
     line = F.concat(F.lit("["), F.col("id").cast("string"), F.lit("] "), F.coalesce(text_col, F.lit("")))

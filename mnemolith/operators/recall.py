@@ -4,76 +4,77 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scoring
 
-QUERY_BLOCK = 1024
+#: About how many queries are sent to the executors at once, and how many are multiplied with rows at once.
+QUERY_BLOCK, TOGETHER, ROWS = 8192, 512, 4096
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the k best, ties by id."""
-    if len(scores) > 4 * k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= cut)
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+def _by_size(vectors: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors the rows that have it, and their unit vectors; null elements are 0."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    flat = pc.fill_null(pc.cast(pc.list_flatten(vectors), pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    out = {}
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        out[n] = rows, _unit(flat[((ends - size)[rows][:, None] + np.arange(n)[None]).reshape(-1)].reshape(len(rows), n))
+    return out
 
 
-def top_k(memories: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding", same: Column | None = None) -> DataFrame:
+def _best(query: np.ndarray, score: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each query, ties by id."""
+    order = np.lexsort((who, -score, query))
+    query, score, who = query[order], score[order], who[order]
+    first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.zeros(0, np.int64)
+    nth = np.arange(len(query)) - np.repeat(first, np.diff(np.concatenate((first, [len(query)]))))
+    return query[nth < k], score[nth < k], who[nth < k]
+
+
+def top_k(memories: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """For each query the k memories with the greatest cosine: query, id, score, rank from 1.
 
-    queries has the same columns as memories. They go to the executors QUERY_BLOCK at a time, a block of
-    fixed size; each task multiplies blocks of vectors and sends its own best k of each query, which
-    a window over the query merges. Vectors that are null, empty, zero or of another length score 0;
-    so do null elements. Ids must be whole numbers.
+    queries has the same columns as memories. They go to the executors in blocks by the hash of their ids, each of about
+    `block` vectors, whatever their number; each task multiplies them with its own vectors and sends its best k of each
+    query, which a window over the query merges. Vectors that are null, empty, zero or of another length score 0; so do
+    null elements. Ids must be whole numbers; a query's id that stands twice is asked once.
     """
     spark = memories.sparkSession
-    ids = queries.select(F.col(id_col).cast("bigint").alias("q"), F.col(vector_col).alias("v")).where(F.col(id_col).isNotNull())
-    block: list = []
+    asked = queries.select(F.col(id_col).cast("bigint").alias("q"), F.col(vector_col).cast("array<double>").alias("v")).where("q is not null").dropDuplicates(["q"])
+    n_blocks = max(1, -(-asked.count() // block))
+    rows = memories.select(F.col(id_col).cast("bigint").alias("i"), F.col(vector_col).cast("array<double>").alias("v")).where("i is not null")
     parts: list[DataFrame] = []
+    for number in range(n_blocks):
+        table = asked.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == number).toArrow()
+        sent = spark.sparkContext.broadcast((table["q"].to_numpy(), _by_size(table["v"])))
 
-    def close() -> None:
-        sent = spark.sparkContext.broadcast(list(block))
-
-        def run(batches):
-            q = np.array([b[0] for b in sent.value], np.int64)
-            by_size: dict[int, list[int]] = {}
-            for i, b in enumerate(sent.value):
-                by_size.setdefault(len(b[1]), []).append(i)
-            best: list[list] = [[] for _ in q]
+        def run(batches, sent=sent):
+            ids, groups = sent.value
+            best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
             for b in batches:
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                vectors = b.column(1).to_pylist()
-                size = np.array([-1 if v is None else len(v) for v in vectors])
-                for n, which in by_size.items():
-                    queries_ = _unit(np.array([sent.value[i][1] for i in which], np.float64).reshape(len(which), n))
-                    scores = np.zeros((len(own), len(which)))
-                    mine = np.flatnonzero(size == n)
-                    if len(mine) and n:
-                        scores[mine] = _unit(np.array([[0.0 if x is None else x for x in vectors[i]] for i in mine], np.float64)) @ queries_.T
-                    for j, i in enumerate(which):
-                        for r in _top(scores[:, j], own, k):
-                            best[i].append((scores[r, j], own[r]))
-            out = []
-            for i, rows in enumerate(best):
-                out += [(int(q[i]), int(m), float(s)) for s, m in sorted(rows, key=lambda r: (-r[0], r[1]))[:k]]
-            a, m, s = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(m, pa.int64()), pa.array(s, pa.float64())], names=["query", "id", "score"])
-
-        rows = memories.select(F.col(id_col).cast("bigint").alias("i"), F.col(vector_col).cast("array<double>").alias("v")).where("i is not null")
+                for at in range(0, b.num_rows, ROWS):
+                    own, vectors = b.column(0).slice(at, ROWS).to_numpy(zero_copy_only=False), _by_size(b.column(1).slice(at, ROWS))
+                    for size, (which, unit) in groups.items():
+                        for a in range(0, len(which), TOGETHER):
+                            some = which[a : a + TOGETHER]
+                            scores = np.zeros((len(some), len(own)))
+                            if size and size in vectors:
+                                mine, v = vectors[size]
+                                scores[:, mine] = unit[a : a + TOGETHER] @ v.T
+                            cut = np.partition(scores, len(own) - k, axis=1)[:, len(own) - k, None] if len(own) > k else -np.inf
+                            q, m = np.nonzero(scores >= cut)
+                            best = tuple(np.concatenate(x) for x in zip(best, _best(ids[some][q], scores[q, m], own[m], k), strict=True))
+                    best = _best(*best, k)
+            yield pa.RecordBatch.from_arrays([pa.array(best[0], pa.int64()), pa.array(best[2], pa.int64()), pa.array(best[1], pa.float64())], names=["query", "id", "score"])
+
         parts.append(rows.mapInArrow(run, "query bigint, id bigint, score double"))
-        block.clear()
-
-    for r in ids.toLocalIterator():
-        block.append((r.q, [0.0 if x is None else float(x) for x in (r.v or [])]))
-        if len(block) == QUERY_BLOCK:
-            close()
-    if block or not parts:
-        close()
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
@@ -106,9 +107,32 @@ def rank(results: DataFrame, as_of: Column, terms: Column | None = None, *, text
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("adjusted"), "id")))
 
 
-def recall(memories: DataFrame, queries: DataFrame, state: DataFrame, as_of: Column, *, k: int = 20, least: float | None = P.MIN_RECALL_SCORE, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """Top-k, threshold on the raw cosine, state, rank - in this order, so that archived rows use up places."""
-    return rank(with_state(min_score(top_k(memories, queries, k, id_col=id_col, vector_col=vector_col), least), state), as_of)
+def with_touches(results: DataFrame, touches: DataFrame) -> DataFrame:
+    """Results with updated_at no earlier than when they were last looked at (id, touched_at)."""
+    last = touches.groupBy("id").agg(F.max("touched_at").alias("_touched"))
+    return results.join(last, "id", "left").withColumn("updated_at", F.greatest("updated_at", "_touched")).drop("_touched")
+
+
+def query_terms(text: Column) -> Column:
+    """Words of a query with three characters or more, in the order they stand, repeated ones too."""
+    return F.filter(F.split(text, r"\s+"), lambda w: F.length(w) >= 3)
+
+
+def recall(
+    memories: DataFrame, queries: DataFrame, state: DataFrame, as_of: Column, *, k: int = 20, least: float | None = P.MIN_RECALL_SCORE, id_col: str = "id", vector_col: str = "embedding",
+    touches: DataFrame | None = None, texts: DataFrame | None = None, asked: DataFrame | None = None,
+) -> DataFrame:
+    """Top-k, threshold on the raw cosine, touches and state, rank - in this order, so that archived rows use up places.
+
+    touches: id, touched_at. texts (id, memory) and asked (query, text) give the boost by the query's terms.
+    """
+    found = with_state(min_score(top_k(memories, queries, k, id_col=id_col, vector_col=vector_col), least), state)
+    if touches is not None:
+        found = with_touches(found, touches)
+    if texts is None or asked is None:
+        return rank(found, as_of)
+    found = found.join(texts.select("id", "memory"), "id", "left").join(asked.select("query", F.coalesce(query_terms(F.col("text")), F.array().cast("array<string>")).alias("terms")), "query", "left")
+    return rank(found.withColumn("memory", F.coalesce("memory", F.lit(""))), as_of, F.coalesce("terms", F.array().cast("array<string>"))).drop("terms")
 
 
 def touched(importance: Column) -> Column:

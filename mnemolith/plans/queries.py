@@ -67,15 +67,23 @@ NEAR_SQL = """pair AS (SELECT q.vec_id AS query, m.vec_id AS id, list_cosine_sim
   FROM embeddings q, embeddings m WHERE q.vec_id % 20 = 0),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM pair) WHERE rank <= 20)"""
 HALF_SQL = "CASE WHEN importance >= 0.8 THEN 180 WHEN kind = 'state' THEN 7 ELSE 90 END"
-RANKED_SQL = f"""WITH {STATE_SQL}, {NEAR_SQL},
-dated AS (SELECT n.*, s.* EXCLUDE (id), date_diff('microsecond', coalesce(updated_at, created_at), {NOW_SQL}) / 86400000000.0::DOUBLE AS days FROM near n JOIN state s USING (id) WHERE score >= {P.MIN_RECALL_SCORE} AND status <> 'archived'),
-scored AS (SELECT query, id, rank, score, label, query_label, least(1.0, (0.5 * score + 0.3 * CASE WHEN days <= 0 THEN 1.0 ELSE pow(2.0, -days / ({HALF_SQL})) END + 0.2 * coalesce(importance, 0.5)) * (0.5 + 0.5 * coalesce(confidence, 0.5))) AS adjusted FROM dated),
+TOUCH_SQL = "touch AS (SELECT user_id AS id, max(ts) AS touched_at FROM events WHERE event_type = 'click' GROUP BY 1)"
+#: What a memory says: the document of its number, if there is one; a query asks with the first 60 characters of its own.
+SAID_SQL = "said AS (SELECT doc_id AS id, any_value(text) AS memory, list_filter(string_split_regex(substr(any_value(text), 1, 60), '\\s+'), lambda w: length(w) >= 3) AS terms FROM (SELECT DISTINCT ON (doc_id) * FROM documents ORDER BY doc_id) GROUP BY 1)"
+RANKED_SQL = f"""WITH {STATE_SQL}, {NEAR_SQL}, {TOUCH_SQL}, {SAID_SQL},
+dated AS (SELECT n.*, s.* EXCLUDE (id), date_diff('microsecond', coalesce(greatest(updated_at, touched_at), created_at), {NOW_SQL}) / 86400000000.0::DOUBLE AS days,
+  CASE WHEN len(a.terms) > 0 THEN len(list_filter(a.terms, lambda w: contains(lower(coalesce(m.memory, '')), lower(w)))) / len(a.terms)::DOUBLE * 0.1 ELSE 0 END AS boost
+  FROM near n JOIN state s USING (id) LEFT JOIN touch t USING (id) LEFT JOIN said m ON m.id = n.id LEFT JOIN said a ON a.id = n.query WHERE score >= {P.MIN_RECALL_SCORE} AND status <> 'archived'),
+scored AS (SELECT query, id, rank, score, label, query_label, least(1.0, (0.5 * score + 0.3 * CASE WHEN days <= 0 THEN 1.0 ELSE pow(2.0, -days / ({HALF_SQL})) END + 0.2 * coalesce(importance, 0.5)) * (0.5 + 0.5 * coalesce(confidence, 0.5)) + boost) AS adjusted FROM dated),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY adjusted DESC, id) AS place FROM scored)"""
 
 
 def _recalled(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d)
-    return recall.recall(m, m.where("id % 20 = 0"), memory_state(spark, d), now())
+    touches = read(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("touched_at"))
+    said = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("memory")).dropDuplicates(["id"])
+    asked = said.where("id % 20 = 0").select(F.col("id").alias("query"), F.substring("memory", 1, 60).alias("text"))
+    return recall.recall(m, m.where("id % 20 = 0"), memory_state(spark, d), now(), touches=touches, texts=said, asked=asked)
 
 
 @query(f"{RANKED_SQL} SELECT query, id, rank::INT AS rank, round(score, 6) AS score, round(adjusted, 6) AS adjusted, place::INT AS place FROM placed")
@@ -161,8 +169,11 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_lower(df: DataFrame) -> DataFrame:
-    """Lower case once for all patterns, over as many tasks as there are cores: the patterns are what takes time."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism).withColumn("l", F.lower("t"))
+    """Lower case once for all patterns. The patterns are what takes time, so a table of a few files only is dealt over
+    all cores; one of many files is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return (df.repartition(cores) if df.rdd.getNumPartitions() < cores else df).withColumn("l", F.lower("t"))
 
 
 @query(f"WITH {TEXTS_SQL} SELECT id, ({scoring.actionability_sql('t')})::INT AS actionability, ({scoring.memory_quality_sql('t')})::INT AS quality, ({scoring.fact_quality_sql('t')})::INT AS fact_quality FROM texts")
@@ -196,7 +207,7 @@ def term_boost(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.round(scoring.term_boost(F.col("text"), terms), 6).alias("boost"))
 
 
-_STRIP = f"trim(regexp_replace(translate(lower(text), {quoted(text.MARKED + text.MARKED.upper())}, {quoted(text.PLAIN + text.PLAIN.upper())}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_STRIP = "trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query(f"WITH h AS (SELECT doc_id, source, sha256({_STRIP}) AS hash FROM documents WHERE trim(text) <> ''), b AS (SELECT DISTINCT hash FROM h WHERE source = 'src0') SELECT source, count(*)::BIGINT AS texts, count(b.hash)::BIGINT AS blocked FROM h LEFT JOIN b USING (hash) GROUP BY source")
@@ -206,7 +217,9 @@ def blocklist_hits(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(blocked, "hash", "left").groupBy("source").agg(F.count("*").alias("texts"), F.count("b").alias("blocked"))
 
 
-@query()
+@query(f"""WITH {TEXTS_SQL}, b AS (SELECT DISTINCT sha256({_STRIP}) AS hash FROM documents WHERE source = 'src1' AND trim(text) <> '')
+SELECT id, CASE WHEN b.hash IS NOT NULL THEN 'blocked' WHEN t IS NULL THEN 'rejected' ELSE coalesce({scoring.disqualified_sql('t')}, CASE WHEN {scoring.memory_quality_sql('t')} < {P.MIN_MEMORY_QUALITY} THEN 'low_quality' END, 'saved') END AS verdict
+FROM texts LEFT JOIN b ON trim(t) <> '' AND b.hash = sha256({_STRIP.replace('text', 't')})""")
 def memory_gate(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts of all texts; the block list holds one source."""
     blocked = tables.block_list(read(spark, d, "documents").where("source = 'src1'"))
@@ -238,17 +251,22 @@ def tf_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.tf_cosine_pairs(one.select("id", text.terms(F.col("text")).alias("t")), "id", "t", 0.6).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
-def dedup_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Turns that a sweep at 0.6 archives; tests hold it against the sweep one by one."""
-    rows = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("memory"), F.col("turn").alias("seen"))
-    return hygiene.dedup_sweep(rows, least=0.6)
-
-
-@query()
+@query("""WITH RECURSIVE m AS (SELECT conv_id, conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CASE WHEN turn % 5 = 0 THEN '[Seed: Turn ' || turn % 2 || '] ' ELSE '' END || text AS memory FROM conversations),
+s AS (SELECT *, lower(trim(regexp_extract(memory, '^\\[Seed:\\s*(.+?)\\]', 1))) AS title, list_distinct(list_filter(string_split_regex(lower(memory), '\\s+'), lambda w: length(w) > 4)) AS w FROM m),
+near AS (SELECT a.conv_id, a.id AS i, list(b.id) AS js FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.id < b.id WHERE a.title = '' AND b.title = '' AND len(a.w) > 0 AND len(b.w) > 0 AND 2.0::DOUBLE * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) >= 0.1 GROUP BY 1, 2),
+turns AS (SELECT s.conv_id, s.n, s.id, coalesce(js, []) AS js FROM s LEFT JOIN near ON near.i = s.id),
+walk AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, []::BIGINT[] AS used, 0::BIGINT AS head, []::BIGINT[] AS got FROM s
+  UNION ALL SELECT t.conv_id, t.n, list_concat(used, CASE WHEN list_contains(used, t.id) THEN [] ELSE list_filter(t.js, lambda j: NOT list_contains(walk.used, j)) END), t.id,
+    CASE WHEN list_contains(used, t.id) THEN [] ELSE list_filter(t.js, lambda j: NOT list_contains(walk.used, j)) END FROM walk JOIN turns t ON t.conv_id = walk.conv_id AND t.n = walk.n + 1),
+star AS (SELECT 'topic:' || head AS grp, unnest(list_append(got, head)) AS id FROM walk WHERE len(got) > 0),
+seed AS (SELECT 'seed:' || conv_id || ':' || title AS grp, id, count(*) OVER (PARTITION BY conv_id, title) AS c FROM s WHERE title <> '')
+SELECT grp, id FROM star UNION ALL SELECT grp, id FROM seed WHERE c > 1""")
 def topic_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.when(F.col("item_id") % 10 == 0, F.concat(F.lit("[Seed: Test] "), "text")).otherwise(F.col("text")).alias("memory"))
-    return hygiene.topic_groups(rows, least=0.1)
+    """Turns of each conversation that are about one topic."""
+    c = read(spark, d, "conversations")
+    seed = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("[Seed: Turn "), (F.col("turn") % 2).cast("string"), F.lit("] "))).otherwise("")
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", F.concat(seed, "text").alias("memory"))
+    return hygiene.topic_groups(rows, least=0.1, scope_col="conv_id")
 
 
 @query("""WITH p AS (SELECT DISTINCT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
@@ -280,13 +298,22 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
     return recall.context(rows, 600, key="conv_id", is_global="role = 'system'", order=[F.col("turn")]).select("conv_id", "turn", F.col("used").cast("bigint").alias("used"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(trim(text), '\\s+', ' ', 'g') AS fact FROM conversations WHERE role = 'user'),
-ok AS (SELECT * FROM t WHERE length(fact) BETWEEN 12 AND 320 AND NOT regexp_matches(fact, '^(?:oi|olá|bom dia|boa tarde|boa noite|hi|hello|hey)\\b', 'i') AND NOT regexp_matches(fact, '\\b(?:as an ai|i''m an ai|como assistente|posso ajudar|how can i help)\\b', 'i')),
+#: How an extractor words what is said in a turn, by the turn's number.
+_WORDINGS = ["O usuário disse: ", "The user said ", "Segundo o assistente, o usuário disse ", "Ana Lima contou: ", "", "Bom dia, o USUARIO falou ", "Mariana contou: "]
+_WORDED_SQL = "CASE turn % 7 " + " ".join(f"WHEN {i} THEN {quoted(w)}" for i, w in enumerate(_WORDINGS)) + " END || text"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, regexp_replace(trim({_WORDED_SQL}), '\\s+', ' ', 'g') AS fact FROM conversations WHERE role <> 'system'),
+ok AS (SELECT * FROM t WHERE length(fact) BETWEEN 12 AND 320 AND NOT regexp_matches(fact, '^(oi|ol[aá]|obrigad[oa]|valeu|kk+|haha+|ok|certo|entendi|beleza|sim|isso|fechado)[.!?\\s]*$', 'i')
+  AND NOT regexp_matches(fact, '\\b(assistente|assistant|o modelo|a ia|segundo o assistente|according to the assistant)\\b', 'i')
+  AND (regexp_matches(fact, '\\b(usu[aá]rio|user)\\b', 'i') OR regexp_matches(fact, '(^|[^\\p{{L}}\\p{{N}}_])(ana lima|ana)($|[^\\p{{L}}\\p{{N}}_])', 'i'))),
 one AS (SELECT conv_id, arg_min(turn, turn) AS turn, arg_min(fact, turn) AS fact FROM ok GROUP BY conv_id, lower(fact))
 SELECT * FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, fact)::INT AS place, fact FROM one) WHERE place <= 5""")
 def chat_facts(spark: SparkSession, d: str) -> DataFrame:
-    users = read(spark, d, "conversations").where("role = 'user'")
-    return documents.chat_facts(users, key="conv_id", order="turn", anchor=None).select("conv_id", "place", "fact")
+    """Facts of each conversation that are about the user, or about the tenant Ana Lima by name."""
+    wording = F.element_at(F.array(*map(F.lit, _WORDINGS)), (F.col("turn") % 7 + 1).cast("int"))
+    turns = read(spark, d, "conversations").where("role <> 'system'").withColumn("text", F.concat(wording, "text"))
+    return documents.chat_facts(turns, key="conv_id", order="turn", tenant_name=F.lit("Ana Lima")).select("conv_id", "place", "fact")
 
 
 # Graphs: places, customers and orders as nodes and edges.
@@ -336,12 +363,12 @@ def graph_matches(spark: SparkSession, d: str) -> DataFrame:
     return place_edges(spark, d).join(found.select(F.col("id").alias("source")), "source", "left_semi").select("source", "predicate", "target")
 
 
-@query("""SELECT o_orderpriority AS id, count(*)::BIGINT AS mentions, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen, arg_max(o_orderstatus, o_orderkey) AS last_status, count(DISTINCT o_custkey)::BIGINT AS sources FROM orders GROUP BY 1""")
+@query("""SELECT o_orderpriority AS id, count(*)::BIGINT AS mentions, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen, arg_max(o_orderstatus, o_orderkey) AS last_status, arg_max(DISTINCT repeat('x', (o_custkey % 17)::INT) || ' by ' || o_orderkey, (length(repeat('x', (o_custkey % 17)::INT) || ' by ' || o_orderkey), -o_orderkey)) AS description, count(DISTINCT o_custkey)::BIGINT AS sources FROM orders GROUP BY 1""")
 def entity_upsert(spark: SparkSession, d: str) -> DataFrame:
-    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("id"), F.lit("Concept").alias("type"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("seen"), F.col("o_custkey").cast("string").alias("source"), F.col("o_orderkey").alias("ord"))
-    made = graph.entities(o.select("id", "type", F.lit(None).cast("string").alias("description"), "seen", "source", "ord"))
+    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("id"), F.lit("Concept").alias("type"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("seen"), F.col("o_custkey").cast("string").alias("source"), F.col("o_orderkey").alias("ord"), F.concat(F.expr("repeat('x', int(o_custkey % 17))"), F.lit(" by "), F.col("o_orderkey").cast("string")).alias("description"))
+    made = graph.entities(o.select("id", "type", "description", "seen", "source", "ord"))
     last = o.groupBy("id").agg(F.max_by("status", "ord").alias("last_status"))
-    return made.join(last, "id").select("id", "mentions", "first_seen", "last_seen", "last_status", F.size("sources").cast("bigint").alias("sources"))
+    return made.join(last, "id").select("id", "mentions", "first_seen", "last_seen", "last_status", "description", F.size("sources").cast("bigint").alias("sources"))
 
 
 @query("SELECT 'customer ' || o_custkey AS source, o_orderstatus AS predicate, o_orderpriority AS target, count(*)::BIGINT AS weight, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen, count(DISTINCT o_orderkey)::BIGINT AS n_sources FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3")
@@ -488,7 +515,7 @@ def scope_quotas(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type AS action, count(*)::BIGINT AS runs, max(ts) AS last_run FROM events GROUP BY 1")
 def maintenance_actions(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("runs"), F.max("ts").alias("last_run"))
+    return lifecycle.log_actions(read(spark, d, "events").select(F.col("event_type").alias("action"), F.col("ts").alias("timestamp")))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -496,18 +523,23 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return limits.windowed(read(spark, d, "events"), time="ts", kind="event_type", value="value").select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, event_id FROM events), w AS (SELECT user_id, min(ts) AS start FROM e GROUP BY 1
+  UNION ALL SELECT w.user_id, (SELECT min(e.ts) FROM e WHERE e.user_id = w.user_id AND e.ts >= w.start + INTERVAL 6 HOUR) FROM w WHERE w.start IS NOT NULL),
+k AS (SELECT e.*, (SELECT max(start) FROM w WHERE w.user_id = e.user_id AND w.start <= e.ts) AS start FROM e)
+SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id, start ORDER BY ts, event_id) <= 3 AS allowed FROM k""")
 def rate_limited(spark: SparkSession, d: str) -> DataFrame:
     """Events of each user, three in six hours at most; tests hold it against the limiter one by one."""
     return limits.limited(read(spark, d, "events"), key="user_id", time="ts", order="event_id", window=6 * 3600, most=3)
 
 
 @query(f"""WITH {STATE_SQL}, v AS (SELECT DISTINCT ON (user_id) user_id AS id, 1 AS ok FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id AS id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1)
-SELECT s.id, round(CASE WHEN v.ok = 1 THEN 1.0 ELSE confidence END, 6) AS confidence, round(CASE WHEN v.ok = 1 THEN greatest(coalesce(importance, 0.0), 0.85) ELSE importance END, 6) AS importance, coalesce(n, 0)::BIGINT AS correct_count FROM state s LEFT JOIN v USING (id) LEFT JOIN c USING (id)""")
+SELECT s.id, round(CASE WHEN v.ok = 1 THEN 1.0 ELSE confidence END, 6) AS confidence, round(CASE WHEN v.ok = 1 THEN greatest(coalesce(importance, 0.0), 0.85) ELSE importance END, 6) AS importance, coalesce(n, 0)::BIGINT AS correct_count,
+  CASE l.event_type WHEN 'click' THEN 'archived' WHEN 'view' THEN 'active' ELSE status END AS status FROM state s LEFT JOIN v USING (id) LEFT JOIN c USING (id) LEFT JOIN (SELECT user_id AS id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_type IN ('purchase', 'click', 'view') GROUP BY 1) l USING (id)""")
 def memory_feedback(spark: SparkSession, d: str) -> DataFrame:
-    votes = read(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("id"), F.lit("confirm").alias("vote"), F.col("event_id").alias("ord"))
+    vote = F.when(F.col("event_type") == "purchase", "confirm").when(F.col("event_type") == "click", "archive").otherwise("unarchive")
+    votes = read(spark, d, "events").where("event_type in ('purchase', 'click', 'view')").select(F.col("user_id").alias("id"), vote.alias("vote"), F.col("event_id").alias("ord"))
     out = hygiene.feedback(memory_state(spark, d).withColumn("correct_count", F.lit(0).cast("bigint")), votes)
-    return out.select("id", F.round("confidence", 6).alias("confidence"), F.round("importance", 6).alias("importance"), "correct_count")
+    return out.select("id", F.round("confidence", 6).alias("confidence"), F.round("importance", 6).alias("importance"), "correct_count", "status")
 
 
 @query("""WITH m AS (SELECT doc_id AS id, source AS scope FROM documents), w AS (SELECT doc_id AS id FROM labels WHERE quality = 0 UNION SELECT doc_id + 1000000000 FROM labels WHERE toxic = 1)
@@ -535,8 +567,8 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, ts, event_type FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 50")
 def newest_log_entries(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").where("event_type = 'purchase'")
-    return e.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "ts", "event_type")
+    log = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.col("event_type").alias("action"))
+    return lifecycle.log_entries(log, "purchase").select(F.col("id").alias("event_id"), F.col("timestamp").alias("ts"), F.col("action").alias("event_type"))
 
 
 @query(f"""WITH s AS (SELECT c_custkey AS id, regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(c_name || ' __ É' || c_mktsegment), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 32), '-+$', '') AS slug FROM customer)
@@ -554,8 +586,7 @@ def absolute_urls(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH f AS (SELECT conv_id, turn, text FROM conversations WHERE ({scoring.fact_quality_sql('text')}) >= 1), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM f) SELECT conv_id, turn, place::INT AS place FROM k WHERE place <= 10""")
 def saved_facts(spark: SparkSession, d: str) -> DataFrame:
     """Turns of each conversation that score as facts, from 1 on here: ten at most."""
-    t = read(spark, d, "conversations").where(scoring.fact_quality(F.col("text")) >= 1)
-    return t.withColumn("place", F.row_number().over(recall.Window.partitionBy("conv_id").orderBy("turn"))).where("place <= 10").select("conv_id", "turn", "place")
+    return lifecycle.good_facts(read(spark, d, "conversations"), text_col="text", key="conv_id", order="turn", least=1).select("conv_id", "turn", "place")
 
 
 @query("""SELECT source, count(*)::BIGINT AS moved FROM (SELECT DISTINCT ON (doc_id) doc_id, source, text FROM documents) d WHERE source <> 'src0' AND length(text) > 200 AND text NOT IN (SELECT text FROM documents WHERE source = 'src0') GROUP BY source""")

@@ -61,6 +61,36 @@ def block_list(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.where(F.trim(t) != "").select(text.blocklist_hash(t).alias("hash")).distinct()
 
 
+def saved_block_list(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """hash of each entry of block-list files (each a JSON array of strings), and whether they could be read.
+
+    A file that isn't there is an empty list. If any is broken nothing can be told apart, and whoever asks must block
+    everything (`hygiene.gate(..., block_all=True)`): what was forgotten must not come back by a fault of reading.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    none = spark.createDataFrame([], "hash string")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return none, True
+    files = spark.read.option("wholetext", True).text(path).where(F.trim("value") != "")
+    # As variants, so that an element that is no string is seen.
+    entries = files.select(F.try_parse_json("value").alias("v"))
+    parts = entries.select(F.expr("try_variant_get(v, '$', 'array<variant>')").alias("a"))
+    bad = F.col("a").isNull() | F.exists("a", lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")) != "STRING")
+    if parts.where(bad).limit(1).count():
+        return none, False
+    return parts.select(F.explode("a").alias("x")).select(F.expr("variant_get(x, '$', 'string')").alias("hash")).distinct(), True
+
+
+def save_block_list(hashes: DataFrame, path: str) -> None:
+    """Adds to the block list what it has not: one more file, an array in order. One list is small beside its memories."""
+    spark = hashes.sparkSession
+    known, readable = saved_block_list(spark, path)
+    if not readable:
+        raise ValueError(f"the block list at {path} cannot be read")
+    new = hashes.where(F.trim("hash") != "").select("hash").distinct().join(known, "hash", "left_anti")
+    new.agg(F.to_json(F.array_sort(F.collect_list("hash"))).alias("value")).where("value <> '[]'").write.mode("append").text(path)
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """The table with rows of the same key replaced and new ones added."""
     return table.join(rows.select(key), key, "left_anti").unionByName(rows)
@@ -70,6 +100,49 @@ def delete(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return table.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def page(table: DataFrame, order: list[Column], *, limit: int = 20, offset: int = 0, fetched: int = 500) -> DataFrame:
+    """Rows offset to offset + limit in the order; the limit is 1 to 100, and rows beyond `fetched` are on no page."""
+    limit, offset = min(max(limit, 1), 100), max(offset, 0)
+    return table.orderBy(*order).limit(min(offset + limit, fetched)).offset(offset)
+
+
+def with_defaults(table: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Every row with its feedback (id, confidence, correct_count, last_confirmed_at, status, kind, title), or the defaults."""
+    f = feedback.select("id", "confidence", "correct_count", "last_confirmed_at", "status", "kind", "title")
+    defaults = {"confidence": F.lit(0.5), "correct_count": F.lit(0).cast("bigint"), "status": F.lit("active"), "kind": F.lit("fact")}
+    return table.join(f, "id", "left").withColumns({c: F.coalesce(c, v) for c, v in defaults.items()})
+
+
+def set_payload(state: DataFrame, patches: DataFrame, fields: list[str]) -> DataFrame:
+    """state with the given fields of patched rows (id and fields, null: left as it is) replaced, and rows for new ids.
+
+    A confidence is brought into 0 to 1, a relevance must be a whole number from 1 to 5 and is left as it was otherwise.
+    """
+    clean = {"confidence": lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), "relevance": lambda c: F.when(c.between(1, 5) & (c == F.floor(c)), c)}
+    p = patches.select("id", *[clean.get(c, lambda x: x)(F.col(c)).cast(state.schema[c].dataType).alias(f"_{c}") for c in fields]).dropDuplicates(["id"])
+    j = state.join(p, "id", "full_outer")
+    return j.select(*[(F.coalesce(f"_{c}", c) if c in fields else F.col(c)).alias(c) for c in state.columns])
+
+
+def clear_payload(state: DataFrame, ids: DataFrame, fields: list[str]) -> DataFrame:
+    """state with the given fields of these ids emptied; ids that aren't there, or can't be, are passed over."""
+    gone = ids.where(valid_id(F.col("id"))).select(F.col("id").alias("_id"), F.lit(True).alias("_gone")).distinct()
+    j = state.join(gone, F.col("id") == F.col("_id"), "left")
+    return j.select(*[(F.when(F.col("_gone"), F.lit(None)).otherwise(F.col(c)) if c in fields else F.col(c)).alias(c) for c in state.columns])
+
+
+def without_seeds(seeds: DataFrame, memories: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seeds without these ids, and memories without those that came from them (seeds' memory_ids)."""
+    gone = seeds.join(ids.select("id").distinct(), "id", "left_semi")
+    doomed = gone.select(F.explode("memory_ids").alias("id")).distinct()
+    return seeds.join(ids.select("id").distinct(), "id", "left_anti"), memories.join(doomed, "id", "left_anti")
+
+
+def without_tenant_seeds(seeds: DataFrame, tenant: str) -> DataFrame:
+    """Seeds without a tenant's own; the master's and those of no tenant stay in any case."""
+    return seeds if tenant in ("", "master") else seeds.where(~F.coalesce(F.col("tenant") == tenant, F.lit(False)))
+
+
 def lookup(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Rows of the ids asked for, those that aren't there with missing = true; ids that can't be keys are left out."""
     asked = ids.select(key).distinct().where(valid_id(F.col(key)))

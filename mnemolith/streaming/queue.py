@@ -1,7 +1,9 @@
-"""The graph's outbox as a stream: each event applied once, bad lines set aside, hopeless ones too."""
+"""The graph's outbox as a stream: each event applied once, failures tried again, hopeless ones and bad lines set aside."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +22,54 @@ def split_events(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return latest.where(~tried), latest.where(tried), parsed.where(bad).select("value")
 
 
-def drain(spark: SparkSession, folder: str, out: str, checkpoint: str):
-    """Starts a query that reads JSON lines as they come and appends events, dead ones and bad lines to three tables.
+def _batches(spark: SparkSession, path: str, before: int, schema: str) -> DataFrame:
+    """Rows that batches before this one have written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], f"{schema}, batch int")
+    return spark.read.schema(f"{schema}, batch int").parquet(path).where(F.col("batch") < before)
+
+
+def apply_batch(lines: DataFrame, number: int, out: str, apply: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Applies a batch of JSON lines and writes batch=number of four tables under out: events (applied), dead, retry,
+    quarantine.
 
-    The checkpoint stands for the claim of a file; an event that is replayed is known by its id and dropped.
+    Every write replaces the batch's own part, so a batch that failed half-way and runs again leaves the same rows. An
+    event whose id an earlier batch has applied is dropped. apply gets the events and returns `id` and `error` of those
+    it could not apply (by default all are applied); they go to retry with one attempt more, or to dead at the last.
     """
+    spark = lines.sparkSession
+    good, dead, bad = split_events(lines)
+    new = good.join(_batches(spark, f"{out}/events", number, OUTBOX).select("id"), "id", "left_anti")
+    failed = (apply(new) if apply else spark.createDataFrame([], "id string, error string")).select("id", "error")
+    tried = new.join(failed, "id").withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1)
+    again = tried.where(F.col("attempts") < MAX_ATTEMPTS)
+    lost = tried.where(F.col("attempts") >= MAX_ATTEMPTS).unionByName(dead.withColumn("error", F.lit("tried too often")))
+    for name, rows in (("retry", again), ("dead", lost), ("quarantine", bad), ("events", new.join(failed, "id", "left_anti"))):
+        rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
-    def apply(batch: DataFrame, number: int) -> None:
-        good, dead, bad = split_events(batch)
-        good.write.mode("append").parquet(f"{out}/events/batch={number}")
-        dead.write.mode("append").parquet(f"{out}/dead/batch={number}")
-        bad.write.mode("append").parquet(f"{out}/quarantine/batch={number}")
 
+def drain(spark: SparkSession, folder: str, out: str, checkpoint: str, apply: Callable[[DataFrame], DataFrame] | None = None):
+    """Starts a query that reads JSON lines as they come and applies them; the checkpoint stands for the claim of a file.
+
+    What `apply` does must bear being done again with the same rows, as it is when a batch fails before it is written:
+    upserts by event id do.
+    """
     lines = spark.readStream.format("text").load(folder)
-    return lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return lines.writeStream.foreachBatch(lambda batch, number: apply_batch(batch, number, out, apply)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def requeue(spark: SparkSession, out: str, number: int, folder: str) -> None:
+    """Puts the events of a batch that are to be tried again back into the folder, as JSON lines."""
+    rows = spark.read.parquet(f"{out}/retry/batch={number}").drop("error")
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(folder)
+
+
+def sync_status(spark: SparkSession, out: str) -> DataFrame:
+    """How many events each batch applied, will try again, gave up and could not read: batch, applied, retry, dead, quarantine."""
+    counts = None
+    for name in ("events", "retry", "dead", "quarantine"):
+        rows = spark.read.parquet(f"{out}/{name}").groupBy("batch").agg(F.count("*").alias("n")).select("batch", F.lit({"events": "applied"}.get(name, name)).alias("what"), "n")
+        counts = rows if counts is None else counts.union(rows)
+    sums = [F.sum(F.when(F.col("what") == w, F.col("n")).otherwise(0)).alias(w) for w in ("applied", "retry", "dead", "quarantine")]
+    return counts.groupBy("batch").agg(*sums)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemolith.functions import text
 from mnemolith.operators import documents, evaluate, graph, hygiene, pairs, partitions, recall
+from mnemolith.sources import tables
 
 NOW = dt.datetime(2024, 2, 1)
 
@@ -257,14 +258,66 @@ def test_pages_and_titles(spark):
 
 
 def test_chat_facts(spark):
-    rows = [(1, k, t) for k, t in enumerate(["O usuário mora em Recife", "o usuário MORA em recife", "Bom dia, o usuário chegou", "sem a âncora de sempre aqui", "o usuário toma sertralina"])]
-    df = spark.createDataFrame(rows, "c int, t int, text string")
+    said = ["O usuário mora em Recife", "o usuário MORA em recife", "Bom dia, o usuário chegou", "sem a âncora de sempre aqui", "o usuário toma sertralina", "The user lives in Recife now", "Segundo o assistente, o usuário saiu", "sim!!", "According to the assistant all is fine, user"]
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(said)], "c int, t int, text string")
     got = documents.chat_facts(df, key="c", order="t").orderBy("place").collect()
-    assert [(r.place, r.fact) for r in got] == [(1, "O usuário mora em Recife"), (2, "o usuário toma sertralina")]
+    assert [(r.place, r.fact) for r in got] == [(1, "O usuário mora em Recife"), (2, "Bom dia, o usuário chegou"), (3, "o usuário toma sertralina"), (4, "The user lives in Recife now")]
     raw = spark.createDataFrame([((9.0, "x", None),), ((4.0, "state", True),)], "r struct<relevance: double, kind: string, sensitive: boolean>")
     assert [tuple(r[0]) for r in raw.select(documents.rating(F.col("r"))).collect()] == [(3, "fact", False), (4, "state", True)]
 
 
+@pytest.mark.parametrize(
+    ("text_", "tenant", "want"),
+    [
+        ("Na conversa de hoje, o assistente comentou que o episódio é bom.", None, False),
+        ("Segundo o assistente, os dois episódios citados pelo usuário ficam na emenda.", None, False),
+        ("The Parking Space acaba sem revelar quem venceu a luta.", None, False),
+        ("sim", None, False),
+        ("O usuário tem a série como conforto: já assistiu todos os episódios.", None, True),
+        ("O usuario mora em Recife hoje", None, True),
+        ("Obrigado..........", None, False),
+        ("Ana prefere chá à noite.", "Ana Lima", True),
+        ("Anabel prefere chá à noite.", "Ana Lima", False),
+        ("Mora com ANA LIMA em Recife", "Ana Lima", True),
+        ("Mora com ana-lima em Recife", "Ana Lima", True),
+        ("Gosta de chá (C++) à noite", "C++", True),
+        ("Gosta de chá à noite, sempre", "A", False),
+        (None, "Ana", False),
+    ],
+)
+def test_accepted_facts(spark, text_, tenant, want):
+    row = spark.createDataFrame([(text_, tenant)], "t string, n string").select(documents.accepts_fact(F.col("t"), tenant_name=F.col("n")).alias("ok")).first()
+    assert row.ok is want
+
+
+def test_chat_titles(spark):
+    fact = "O usuário, reassistindo a série em ordem, disse que gostou."
+    rows = [("O usuário curtiu a vaga do amigo.", "Curtiu a vaga do amigo"), ("", "Reassistindo a série em ordem"), (None, "Reassistindo a série em ordem"), ("«Um título: de, mais; de seis palavras ao todo»", "Um título de mais de seis"), ("série conforto", "Série conforto")]
+    got = spark.createDataFrame([(r, fact) for r, _ in rows], "r string, f string").select(documents.chat_title(F.col("r"), F.col("f")).alias("t")).collect()
+    assert [r.t for r in got] == [w for _, w in rows]
+
+
+def test_block_list_words_and_files(spark, tmp_path):
+    rows = ["  O usuário TOMOU Bupropiona, né?  ", "日本語", "ﬁ e\u0301 Ấ straße", "a_b\u00a0c"]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(text.normalize_for_blocklist(F.col("t"))).collect()]
+    assert got == ["o usuario tomou bupropiona ne", "", "e a stra e", "a b c"]
+    where = str(tmp_path / "list")
+    none, ok = tables.saved_block_list(spark, where)
+    assert ok and none.count() == 0
+    hashes = spark.createDataFrame([("Esquecer isto",), ("e isto",)], "t string").select(text.blocklist_hash(F.col("t")).alias("hash"))
+    tables.save_block_list(hashes, where)
+    tables.save_block_list(hashes, where)
+    known, ok = tables.saved_block_list(spark, where)
+    memories = spark.createDataFrame([(1, "esquecer, ISTO!"), (2, "We decided to use PostgreSQL on 3 May 2023 because of JSON"), (3, None), (4, " ")], "id int, memory string")
+    verdicts = lambda **k: {r.id: r.verdict for r in hygiene.gate(memories, **k).collect()}
+    assert ok and known.count() == 2 and verdicts(blocked=known)[1] == "blocked" and verdicts(blocked=known)[2] == "saved"
+    for broken in ("[1, 2]", "{", '{"a": 1}', '["x", null]'):
+        (tmp_path / "list" / "bad.txt").write_text(broken)
+        _, ok = tables.saved_block_list(spark, where)
+        assert not ok
+    assert verdicts(block_all=True) == {1: "blocked", 2: "blocked", 3: "rejected", 4: "low_quality"}
+
+
 def test_evaluation(spark):
     df = spark.createDataFrame([(1, 1, False), (1, 3, True), (2, 1, True), (3, 9, True), (4, 1, False)], "query int, place int, good boolean")
     assert {r.query: (r.first, r.hit1, r.hit5) for r in evaluate.hits(df, F.col("good")).collect()} == {1: (3, False, True), 2: (1, True, True), 3: (9, False, False), 4: (None, False, False)}

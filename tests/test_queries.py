@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from mnemolith.plans.queries import QUERIES, SQL
+from mnemolith.plans import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -68,6 +68,42 @@ def test_outbox_stream(spark, tmp_path):
     assert [r.id for r in read("dead").collect()] == ["2"] and read("quarantine").count() == 1
 
 
+def test_outbox_applies_each_event_once(spark, tmp_path):
+    """An id that comes again in a later file; a batch that runs twice; events that fail, up to the last attempt."""
+    out = str(tmp_path / "out")
+    line = lambda i, attempts=0: (json.dumps({"id": i, "ts": 1, "attempts": attempts}),)
+    lines = lambda *rows: spark.createDataFrame(list(rows), "value string")
+    read = lambda n: spark.read.parquet(f"{out}/{n}")
+    applied = []
+
+    def apply(events):
+        ids = [r.id for r in events.collect()]
+        applied.extend(i for i in ids if not i.startswith("bad"))
+        return events.where("id like 'bad%'").select("id", F.lit("no answer").alias("error"))
+
+    queue.apply_batch(lines(line("1"), line("bad1"), line("bad2", 4)), 0, out, apply)
+    queue.apply_batch(lines(line("1"), line("2"), ("broken {",)), 1, out, apply)
+    queue.apply_batch(lines(line("1"), line("2"), ("broken {",)), 1, out, apply)  # failed half-way before, say
+    assert sorted((r.id, r.batch) for r in read("events").collect()) == [("1", 0), ("2", 1)] and applied == ["1", "2", "2"]
+    assert [(r.id, r.attempts) for r in read("retry").collect()] == [("bad1", 1)] and [(r.id, r.attempts) for r in read("dead").collect()] == [("bad2", 5)]
+    assert sorted((r.batch, r.applied, r.retry, r.dead, r.quarantine) for r in queue.sync_status(spark, out).collect()) == [(0, 1, 1, 1, 0), (1, 1, 0, 0, 1)]
+    queue.requeue(spark, out, 0, str(tmp_path / "again"))
+    queue.apply_batch(spark.read.text(str(tmp_path / "again")), 2, out)
+    assert [(r.id, r.attempts) for r in read("events").where("batch = 2").collect()] == [("bad1", 1)]
+
+
+def test_seeds_and_payloads_go(spark):
+    seeds = spark.createDataFrame([("s1", "ana", ["1", "2"]), ("s2", None, ["3"]), ("s3", "bia", None)], "id string, tenant string, memory_ids array<string>")
+    memories = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "id string")
+    left, kept = tables.without_seeds(seeds, memories, spark.createDataFrame([("s1",), ("s9",)], "id string"))
+    assert sorted(r.id for r in left.collect()) == ["s2", "s3"] and sorted(r.id for r in kept.collect()) == ["3", "4"]
+    assert sorted(r.id for r in tables.without_tenant_seeds(seeds, "ana").collect()) == ["s2", "s3"] and tables.without_tenant_seeds(seeds, "master").count() == 3
+    state = spark.createDataFrame([("1", 0.5, 3, "fact")], "id string, confidence double, relevance int, kind string")
+    new = spark.createDataFrame([("1", 7.0, 9.0), ("2", -1.0, 4.0)], "id string, confidence double, relevance double")
+    assert sorted(tuple(r) for r in tables.set_payload(state, new, ["confidence", "relevance"]).collect()) == [("1", 1.0, 3, "fact"), ("2", 0.0, 4, None)]
+    assert [tuple(r) for r in tables.clear_payload(state, spark.createDataFrame([("1",), ("no id",)], "id string"), ["relevance"]).collect()] == [("1", 0.5, None, "fact")]
+
+
 def test_limiter(spark):
     rnd = random.Random(1)
     t0 = dt.datetime(2024, 1, 1)
