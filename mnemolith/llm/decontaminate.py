@@ -150,6 +150,20 @@ def digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def sql(window: int = WINDOW) -> str:
+    """The same digest in DuckDB's SQL: windows of all lengths that items have are joined as strings."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} FROM documents), b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {words} FROM benchmark),
+i AS (SELECT item, w, least({window}, len(w)) AS k FROM b WHERE len(w) > 0), win AS (SELECT DISTINCT item, k, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM i)),
+dw AS (SELECT r, k, p, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT r, p, k, item FROM dw JOIN win USING (k, s)), cover AS (SELECT r, count(DISTINCT q)::BIGINT AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM hit) GROUP BY r),
+said AS (SELECT r, count(DISTINCT item)::BIGINT AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN cover USING (r) LEFT JOIN said USING (r)
+"""
+
+
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
     """The contract's rows by comparing every window with every place; for tests."""
     import re

@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scan": license_scan.sql()}
+    return {"op2_benchmark_decontamination": decontaminate.sql(), "op9_license_scan": license_scan.sql()}
