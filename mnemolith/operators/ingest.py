@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import graph
+from . import graph, pairs
 
 #: Fixed value: how many nodes a tenant may own.
 NODE_CAP = 500
@@ -82,7 +82,7 @@ def ingest(nodes: DataFrame, edges: DataFrame, events: DataFrame, *, blocked: Da
     """
     e, r = extracted(events, blocked=blocked, patterns=patterns)
     if cap is not None:
-        e, r = within_budget(nodes, e, r, cap)
+        e, r = within_budget(nodes, pairs._stored(e), pairs._stored(r), cap)
     # Ends that are not nodes and that no entity names before: only the first of them makes the node.
     first_entity = e.groupBy("id").agg(F.min("at").alias("named"))
     ends = _ends(r).join(nodes.select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct("at", "seen", "sources", "scope", "name")).alias("m"))

@@ -14,7 +14,8 @@ def set_pairs(rows: DataFrame, key: str, items: str, least: float, measure: str
     """i < j and their similarity (jaccard or dice of two sets), where it is at least `least` > 0.
 
     A pair shares an item among the first n - ceil(share * n) + 1 of each side in the order of rarity, so
-    only those items are joined; the overlap is then counted on whole sets. Pairs of empty sets are left out.
+    only those items are joined. What comes after a pair's last shared one bounds its overlap; for pairs that can
+    still reach it the overlap is counted on whole sets. Pairs of empty sets are left out.
     """
     if not least > 0:
         raise ValueError("the least similarity must be positive")
@@ -24,9 +25,12 @@ def set_pairs(rows: DataFrame, key: str, items: str, least: float, measure: str
     each = sets.select("i", F.explode("s").alias("x"))
     rarity = each.groupBy("x").agg(F.count("*").alias("df"))
     ranked = each.join(rarity, "x").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
-    prefix = ranked.select("i", F.explode(F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * F.lit(share) - 1e-9).cast("int") + 1)).alias("o"), F.size("o").alias("n")).select("i", F.col("o.x").alias("x"), "n")
-    other = prefix.select(F.col("i").alias("j"), "x", F.col("n").alias("m"))
-    near = prefix.join(other, "x").where(F.col("i") < F.col("j")).where((F.col("n") >= F.lit(share) * F.col("m") - 1e-9) & (F.col("m") >= F.lit(share) * F.col("n") - 1e-9)).select("i", "j").distinct()
+    prefix = ranked.select("i", F.size("o").alias("n"), F.posexplode(F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * F.lit(share) - 1e-9).cast("int") + 1)).alias("p", "o")).select("i", F.col("o.x").alias("x"), "n", (F.col("p") + 1).alias("p"))
+    other = prefix.select(F.col("i").alias("j"), "x", F.col("n").alias("m"), F.col("p").alias("q"))
+    met = prefix.join(other, "x").where(F.col("i") < F.col("j")).where((F.col("n") >= F.lit(share) * F.col("m") - 1e-9) & (F.col("m") >= F.lit(share) * F.col("n") - 1e-9))
+    met = met.groupBy("i", "j").agg(F.count("*").alias("c"), F.max("p").alias("p"), F.max("q").alias("q"), F.first("n").alias("n"), F.first("m").alias("m"))
+    wanted = (F.col("n") + F.col("m")) * F.lit(least / (1 + least) if measure == "jaccard" else least / 2)
+    near = met.where(F.col("c") + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= wanted - 1e-9).select("i", "j")
     both = near.join(sets, "i").join(sets.select(F.col("i").alias("j"), F.col("s").alias("t")), "j")
     overlap = F.size(F.array_intersect("s", "t"))
     total = F.size("s") + F.size("t")

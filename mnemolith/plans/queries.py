@@ -251,22 +251,29 @@ def tf_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.tf_cosine_pairs(one.select("id", text.terms(F.col("text")).alias("t")), "id", "t", 0.6).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""WITH RECURSIVE m AS (SELECT conv_id, conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CASE WHEN turn % 5 = 0 THEN '[Seed: Turn ' || turn % 2 || '] ' ELSE '' END || text AS memory FROM conversations),
+#: Documents as memories of their sources, every fifth with the title of a seed.
+SEEDED_SQL = "SELECT source, doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN '[Seed: Part ' || doc_id % 2 || '] ' ELSE '' END || coalesce(text, '') AS memory FROM documents"
+
+
+def seeded(spark: SparkSession, d: str) -> DataFrame:
+    seed = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("[Seed: Part "), (F.col("doc_id") % 2).cast("string"), F.lit("] "))).otherwise("")
+    return read(spark, d, "documents").select("source", F.col("doc_id").alias("id"), F.concat(seed, F.coalesce("text", F.lit(""))).alias("memory"))
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS n FROM ({SEEDED_SQL})),
 s AS (SELECT *, lower(trim(regexp_extract(memory, '^\\[Seed:\\s*(.+?)\\]', 1))) AS title, list_distinct(list_filter(string_split_regex(lower(memory), '\\s+'), lambda w: length(w) > 4)) AS w FROM m),
-near AS (SELECT a.conv_id, a.id AS i, list(b.id) AS js FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.id < b.id WHERE a.title = '' AND b.title = '' AND len(a.w) > 0 AND len(b.w) > 0 AND 2.0::DOUBLE * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) >= 0.1 GROUP BY 1, 2),
-turns AS (SELECT s.conv_id, s.n, s.id, coalesce(js, []) AS js FROM s LEFT JOIN near ON near.i = s.id),
-walk AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, []::BIGINT[] AS used, 0::BIGINT AS head, []::BIGINT[] AS got FROM s
-  UNION ALL SELECT t.conv_id, t.n, list_concat(used, CASE WHEN list_contains(used, t.id) THEN [] ELSE list_filter(t.js, lambda j: NOT list_contains(walk.used, j)) END), t.id,
-    CASE WHEN list_contains(used, t.id) THEN [] ELSE list_filter(t.js, lambda j: NOT list_contains(walk.used, j)) END FROM walk JOIN turns t ON t.conv_id = walk.conv_id AND t.n = walk.n + 1),
+e AS (SELECT source, id, len(w) AS n, unnest(w) AS x FROM s WHERE title = ''), both AS (SELECT a.source, a.id AS i, b.id AS j, a.n + b.n AS n, count(*) AS c FROM e a JOIN e b ON a.source = b.source AND a.x = b.x AND a.id < b.id GROUP BY ALL),
+near AS (SELECT source, i, list(j) AS js FROM both WHERE 2.0::DOUBLE * c / n >= {P.TOPIC_DICE} GROUP BY 1, 2),
+turns AS (SELECT s.source, s.n, s.id, coalesce(js, []) AS js FROM s LEFT JOIN near ON near.i = s.id AND near.source = s.source),
+walk AS (SELECT DISTINCT source, 0::BIGINT AS n, []::BIGINT[] AS used, 0::BIGINT AS head, []::BIGINT[] AS got FROM s
+  UNION ALL SELECT t.source, t.n, list_concat(used, CASE WHEN list_contains(used, t.id) THEN [] ELSE list_filter(t.js, lambda j: NOT list_contains(walk.used, j)) END), t.id,
+    CASE WHEN list_contains(used, t.id) THEN [] ELSE list_filter(t.js, lambda j: NOT list_contains(walk.used, j)) END FROM walk JOIN turns t ON t.source = walk.source AND t.n = walk.n + 1),
 star AS (SELECT 'topic:' || head AS grp, unnest(list_append(got, head)) AS id FROM walk WHERE len(got) > 0),
-seed AS (SELECT 'seed:' || conv_id || ':' || title AS grp, id, count(*) OVER (PARTITION BY conv_id, title) AS c FROM s WHERE title <> '')
+seed AS (SELECT 'seed:' || source || ':' || title AS grp, id, count(*) OVER (PARTITION BY source, title) AS c FROM s WHERE title <> '')
 SELECT grp, id FROM star UNION ALL SELECT grp, id FROM seed WHERE c > 1""")
 def topic_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of each conversation that are about one topic."""
-    c = read(spark, d, "conversations")
-    seed = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("[Seed: Turn "), (F.col("turn") % 2).cast("string"), F.lit("] "))).otherwise("")
-    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", F.concat(seed, "text").alias("memory"))
-    return hygiene.topic_groups(rows, least=0.1, scope_col="conv_id")
+    """Documents of each source that are about one topic."""
+    return hygiene.topic_groups(seeded(spark, d), scope_col="source")
 
 
 @query("""WITH p AS (SELECT DISTINCT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
@@ -424,7 +431,14 @@ def entity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return graph.similar_entities(nodes, 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS (SELECT p_name AS id, count(*) AS mentions FROM part GROUP BY 1), b AS (SELECT id, mentions, {_BIG.format('id')} AS g FROM m),
+p AS (SELECT a.id AS i, c.id AS j, CASE WHEN a.mentions >= c.mentions THEN c.id ELSE a.id END AS lost FROM b a JOIN b c ON a.id < c.id WHERE CASE WHEN contains(a.id, c.id) OR contains(c.id, a.id) THEN 0.8 ELSE 2.0::DOUBLE * len(list_intersect(a.g, c.g)) / (len(a.g) + len(c.g)) END >= 0.5),
+turns AS (SELECT i, coalesce(list(j) FILTER (lost = j), []) AS lose, coalesce(list(j) FILTER (lost = i), []) AS win, row_number() OVER (ORDER BY i) AS k FROM p GROUP BY i),
+walk AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS gone, ''::VARCHAR AS turn_of, []::VARCHAR[] AS got
+  UNION ALL SELECT k, list_concat(gone, got), i, got FROM (SELECT t.k, walk.gone, t.i, CASE WHEN list_contains(walk.gone, t.i) THEN [] ELSE list_concat(list_filter(t.lose, lambda j: NOT list_contains(walk.gone, j)), CASE WHEN len(list_filter(t.win, lambda j: NOT list_contains(walk.gone, j))) > 0 THEN [t.i] ELSE [] END) END AS got FROM walk JOIN turns t ON t.k = walk.k + 1)),
+removed AS (SELECT unnest(got) AS node, turn_of FROM walk), into_ AS (SELECT node, min(CASE WHEN lost = j THEN i ELSE j END) AS into_id FROM removed JOIN p ON lost = node AND i = turn_of GROUP BY node),
+chain AS (SELECT node, into_id, 0 AS step FROM into_ UNION ALL SELECT chain.node, n.into_id, step + 1 FROM chain JOIN into_ n ON n.node = chain.into_id WHERE chain.node <> n.into_id AND step < 100)
+SELECT node AS duplicate, into_id AS canonical FROM chain WHERE into_id NOT IN (SELECT node FROM into_)""")
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Part names merged at 0.5, with their orders as edges; tests hold it against the pass one by one."""
     p = read(spark, d, "part")
@@ -489,7 +503,16 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
 # Documents and pages.
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents), g AS (SELECT row, unnest(string_split_regex(coalesce(text, ''), '\n\n+')) AS t, generate_subscripts(string_split_regex(coalesce(text, ''), '\n\n+'), 1) AS p FROM d),
+x AS (SELECT row, p, 0 AS q, t, chr(10) || chr(10) AS after_, false AS long FROM g WHERE length(t) <= 8000
+  UNION ALL SELECT row, p, unnest(range(1, len(s) + 1)), unnest(s), ' ', true FROM (SELECT row, p, CASE WHEN len(regexp_extract_all(t, '[^.!?]+[.!?]+')) > 0 THEN regexp_extract_all(t, '[^.!?]+[.!?]+') ELSE [t] END AS s FROM g WHERE length(t) > 8000)
+  UNION ALL SELECT row, 1000000000, 1, NULL, '', true FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY p, q) AS k FROM x),
+walk AS (SELECT row, 0::BIGINT AS k, '' AS have, NULL::VARCHAR AS made FROM d
+  UNION ALL SELECT row, k, CASE WHEN f AND t IS NOT NULL THEN t || after_ WHEN f THEN '' WHEN have <> '' AND t IS NOT NULL AND length(have) + length(t) > 8000 THEN t || after_ ELSE have || coalesce(t || after_, '') END,
+    CASE WHEN f OR (have <> '' AND t IS NOT NULL AND length(have) + length(t) > 8000) THEN regexp_replace(have, '^\s+|\s+$', '', 'g') END
+  FROM (SELECT n.row, n.k, n.t, n.after_, walk.have, n.long AND n.q = 1 AND regexp_replace(walk.have, '^\s+|\s+$', '', 'g') <> '' AS f FROM walk JOIN n ON n.row = walk.row AND n.k = walk.k + 1))
+SELECT doc_id, (row_number() OVER (PARTITION BY row ORDER BY k) - 1)::INT AS chunk, length(made)::INT AS n_chars FROM walk JOIN d USING (row) WHERE made IS NOT NULL""")
 def chunked_documents(spark: SparkSession, d: str) -> DataFrame:
     return documents.chunk_text(read(spark, d, "documents")).select("doc_id", "chunk", F.length("text").alias("n_chars"))
 

@@ -9,7 +9,7 @@ from ..functions import patterns as P
 from ..functions import scoring
 from ..operators import consolidation, evaluate, hygiene, ingest, lifecycle, partitions
 from ..sources import tables
-from .queries import CENTROID_SQL, GRAPH_SQL, NOW_SQL, SQL, STATE_SQL, TEXTS_SQL, _members, memory_state, now, place_edges, place_nodes, query, read, texts
+from .queries import CENTROID_SQL, GRAPH_SQL, SEEDED_SQL, SQL, STATE_SQL, TEXTS_SQL, _members, memory_state, now, place_edges, place_nodes, query, read, seeded, texts
 
 # The graph.
 
@@ -102,22 +102,13 @@ def clean_candidates(spark: SparkSession, d: str) -> DataFrame:
     return consolidation.clean_candidates(_dated(spark, d), now()).select("id", "days_old", F.col("quality").cast("int").alias("quality"))
 
 
-_CONV_SQL = "SELECT conv_id * 1000 + turn AS id, conv_id, turn, CASE WHEN turn % 5 = 0 THEN '[Seed: Turn ' || turn % 2 || '] ' ELSE '' END || text AS memory FROM conversations"
-
-
-def _fragments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    seed = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("[Seed: Turn "), (F.col("turn") % 2).cast("string"), F.lit("] "))).otherwise("")
-    m = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("id"), F.lpad((F.col("conv_id") * 1000 + F.col("turn")).cast("string"), 12, "0").alias("key"), F.col("conv_id").cast("string").alias("scope"), F.concat(seed, "text").alias("memory"))
-    m = m.select(F.col("key").alias("id"), "scope", "memory")
-    return m, consolidation.fragments(m, least=0.1)
-
-
-@query(f"""WITH g AS ({SQL["topic_groups"]}), m AS ({_CONV_SQL}), busy AS (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) >= 4),
-f AS (SELECT grp, conv_id, count(*) AS n, 'Decided: ' || string_agg(memory, chr(10) || '- ' ORDER BY id) AS merged FROM g JOIN m USING (id) WHERE conv_id IN (SELECT conv_id FROM busy) GROUP BY 1, 2)
-SELECT conv_id::VARCHAR AS scope, n::INT AS fragments, CASE WHEN n % 3 = 0 THEN 'no answer' WHEN length(merged) > 20 AND ({scoring.memory_quality_sql('merged')}) >= {P.MIN_MEMORY_QUALITY} THEN 'merged' ELSE 'rejected' END AS outcome FROM f""")
+@query(f"""WITH g AS ({SQL["topic_groups"]}), m AS ({SEEDED_SQL}), busy AS (SELECT source FROM documents GROUP BY 1 HAVING count(*) >= 4),
+f AS (SELECT grp, source, count(*) AS n, 'Decided: ' || string_agg(memory, chr(10) || '- ' ORDER BY id) AS merged FROM g JOIN m USING (id) WHERE source IN (SELECT source FROM busy) GROUP BY 1, 2)
+SELECT source AS scope, n::INT AS fragments, CASE WHEN n % 3 = 0 THEN 'no answer' WHEN length(merged) > 20 AND ({scoring.memory_quality_sql('merged')}) >= {P.MIN_MEMORY_QUALITY} THEN 'merged' ELSE 'rejected' END AS outcome FROM f""")
 def consolidated(spark: SparkSession, d: str) -> DataFrame:
-    """What becomes of each conversation's topics when a provider joins their turns; it gives no answer for every third size."""
-    m, groups = _fragments(spark, d)
+    """What becomes of each source's topics when a provider joins their texts; it gives no answer for every third size."""
+    m = seeded(spark, d).select(F.lpad(F.col("id").cast("string"), 18, "0").alias("id"), F.col("source").alias("scope"), "memory")
+    groups = consolidation.fragments(m)
     answers = groups.select("grp", F.when(F.size("ids") % 3 != 0, F.concat(F.lit("Decided: "), "fragments")).alias("merged"))
     _, _, audit = consolidation.consolidate(m, groups, answers, now())
     return audit.select("scope", F.col("fragments").cast("int").alias("fragments"), "outcome")
