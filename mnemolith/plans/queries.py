@@ -169,11 +169,11 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_lower(df: DataFrame) -> DataFrame:
-    """Lower case once for all patterns. The patterns are what takes time, so a table of a few files only is dealt over
-    all cores; one of many files is not shuffled.
+    """Lower case once for all patterns. The patterns are what takes time, so a table of a few files only, whose splits
+    are uneven, is dealt over all cores; one of many files is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return (df.repartition(cores) if df.rdd.getNumPartitions() < cores else df).withColumn("l", F.lower("t"))
+    return (df.repartition(cores) if df.rdd.getNumPartitions() < 4 * cores else df).withColumn("l", F.lower("t"))
 
 
 @query(f"WITH {TEXTS_SQL} SELECT id, ({scoring.actionability_sql('t')})::INT AS actionability, ({scoring.memory_quality_sql('t')})::INT AS quality, ({scoring.fact_quality_sql('t')})::INT AS fact_quality FROM texts")
@@ -262,8 +262,8 @@ def seeded(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS n FROM ({SEEDED_SQL})),
 s AS (SELECT *, lower(trim(regexp_extract(memory, '^\\[Seed:\\s*(.+?)\\]', 1))) AS title, list_distinct(list_filter(string_split_regex(lower(memory), '\\s+'), lambda w: length(w) > 4)) AS w FROM m),
-e AS (SELECT source, id, len(w) AS n, unnest(w) AS x FROM s WHERE title = ''), both AS (SELECT a.source, a.id AS i, b.id AS j, a.n + b.n AS n, count(*) AS c FROM e a JOIN e b ON a.source = b.source AND a.x = b.x AND a.id < b.id GROUP BY ALL),
-near AS (SELECT source, i, list(j) AS js FROM both WHERE 2.0::DOUBLE * c / n >= {P.TOPIC_DICE} GROUP BY 1, 2),
+e AS (SELECT source, id, len(w) AS n, unnest(w) AS x FROM s WHERE title = ''), shared AS (SELECT a.source, a.id AS i, b.id AS j, a.n + b.n AS n, count(*) AS c FROM e a JOIN e b ON a.source = b.source AND a.x = b.x AND a.id < b.id GROUP BY ALL),
+near AS (SELECT source, i, list(j) AS js FROM shared WHERE 2.0::DOUBLE * c / n >= {P.TOPIC_DICE} GROUP BY 1, 2),
 turns AS (SELECT s.source, s.n, s.id, coalesce(js, []) AS js FROM s LEFT JOIN near ON near.i = s.id AND near.source = s.source),
 walk AS (SELECT DISTINCT source, 0::BIGINT AS n, []::BIGINT[] AS used, 0::BIGINT AS head, []::BIGINT[] AS got FROM s
   UNION ALL SELECT t.source, t.n, list_concat(used, CASE WHEN list_contains(used, t.id) THEN [] ELSE list_filter(t.js, lambda j: NOT list_contains(walk.used, j)) END), t.id,
