@@ -19,7 +19,11 @@ verified exactly. Not all pairs of a band are made, yet none is lost:
 - in each band all texts are compared with one center, the text whose bands have most members; then
   only pairs of the band that lie in different components so far and that can still be similar by
   what each has besides the center and lacks of it (kept as bitmaps, which bound both from the safe
-  side).
+  side);
+- in a band with more than CROWDED such texts they are not paired with each other: a text of n
+  shingles with more than n / 5 besides the center can only be similar to one that shares some of these,
+  one of its first n / 5 + 1 by hash among them, so they meet by those; only texts that lie within the
+  center but for so many, being much smaller, are still paired among themselves.
 
 Classes are the connected components, found by repeated minimum and pointer jumping over tables
 in the shared folder; nothing but counts reaches the driver. A group's members meet neither in one
@@ -46,6 +50,8 @@ from .common import Stored, free_name
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
+#: Members of a band, unlike its center, above which they are not paired with each other.
+CROWDED = 64
 
 
 def shingles(block: tb.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,7 +235,8 @@ def _bitmap(values: np.ndarray) -> list[int]:
 
 
 def _compared(batches):
-    """Of each pair the size of x, what both have, whether it holds, and bitmaps of what y has besides x and lacks of it.
+    """Of each pair the size of x, what both have, whether it holds, bitmaps of what y has besides x and lacks of it, and
+    the first shingles that y has besides x, as many as a text like y must share one of.
 
     The rows of x come in a row, its own text first (y null), whose shingles are kept meanwhile.
     """
@@ -251,15 +258,21 @@ def _compared(batches):
                     continue
                 shared = np.isin(mine, have, assume_unique=True)
                 both = int(shared.sum())
-                rows.append((len(have), both, both >= SIMILARITY * (len(have) + len(mine) - both), _bitmap(mine[~shared]), _bitmap(have[~np.isin(have, mine, assume_unique=True)])))
-        nx, both, holds, more, less = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+                besides = mine[~shared]
+                first = besides[: int((1 - SIMILARITY) * len(mine) + 1e-9) + 1]
+                rows.append((len(have), both, both >= SIMILARITY * (len(have) + len(mine) - both), _bitmap(besides), _bitmap(have[~np.isin(have, mine, assume_unique=True)]), first.view(np.int64).tolist()))
+        nx, both, holds, more, less, first = zip(*rows, strict=True) if rows else ((), (), (), (), (), ())
         others = pa.array(~own)
-        yield pa.RecordBatch.from_arrays([x.filter(others), y.filter(others), pa.array(nx, pa.int64()), pa.array(both, pa.int64()), pa.array(holds, pa.bool_()), pa.array(more, longs), pa.array(less, longs)], names=["x", "y", "nx", "both", "holds", "more", "less"])
+        yield pa.RecordBatch.from_arrays([x.filter(others), y.filter(others), pa.array(nx, pa.int64()), pa.array(both, pa.int64()), pa.array(holds, pa.bool_()), pa.array(more, longs), pa.array(less, longs), pa.array(first, longs)], names=["x", "y", "nx", "both", "holds", "more", "less", "first"])
+
+
+def _can_be_similar(n, u, m, v):
+    """By their own shingles (u of n, v of m) a pair can have the similarity."""
+    return F.least(n - u, m - v) >= SIMILARITY * F.greatest(n + v, m + u)
 
 
 def _bound(a: str, b: str):
-    """By their own shingles, the pair can have the similarity."""
-    return F.least(F.col(f"{a}.n") - F.col(f"{a}.u"), F.col(f"{b}.n") - F.col(f"{b}.u")) >= SIMILARITY * F.greatest(F.col(f"{a}.n") + F.col(f"{b}.u"), F.col(f"{b}.n") + F.col(f"{a}.u"))
+    return _can_be_similar(*(F.col(f"{x}.{c}") for x in (a, b) for c in "nu"))
 
 
 def _bound_by_center():
@@ -275,6 +288,23 @@ def _bound_by_center():
     return (1 + SIMILARITY) * both >= SIMILARITY * (F.col("p.n") + F.col("q.n"))
 
 
+def open_pairs(members: DataFrame, crowded: int) -> DataFrame:
+    """x, y of a band (members: band, label, node, n, u, p, within, first) with different labels that can be similar; each once."""
+    big = members.groupBy("band").agg(F.count("*").alias("c")).where(F.col("c") > crowded).select("band")
+    both = (F.col("p.node").alias("x"), F.col("q.node").alias("y"))
+
+    def among(rows: DataFrame) -> DataFrame:
+        pairs = rows.select("band", "label", "p").join(rows.select("band", F.col("label").alias("label_q"), F.col("p").alias("q")), "band")
+        return pairs.where("p.node < q.node and label <> label_q").where(_bound("p", "q")).where(_bound_by_center()).select(*both)
+
+    few = members.join(big, "band", "left_anti")
+    many = members.join(big, "band", "left_semi")
+    each = many.select("band", "label", "within", F.col("node").alias("x"), "n", "u", F.explode("first").alias("s"))
+    other = each.select("band", "s", F.col("label").alias("label_q"), F.col("within").alias("within_q"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("u").alias("v"))
+    met = each.join(other, ["band", "s"]).where("x < y and label <> label_q and not (within and within_q)").where(_can_be_similar(*map(F.col, "numv"))).select("x", "y")
+    return among(few).union(among(many.where("within"))).union(met).distinct()
+
+
 def components(links: DataFrame, store: Stored) -> DataFrame:
     """node and label (the smallest node of its component) for every node of the links x, y."""
     both = store.write(links.select("x", "y").union(links.select(F.col("y"), F.col("x"))).distinct())
@@ -298,7 +328,7 @@ def with_nodes(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     return docs.withColumn(name, F.when(F.length(text) > 0, F.unhex(F.substring(F.sha2(text, 256), 1, 32))))
 
 
-def labels_of_texts(docs: DataFrame, text_col: str, store: Stored) -> DataFrame:
+def labels_of_texts(docs: DataFrame, text_col: str, store: Stored, crowded: int = CROWDED) -> DataFrame:
     """node and label for every text that is linked to a different one."""
     text = F.col(f"`{text_col}`").cast("string")
     made = store.write(docs.select(text.alias("t")).where("t <> ''").mapInArrow(_band_rows, "band bigint, short bigint, node binary"))
@@ -325,7 +355,7 @@ def labels_of_texts(docs: DataFrame, text_col: str, store: Stored) -> DataFrame:
         first = shares.join(texts, F.col("x") == F.col("node")).select("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("share"), F.lit(None).cast("binary").alias("y"), "t")
         rest = pairs.join(shares, "x").select("x", F.pmod(F.xxhash64("y"), "n").alias("share"), "y").join(texts, F.col("y") == F.col("node")).select("x", "share", "y", "t")
         rows = first.union(rest).repartition("x", "share").sortWithinPartitions("x", "share", F.asc_nulls_first("y")).select("x", "y", "t")
-        return rows.mapInArrow(_compared, "x binary, y binary, nx bigint, both bigint, holds boolean, more array<bigint>, less array<bigint>")
+        return rows.mapInArrow(_compared, "x binary, y binary, nx bigint, both bigint, holds boolean, more array<bigint>, less array<bigint>, first array<bigint>")
 
     # The center of a band is the text whose bands have most members altogether.
     crowd = member2.groupBy("band").agg(F.count("*").alias("members"))
@@ -340,33 +370,33 @@ def labels_of_texts(docs: DataFrame, text_col: str, store: Stored) -> DataFrame:
     placed = spokes.join(label.select(F.col("node").alias("k"), "label"), F.col("m.node") == F.col("k"), "left").select("band", "m", "x", F.coalesce("label", "m.node").alias("label"))
     placed = store.write(placed)
     split = placed.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("band")
-    facts = stars.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "nx", "both", "more", "less")
+    facts = stars.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "nx", "both", "more", "less", "first")
     open_ = placed.join(split, "band", "left_semi").join(facts, (F.col("x") == F.col("sx")) & (F.col("m.node") == F.col("sy")))
     besides = F.col("m.n") - F.col("both")
     set_bits = sum((F.bit_count(F.col("more")[k]) for k in range(1, LONGS)), F.bit_count(F.col("more")[0]))
-    member3 = open_.select("band", "label", F.struct("m.node", "m.n", "m.u", "nx", "more", "less", (besides - set_bits).alias("extra")).alias("p"))
-    rest = member3.join(member3.select("band", F.col("label").alias("label_q"), F.col("p").alias("q")), "band")
-    rest = rest.where("p.node < q.node and label <> label_q").where(_bound("p", "q")).where(_bound_by_center()).select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).distinct()
+    within = besides <= F.floor(F.col("m.n") * F.lit(1 - SIMILARITY) + 1e-9)
+    member3 = store.write(open_.select("band", "label", "m.node", "m.n", "m.u", F.struct("m.node", "m.n", "m.u", "nx", "more", "less", (besides - set_bits).alias("extra")).alias("p"), within.alias("within"), "first"))
+    rest = open_pairs(member3, crowded)
     tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     second = store.write(compare(rest.join(tried, ["x", "y"], "left_anti")).where("holds").select("x", "y"))
     if second.limit(1).count():
         label = components(first.union(second), store)
-    store.drop(texts, member2, spokes, placed, stars, second, *written)
+    store.drop(texts, member2, spokes, placed, stars, second, member3, *written)
     return label
 
 
-def labelled_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def labelled_rows(docs: DataFrame, id_col: str, text_col: str, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
     """id, node and label of each row (label null where there is no text), and of each label the id and node that stay."""
-    label = labels_of_texts(docs, text_col, Stored(docs.sparkSession))
+    label = labels_of_texts(docs, text_col, Stored(docs.sparkSession), crowded)
     rows = with_nodes(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")), "t", "node").drop("t")
     rows = rows.join(label.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("id", "node", F.coalesce("label", "node").alias("label"))
     winner = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "node")).alias("w"))
     return rows, winner.select(F.col("label").alias("l2"), "w")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """One row a row of docs: the id, class_id and kept (the row with the class's smallest id)."""
-    rows, winner = labelled_rows(docs, id_col, text_col)
+    rows, winner = labelled_rows(docs, id_col, text_col, crowded)
     out = rows.join(winner, F.col("label") == F.col("l2"), "left")
     alone = F.col("label").isNull()
     return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("w.id")).alias("class_id"), (alone | (F.col("id").eqNullSafe(F.col("w.id")) & (F.col("node") == F.col("w.node")))).alias("kept"))

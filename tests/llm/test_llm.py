@@ -313,6 +313,51 @@ def test_copies_with_a_repeated_line_are_linked(spark):
     assert {r.doc_id: r.class_id for r in rows} == {i: i - i % 2 for i in range(48)}
 
 
+def test_crowded_bands_lose_no_link(spark):
+    """Texts of one template, most of them unlike it and each other; whatever meets, however they are joined."""
+    rnd = random.Random(31)
+    base = [f"w{rnd.randrange(10**9)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(25):
+        own = base[:]
+        a = rnd.randrange(0, 100)
+        own[a : a + 30] = [f"v{rnd.randrange(10**9)}" for _ in range(30)]
+        texts.append(" ".join(own))
+        for _ in range(rnd.randrange(3)):
+            near = own[:]
+            near[rnd.randrange(150)] = f"u{rnd.randrange(10**9)}"
+            texts.append(" ".join(near))
+        texts.append(" ".join(own[: rnd.randrange(90, 118)]))  # within the center but for some
+    want = dict(enumerate(classes(texts)))
+    for crowded in (0, 10**9):
+        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, texts), crowded=crowded).collect()}
+        assert got == want
+    assert len(set(want.values())) > 20
+
+
+def test_pairs_that_meet_by_what_is_besides_the_center(spark):
+    """No similar pair of a crowded band is missed, by all pairs of sets around one center."""
+    rnd = random.Random(12)
+    center = set(range(300))
+    sets = []
+    for _ in range(60):
+        s = set(rnd.sample(sorted(center), rnd.randrange(60, 290))) | set(rnd.sample(range(1000, 1400), rnd.randrange(0, 120)))
+        sets += [s, (s - set(rnd.sample(sorted(s), len(s) // 20))) | set(rnd.sample(range(1000, 1400), len(s) // 25))]
+    rows = []
+    for i, s in enumerate(sets):
+        besides = np.array(sorted(s - center), np.uint64)
+        both = len(s & center)
+        first = besides[: int(0.2 * len(s) + 1e-9) + 1].tolist()
+        more, less = near_dedup._bitmap(besides), near_dedup._bitmap(np.array(sorted(center - s), np.uint64))
+        extra = len(s) - both - sum(bin(x & (2**64 - 1)).count("1") for x in more)
+        rows.append((7, bytes([i]), (bytes([i]), len(s), 0, 300, more, less, extra), len(s) - both <= int(0.2 * len(s) + 1e-9), [int(x) for x in first]))
+    df = spark.createDataFrame([(*r[:2], *r[2][:3], *r[2:]) for r in rows], "band bigint, label binary, node binary, n bigint, u bigint, p struct<node: binary, n: bigint, u: bigint, nx: bigint, more: array<bigint>, less: array<bigint>, extra: bigint>, within boolean, first array<bigint>")
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    for crowded in (0, 1000):
+        got = {(r.x[0], r.y[0]) for r in near_dedup.open_pairs(df, crowded).collect()}
+        assert want <= got and len(want) > 20 and len(got) < len(sets) * (len(sets) - 1) / 2
+
+
 def test_registers_estimate_similarity():
     value = np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     doc = np.repeat([0, 1], 900)
