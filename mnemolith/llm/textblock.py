@@ -127,7 +127,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def blocks(docs: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, Block]]:
+def blocks(docs: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[int, Block]]:
     """The texts in their order, some at a time: at most `limit` bytes, or one text. With the first's index."""
     at, size = 0, 0
     for i, d in enumerate(docs):
