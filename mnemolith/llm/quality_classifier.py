@@ -8,9 +8,11 @@ corpus); expectation-maximisation over these patterns, without any true label, e
 each labeller votes which way on good texts and on several kinds of bad ones, and so every pattern's posterior of being
 good. The posteriors are the labels from which a linear scorer over hashed byte trigrams is
 trained, by logistic loss on at most SAMPLE texts (those with the smallest hashes of their
-digests). Every text gets the scorer's probability, and is kept at THRESHOLD or more unless the
-votes are sure that it is bad (posterior under VETO). No single word decides: hostile words count by
-their share of the text, and what such votes are worth is estimated like that of the others.
+digests). Every text gets the scorer's probability, and is kept if the scorer finds it good, alone
+and together with the votes: score >= 1/2, and the log odds of posterior and score add up to zero or
+more, which is score + posterior >= 1.
+No single word decides: hostile words count by their share of the text, and what such votes are
+worth is estimated like that of the others.
 
 Null, empty and word-less texts have no trigrams; they have size votes like others and the scorer's
 constant. Equal texts get equal results, whatever their ids. Without any text there is no row.
@@ -32,7 +34,6 @@ from . import textblock as tb
 from .quality_rules import SYMBOLS, duplicate_lines, per_byte, repeated_windows, word_hashes
 
 SAMPLE, BITS = 4000, 15
-THRESHOLD, VETO = 0.5, 0.02
 ROUNDS, EPOCHS, RATE = 60, 250, 0.15
 #: What is thought of a labeller beforehand, in shares of the corpus: bad and good votes on good texts, and on bad ones.
 PRIOR = ({0: 0.0005, 2: 0.2}, {0: 0.001, 2: 0.001})
@@ -233,6 +234,11 @@ def train(rows: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     return w, b
 
 
+def good_enough(posterior: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Whether good is likelier by the score and by both; a/(1-a) * b/(1-b) >= 1 where a + b >= 1."""
+    return (score >= 0.5) & (posterior + score >= 1)
+
+
 SCALE = 100.0
 #: Features of the sample's texts together; with very long texts it has fewer of them.
 MAX_FEATURES = 1 << 24
@@ -301,7 +307,7 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 z = np.bincount(doc, weights=w[bucket], minlength=len(block.docs)) * SCALE / np.maximum(n, 1) + const
                 p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
                 post = sent.value[pattern(v)]
-                parts.append((v, post, p, (p >= THRESHOLD) & (post >= VETO)))
+                parts.append((v, post, p, good_enough(post, p)))
             v, post, p, kept = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, len(LABELLERS)), int), np.zeros(0), np.zeros(0), np.zeros(0, bool))
             shown = pa.StructArray.from_arrays([pa.array(said[v[:, j]], pa.string()) for j in range(len(LABELLERS))], names=list(LABELLERS))
             yield pa.RecordBatch.from_arrays([b.column(0), shown, pa.array(post, pa.float64()), pa.array(p, pa.float64()), pa.array(kept, pa.bool_())], names=[id_col, "votes", "posterior", "score", "kept"])

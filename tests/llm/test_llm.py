@@ -91,6 +91,9 @@ def test_classifier_rows(spark, docs, nothing, texts):
     assert all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in out)
     same = {(r.score, r.kept) for r in out if r.doc_id == 0}
     assert len(same) == 1
+    assert all(r.kept == (r.score >= 0.5 and r.score + r.posterior >= 1) for r in out)
+    blank = {(r.score, r.posterior, r.votes.size) for r in out if not texts[r.doc_id]}
+    assert len(blank) == 1 and next(iter(blank))[2] == "bad"
     assert quality_classifier.classify(nothing).count() == 0
 
 
