@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import scoring
 
-#: About how many queries are sent to the executors at once, and how many are multiplied with rows at once.
-QUERY_BLOCK, TOGETHER, ROWS = 8192, 512, 4096
+#: Bytes of queries and of memories (eight for each element) that meet in one task; how many of them are multiplied at once.
+QUERY_BYTES, MEMORY_BYTES, TOGETHER, ROWS = 1 << 24, 1 << 27, 512, 4096
 
 
 def _by_size(vectors: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -38,46 +38,52 @@ def _best(query: np.ndarray, score: np.ndarray, who: np.ndarray, k: int) -> tupl
     return query[nth < k], score[nth < k], who[nth < k]
 
 
-def top_k(memories: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+def _extent(df: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of their vectors v; a vector without elements counts as one with one."""
+    r = df.agg(F.count("*").alias("n"), (8 * F.sum(F.greatest(F.coalesce(F.size("v"), F.lit(0)), F.lit(1)))).alias("b")).first()
+    return r.n, r.b or 0
+
+
+def top_k(memories: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding", query_bytes: int = QUERY_BYTES, memory_bytes: int = MEMORY_BYTES) -> DataFrame:
     """For each query the k memories with the greatest cosine: query, id, score, rank from 1.
 
-    queries has the same columns as memories. They go to the executors in blocks by the hash of their ids, each of about
-    `block` vectors, whatever their number; each task multiplies them with its own vectors and sends its best k of each
-    query, which a window over the query merges. Vectors that are null, empty, zero or of another length score 0; so do
-    null elements. Ids must be whole numbers; a query's id that stands twice is asked once.
+    queries has the same columns as memories. Both are dealt into blocks of about query_bytes and memory_bytes; each block
+    of queries meets each block of memories in one task, which multiplies them and sends its best k of each query, and a
+    window over the query merges those. Nothing but sizes reaches the driver. A memory's block depends on its id and its
+    partition, so that an id that stands very often is dealt over many. Vectors that are null, empty, zero or of another
+    length score 0; so do null elements. Ids must be whole numbers; a query's id that stands twice is asked once.
     """
-    spark = memories.sparkSession
-    asked = queries.select(F.col(id_col).cast("bigint").alias("q"), F.col(vector_col).cast("array<double>").alias("v")).where("q is not null").dropDuplicates(["q"])
-    n_blocks = max(1, -(-asked.count() // block))
-    rows = memories.select(F.col(id_col).cast("bigint").alias("i"), F.col(vector_col).cast("array<double>").alias("v")).where("i is not null")
-    parts: list[DataFrame] = []
-    for number in range(n_blocks):
-        table = asked.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == number).toArrow()
-        sent = spark.sparkContext.broadcast((table["q"].to_numpy(), _by_size(table["v"])))
-
-        def run(batches, sent=sent):
-            ids, groups = sent.value
-            best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-            for b in batches:
-                for at in range(0, b.num_rows, ROWS):
-                    own, vectors = b.column(0).slice(at, ROWS).to_numpy(zero_copy_only=False), _by_size(b.column(1).slice(at, ROWS))
-                    for size, (which, unit) in groups.items():
-                        for a in range(0, len(which), TOGETHER):
-                            some = which[a : a + TOGETHER]
-                            scores = np.zeros((len(some), len(own)))
-                            if size and size in vectors:
-                                mine, v = vectors[size]
-                                scores[:, mine] = unit[a : a + TOGETHER] @ v.T
-                            cut = np.partition(scores, len(own) - k, axis=1)[:, len(own) - k, None] if len(own) > k else -np.inf
-                            q, m = np.nonzero(scores >= cut)
-                            best = tuple(np.concatenate(x) for x in zip(best, _best(ids[some][q], scores[q, m], own[m], k), strict=True))
-                    best = _best(*best, k)
-            yield pa.RecordBatch.from_arrays([pa.array(best[0], pa.int64()), pa.array(best[2], pa.int64()), pa.array(best[1], pa.float64())], names=["query", "id", "score"])
-
-        parts.append(rows.mapInArrow(run, "query bigint, id bigint, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    kind = {f.name: f.dataType.simpleString() for f in memories.schema.fields}[vector_col]
+    kind = kind if kind == "array<float>" else "array<double>"
+    asked = queries.select(F.col(id_col).cast("bigint").alias("q"), F.col(vector_col).cast(kind).alias("v")).where("q is not null")
+    rows = memories.select(F.col(id_col).cast("bigint").alias("i"), F.col(vector_col).cast(kind).alias("v")).where("i is not null")
+    n_rows, size = _extent(rows)
+    across = 1 + _extent(asked)[1] // query_bytes
+    cores = memories.sparkSession.sparkContext.defaultParallelism
+    down = max(1 + size // memory_bytes, min(-(-n_rows // ROWS), -(-cores // across)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.dropDuplicates(["q"]).select("q", "v", F.pmod(F.xxhash64("q"), F.lit(across)).cast("int").alias("a"), every(down).alias("d"))
+    rows = rows.withColumn("d", F.pmod(F.xxhash64("i", F.spark_partition_id()), F.lit(down)).cast("int")).select("i", "v", every(across).alias("a"), "d")
+
+    def best_of(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        ids, groups = asked["q"].to_numpy(), _by_size(asked["v"])
+        best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        for at in range(0, rows.num_rows, ROWS):
+            own, vectors = rows["i"].slice(at, ROWS).to_numpy(), _by_size(rows["v"].slice(at, ROWS))
+            for width, (which, unit) in groups.items():
+                for first in range(0, len(which), TOGETHER):
+                    some = which[first : first + TOGETHER]
+                    scores = np.zeros((len(some), len(own)))
+                    if width and width in vectors:
+                        mine, v = vectors[width]
+                        scores[:, mine] = unit[first : first + TOGETHER] @ v.T
+                    cut = np.partition(scores, len(own) - k, axis=1)[:, len(own) - k, None] if len(own) > k else -np.inf
+                    q, m = np.nonzero(scores >= cut)
+                    best = tuple(np.concatenate(x) for x in zip(best, _best(ids[some][q], scores[q, m], own[m], k), strict=True))
+            best = _best(*best, k)
+        return pa.table({"query": pa.array(best[0], pa.int64()), "id": pa.array(best[2], pa.int64()), "score": pa.array(best[1], pa.float64())})
+
+    found = asked.groupBy("a", "d").cogroup(rows.groupBy("a", "d")).applyInArrow(best_of, "query bigint, id bigint, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -28,6 +28,10 @@ def test_top_k_is_exact(spark):
     rows = [(i, [float(x) for x in v[i]]) for i in range(300)] + [(300, None), (301, [1.0])]
     df = spark.createDataFrame(rows, "id bigint, embedding array<float>")
     got = recall.top_k(df, df.where("id % 50 = 5"), 7).orderBy("query", "rank").collect()
+    # Many blocks of either side find the same, and the same whether vectors are of floats or of doubles.
+    assert recall.top_k(df, df.where("id % 50 = 5"), 7, query_bytes=100, memory_bytes=1000).orderBy("query", "rank").collect() == got
+    wide = df.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert recall.top_k(wide, wide.where("id % 50 = 5").union(wide.where("id = 5")), 7, memory_bytes=3000).orderBy("query", "rank").collect() == got
     unit = np.nan_to_num(v.astype(np.float32).astype(float) / np.linalg.norm(v.astype(np.float32).astype(float), axis=1, keepdims=True))
     for q in range(5, 300, 50):
         s = [(-float(unit[q] @ unit[i]), i) for i in range(300)] + [(-0.0, 300), (-0.0, 301)]
