@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, language_crf, license_scan, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
+from . import bpe_codec, decontaminate, divergence, language_crf, license_scan, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
         op1_quality_classifier,
@@ -65,9 +69,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_suffix_dedup,
         op9_license_scan,
         op10_quality_rules,
+        op11_source_divergence,
     )
     return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.sql(), "op9_license_scan": license_scan.sql()}
+    return {"op2_benchmark_decontamination": decontaminate.sql(), "op9_license_scan": license_scan.sql(), "op11_source_divergence": divergence.sql()}
