@@ -21,6 +21,7 @@ language keeps none) and no term rows. Ties are broken by the item's UTF-8. Othe
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -119,10 +120,11 @@ class Trees:
         for left, right in reversed(self.children):
             k, places = np.concatenate((k, k)), np.concatenate((places, places))
             na, nb = np.concatenate((left[na], right[na])), np.concatenate((left[nb], right[nb]))
-            order = np.lexsort((nb, na, k))
-            k, na, nb, places = k[order], na[order], nb[order], places[order]
-            first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (na[1:] != na[:-1]) | (nb[1:] != nb[:-1]))))
-            k, na, nb, places = k[first], na[first], nb[first], np.add.reduceat(places, first)
+            key = (k * (int(na.max()) + 1) + na) * (int(nb.max()) + 1) + nb
+            order = np.argsort(key)
+            key, places = key[order], places[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            k, na, nb, places = k[order[first]], na[order[first]], nb[order[first]], np.add.reduceat(places, first)
         return k, self.leaves[na], self.leaves[nb], places
 
 
@@ -133,13 +135,18 @@ def price_pairs(trees: Trees, total: np.ndarray, terms: int, left: np.ndarray, r
     which = which.reshape(-1)
     a, b = np.unique(which[left]), np.unique(which[right])
     there, back = np.zeros((len(a), len(b)), np.int64), np.zeros((len(a), len(b)), np.int64)
+    same = np.array_equal(a, b)
     for i, x in enumerate(a):
-        k, ca, cb, places = trees.pairs_of_leaves(profile[x, 0], profile[b, 0])
+        # Within one tile a walk prices both ways, so that only later profiles are left.
+        to = b[i:] if same else b
+        k, ca, cb, places = trees.pairs_of_leaves(profile[x, 0], profile[to, 0])
         real = ca >= 0
-        p, q = shares(np.where(real, ca, 0), profile[x, 1], terms), shares(np.where(real, cb, 0), profile[b, 1][k], terms)
-        first = np.searchsorted(k, np.arange(len(b)))
-        there[i] = np.add.reduceat(np.where(real, cost(p, q), 0) * places, first)
-        back[i] = np.add.reduceat(np.where(real, cost(q, p), 0) * places, first)
+        p, q = shares(np.where(real, ca, 0), profile[x, 1], terms), shares(np.where(real, cb, 0), profile[to, 1][k], terms)
+        first = np.searchsorted(k, np.arange(len(to)))
+        there[i, len(b) - len(to) :] = np.add.reduceat(np.where(real, cost(p, q), 0) * places, first)
+        back[i, len(b) - len(to) :] = np.add.reduceat(np.where(real, cost(q, p), 0) * places, first)
+    if same:
+        there, back = np.triu(there) + np.triu(back, 1).T, np.triu(back) + np.triu(there, 1).T
     ia, ib = np.searchsorted(a, which[left]), np.searchsorted(b, which[right])
     return there[ia[:, None], ib[None, :]], back[ia[:, None], ib[None, :]]
 
@@ -222,7 +229,10 @@ def audit(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source"
     b = counts.where(F.col("term").isNotNull()).join(groups.select("lang", "source", "tile", "tiles", "blocks"), ["lang", "source"])
     b = b.select("*", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block")).select("*", every_tile)
     b = b.select("lang", "block", *tiles, "tile", "source", "term", "n", "total", F.lit(0).cast("bigint").alias("v"))
-    priced = a.unionAll(b).groupBy("lang", "block", "ti", "tj").applyInArrow(_price(top), _PRICED)
+    # By a number of parts: blocks are few bytes and much work, so that Spark must not put many into one task.
+    tasks = groups.groupBy("lang").agg(F.max(F.col("blocks") * F.col("tiles") * (F.col("tiles") + 1) / 2).alias("n")).agg(F.sum("n")).first()[0] or 1
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(tasks / 16))
+    priced = a.unionAll(b).repartition(parts, "lang", "block", "ti", "tj").groupBy("lang", "block", "ti", "tj").applyInArrow(_price(top), _PRICED)
     priced = store.write(priced)
     pairs = priced.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg((F.sum("value") + (F.max("v") - F.sum("m")) * F.max("zeros")).alias("value"))
     terms = priced.where("part = 'term'").select("lang", "source", "part", "item", "value")
