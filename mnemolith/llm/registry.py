@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, divergence, language_crf, license_scan, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
+from . import bpe_codec, decontaminate, divergence, language_crf, license_scan, near_dedup, quality_classifier, quality_rules, spelling, suffix_dedup, token_counts, token_output, url_filter
 from .common import table
 
 
@@ -57,6 +57,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
         op1_quality_classifier,
@@ -70,9 +78,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_license_scan,
         op10_quality_rules,
         op11_source_divergence,
+        op12_spelling_variants,
+        op13_token_output,
     )
     return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.sql(), "op9_license_scan": license_scan.sql(), "op11_source_divergence": divergence.sql()}
+    return {"op2_benchmark_decontamination": decontaminate.sql(), "op9_license_scan": license_scan.sql(), "op11_source_divergence": divergence.sql(), "op12_spelling_variants": spelling.sql()}
