@@ -26,6 +26,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,8 +158,8 @@ _PRICED = "part string, lang string, source string, item string, value bigint, m
 def _price(top: int):
     def run(t: pa.Table) -> pa.Table:
         """One block of two tiles: rows of groups (null term; n is the group's sum) and of counts."""
-        kind = pa.compute.is_null(t["term"])
-        groups, rows = t.filter(kind), t.filter(pa.compute.invert(kind))
+        kind = pc.is_null(t["term"])
+        groups, rows = t.filter(kind), t.filter(pc.invert(kind))
         names, tile = groups["source"].to_pylist(), groups["tile"].to_numpy()
         lang, v, whole = groups["lang"][0].as_py(), groups["v"][0].as_py(), groups["total"][0].as_py()
         total = groups["n"].to_numpy().astype(np.int64)

@@ -34,6 +34,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -157,7 +158,7 @@ def encoder(path: str) -> Encoder:
 
 def _slices(batch: pa.RecordBatch, column: int, limit: int):
     """Rows of a batch, some at a time: at most `limit` bytes of text or ids, or one row."""
-    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     at, n = 0, 0
     for i, x in enumerate(size):
         if i > at and n + x > limit:
@@ -202,7 +203,7 @@ def frequencies(counts: dict[int, int], precision: int = PRECISION) -> np.ndarra
         slots[by[0]] += left
     else:
         for i in by:  # the most frequent give what the rare ones took
-            take = min(-left, int(slots[i]) // 2)
+            take = min(-left, int(slots[i]) - 1)
             slots[i] -= take
             left += take
             if not left:
@@ -450,7 +451,7 @@ def read(spark: SparkSession, path: str, as_ids: bool = False, together: int = 6
                 decoded = unpack(b.column(1).to_pylist(), m)
                 texts = b.column(2)
                 at = texts.flatten()
-                n, owner = at.field("n").to_pylist(), pa.compute.list_parent_indices(texts).to_pylist()
+                n, owner = at.field("n").to_pylist(), pc.list_parent_indices(texts).to_pylist()
                 values, place, last = [], 0, -1
                 for length, k in zip(n, owner, strict=True):
                     if k != last:
@@ -458,7 +459,7 @@ def read(spark: SparkSession, path: str, as_ids: bool = False, together: int = 6
                     got = decoded[k][place : place + length].astype("<u4").tobytes()
                     values.append(got if as_ids else zlib.crc32(got))
                     place += length
-                parts = b.column(0).take(pa.compute.list_parent_indices(texts))
+                parts = b.column(0).take(pc.list_parent_indices(texts))
                 yield pa.RecordBatch.from_arrays([parts, *(at.field(c) for c in ("id", "row", "start", "n", "piece", "pieces")), pa.array(values, pa.binary() if as_ids else pa.int64())], names=["part", "id", "row", "start", "n", "piece", "pieces", "value"])
 
     pieces = blocks.select("part", "payload", "texts").mapInArrow(run, f"part int, id {kind}, row bigint, start bigint, n bigint, piece int, pieces int, value {'binary' if as_ids else 'bigint'}")
