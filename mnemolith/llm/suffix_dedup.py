@@ -10,14 +10,18 @@ difference-cover algorithm:
    equals. Equal windows elect at the same place, so they meet in the bucket of that hash. A place
    owns a run of neighbouring windows, whose tokens together are its stretch.
 2. A bucket with one stretch only is done: nothing repeats, or all of its windows do, if the same
-   stretch stands more than once. Of different stretches one each goes on, with its bytes.
+   stretch stands more than once. Stretches are the same if their 128-bit BLAKE2 digests are. Of
+   different stretches one each goes on, with its bytes.
 3. Whole buckets lie in one task, some at a time in one array. Triples at two of three places are
    sorted and named; the names' suffixes are sorted the same way, recursively, until names differ;
    the rest is sorted by first token and the rank that follows, and merged. A window is repeated if
-   its neighbour in the order has the same first `span` tokens; those are compared themselves.
+   its neighbour in the order has the same first `span` tokens; those are compared themselves (words
+   by their bytes).
 4. Buckets of more than `crowd` stretches would be too much for a task. Their windows are dealt by a
-   hash of all their tokens instead, into as many parts as their bytes ask for, repeated ones of a
-   task first put together; they are equal if two independent 64-bit hashes are.
+   fingerprint of all their tokens instead, into as many parts as their bytes ask for, repeated ones
+   of a task first put together: the values of the tokens' polynomial at two points modulo 2^61 - 1,
+   which are drawn anew for each run. Two different windows agree in both with a chance below 2^-104,
+   whatever the text is (sums modulo 2^64 agree on some regular patterns, and only elect places here).
 
 Only places (about one for 170 bytes or 22 words), the stretches of step 3 and, by their 128-bit
 digest, one copy of each text are shuffled. Nothing but a sum reaches the driver. Equal texts are
@@ -32,6 +36,7 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -82,6 +87,14 @@ class Tokens:
             self.lo, self.hi = block.start, block.end
             self.value = tb.BYTE_CASED[block.buf]
 
+    def contents(self, block: tb.Block) -> np.ndarray:
+        """A number for each token, the same for equal tokens only: bytes themselves, words by their order of appearance."""
+        if len(self.at) == len(block.buf):
+            return block.buf.astype(np.int64)
+        numbers: dict[bytes, int] = {}
+        buf = block.buf.tobytes()
+        return np.fromiter((numbers.setdefault(buf[a:z], len(numbers)) for a, z in zip(self.at.tolist(), self.till.tolist(), strict=True)), np.int64, len(self.at))
+
     def windows(self, span: int) -> tuple[np.ndarray, np.ndarray]:
         """First tokens of all windows, and how many each text has."""
         n = np.maximum(self.hi - self.lo - span + 1, 0)
@@ -178,7 +191,7 @@ def repeated(strings: list[bytes], unit: Unit, first: Sequence[int] | None = Non
     n = tok.hi - tok.lo
     k = len(strings)
     text = np.repeat(np.arange(k), n)
-    number = np.unique(tok.value, return_inverse=True)[1] if unit.words else block.buf.astype(np.int64)
+    number = tok.contents(block)
     s = np.empty(len(text) + k, np.int64)
     s[np.arange(len(text)) + text] = number[tb.ranges(tok.lo, n)] + k + 1
     s[np.cumsum(n) + np.arange(k)] = np.arange(1, k + 1)  # each string ends by a mark of its own
@@ -198,12 +211,12 @@ def repeated(strings: list[bytes], unit: Unit, first: Sequence[int] | None = Non
 
 
 def elected(tok: Tokens, unit: Unit) -> tuple[np.ndarray, ...]:
-    """The places that windows elect: text, first token of the first and of the last window, hash at the place, hash of the stretch."""
+    """The places that windows elect: text, first token of the first and of the last window, hash at the place."""
     n = len(tok.value)
     none = np.zeros(0, np.int64)
     width = unit.span - unit.gram + 1
     if n < unit.span:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     pre = tb.prefix(tok.value)
     at = np.arange(n - unit.gram + 1)
     gram = tb.Block.hashes(pre, at, at + unit.gram)
@@ -218,7 +231,60 @@ def elected(tok: Tokens, unit: Unit) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(s) else none
     lo, hi = s[new], s[np.concatenate((new[1:], [len(s)])) - 1] if len(s) else none
     doc = np.searchsorted(tok.lo, lo, "right") - 1
-    return doc, lo, hi, gram[place[new]], tb.Block.hashes(pre, lo, hi + unit.span)
+    return doc, lo, hi, gram[place[new]]
+
+
+def digests(buf: bytes, at: np.ndarray, till: np.ndarray, words: bool) -> np.ndarray:
+    """Two 64-bit numbers for each piece of buf; of words, white space between them doesn't count."""
+    pieces = (buf[a:z] for a, z in zip(at.tolist(), till.tolist(), strict=True))
+    if words:
+        pieces = (b" ".join(x.split()) for x in pieces)
+    return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in pieces]), "<u8").reshape(-1, 2)
+
+
+PRIME = (1 << 61) - 1
+_P, _HALF, _LOWER = np.uint64(PRIME), np.uint64(31), np.uint64((1 << 31) - 1)
+_SHIFT, _UNDER = np.uint64(30), np.uint64((1 << 30) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo PRIME."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of numbers below PRIME, modulo PRIME: by halves of 31 bits, as 2^61 is 1."""
+    ah, al, bh, bl = a >> _HALF, a & _LOWER, b >> _HALF, b & _LOWER
+    middle = ah * bl + al * bh
+    return _reduced(np.uint64(2) * ah * bh + (middle >> _SHIFT) + ((middle & _UNDER) << _HALF) + al * bl)
+
+
+_powers_of: dict[int, np.ndarray] = {}
+
+
+def powers_of(x: int, n: int) -> np.ndarray:
+    """x ** 0 .. x ** (n - 1) modulo PRIME; a process keeps those of its last points."""
+    have = _powers_of.get(x)
+    if have is None or len(have) < n:
+        out = np.ones(max(n, 1 << 16), np.uint64)
+        done = 1
+        while done < len(out):
+            k = min(done, len(out) - done)
+            out[done : done + k] = product(out[:k], np.uint64(pow(x, done, PRIME)))
+            done += k
+        if len(_powers_of) > 8:
+            _powers_of.clear()
+        _powers_of[x] = have = out
+    return have[:n]
+
+
+def fingerprints(values: np.ndarray, start: np.ndarray, span: int, point: int) -> np.ndarray:
+    """The polynomial of `span` values (below PRIME) from each start, at the point."""
+    terms = product(values, powers_of(point, len(values)))
+    high, low = np.cumsum(terms >> _HALF, dtype=np.uint64), np.cumsum(terms & _LOWER, dtype=np.uint64)
+    pre = np.concatenate(([np.uint64(0)], _reduced((high >> _SHIFT) + ((high & _UNDER) << _HALF) + _reduced(low))))
+    return product(_reduced(pre[start + span] + (_P - pre[start])), powers_of(pow(point, -1, PRIME), len(values))[start])
 
 
 def _pieces(d: bytes, units: Sequence[Unit]) -> Iterator[tuple[int, int, int]]:
@@ -237,7 +303,7 @@ def _pieces(d: bytes, units: Sequence[Unit]) -> Iterator[tuple[int, int, int]]:
                 yield 1 << u, a, min(a + PIECE + unit.span - 1, len(d))
 
 
-_PLACES = "unit int, bucket bigint, stretch bigint, node binary, lo bigint, till bigint, n int"
+_PLACES = "unit int, bucket bigint, stretch binary, node binary, lo bigint, till bigint, n int"
 
 
 def _places(units: Sequence[Unit]):
@@ -265,25 +331,27 @@ def _places(units: Sequence[Unit]):
                     offset.append(a)
             for at, block in tb.blocks(pieces, BLOCK):
                 m = len(block.docs)
-                pre = block.prefix()
+                pre, buf = block.prefix(), block.buf.tobytes()
                 node = pa.array(nodes[at : at + m], pa.binary())
                 shift = np.array(offset[at : at + m], np.int64) - block.start
                 kind = np.array(kinds[at : at + m])
                 for u, unit in enumerate(units):
                     tok = Tokens(block, unit, pre)
                     tok.hi = np.where(kind >> u & 1, tok.hi, tok.lo)
-                    doc, lo, hi, gram, stretch = elected(tok, unit)
+                    doc, lo, hi, gram = elected(tok, unit)
                     if not len(doc):
                         continue
                     gram = tb.mix(gram + np.uint64(u))
-                    lo, till = tok.at[lo] + shift[doc], tok.till[hi + unit.span - 1] + shift[doc]
-                    key = tb.mix(gram ^ tb.mix(stretch))
-                    order = np.argsort(key, kind="stable")
-                    first = np.flatnonzero(np.concatenate(([True], key[order[1:]] != key[order[:-1]])))
+                    lo, till = tok.at[lo], tok.till[hi + unit.span - 1]
+                    stretch = digests(buf, lo, till, unit.words)
+                    lo, till = lo + shift[doc], till + shift[doc]
+                    order = np.lexsort((stretch[:, 1], stretch[:, 0]))
+                    key = stretch[order]
+                    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
                     count = np.diff(np.concatenate((first, [len(order)])))
                     one = order[first]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(one), u, np.int32)), pa.array(gram[one].view(np.int64)), pa.array(stretch[one].view(np.int64)), node.take(pa.array(doc[one])), pa.array(lo[one]), pa.array(till[one]), pa.array(np.minimum(count, 2).astype(np.int32))],
+                        [pa.array(np.full(len(one), u, np.int32)), pa.array(gram[one].view(np.int64)), pa.array(np.ascontiguousarray(stretch[one]).view("V16").reshape(-1).tolist(), pa.binary()), node.take(pa.array(doc[one])), pa.array(lo[one]), pa.array(till[one]), pa.array(np.minimum(count, 2).astype(np.int32))],
                         names=names,
                     )
                     again = np.sort(order[np.repeat(count > 1, count)])
@@ -293,7 +361,7 @@ def _places(units: Sequence[Unit]):
                         head = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (a[1:] > z[:-1]))))
                         k = len(head)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(k, u, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), node.take(pa.array(d[head])), pa.array(a[head]), pa.array(np.maximum.reduceat(z, head)), pa.array(np.full(k, 2, np.int32))],
+                            [pa.array(np.full(k, u, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), node.take(pa.array(d[head])), pa.array(a[head]), pa.array(np.maximum.reduceat(z, head)), pa.array(np.full(k, 2, np.int32))],
                             names=names,
                         )
 
@@ -353,15 +421,28 @@ def _sorted_buckets(units: Sequence[Unit]):
     return rows
 
 
-#: A window of a crowded bucket: two hashes, its place in the text, the number of its text in the row, its bytes.
+#: A window of a crowded bucket: its fingerprint, its place in the text, the number of its text in the row, its bytes.
 _WINDOW = np.dtype([("h", "<u8"), ("h2", "<u8"), ("lo", "<i8"), ("owner", "<i4"), ("size", "<i4")])
+
+
+def _values(tok: Tokens, block: tb.Block, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers below PRIME for each token: of bytes themselves, of words 122 bits of their digest."""
+    if not unit.words:
+        x = block.buf.astype(np.uint64) + np.uint64(1)
+        return x, x
+    number = tok.contents(block)
+    _, first = np.unique(number, return_index=True)
+    d = digests(block.buf.tobytes(), tok.at[first], tok.till[first], True) & _P
+    return d[number, 0] % _P, d[number, 1] % _P
+
+
 #: Bytes of text for each part that the windows of crowded buckets are dealt into.
 PART_BYTES = 1 << 20
 
 
-def _dealt_windows(units: Sequence[Unit], parts: int):
+def _dealt_windows(units: Sequence[Unit], parts: int, points: tuple[int, int]):
     def rows(batches):
-        """Windows of crowded buckets by the hash of their tokens; those found twice here are sent as removed, and once on."""
+        """Windows of crowded buckets by the fingerprint of their tokens; those found twice here are sent as removed, and once on."""
         names = ["unit", "part", "windows", "nodes", "node", "spans"]
         for b in batches:
             kind = b.column("unit").to_numpy(zero_copy_only=False)
@@ -374,8 +455,8 @@ def _dealt_windows(units: Sequence[Unit], parts: int):
                     doc = np.repeat(np.arange(len(n)), n)
                     here = lows[at : at + len(n)]
                     w = np.empty(len(s), _WINDOW)
-                    w["h"] = tb.Block.hashes(tb.prefix(tok.value), s, s + unit.span)
-                    w["h2"] = tb.Block.hashes(tb.prefix(tb.mix(tok.value)), s, s + unit.span)
+                    values = _values(tok, block, unit)
+                    w["h"], w["h2"] = (fingerprints(v, s, unit.span, x) for v, x in zip(values, points, strict=True))
                     w["lo"] = tok.at[s] - block.start[doc] + here[doc]
                     w["size"] = tok.till[s + unit.span - 1] - tok.at[s]
                     order = np.lexsort((w["h2"], w["h"]))
@@ -480,7 +561,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", *, units: Sequence[U
     compared = cut.where("not crowded").select("unit", "bucket", "node", "lo", "bytes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(units), _FOUND)
     size = cut.where("crowded").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     parts = 1 + size // PART_BYTES
-    dealt = store.write(cut.where("crowded").select("unit", "node", "lo", "bytes").mapInArrow(_dealt_windows(units, parts), "unit int, part int, windows binary, nodes array<binary>, node binary, spans array<bigint>"))
+    points = tuple(2 + secrets.randbelow(PRIME - 3) for _ in range(2))
+    dealt = store.write(cut.where("crowded").select("unit", "node", "lo", "bytes").mapInArrow(_dealt_windows(units, parts, points), "unit int, part int, windows binary, nodes array<binary>, node binary, spans array<bigint>"))
     met = dealt.where("part is not null").select("unit", "part", "windows", "nodes").repartition(parts, "unit", "part").sortWithinPartitions("unit", "part").mapInArrow(_met_windows, _FOUND)
     here = dealt.where("part is null").select("unit", "node", "spans")
     found = store.write(settled.unionByName(compared).unionByName(met).unionByName(here))

@@ -453,6 +453,40 @@ def test_equal_hashes_are_compared():
         assert suffix_dedup.really_equal(s, i, j, 3, at_once).tolist() == [s[a : a + 3].tolist() == s[b : b + 3].tolist() for a, b in zip(i, j)]
 
 
+def thue_morse(k, a, b):
+    out = a
+    for _ in range(k):
+        out, other = out + out.translate(bytes.maketrans(a + b, b + a)), None
+    return out
+
+
+@pytest.mark.parametrize("crowd", [1500, 0])
+def test_patterns_on_which_sums_modulo_a_power_of_two_agree(spark, crowd):
+    """Thue-Morse words and their complements, around 64 bytes that both texts have: nothing of 400 bytes is in both."""
+    rnd = random.Random(3)
+    mid = "".join(rnd.choice("abcdefgh") for _ in range(64)).encode()
+    t = thue_morse(8, b"J", b")")
+    c = t.translate(bytes.maketrans(b"J)", b")J"))
+    pairs = [(t + mid + c + t[:160], c + mid + t + c[:160]), (t + t[:80] + mid + t + c[:80], c + c[:80] + mid + c + t[:80])]
+    long = [(b" ".join([w] + [b"w%d" % i for i in range(49)])) for w in (thue_morse(9, b"J", b")"), thue_morse(9, b")", b"J"))]
+    for a, b in [*pairs, tuple(long)]:
+        want = suffix_dedup.brute_force([a, b])
+        got = sorted(suffix_dedup.digest(frame(spark, [a.decode(), b.decode()]), crowd=crowd).collect())
+        assert [tuple(r)[1:] for r in got] == want
+
+
+def test_fingerprints_are_polynomials():
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, suffix_dedup.PRIME, 70_000, dtype=np.uint64)
+    x, span = 2**60 + 12345, 57
+    start = np.array([0, 1, 500, 65_536, len(v) - span])
+    want = [sum(int(v[s + i]) * pow(x, i, suffix_dedup.PRIME) for i in range(span)) % suffix_dedup.PRIME for s in start.tolist()]
+    assert suffix_dedup.fingerprints(v, start, span, x).tolist() == want
+    a = rng.integers(0, suffix_dedup.PRIME, 1000, dtype=np.uint64)
+    b = np.concatenate((a[1:], [suffix_dedup.PRIME - 1])).astype(np.uint64)
+    assert suffix_dedup.product(a, b).tolist() == [int(i) * int(j) % suffix_dedup.PRIME for i, j in zip(a, b)]
+
+
 def test_long_texts_are_cut_without_losing_or_doubling_windows(spark, monkeypatch):
     rnd = random.Random(21)
     long = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(3000))
