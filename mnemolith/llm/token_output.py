@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stored, free_name
-from .pretoken import PATTERN, Numbers
+from .pretoken import PATTERN
 from .textblock import ranges
 from .token_counts import byte_letters
 
@@ -52,23 +53,6 @@ _WORD = np.uint64(32)
 # Ids of texts.
 
 
-class Stretches(dict):
-    """Numbers of what stands between single spaces, in order of appearance; -1 if it is empty or starts with white space."""
-
-    def __init__(self):
-        self.new: list[str] = []
-        self.n = 0
-
-    def __missing__(self, s: str) -> int:
-        if not s or s[0].isspace():
-            self[s] = -1
-            return -1
-        self[s] = n = self.n
-        self.n += 1
-        self.new.append(s)
-        return n
-
-
 class Flat:
     """Rows of numbers of different lengths in one array."""
 
@@ -84,6 +68,10 @@ class Flat:
         return self.flat[ranges(self.start[rows], self.length[rows])]
 
 
+def _lengths(items: list) -> np.ndarray:
+    return np.fromiter(map(len, items), np.int64, len(items))
+
+
 class Encoder:
     """The library's ids of texts, with what is known of stretches and pre-tokens kept until there are `limit` stretches."""
 
@@ -91,59 +79,79 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.limit = Tokenizer.from_file(path), limit
-        self.letters = dict(enumerate(byte_letters()))
+        self.letters = np.array([ord(c) for c in byte_letters()], "<u4")
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
-        self.stretches, self.ids = Stretches(), Flat()
-        self.tokens, self.ids_of_token = Numbers(), Flat()
-
-    def numbered(self, text: str) -> tuple[str, np.ndarray]:
-        """The text's first stretch, which no space stands before, and the others' numbers."""
-        first, *parts = text.split(" ")
-        numbers = np.fromiter(map(self.stretches.__getitem__, parts), np.int64, len(parts))
-        if (numbers < 0).any():
-            # White space after a space: such stretches belong to what stands before them.
-            at = [0, *(np.flatnonzero(numbers >= 0) + 1).tolist(), len(parts) + 1]
-            parts.insert(0, first)
-            first, *parts = [" ".join(parts[a:b]) for a, b in itertools.pairwise(at)]
-            numbers = np.fromiter(map(self.stretches.__getitem__, parts), np.int64, len(parts))
-        return first, numbers
-
-    def catch_up(self) -> None:
-        """Ids of the stretches numbered since the last time: their pre-tokens all at once, new ones by the library's model."""
-        new, self.stretches.new = [f" {s}" for s in self.stretches.new], []
-        odd = {i for i, s in enumerate(new) if any(a in s for a in self.added)}
-        plain = [s for i, s in enumerate(new) if i not in odd] if odd else new
-        found = PATTERN.findall("".join(plain))
-        known = len(self.tokens)
-        numbers = np.fromiter(map(self.tokens.__getitem__, found), np.int64, len(found))
-        merge, letters = self.library.model.tokenize, self.letters
-        ids = [[t.id for t in merge(x.encode().decode("latin-1").translate(letters))] for x in itertools.islice(self.tokens, known, None)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ids_of_token.add(length, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(length.sum())))
+        self.stretches: dict[str, int] = {}  # -1 for one that is empty or starts with white space
+        self.tokens: dict[str, int] = {}
+        self.ids, self.ids_of_token = Flat(), Flat()
+
+    def meet(self, parts: list[str]) -> np.ndarray:
+        """Numbers of stretches that a space stands before."""
+        new = set(parts).difference(self.stretches)
+        if new:
+            odd = [s for s in new if not s or s[0].isspace()]
+            self.stretches.update(zip(odd, itertools.repeat(-1)))
+            new = [*new.difference(odd)]
+            self.stretches.update(zip(new, range(len(self.ids.start), len(self.ids.start) + len(new))))
+            self.add(new)
+        return np.fromiter(map(self.stretches.__getitem__, parts), np.int64, len(parts))
+
+    def add(self, new: list[str]) -> None:
+        """Ids of new stretches: their pre-tokens all at once, new ones by the library's model."""
+        text, special = " " + " ".join(new) if new else "", set()
+        if any(a in text for a in self.added):
+            special = {i for i, s in enumerate(new) if any(a in s for a in self.added)}
+            text = "".join(f" {s}" for i, s in enumerate(new) if i not in special)
+        found = PATTERN.findall(text)
+        unknown = [*set(found).difference(self.tokens)]
+        self.tokens.update(zip(unknown, range(len(self.tokens), len(self.tokens) + len(unknown))))
+        raw = [t.encode() for t in unknown]
+        ends = np.cumsum(_lengths(raw)).tolist()
+        mapped = self.letters[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")
+        length, flat = [], []
+        for some in itertools.batched(zip([0, *ends], ends), 8192):
+            merged = list(map(self.library.model.tokenize, [mapped[a:b] for a, b in some]))
+            length += map(len, merged)
+            flat += map(attrgetter("id"), itertools.chain.from_iterable(merged))
+        self.ids_of_token.add(np.array(length, np.int64), np.array(flat, np.uint32))
         # Pre-tokens never reach over the edge of two stretches: the places of both say which belong to which.
-        begins = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))
-        owner = np.searchsorted(begins, np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
-        size = np.bincount(owner, self.ids_of_token.length[numbers], len(plain)).astype(np.int64)
+        numbers = np.fromiter(map(self.tokens.__getitem__, found), np.int64, len(found))
+        size = _lengths(new) + 1
+        size[list(special)] = 0
+        owner = np.searchsorted(np.cumsum(size), np.cumsum(_lengths(found)))
+        size = np.bincount(owner, self.ids_of_token.length[numbers], len(new)).astype(np.int64)
         flat = self.ids_of_token[numbers]
-        if odd:
-            ends = np.cumsum(size)
-            rows = iter(np.split(flat, ends[:-1]) if len(plain) else [])
-            all_ = [np.array(self.library.encode(s, add_special_tokens=False).ids, np.uint32) if i in odd else next(rows) for i, s in enumerate(new)]
-            size, flat = np.array([len(x) for x in all_]), np.concatenate(all_)
+        if special:
+            rows = np.split(flat, np.cumsum(size)[:-1])
+            for i in special:
+                rows[i] = np.array(self.library.encode(f" {new[i]}", add_special_tokens=False).ids, np.uint32)
+            size, flat = _lengths(rows), np.concatenate(rows)
         self.ids.add(size, flat)
 
     def encode(self, docs: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit numbers."""
-        if self.stretches.n > self.limit:
+        if len(self.stretches) > self.limit:
             self.clear()
-        numbered = [self.numbered(d) for d in docs]
-        if self.stretches.new:
-            self.catch_up()
-        heads = [e.ids for e in self.library.encode_batch([first for first, _ in numbered], add_special_tokens=False)]
-        return [np.concatenate((np.array(h, np.uint32), self.ids[k])) for h, (_, k) in zip(heads, numbered, strict=True)]
+        # A text's first stretch goes through the library as it is: no space stands before it.
+        heads, parts, count = [], [], []
+        for d in docs:
+            head, *rest = d.split(" ")
+            heads.append(head)
+            parts.append(rest)
+            count.append(len(rest))
+        numbers = np.split(self.meet([*itertools.chain.from_iterable(parts)]), np.cumsum(count)[:-1])
+        for i, k in enumerate(numbers):
+            if len(k) and k.min() < 0:
+                # White space after a space: such stretches belong to what stands before them.
+                at = [0, *(np.flatnonzero(k >= 0) + 1).tolist(), len(k) + 1]
+                whole = [heads[i], *parts[i]]
+                heads[i], *rest = [" ".join(whole[a:b]) for a, b in itertools.pairwise(at)]
+                numbers[i] = self.meet(rest)
+        first = [e.ids for e in self.library.encode_batch(heads, add_special_tokens=False)]
+        return [np.concatenate((np.array(h, np.uint32), self.ids[k])) for h, k in zip(first, numbers, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -169,15 +177,20 @@ def _slices(batch: pa.RecordBatch, column: int, limit: int):
         yield batch.slice(at)
 
 
-def encoded(docs: DataFrame, path: str, end: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, a digest of the ids, a row number and the ids (little-endian, 32 bits), with `end` behind."""
+def id_width(path: str, end: int) -> int:
+    """Bytes that every id of a vocabulary file fits in: 2 or 4. Texts' ids wait for their order in so many."""
+    return 2 if max(encoder(path).library.get_vocab_size() - 1, end) < 1 << 16 else 4
+
+
+def encoded(docs: DataFrame, path: str, end: int, width: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, a digest of the ids, a row number and the ids (little-endian, of `width` bytes), with `end` behind."""
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}[id_col]
 
     def run(batches):
         e = encoder(path)
         for whole in batches:
             for b in _slices(whole, 1, 1 << 21):
-                found = [np.append(x, np.uint32(end)).tobytes() for x in e.encode([x or "" for x in b.column(1).to_pylist()])]
+                found = [np.append(x, np.uint32(end)).astype(f"<u{width}").tobytes() for x in e.encode([x or "" for x in b.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, ids binary")
@@ -212,14 +225,14 @@ def frequencies(counts: dict[int, int], precision: int = PRECISION) -> np.ndarra
     return out
 
 
-def count_ids(rows: DataFrame) -> dict[int, int]:
+def count_ids(rows: DataFrame, width: int) -> dict[int, int]:
     """How often each id occurs: one row for each id of the vocabulary and task is shuffled, one for each id reaches the driver."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(x, np.uint32))
+                n = np.bincount(np.frombuffer(x, f"<u{width}"))
                 if len(n) > len(total):
                     total = np.concatenate((total, np.zeros(len(n) - len(total), np.int64)))
                 total[: len(n)] += n
@@ -355,10 +368,10 @@ def unpack(payloads: list[bytes], m: Model) -> list[np.ndarray]:
 _TEXTS = "array<struct<id: {kind}, row: bigint, start: bigint, n: bigint, piece: int, pieces: int>>"
 
 
-def write(spark: SparkSession, rows: DataFrame, path: str, block: int = BLOCK, together: int = 64) -> None:
+def write(spark: SparkSession, rows: DataFrame, path: str, width: int, block: int = BLOCK, together: int = 64) -> None:
     """Files of `rows` (of encoded(), stored) under path: blocks and frequencies."""
     kind = dict(rows.dtypes)["id"]
-    slots = frequencies(count_ids(rows)).astype(np.uint32).tobytes()
+    slots = frequencies(count_ids(rows, width)).astype(np.uint32).tobytes()
     spark.createDataFrame([(PRECISION, slots)], "precision int, slots binary").coalesce(1).write.parquet(f"{path}/frequencies")
 
     def run(batches):
@@ -386,7 +399,7 @@ def write(spark: SparkSession, rows: DataFrame, path: str, block: int = BLOCK, t
                 item = pa.struct([("id", b.schema.field(0).type), ("row", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("piece", pa.int32()), ("pieces", pa.int32())])
                 types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(item)]
             for id_, row, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                x = np.frombuffer(x.as_buffer(), "<u4")
+                x = np.frombuffer(x.as_buffer(), f"<u{width}").astype(np.uint32)
                 pieces = 1 + max(0, -(-(len(x) - (block - size)) // block))
                 at = 0
                 for piece in range(pieces):
@@ -480,8 +493,9 @@ def read(spark: SparkSession, path: str, as_ids: bool = False, together: int = 6
 def write_tokens(docs: DataFrame, vocabulary: str, path: str, *, end: int = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> None:
     """Encodes the texts and writes their files under path; read() gives them back."""
     store = Stored(docs.sparkSession)
-    rows = store.write(encoded(docs, vocabulary, end, id_col=id_col, text_col=text_col))
-    write(docs.sparkSession, rows, path, block)
+    width = id_width(vocabulary, end)
+    rows = store.write(encoded(docs, vocabulary, end, width, id_col=id_col, text_col=text_col))
+    write(docs.sparkSession, rows, path, width, block)
     store.drop(rows)
 
 
