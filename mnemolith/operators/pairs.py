@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 
 def set_pairs(rows: DataFrame, key: str, items: str, least: float, measure: str = "jaccard") -> DataFrame:
     """i < j and their similarity (jaccard or dice of two sets), where it is at least `least` > 0.
@@ -63,13 +63,7 @@ def tf_cosine_pairs(rows: DataFrame, key: str, terms: str, least: float) -> Data
 def _stored(df: DataFrame) -> DataFrame:
     """The rows from the folder that driver and executors share, which cuts lineage."""
     spark: SparkSession = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/pairs-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.parquet(path)
     out.stored_at = path

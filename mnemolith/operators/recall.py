@@ -12,7 +12,7 @@ from ..functions import patterns as P
 from ..functions import scoring
 
 #: Bytes of queries and of memories (eight for each element) that meet in one task; how many of them are multiplied at once.
-QUERY_BYTES, MEMORY_BYTES, TOGETHER, ROWS = 1 << 24, 1 << 27, 512, 4096
+QUERY_BYTES, MEMORY_BYTES, TOGETHER, ROWS = 1 << 26, 1 << 27, 512, 4096
 
 
 def _by_size(vectors: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -51,12 +51,13 @@ def top_k(memories: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id"
     of queries meets each block of memories in one task, which multiplies them and sends its best k of each query, and a
     window over the query merges those. Nothing but sizes reaches the driver. A memory's block depends on its id and its
     partition, so that an id that stands very often is dealt over many. Vectors that are null, empty, zero or of another
-    length score 0; so do null elements. Ids must be whole numbers; a query's id that stands twice is asked once.
+    length score 0; so do null elements. Ids are of any type that orders (numbers, UUIDs and other strings) and keep it;
+    rows without id are left out, and a query's id that stands twice is asked once.
     """
     kind = {f.name: f.dataType.simpleString() for f in memories.schema.fields}[vector_col]
     kind = kind if kind == "array<float>" else "array<double>"
-    asked = queries.select(F.col(id_col).cast("bigint").alias("q"), F.col(vector_col).cast(kind).alias("v")).where("q is not null")
-    rows = memories.select(F.col(id_col).cast("bigint").alias("i"), F.col(vector_col).cast(kind).alias("v")).where("i is not null")
+    asked = queries.select(F.col(id_col).alias("q"), F.col(vector_col).cast(kind).alias("v")).where("q is not null")
+    rows = memories.select(F.col(id_col).alias("i"), F.col(vector_col).cast(kind).alias("v")).where("i is not null")
     n_rows, size = _extent(rows)
     across = 1 + _extent(asked)[1] // query_bytes
     cores = memories.sparkSession.sparkContext.defaultParallelism
@@ -66,10 +67,12 @@ def top_k(memories: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id"
     rows = rows.withColumn("d", F.pmod(F.xxhash64("i", F.spark_partition_id()), F.lit(down)).cast("int")).select("i", "v", every(across).alias("a"), "d")
 
     def best_of(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        ids, groups = asked["q"].to_numpy(), _by_size(asked["v"])
+        groups = _by_size(asked["v"])
+        # Places of ids in their order stand for them: strings by their bytes, as Spark orders them.
+        order = pc.rank(rows["i"].combine_chunks(), sort_keys="ascending", tiebreaker="first").to_numpy().astype(np.int64)
         best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         for at in range(0, rows.num_rows, ROWS):
-            own, vectors = rows["i"].slice(at, ROWS).to_numpy(), _by_size(rows["v"].slice(at, ROWS))
+            own, vectors = order[at : at + ROWS], _by_size(rows["v"].slice(at, ROWS))
             for width, (which, unit) in groups.items():
                 for first in range(0, len(which), TOGETHER):
                     some = which[first : first + TOGETHER]
@@ -79,11 +82,14 @@ def top_k(memories: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id"
                         scores[:, mine] = unit[first : first + TOGETHER] @ v.T
                     cut = np.partition(scores, len(own) - k, axis=1)[:, len(own) - k, None] if len(own) > k else -np.inf
                     q, m = np.nonzero(scores >= cut)
-                    best = tuple(np.concatenate(x) for x in zip(best, _best(ids[some][q], scores[q, m], own[m], k), strict=True))
+                    best = tuple(np.concatenate(x) for x in zip(best, _best(some[q], scores[q, m], own[m], k), strict=True))
             best = _best(*best, k)
-        return pa.table({"query": pa.array(best[0], pa.int64()), "id": pa.array(best[2], pa.int64()), "score": pa.array(best[1], pa.float64())})
+        row = np.empty(len(order), np.int64)
+        row[order - 1] = np.arange(len(order))
+        return pa.table({"query": asked["q"].take(pa.array(best[0])), "id": rows["i"].take(pa.array(row[best[2] - 1])), "score": pa.array(best[1], pa.float64())})
 
-    found = asked.groupBy("a", "d").cogroup(rows.groupBy("a", "d")).applyInArrow(best_of, "query bigint, id bigint, score double")
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((asked, "q"), (rows, "i"))]
+    found = asked.groupBy("a", "d").cogroup(rows.groupBy("a", "d")).applyInArrow(best_of, f"query {kinds[0]}, id {kinds[1]}, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
