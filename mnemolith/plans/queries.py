@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import scoring, text
 from ..functions.rules import quoted
-from ..operators import documents, evaluate, graph, hygiene, index, lifecycle, pairs, partitions, recall
+from ..operators import documents, evaluate, graph, hygiene, index, lifecycle, lookup, pairs, partitions, recall
 from ..sources import tables
 from ..streaming import limits
 
@@ -383,6 +383,46 @@ def graph_matches(spark: SparkSession, d: str) -> DataFrame:
     return place_edges(spark, d).join(found.select(F.col("id").alias("source")), "source", "left_semi").select("source", "predicate", "target")
 
 
+#: Questions about nations by number: of several words, of one, misspelled, without a match; and about customers, of whom there are very many.
+ASKED_SQL = """asked AS (SELECT n_nationkey AS query, CASE n_nationkey % 4 WHEN 0 THEN 'Which suppliers does the nation ' || n_name || ' host' WHEN 1 THEN n_name WHEN 2 THEN substr(n_name, 1, 4) || substr(n_name, 4) ELSE 'qqqq' END AS text FROM nation
+  UNION ALL SELECT 100 + r_regionkey, 'customer nation region ' || r_name FROM region)"""
+SUBGRAPH_SQL = f"""{GRAPH_SQL}, {ASKED_SQL},
+w AS (SELECT query, list_filter(string_split_regex(lower(text), '\s+'), lambda x: length(x) >= 4 AND x NOT IN ({", ".join(map(quoted, P.GRAPH_STOPWORDS))})) AS w FROM asked),
+direct AS (SELECT query, id FROM w, nodes WHERE len(w) > 0 AND len(list_filter(w, lambda x: contains(id, x))) >= CASE WHEN len(w) > 1 THEN 2 ELSE 1 END),
+named AS (SELECT id, unnest(list_distinct(list_append(string_split(id, ' '), id))) AS name FROM nodes),
+pair AS (SELECT query, id, w[1] AS a, name AS b FROM w, named WHERE len(w) = 1 AND name <> '' AND query NOT IN (SELECT query FROM direct)),
+gram AS (SELECT *, list_distinct([substr(a, i, 2) for i in range(1, length(a))]) AS x, list_distinct([substr(b, i, 2) for i in range(1, length(b))]) AS y FROM pair),
+near AS (SELECT DISTINCT query, id FROM gram WHERE contains(a, b) OR contains(b, a) OR 2.0 * len(list_intersect(x, y)) / greatest(len(x) + len(y), 1) >= 0.65),
+l0 AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY id) AS m, id, 1 AS pos, 0 AS depth FROM (SELECT * FROM direct UNION ALL SELECT * FROM near) QUALIFY m <= 10),
+step AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) AS n FROM (SELECT DISTINCT source, target FROM edges)),
+""" + "\n".join(f"""s{i} AS ({" UNION ALL ".join(f"SELECT * FROM l{j}" for j in range(i))}),
+l{i} AS (SELECT query, m, id, (SELECT max(pos) FROM s{i} WHERE s{i}.query = r.query AND s{i}.m = r.m) + row_number() OVER (PARTITION BY query, m ORDER BY by_) AS pos, {i} AS depth
+  FROM (SELECT query, m, target AS id, min(pos * 1000000000 + n) AS by_ FROM l{i - 1} JOIN step ON source = id GROUP BY ALL) r WHERE NOT EXISTS (FROM s{i} WHERE s{i}.query = r.query AND s{i}.m = r.m AND s{i}.id = r.id)),""" for i in (1, 2, 3)) + """
+turn AS (SELECT *, (row_number() OVER (PARTITION BY query, id ORDER BY m, pos) = 1)::INT AS first FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)),
+visited AS (SELECT * FROM (SELECT *, coalesce(sum(first) OVER (PARTITION BY query ORDER BY m, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM turn) WHERE before < 10)"""
+
+
+def asked_graph(spark: SparkSession, d: str) -> DataFrame:
+    n = read(spark, d, "nation")
+    kind, name = F.col("n_nationkey") % 4, F.col("n_name")
+    worded = F.when(kind == 0, F.concat(F.lit("Which suppliers does the nation "), name, F.lit(" host"))).when(kind == 1, name).when(kind == 2, F.concat(F.substring(name, 1, 4), F.expr("substr(n_name, 4)"))).otherwise("qqqq")
+    r = read(spark, d, "region").select((F.col("r_regionkey") + 100).alias("query"), F.concat(F.lit("customer nation region "), "r_name").alias("text"))
+    return n.select(F.col("n_nationkey").alias("query"), worded.alias("text")).union(r)
+
+
+@query(f"WITH {SUBGRAPH_SQL} SELECT query::BIGINT AS query, id, (before + 1)::INT AS place, m::INT AS match, depth::INT AS depth FROM visited WHERE first = 1")
+def graph_subgraphs(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = lookup.subgraphs(place_nodes(spark, d), place_edges(spark, d), asked_graph(spark, d))
+    return found.withColumn("query", F.col("query").cast("bigint"))
+
+
+@query(f"WITH {SUBGRAPH_SQL} SELECT query::BIGINT AS query, count(*)::BIGINT AS edges, count(DISTINCT e.source)::BIGINT AS sources, min(e.target) AS first_target FROM visited v JOIN edges e ON e.source = v.id GROUP BY 1")
+def graph_subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges out of what each query reaches, once for each match whose walk came by."""
+    _, found = lookup.subgraphs(place_nodes(spark, d), place_edges(spark, d), asked_graph(spark, d))
+    return found.groupBy(F.col("query").cast("bigint").alias("query")).agg(F.count("*").alias("edges"), F.count_distinct("source").alias("sources"), F.min("target").alias("first_target"))
+
+
 @query("""SELECT o_orderpriority AS id, count(*)::BIGINT AS mentions, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen, arg_max(o_orderstatus, o_orderkey) AS last_status, arg_max(DISTINCT repeat('x', (o_custkey % 17)::INT) || ' by ' || o_orderkey, (length(repeat('x', (o_custkey % 17)::INT) || ' by ' || o_orderkey), -o_orderkey)) AS description, count(DISTINCT o_custkey)::BIGINT AS sources FROM orders GROUP BY 1""")
 def entity_upsert(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("id"), F.lit("Concept").alias("type"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("seen"), F.col("o_custkey").cast("string").alias("source"), F.col("o_orderkey").alias("ord"), F.concat(F.expr("repeat('x', int(o_custkey % 17))"), F.lit(" by "), F.col("o_orderkey").cast("string")).alias("description"))
