@@ -1,12 +1,12 @@
 """Token ids as files of range asymmetric numeral systems, with one table of frequencies for all.
 
 The tokenizers library encodes whole texts; each text ends with `end` of its own. What its model
-gives for a pre-token is kept by the process, and so are the ids of stretches between single spaces
-(they don't depend on what stands around: the pre-tokenizer always breaks before a space that
-something other than white space follows); a text's first stretch, and those with an
-added token, go through the library as they are. Ids are counted over all texts and scaled to a table of sum 2^PRECISION in which
-every id that occurs has at least one slot; its size is that of the vocabulary. Rows are sorted by
-id over the cluster and cut into blocks of BLOCK ids, whatever texts these belong to.
+gives for stretches from space to space is kept by the process (it doesn't depend on what stands
+around: the pre-tokenizer always breaks before a space that something other than white space
+follows); stretches with an added token go through the library as they are. Ids are counted over all
+texts and scaled to a table of sum 2^PRECISION in which every id that occurs has at least one slot;
+its size is that of the vocabulary. Rows are sorted by id over the cluster and cut into blocks of
+BLOCK ids, whatever texts these belong to.
 
 A block is independent of all others. It is coded by LANES states that take turns (id i belongs to
 lane i mod LANES), each of 64 bits, which share one stream of 32-bit words; `EVERY` ids apart the
@@ -29,6 +29,7 @@ more memory than its row. An empty table gives no blocks. Other columns are not
 
 from __future__ import annotations
 
+import functools
 import itertools
 import zlib
 from operator import attrgetter
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import Stored, free_name
 from .pretoken import PATTERN
-from .textblock import ranges
+from .textblock import Block, ranges, texts
 from .token_counts import byte_letters
 
 PRECISION, LANES, EVERY, BLOCK = 20, 32, 1 << 14, 1 << 16
@@ -53,115 +54,114 @@ _WORD = np.uint64(32)
 # Ids of texts.
 
 
-class Flat:
-    """Rows of numbers of different lengths in one array."""
+def cuts(buf: np.ndarray) -> np.ndarray:
+    """Places of spaces that something other than white space follows (some where that is a rare character are left out).
 
-    def __init__(self):
-        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def add(self, length: np.ndarray, flat: np.ndarray) -> None:
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(length) - length))
-        self.length = np.concatenate((self.length, length))
-        self.flat = np.concatenate((self.flat, flat))
-
-    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
-        return self.flat[ranges(self.start[rows], self.length[rows])]
-
-
-def _lengths(items: list) -> np.ndarray:
-    return np.fromiter(map(len, items), np.int64, len(items))
+    A text may be cut before any of them: no pre-token reaches over one.
+    """
+    at = np.flatnonzero(buf[:-1] == 32)
+    padded = np.concatenate((buf, np.zeros(3, np.uint8)))
+    one, two, three = padded[at + 1], padded[at + 2], padded[at + 3]
+    ascii_ = (one > 32) & (one < 127)
+    latin = (one == 0xC2) & (two != 0x85) & (two != 0xA0)
+    marks = (one == 0xE2) & (((two == 0x80) & (three >= 0x90) & (three <= 0xA7)) | (two >= 0x82))
+    return at[ascii_ | latin | marks | ((one == 0xE3) & (two > 0x80)) | ((one >= 0xC3) & (one != 0xE1) & (one != 0xE2) & (one != 0xE3))]
 
 
 class Encoder:
-    """The library's ids of texts, with what is known of stretches and pre-tokens kept until there are `limit` stretches."""
+    """The library's ids of texts. Stretches are known by their bytes, a space before them included, until there are `limit` of them."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 400_000, end: int = 0):
         from tokenizers import Tokenizer
 
         self.library, self.limit = Tokenizer.from_file(path), limit
-        self.letters = np.array([ord(c) for c in byte_letters()], "<u4")
+        self.letters = dict(enumerate(byte_letters()))
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: Ids are kept in 16 bits where all fit, else in 32.
+        self.kind = np.dtype("<u2" if max(self.library.get_vocab_size() - 1, end) < 1 << 16 else "<u4")
         self.clear()
 
     def clear(self) -> None:
-        self.stretches: dict[str, int] = {}  # -1 for one that is empty or starts with white space
-        self.tokens: dict[str, int] = {}
-        self.ids, self.ids_of_token = Flat(), Flat()
-
-    def meet(self, parts: list[str]) -> np.ndarray:
-        """Numbers of stretches that a space stands before."""
-        new = set(parts).difference(self.stretches)
-        if new:
-            odd = [s for s in new if not s or s[0].isspace()]
-            self.stretches.update(zip(odd, itertools.repeat(-1)))
-            new = [*new.difference(odd)]
-            self.stretches.update(zip(new, range(len(self.ids.start), len(self.ids.start) + len(new))))
-            self.add(new)
-        return np.fromiter(map(self.stretches.__getitem__, parts), np.int64, len(parts))
-
-    def add(self, new: list[str]) -> None:
-        """Ids of new stretches: their pre-tokens all at once, new ones by the library's model."""
-        text, special = " " + " ".join(new) if new else "", set()
-        if any(a in text for a in self.added):
-            special = {i for i, s in enumerate(new) if any(a in s for a in self.added)}
-            text = "".join(f" {s}" for i, s in enumerate(new) if i not in special)
-        found = PATTERN.findall(text)
-        unknown = [*set(found).difference(self.tokens)]
-        self.tokens.update(zip(unknown, range(len(self.tokens), len(self.tokens) + len(unknown))))
-        raw = [t.encode() for t in unknown]
-        ends = np.cumsum(_lengths(raw)).tolist()
-        mapped = self.letters[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")
-        length, flat = [], []
-        for some in itertools.batched(zip([0, *ends], ends), 8192):
-            merged = list(map(self.library.model.tokenize, [mapped[a:b] for a, b in some]))
-            length += map(len, merged)
-            flat += map(attrgetter("id"), itertools.chain.from_iterable(merged))
-        self.ids_of_token.add(np.array(length, np.int64), np.array(flat, np.uint32))
-        # Pre-tokens never reach over the edge of two stretches: the places of both say which belong to which.
-        numbers = np.fromiter(map(self.tokens.__getitem__, found), np.int64, len(found))
-        size = _lengths(new) + 1
-        size[list(special)] = 0
-        owner = np.searchsorted(np.cumsum(size), np.cumsum(_lengths(found)))
-        size = np.bincount(owner, self.ids_of_token.length[numbers], len(new)).astype(np.int64)
-        flat = self.ids_of_token[numbers]
+        self.known: dict[bytes, int] = {}
+        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids pre-tokens in the vocabulary's letters have, and all of them in a row, by the library's model."""
+        length, flat = [np.zeros(0, np.int64)], [np.zeros(0, self.kind)]
+        for some in itertools.batched(words, 8192):
+            found = list(map(self.library.model.tokenize, some))
+            length.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter(map(attrgetter("id"), itertools.chain.from_iterable(found)), self.kind, int(length[-1].sum())))
+        return np.concatenate(length), np.concatenate(flat)
+
+    def learn(self, new: list[bytes]) -> None:
+        """Ids of new stretches: their different pre-tokens all at once."""
+        words: dict[str, int] = {}
+        found: list[int] = []
+        size = [1] * len(new)
+        special = []
+        space, letters = self.letters[32], self.letters
+        for i, raw in enumerate(new):
+            s = raw.decode()
+            if s[:1] == " " and s[1:].isalpha():  # one pre-token, with its space
+                found.append(words.setdefault(s, len(words)))
+            elif any(a in s for a in self.added):
+                special.append(i)
+                size[i] = 0
+            else:
+                tokens = PATTERN.findall(s)
+                found += [words.setdefault(t, len(words)) for t in tokens]
+                size[i] = len(tokens)
+        length, flat = self.merged([space + w[1:] if w.isascii() and w[0] == " " and w[1:].isalpha() else w.encode().decode("latin-1").translate(letters) for w in words])
+        start = np.cumsum(length) - length
+        each = np.array(found, np.int64)
+        flat, owner = flat[ranges(start[each], length[each])], np.repeat(np.arange(len(new)), size)
+        length = np.bincount(owner, length[each], len(new)).astype(np.int64)
         if special:
-            rows = np.split(flat, np.cumsum(size)[:-1])
+            rows = np.split(flat, np.cumsum(length)[:-1])
             for i in special:
-                rows[i] = np.array(self.library.encode(f" {new[i]}", add_special_tokens=False).ids, np.uint32)
-            size, flat = _lengths(rows), np.concatenate(rows)
-        self.ids.add(size, flat)
+                rows[i] = np.array(self.library.encode(new[i].decode(), add_special_tokens=False).ids, self.kind)
+            length, flat = np.array([len(r) for r in rows]), np.concatenate(rows)
+        self.known.update(zip(new, range(len(self.start), len(self.start) + len(new))))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(length) - length))
+        self.length = np.concatenate((self.length, length))
+        self.flat = np.concatenate((self.flat, flat))
 
-    def encode(self, docs: list[str]) -> list[np.ndarray]:
-        """Ids of each text as unsigned 32-bit numbers."""
-        if len(self.stretches) > self.limit:
+    def encode(self, docs: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text (UTF-8)."""
+        if len(self.known) > self.limit:
             self.clear()
-        # A text's first stretch goes through the library as it is: no space stands before it.
-        heads, parts, count = [], [], []
-        for d in docs:
-            head, *rest = d.split(" ")
-            heads.append(head)
-            parts.append(rest)
-            count.append(len(rest))
-        numbers = np.split(self.meet([*itertools.chain.from_iterable(parts)]), np.cumsum(count)[:-1])
-        for i, k in enumerate(numbers):
-            if len(k) and k.min() < 0:
-                # White space after a space: such stretches belong to what stands before them.
-                at = [0, *(np.flatnonzero(k >= 0) + 1).tolist(), len(k) + 1]
-                whole = [heads[i], *parts[i]]
-                heads[i], *rest = [" ".join(whole[a:b]) for a, b in itertools.pairwise(at)]
-                numbers[i] = self.meet(rest)
-        first = [e.ids for e in self.library.encode_batch(heads, add_special_tokens=False)]
-        return [np.concatenate((np.array(h, np.uint32), self.ids[k])) for h, k in zip(first, numbers, strict=True)]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+        block = Block(docs)
+        at = np.sort(np.concatenate((block.start, cuts(block.buf))))
+        at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+        end = np.minimum(np.append(at[1:], len(block.buf)), block.end[np.searchsorted(block.start, at, "right") - 1])
+        _, first, which = np.unique(block.hashes(block.prefix(), at, end), return_index=True, return_inverse=True)
+        like = first[which]
+        size = end - at
+        same = np.array_equal(size, size[like]) and np.array_equal(block.buf[ranges(at, size)], block.buf[ranges(at[like], size)])
+        if not same:  # different stretches of one hash: each for itself
+            first = which = np.arange(len(at))
+        buf = block.buf.tobytes()
+        each = [buf[a:b] for a, b in zip(at[first].tolist(), end[first].tolist())]
+        new = [*set(each).difference(self.known)]
+        if new:
+            self.learn(new)
+        row = np.fromiter(map(self.known.__getitem__, each), np.int64, len(each))[which]
+        length = self.length[row]
+        flat = self.flat[ranges(self.start[row], length)]
+        before = np.concatenate(([0], np.cumsum(length)))
+        edge = before[np.searchsorted(at, block.start)].tolist() + [len(flat)]
+        return [flat[a:b] for a, b in itertools.pairwise(edge)]
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end: int) -> Encoder:
     """The process's encoder for a vocabulary file, read once. The file must be at this path on every executor."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, end) not in _encoders:
+        _encoders[path, end] = Encoder(path, end=end)
+    return _encoders[path, end]
 
 
 def _slices(batch: pa.RecordBatch, column: int, limit: int):
@@ -177,20 +177,16 @@ def _slices(batch: pa.RecordBatch, column: int, limit: int):
         yield batch.slice(at)
 
 
-def id_width(path: str, end: int) -> int:
-    """Bytes that every id of a vocabulary file fits in: 2 or 4. Texts' ids wait for their order in so many."""
-    return 2 if max(encoder(path).library.get_vocab_size() - 1, end) < 1 << 16 else 4
-
-
-def encoded(docs: DataFrame, path: str, end: int, width: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, a digest of the ids, a row number and the ids (little-endian, of `width` bytes), with `end` behind."""
+def encoded(docs: DataFrame, path: str, end: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, a digest of the ids, a row number and the ids (little-endian, of the encoder's width), with `end` behind."""
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}[id_col]
 
     def run(batches):
-        e = encoder(path)
+        e = encoder(path, end)
+        last = end.to_bytes(e.kind.itemsize, "little")
         for whole in batches:
             for b in _slices(whole, 1, 1 << 21):
-                found = [np.append(x, np.uint32(end)).astype(f"<u{width}").tobytes() for x in e.encode([x or "" for x in b.column(1).to_pylist()])]
+                found = [x.tobytes() + last for x in e.encode(texts(b.column(1)))]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, ids binary")
@@ -422,11 +418,19 @@ def write(spark: SparkSession, rows: DataFrame, path: str, width: int, block: in
     ordered.mapInArrow(run, f"part int, block int, first bigint, n_ids bigint, payload binary, texts {_TEXTS.format(kind=kind)}").write.parquet(f"{path}/blocks")
 
 
-def _shifts() -> list[np.ndarray]:
+def _times(matrix: list[int], v: int) -> int:
+    out = 0
+    for i in range(32):
+        if v >> i & 1:
+            out ^= matrix[i]
+    return out
+
+
+@functools.cache
+def _shifts() -> list[list[int]]:
     """Matrices over one bit that append 2^k zero bytes to a crc32 (each column as a 32-bit number)."""
     one = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
-    times = lambda m, v: np.bitwise_xor.reduce([m[i] for i in range(32) if v >> i & 1] or [0])
-    square = lambda m: [int(times(m, c)) for c in m]
+    square = lambda m: [_times(m, c) for c in m]
     for _ in range(3):
         one = square(one)
     out = [one]
@@ -442,7 +446,7 @@ def combined(sums: list[tuple[int, int]]) -> int:
         k = 0
         while whole and n >> k:
             if n >> k & 1:
-                whole = int(np.bitwise_xor.reduce([matrices[k][i] for i in range(32) if whole >> i & 1] or [0]))
+                whole = _times(matrices[k], whole)
             k += 1
         whole ^= crc
     return whole
@@ -462,9 +466,9 @@ def read(spark: SparkSession, path: str, as_ids: bool = False, together: int = 6
         for whole in batches:
             for b in _slices(whole, 1, together << 17):
                 decoded = unpack(b.column(1).to_pylist(), m)
-                texts = b.column(2)
-                at = texts.flatten()
-                n, owner = at.field("n").to_pylist(), pc.list_parent_indices(texts).to_pylist()
+                held = b.column(2)
+                at = held.flatten()
+                n, owner = at.field("n").to_pylist(), pc.list_parent_indices(held).to_pylist()
                 values, place, last = [], 0, -1
                 for length, k in zip(n, owner, strict=True):
                     if k != last:
@@ -472,12 +476,13 @@ def read(spark: SparkSession, path: str, as_ids: bool = False, together: int = 6
                     got = decoded[k][place : place + length].astype("<u4").tobytes()
                     values.append(got if as_ids else zlib.crc32(got))
                     place += length
-                parts = b.column(0).take(pc.list_parent_indices(texts))
+                parts = b.column(0).take(pc.list_parent_indices(held))
                 yield pa.RecordBatch.from_arrays([parts, *(at.field(c) for c in ("id", "row", "start", "n", "piece", "pieces")), pa.array(values, pa.binary() if as_ids else pa.int64())], names=["part", "id", "row", "start", "n", "piece", "pieces", "value"])
 
     pieces = blocks.select("part", "payload", "texts").mapInArrow(run, f"part int, id {kind}, row bigint, start bigint, n bigint, piece int, pieces int, value {'binary' if as_ids else 'bigint'}")
     if as_ids:
         return pieces
+    pieces = Stored(spark).write(pieces)  # decoded once, read twice
     # One row for each file: how many ids the files before it have.
     sizes = blocks.groupBy("part").agg(F.max(F.col("first") + F.col("n_ids")).alias("size"))
     before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
@@ -493,8 +498,8 @@ def read(spark: SparkSession, path: str, as_ids: bool = False, together: int = 6
 def write_tokens(docs: DataFrame, vocabulary: str, path: str, *, end: int = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> None:
     """Encodes the texts and writes their files under path; read() gives them back."""
     store = Stored(docs.sparkSession)
-    width = id_width(vocabulary, end)
-    rows = store.write(encoded(docs, vocabulary, end, width, id_col=id_col, text_col=text_col))
+    width = encoder(vocabulary, end).kind.itemsize
+    rows = store.write(encoded(docs, vocabulary, end, id_col=id_col, text_col=text_col))
     write(docs.sparkSession, rows, path, width, block)
     store.drop(rows)
 

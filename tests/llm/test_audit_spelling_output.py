@@ -188,11 +188,12 @@ def library():
 def test_encoder_equals_library():
     rnd = random.Random(1)
     texts = ["", " ", "  ", "a  b", "\n", "a \n b", "a \n\n  b c", "x <|endoftext|> y", "a<|endoftext|> ", "\t a  b", "don't  stop", "a\x1c b \x1d c", "a \x85b", "日本 語 ", "\n\x1f", " \n\x1f"]
+    texts += [f"a {c}b  {c} c{c} {c}{c}" for c in "\x1c\x1f\x85\xa0¡é\u1680\u2000\u200b\u2013\u2028\u202f\u205f\u2603\u3000\u3042😀"]
     texts += ["".join(rnd.choice(["a", " ", "  ", "\n", "'s", "1", "!", "é", " ", "<|endoftext|>", "\x1f", "\xa0", "longer", "語"]) for _ in range(rnd.randint(1, 30))) for _ in range(2000)]
     want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
     for limit in (5, 400_000):
         e = token_output.Encoder(pt.path(VOCABULARY), limit)
-        assert [x.tolist() for at in range(0, len(texts), 100) for x in e.encode(texts[at : at + 100])] == want
+        assert [x.tolist() for at in range(0, len(texts), 100) for x in e.encode([t.encode() for t in texts[at : at + 100]])] == want
 
 
 def test_blocks_are_independent_and_checked():
