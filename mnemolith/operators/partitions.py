@@ -1,19 +1,22 @@
 """Communities of a graph, what they are about, and which of them a query should visit.
 
 Communities come from local moves that raise modularity, made as joins over the whole graph: in each
-round every node of one half (by hash, alternating, so that neighbours do not swap places) looks up the
-weight of its edges into each neighbouring community and moves to the one with the greatest gain.
+round every node looks up the weight of its edges into each neighbouring community, and those move whose
+gains can't get in each other's way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text
 from ..functions.rules import Has, any_of
-from .pairs import _stored
+from .pairs import _drop, _stored
 from .recall import top_k
 
 ROUNDS, SMALLEST = 20, 3
@@ -30,32 +33,66 @@ def _undirected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.select("a", "b", "w").union(e.select(F.col("b"), F.col("a"), "w"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, *, rounds: int = ROUNDS, smallest: int = SMALLEST) -> DataFrame:
-    """id and community (from 0, the larger ones first), every node once; one community if no edge has weight."""
+def modularity(place: DataFrame, both: DataFrame) -> float:
+    """Modularity of communities (id, c) over edges in both directions (a, b, w); 0 without edges."""
+    at = both.join(place.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(place.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
+    of = at.groupBy("ca").agg(F.sum("w").alias("tot"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inside"))
+    r = of.agg(F.sum("tot").alias("m"), F.sum("inside").alias("i"), F.sum(F.col("tot") * F.col("tot")).alias("q")).first()
+    return r.i / r.m - r.q / (r.m * r.m) if r.m else 0.0
+
+
+def move_once(place: DataFrame, both: DataFrame, strength: DataFrame, total: float) -> DataFrame:
+    """One round of moves that can't lower modularity: id, c and moved of every node.
+
+    Every node finds the neighbouring community with the greatest gain over its own. Of neighbours that both would move
+    only the one with the greater gain may, so that no two that share an edge move at once. Others meet only where they
+    join one community: there they are ordered by gain, and one moves if its gain exceeds what all before it could cost
+    (its strength times the sum of theirs, over all weight). Each move then adds to modularity whatever the others do.
+    """
+    inside = place.join(strength, "id", "left").groupBy("c").agg(F.sum(F.coalesce("k", F.lit(0.0))).alias("tot"))
+    at = place.select(F.col("id").alias("b"), F.col("c").alias("to"))
+    links = both.join(at, "b").groupBy(F.col("a").alias("id"), "to").agg(F.sum("w").alias("into"))
+    mine = place.join(strength, "id")
+    # The own community too, with no links where there are none.
+    options = links.join(mine, "id").unionByName(mine.select("id", F.col("c").alias("to"), F.lit(0.0).alias("into"), "c", "k")).groupBy("id", "to", "c", "k").agg(F.sum("into").alias("into"))
+    options = options.join(inside.select(F.col("c").alias("to"), "tot"), "to")
+    gain = F.col("into") - F.col("k") * (F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / F.lit(float(total))
+    best = options.withColumn("gain", gain).groupBy("id", "k").agg(F.max(F.struct("gain", F.col("c") == F.col("to"), "to")).alias("o"), F.max(F.when(F.col("c") == F.col("to"), F.col("gain"))).alias("own"))
+    wish = _stored(best.select("id", "k", (F.col("o.gain") - F.col("own")).alias("gain"), F.col("o.to").alias("to")).where(F.col("gain") > 1e-10))
+    rank = lambda p: F.struct(F.col(f"{p}gain"), F.xxhash64(f"{p}id"), F.col(f"{p}id"))
+    other = wish.select(F.col("id").alias("n_id"), F.col("gain").alias("n_gain"))
+    beaten = both.join(wish.select(F.col("id").alias("a"), "id", "gain"), "a").join(other.withColumn("b", F.col("n_id")), "b").where(rank("n_") > rank("")).select("id").distinct()
+    into = Window.partitionBy("to").orderBy(F.desc("gain"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    free = wish.join(beaten, "id", "left_anti").withColumn("cost", F.col("k") * F.coalesce(F.sum("k").over(into), F.lit(0.0)) / F.lit(float(total)))
+    moves = free.where(F.col("gain") > F.col("cost") + 1e-10).select("id", F.col("to").alias("new"))
+    after = _stored(place.join(moves, "id", "left").select("id", F.coalesce("new", "c").alias("c"), F.col("new").isNotNull().alias("moved")))
+    _drop(wish)
+    return after
+
+
+def communities(nodes: DataFrame, edges: DataFrame, *, rounds: int = ROUNDS, smallest: int = SMALLEST, seen: list[float] | None = None) -> DataFrame:
+    """id and community (from 0, the larger ones first), every node once; one community if no edge has weight.
+
+    Moves end when no node gains, or after `rounds`. A list given as seen gets the modularity before the first round and
+    after each.
+    """
     both = _stored(_undirected(nodes, edges))
     total = both.agg(F.sum("w").alias("m")).first().m
     if not total:
         return nodes.select("id").distinct().withColumn("community", F.lit(0).cast("bigint"))
     strength = _stored(both.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
     place = _stored(nodes.select("id").distinct().select("id", F.col("id").alias("c")))
-    quiet = 0
-    for r in range(rounds):
-        inside = place.join(strength, "id", "left").groupBy("c").agg(F.sum(F.coalesce("k", F.lit(0.0))).alias("tot"))
-        at = place.select(F.col("id").alias("b"), F.col("c").alias("to"))
-        links = both.join(at, "b").groupBy(F.col("a").alias("id"), "to").agg(F.sum("w").alias("into"))
-        mine = place.join(strength, "id")
-        # The own community too, with no links where there are none.
-        options = links.join(mine, "id").unionByName(mine.select("id", F.col("c").alias("to"), F.lit(0.0).alias("into"), "c", "k")).groupBy("id", "to", "c", "k").agg(F.sum("into").alias("into"))
-        options = options.join(inside.select(F.col("c").alias("to"), "tot"), "to")
-        gain = F.col("into") - F.col("k") * (F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / F.lit(float(total))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        best = options.where(turn).withColumn("gain", gain).groupBy("id").agg(F.max(F.struct("gain", F.col("c") == F.col("to"), "to")).alias("o"), F.max(F.when(F.col("c") == F.col("to"), F.col("gain"))).alias("own")).where(F.col("o.gain") > F.col("own") + 1e-10).select("id", F.col("o.to").alias("new"))
-        after = _stored(place.join(best, "id", "left").select("id", F.coalesce("new", "c").alias("c"), F.col("new").isNotNull().alias("moved")))
-        moved = after.where("moved").limit(1).count()
-        place = after.select("id", "c")
-        quiet = 0 if moved else quiet + 1
-        if quiet == 2:
+    if seen is not None:
+        seen.append(modularity(place, both))
+    for _ in range(rounds):
+        after = move_once(place.select("id", "c"), both, strength, total)
+        _drop(place)
+        place = after
+        if place.where("moved").isEmpty():
             break
+        if seen is not None:
+            seen.append(modularity(place.select("id", "c"), both))
+    place = place.select("id", "c")
     while True:
         size = place.groupBy("c").agg(F.count("*").alias("n"))
         small = size.where(F.col("n") < smallest).select("c")
@@ -182,11 +219,50 @@ def still_to_search(partitions: DataFrame, searched: DataFrame, mode: str = "con
     return left if left.limit(1).count() else partitions
 
 
-def split_large(members: DataFrame, nodes: DataFrame, edges: DataFrame, *, largest: int = 500, rounds: int = ROUNDS) -> DataFrame:
+def _halves(balance: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of a community after each other, by member and earlier neighbour; a row for each member when its last row was read."""
+        community, side, size, member, weight = None, bytearray(), [0, 0], None, [0.0, 0.0]
+
+        def decide():
+            c, nth, n, id_ = member
+            if nth == 0 or nth == n // 2:
+                second = int(nth > 0)
+            else:
+                second = int(weight[0] - balance * size[0] < weight[1] - balance * size[1])
+                size[second] += 1
+            side[nth] = second + 1
+            return id_, c, bool(second)
+
+        for df in batches:
+            out = []
+            for c, nth, n, id_, other, w in df[["community", "nth", "n", "id", "other", "w"]].itertuples(index=False):
+                if member is None or (c, nth) != member[:2]:
+                    if member is not None:
+                        out.append(decide())
+                    if c != community:
+                        # One byte for each member: 1 for the first half, 2 for the second. Both leaders stand from the start.
+                        community, side, size = c, bytearray(n), [1, 1]
+                        side[0], side[n // 2] = 1, 2
+                    member, weight = (c, nth, n, id_), [0.0, 0.0]
+                if other >= 0 and side[other]:
+                    weight[side[other] - 1] += w
+            yield pd.DataFrame(out, columns=["id", "community", "second"])
+        if member is not None:
+            yield pd.DataFrame([decide()], columns=["id", "community", "second"])
+
+    return run
+
+
+def split_large(members: DataFrame, nodes: DataFrame, edges: DataFrame, *, largest: int = 500, balance: float = 0.1) -> DataFrame:
     """id and community, after each community of more than `largest` members was split once in two.
 
-    The first and the middle member lead the halves; in each round members that touch a half join that with more weight
-    of edges to them, the first on a tie; those that no half reaches are dealt in turn. Halves may still be large.
+    Members come in the order of their ids. The first and the middle one lead the halves; every other joins the half to
+    whose members so far it has more weight, less `balance` for each member of that half; the first on a tie. Halves may
+    still be large. New communities are numbered after the last one, in the order of those they came from.
+
+    Each decision depends on all before it, so that a community's edges pass through one task, sorted by member: what
+    the task keeps is a byte for each member. Communities are dealt over tasks.
     """
     from .hygiene import with_numbers
 
@@ -195,19 +271,16 @@ def split_large(members: DataFrame, nodes: DataFrame, edges: DataFrame, *, large
     numbered = with_numbers(place.join(big.select("community"), "community", "left_semi"), [F.col("community"), F.col("id")])
     numbered = _stored(numbered.join(numbered.groupBy("community").agg(F.min("n").alias("base")), "community").select("id", "community", (F.col("n") - F.col("base")).alias("nth")).join(big, "community"))
     both = _undirected(nodes, edges)
-    c = numbered.select("id", "community")
-    links = _stored(both.join(c.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(c.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b").where("ca = cb").select("a", "b", "w"))
-    side = _stored(numbered.where((F.col("nth") == 0) | (F.col("nth") == F.floor(F.col("n") / 2))).select("id", (F.col("nth") > 0).alias("second")))
-    for _ in range(rounds):
-        reached = links.join(side.select(F.col("id").alias("b"), "second"), "b").join(side.select(F.col("id").alias("a")), "a", "left_anti")
-        new = _stored(reached.groupBy(F.col("a").alias("id")).agg((F.sum(F.when(F.col("second"), F.col("w")).otherwise(0.0)) > F.sum(F.when(F.col("second"), 0.0).otherwise(F.col("w")))).alias("second")))
-        if not new.limit(1).count():
-            break
-        side = _stored(side.union(new))
-    halves = numbered.join(side, "id", "left").select("id", "community", F.coalesce("second", F.col("nth") % 2 == 1).alias("second"))
-    most = place.agg(F.max("community").alias("m"))
+    at = numbered.select(F.col("id").alias("b"), F.col("community").alias("cb"), F.col("nth").alias("other"))
+    links = both.join(numbered.select(F.col("id").alias("a"), "community", "nth", "n"), "a").join(at, "b").where("community = cb and (other < nth or 2 * other in (n, n - 1))")
+    rows = numbered.select("community", "nth", "n", "id", F.lit(-1).cast("bigint").alias("other"), F.lit(0.0).alias("w"))
+    rows = rows.unionByName(links.select("community", "nth", "n", F.col("a").alias("id"), F.col("other").cast("bigint").alias("other"), F.col("w").cast("double").alias("w")))
+    kinds = {c: numbered.schema[c].dataType.simpleString() for c in ("id", "community")}
+    ordered = rows.repartition("community").sortWithinPartitions("community", "nth", "other")
+    halves = ordered.mapInPandas(_halves(balance), f"id {kinds['id']}, community {kinds['community']}, second boolean")
+    last = place.agg(F.max("community").alias("m")).first().m
     names = with_numbers(big.select("community"), [F.col("community")]).select("community", F.col("n").alias("k"))
-    fresh = halves.where("second").join(names, "community").join(F.broadcast(most), F.lit(True)).select("id", (F.col("m") + 1 + F.col("k")).cast("bigint").alias("community"))
+    fresh = _stored(halves.where("second").join(names, "community").select("id", (F.lit(last or 0) + 1 + F.col("k")).cast(kinds["community"]).alias("community")))
     return place.join(fresh.select("id"), "id", "left_anti").union(fresh)
 
 

@@ -387,7 +387,7 @@ def graph_matches(spark: SparkSession, d: str) -> DataFrame:
 ASKED_SQL = """asked AS (SELECT n_nationkey AS query, CASE n_nationkey % 4 WHEN 0 THEN 'Which suppliers does the nation ' || n_name || ' host' WHEN 1 THEN n_name WHEN 2 THEN substr(n_name, 1, 4) || substr(n_name, 4) ELSE 'qqqq' END AS text FROM nation
   UNION ALL SELECT 100 + r_regionkey, 'customer nation region ' || r_name FROM region)"""
 SUBGRAPH_SQL = f"""{GRAPH_SQL}, {ASKED_SQL},
-w AS (SELECT query, list_filter(string_split_regex(lower(text), '\s+'), lambda x: length(x) >= 4 AND x NOT IN ({", ".join(map(quoted, P.GRAPH_STOPWORDS))})) AS w FROM asked),
+w AS (SELECT query, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) >= 4 AND x NOT IN ({", ".join(map(quoted, P.GRAPH_STOPWORDS))})) AS w FROM asked),
 direct AS (SELECT query, id FROM w, nodes WHERE len(w) > 0 AND len(list_filter(w, lambda x: contains(id, x))) >= CASE WHEN len(w) > 1 THEN 2 ELSE 1 END),
 named AS (SELECT id, unnest(list_distinct(list_append(string_split(id, ' '), id))) AS name FROM nodes),
 pair AS (SELECT query, id, w[1] AS a, name AS b FROM w, named WHERE len(w) = 1 AND name <> '' AND query NOT IN (SELECT query FROM direct)),
@@ -553,6 +553,47 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     return partitions.communities(place_nodes(spark, d), place_edges(spark, d).withColumn("weight", F.lit(1.0)))
 
 
+@query(f"""WITH {GRAPH_SQL}, of AS (SELECT id, id AS c FROM nodes WHERE id LIKE 'nation %' UNION ALL SELECT target, source FROM edges WHERE predicate = 'HOSTS' UNION ALL SELECT source, min(target) FROM edges WHERE predicate = 'HAS' GROUP BY 1),
+e AS (SELECT a.c AS ca, b.c AS cb FROM edges JOIN of a ON a.id = source JOIN of b ON b.id = target), both_ AS (SELECT ca, cb FROM e UNION ALL SELECT cb, ca FROM e), t AS (SELECT ca, count(*)::DOUBLE AS tot, count(*) FILTER (ca = cb)::DOUBLE AS inside FROM both_ GROUP BY 1)
+SELECT (SELECT count(*) FROM nodes)::BIGINT AS nodes, round(sum(inside) / sum(tot) - sum(tot * tot) / (sum(tot) * sum(tot)), 6) AS by_nation, true AS rising, true AS as_good FROM t""")
+def community_modularity(spark: SparkSession, d: str) -> DataFrame:
+    """Modularity of the places grouped by nation; whether every round of moves raises it, and ends no lower than 0.98 of that."""
+    nodes, edges = place_nodes(spark, d), place_edges(spark, d).withColumn("weight", F.lit(1.0))
+    seen: list[float] = []
+    found = partitions.communities(nodes, edges, seen=seen)
+    region = edges.where("predicate = 'HAS'").groupBy(F.col("source").alias("id")).agg(F.min("target").alias("c"))
+    by_nation = nodes.where("id like 'nation %'").select("id", F.col("id").alias("c")).union(edges.where("predicate = 'HOSTS'").select("target", "source")).union(region)
+    both = partitions._undirected(nodes, edges)
+    known, got = partitions.modularity(by_nation, both), partitions.modularity(found.select("id", F.col("community").alias("c")), both)
+    rising = all(a < b for a, b in zip(seen, seen[1:]))
+    return found.agg(F.count_distinct("id").alias("nodes"), F.round(F.lit(known), 6).alias("by_nation"), F.lit(rising).alias("rising"), F.lit(got >= 0.98 * known).alias("as_good"))
+
+
+SPLIT_SQL = """v AS (SELECT vec_id AS id, label AS community, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS nth, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+raw AS (SELECT vec_id AS s, (vec_id * k) % (SELECT count(*) FROM embeddings) AS t, (vec_id % 5 + 1) / 8.0::DOUBLE AS w FROM embeddings, (VALUES (11), (21), (31)) f(k)),
+und AS (SELECT least(s, t) AS a, greatest(s, t) AS b, sum(w) AS w FROM raw WHERE s <> t GROUP BY ALL),
+dir AS (SELECT a, b, w FROM und UNION ALL SELECT b, a, w FROM und),
+adj AS (SELECT x.id, list({'other': y.nth, 'w': w} ORDER BY y.nth) AS near FROM dir JOIN v x ON x.id = a JOIN v y ON y.id = b AND y.community = x.community GROUP BY 1),
+m AS (SELECT v.*, coalesce(near, []) AS near FROM v LEFT JOIN adj USING (id) WHERE n > 40),
+walk AS (SELECT community, n, 0::BIGINT AS k, [CASE WHEN i = 0 THEN 1 WHEN i = n // 2 THEN 2 ELSE 0 END for i in range(n)] AS side FROM m WHERE nth = 0
+  UNION ALL SELECT w.community, w.n, w.k + 1, CASE WHEN w.side[w.k + 2] <> 0 THEN w.side ELSE list_concat(w.side[1:w.k + 1],
+    [CASE WHEN coalesce(list_sum([x.w for x in m.near if w.side[x.other + 1] = 1]), 0) - 0.1 * len([x for x in w.side if x = 1]) >= coalesce(list_sum([x.w for x in m.near if w.side[x.other + 1] = 2]), 0) - 0.1 * len([x for x in w.side if x = 2]) THEN 1 ELSE 2 END], w.side[w.k + 3:]) END
+  FROM walk w JOIN m ON m.community = w.community AND m.nth = w.k + 1),
+done AS (SELECT community, side FROM walk WHERE k = n - 1),
+fresh AS (SELECT community, (SELECT max(label) FROM embeddings) + row_number() OVER (ORDER BY community) AS new FROM (SELECT DISTINCT community FROM m))"""
+
+
+@query(f"WITH RECURSIVE {SPLIT_SQL} SELECT v.id::BIGINT AS id, CASE WHEN done.side[v.nth + 1] = 2 THEN fresh.new ELSE v.community END::BIGINT AS community FROM v LEFT JOIN done USING (community) LEFT JOIN fresh USING (community)")
+def split_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of vectors by label, each of more than 40 members split in two balanced halves by links between numbers."""
+    e = read(spark, d, "embeddings")
+    n = e.count()
+    links = e.select(F.col("vec_id").alias("source"), F.explode(F.array(*[F.lit(k) for k in (11, 21, 31)])).alias("k"), ((F.col("vec_id") % 5 + 1) / 8.0).alias("weight"))
+    links = links.select("source", ((F.col("source") * F.col("k")) % n).alias("target"), "weight")
+    members = e.select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("community"))
+    return partitions.split_large(members, members.select("id"), links, largest=40).select(F.col("id").cast("bigint").alias("id"), "community")
+
+
 # Documents and pages.
 
 

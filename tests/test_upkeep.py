@@ -1,6 +1,7 @@
 """Ingest, removal, consolidation, search modes and splitting against what is known of small cases."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,14 +149,84 @@ def test_search_modes(spark):
         partitions.execute(p, q, searched, "other")
 
 
-def test_large_communities_are_split_once(spark):
-    ids = [f"n{i:02d}" for i in range(20)] + ["z0", "z1"]
-    members = spark.createDataFrame([(i, 0 if i[0] == "n" else 4) for i in ids], "id string, community bigint")
-    ring = [(f"n{i:02d}", "E", f"n{i + 1:02d}", 1.0) for i in (*range(9), *range(10, 19))] + [("z0", "E", "z1", 1.0)]
-    edges = spark.createDataFrame(ring, "source string, predicate string, target string, weight double")
-    out = {r.id: r.community for r in partitions.split_large(members, members.select("id"), edges, largest=10).collect()}
-    assert set(out) == set(ids) and out["z0"] == out["z1"] == 4
-    assert {out[f"n{i:02d}"] for i in range(10)} == {0} and {out[f"n{i:02d}"] for i in range(10, 20)} == {5}
+def sequential(ids, edges, seed):
+    """Local moves one node after the other in a random order, up to 20 passes; communities of nodes."""
+    adj = {i: {} for i in ids}
+    for a, b, w in edges:
+        adj[a][b] = adj[a].get(b, 0) + w
+        adj[b][a] = adj[b].get(a, 0) + w
+    k = {i: sum(adj[i].values()) for i in ids}
+    m2 = sum(k.values())
+    c, tot = {i: i for i in ids}, dict(k)
+    rnd = random.Random(seed)
+    for _ in range(20):
+        moved = False
+        for i in rnd.sample(ids, len(ids)):
+            into = {}
+            for j, w in adj[i].items():
+                into[c[j]] = into.get(c[j], 0) + w
+            leave = into.get(c[i], 0) - k[i] * (tot[c[i]] - k[i]) / m2
+            best = max(((w - k[i] * tot[x] / m2 - leave, x) for x, w in into.items() if x != c[i]), default=(0, None))
+            if best[0] > 1e-10:
+                tot[c[i]] -= k[i]
+                tot[best[1]] += k[i]
+                c[i], moved = best[1], True
+        if not moved:
+            break
+    return c
+
+
+def modularity(c, edges):
+    m2 = 2 * sum(w for *_, w in edges)
+    tot, inside = {}, 0
+    for a, b, w in edges:
+        inside += 2 * w * (c[a] == c[b])
+        for x in (a, b):
+            tot[c[x]] = tot.get(c[x], 0) + w
+    return inside / m2 - sum(t * t for t in tot.values()) / m2**2
+
+
+def test_moves_raise_modularity_and_end_as_high_as_one_by_one(spark):
+    rnd = random.Random(3)
+    ids = [f"n{i:02d}" for i in range(60)]
+    edges = [(a, b, float(rnd.randint(1, 3))) for a in ids for b in ids if a < b and rnd.random() < (0.5 if int(a[1:]) // 10 == int(b[1:]) // 10 else 0.02)]
+    n = spark.createDataFrame([(i,) for i in ids], "id string")
+    e = spark.createDataFrame(edges, "source string, target string, weight double")
+    seen = []
+    got = {r.id: r.community for r in partitions.communities(n, e, smallest=1, seen=seen).collect()}
+    assert len(seen) > 2 and all(a < b for a, b in zip(seen, seen[1:]))
+    assert seen[-1] == pytest.approx(modularity(got, edges)) and seen[0] == pytest.approx(modularity({i: i for i in ids}, edges))
+    one_by_one = sum(modularity(sequential(ids, edges, s), edges) for s in range(9)) / 9
+    assert seen[-1] >= 0.98 * one_by_one
+
+
+def test_large_communities_are_split_member_by_member(spark):
+    rnd = random.Random(8)
+    ids = list(range(1300))
+    of = {i: (7 if i % 13 == 0 else 3 if i % 2 else 5) for i in ids}
+    edges = [(rnd.choice(ids), rnd.choice(ids), rnd.choice([0.25, 0.5, 1.0])) for _ in range(6000)]
+    m = spark.createDataFrame([(i, c) for i, c in of.items()], "id bigint, community bigint")
+    e = spark.createDataFrame(edges, "source bigint, target bigint, weight double")
+    got = {r.id: r.community for r in partitions.split_large(m, m.select("id"), e, largest=500).collect()}
+    want, fresh = dict(of), 8
+    adj = {i: {} for i in ids}
+    for a, b, w in edges:
+        if a != b:
+            adj[a][b] = adj[a].get(b, 0) + w
+            adj[b][a] = adj[b].get(a, 0) + w
+    for c in (3, 5):
+        members = [i for i in ids if of[i] == c]
+        first, second = {members[0]}, {members[len(members) // 2]}
+        for i in members[1:]:
+            if i not in second:
+                weight = lambda half: sum(w for j, w in adj[i].items() if j in half) - 0.1 * len(half)  # noqa: B023, E731
+                (first if weight(first) >= weight(second) else second).add(i)
+        for i in second:
+            want[i] = fresh
+        fresh += 1
+    assert len([i for i in ids if of[i] == 3]) > 500 and got == want
+    none = spark.createDataFrame([], "id bigint, community bigint")
+    assert partitions.split_large(none, none.select("id"), e).count() == 0
 
 
 def test_recall_knows_touches_and_terms(spark):
