@@ -13,7 +13,7 @@ from ..functions import scoring, text
 from ..functions.rules import quoted
 from ..operators import documents, evaluate, graph, hygiene, index, lifecycle, lookup, pairs, partitions, recall
 from ..sources import tables
-from ..streaming import limits
+from ..streaming import cache, limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -594,6 +594,21 @@ def split_communities(spark: SparkSession, d: str) -> DataFrame:
     return partitions.split_large(members, members.select("id"), links, largest=40).select(F.col("id").cast("bigint").alias("id"), "community")
 
 
+# Requests through a cache.
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id AS cache, event_type AS key, epoch_us(ts::TIMESTAMP) AS t, event_id AS o, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk AS (SELECT cache, 0::BIGINT AS n, [{'k': '', 'e': 0::BIGINT}][2:] AS have, false AS hit, NULL::VARCHAR AS gone FROM r WHERE n = 1
+  UNION ALL SELECT cache, n, CASE WHEN hit THEN have WHEN len(room) >= 2 THEN list_append(room[2:], {'k': key, 'e': t + 86400000000}) ELSE list_append(room, {'k': key, 'e': t + 86400000000}) END, hit, CASE WHEN NOT hit AND len(room) >= 2 THEN room[1].k END
+  FROM (SELECT *, [x for x, i in other if NOT (len(other) >= 2 AND x.e <= t AND len([y for y, j in other if y.e <= t AND j < i]) < len(other) - 1)] AS room
+    FROM (SELECT r.cache, r.n, r.key, r.t, w.have, len([x for x in w.have if x.k = r.key AND r.t < x.e]) > 0 AS hit, [x for x in w.have if x.k <> r.key] AS other FROM walk w JOIN r ON r.cache = w.cache AND r.n = w.n + 1)))
+SELECT r.cache AS user_id, r.key AS event_type, r.o AS event_id, w.hit, w.gone FROM walk w JOIN r ON r.cache = w.cache AND r.n = w.n""")
+def cached_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests to a cache of each user, of two entries that live a day."""
+    e = read(spark, d, "events")
+    return cache.cached(e, cache="user_id", key="event_type", time="ts", order="event_id", ttl=86400.0, most=2).select("user_id", "event_type", "event_id", "hit", "gone")
+
+
 # Documents and pages.
 
 
