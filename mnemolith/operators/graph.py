@@ -6,6 +6,9 @@ edges: source, predicate, target, weight, first_seen, last_seen, sources
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,42 +120,73 @@ def similar_entities(nodes: DataFrame, least: float = P.ENTITY_SIMILARITY, *, on
     return both.select("i", "j", text.entity_similarity(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def _merges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Similar pairs of a component after each other, in the order of the pass: what is merged, and at its end what became of the nodes."""
+    part, turn, skipped, step = None, None, False, 0
+    mentions: dict = {}
+    has: dict = {}
+    gone: set = set()
+
+    def fates():
+        # Who is left has what was merged into it; who is gone without one that is left is lost.
+        out = [(n, s, mentions[s], None, None) for s in mentions if s not in gone for n in has.get(s, ())]
+        kept = {n for n, *_ in out}
+        out += [(s, s, mentions[s], None, None) for s in mentions if s not in gone]
+        return out + [(n, None, None, None, None) for n in gone if n not in kept]
+
+    for df in batches:
+        out: list[tuple] = []
+        for c, i, j, mi, mj in df[["component", "i", "j", "mi", "mj"]].itertuples(index=False):
+            if c != part:
+                out += fates()
+                part, turn, step, mentions, has, gone = c, None, 0, {}, {}, set()
+            mentions.setdefault(i, mi)
+            mentions.setdefault(j, mj)
+            if i != turn:
+                turn, skipped = i, i in gone
+            if skipped or j in gone:
+                continue
+            stays, goes = (i, j) if mentions[i] >= mentions[j] else (j, i)
+            mentions[stays] += mentions[goes]
+            has.setdefault(stays, set()).update({goes}, has.get(goes, ()))
+            gone.add(goes)
+            out.append((goes, None, mentions[stays], stays, step))
+            step += 1
+        yield pd.DataFrame(out, columns=["node", "into", "mentions", "stays", "step"])
+    yield pd.DataFrame(fates(), columns=["node", "into", "mentions", "stays", "step"])
+
+
 def resolve(nodes: DataFrame, edges: DataFrame, least: float = P.ENTITY_SIMILARITY, *, on: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes and edges after similar entities were merged, and the mapping (duplicate, canonical).
+    """Nodes and edges after similar entities were merged, and the merges: duplicate, canonical, mentions (of that one then).
 
-    A pass over ids in order; of a similar pair the one with more mentions stays, the first on a tie. Mentions
-    are those before the pass, which makes the turns independent of each other's sums.
+    A pass over ids in order, and for each over the later ones that are similar: the one with more mentions stays, the
+    first on a tie, and has the other's from then on. A node that lost its own turn goes on with it, so that it may be
+    merged into several, and what is merged into it after it was itself is lost with it. Turns of one component of
+    similar pairs depend on each other; its pairs pass through one task in order, which keeps a number for each node and
+    whom it has taken in. Components are found by joins and dealt over tasks.
     """
     size = nodes.select("id", "mentions")
     found = similar_entities(nodes, least, on=on).join(size.select(F.col("id").alias("i"), F.col("mentions").alias("mi")), "i").join(size.select(F.col("id").alias("j"), F.col("mentions").alias("mj")), "j")
-    found = pairs._stored(found.withColumn("lost", F.when(F.col("mi") >= F.col("mj"), F.col("j")).otherwise(F.col("i"))))
-    gone = pairs.greedy_removals(found, F.col("lost"))
-    # Into what: the other end of the first pair lost in that turn; then along the chain of what was removed itself.
-    other = F.when(F.col("lost") == F.col("j"), F.col("i")).otherwise(F.col("j"))
-    into = found.join(gone, (F.col("lost") == F.col("node")) & (F.col("i") == F.col("by"))).groupBy("node").agg(F.min(other).alias("into"))
-    mapping = pairs._stored(into)
-    while True:
-        up = mapping.select(F.col("node").alias("n2"), F.col("into").alias("i2"))
-        after = pairs._stored(mapping.join(up, mapping.into == F.col("n2"), "left").select("node", F.coalesce("i2", "into").alias("into")).where("node <> into"))
-        moved_on = after.join(mapping, ["node", "into"], "left_anti").limit(1).count()
-        pairs._drop(mapping)
-        mapping = after
-        if not moved_on:
-            break
-    rename = mapping.select(F.col("node").alias("n2"), F.col("into"))
-    named = nodes.join(rename, nodes.id == F.col("n2"), "left").withColumn("new", F.coalesce("into", "id"))
+    found = pairs._stored(found.select("i", "j", "mi", "mj"))
+    of = pairs.components(found).select(F.col("id").alias("i"), "component")
+    ordered = found.join(of, "i").repartition("component").sortWithinPartitions("component", "i", "j")
+    done = pairs._stored(ordered.mapInPandas(_merges, "node string, into string, mentions bigint, stays string, step bigint"))
+    merges = done.where("stays is not null").select(F.col("node").alias("duplicate"), F.col("stays").alias("canonical"), "mentions")
+    fate = done.where("stays is null")
+    rename = fate.select(F.col("node").alias("n2"), "into", F.col("mentions").alias("sum"))
+    named = nodes.join(rename, nodes.id == F.col("n2"), "left").where("n2 is null or into is not null").withColumn("new", F.coalesce("into", "id"))
     longest = F.max_by("description", F.when(F.col("description").isNotNull(), F.struct(F.length("description"), (F.col("id") == F.col("new")).cast("int"))))
     own = lambda c: F.max(F.when(F.col("id") == F.col("new"), F.col(c))).alias(c)
     sources = F.when(F.max(F.col("sources").isNotNull()), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources"))))).alias("sources")
-    merged = named.groupBy(F.col("new").alias("id")).agg(own("scope"), own("name"), own("type"), longest.alias("description"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("mentions").alias("mentions"), sources)
+    merged = named.groupBy(F.col("new").alias("id")).agg(own("scope"), own("name"), own("type"), longest.alias("description"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max(F.when(F.col("id") == F.col("new"), F.coalesce("sum", "mentions"))).alias("mentions"), sources)
     moved = edges
     for end in ("source", "target"):
-        moved = moved.join(rename.select(F.col("n2").alias("k"), F.col("into").alias("v")), moved[end] == F.col("k"), "left").withColumn("_" + end, F.coalesce("v", end)).drop("k", "v")
+        moved = moved.join(rename.select(F.col("n2").alias("k"), F.col("into").alias("v")), moved[end] == F.col("k"), "left").where("k is null or v is not null").withColumn("_" + end, F.coalesce("v", end)).drop("k", "v")
     moved = moved.where("_source <> _target").withColumn("kept", (F.col("source") == F.col("_source")) & (F.col("target") == F.col("_target")))
     # Where edges fall together the first one's weight stays: weights aren't summed.
     first = F.struct(~F.col("kept"), "source", "target")
     moved = moved.groupBy(F.col("_source").alias("source"), "predicate", F.col("_target").alias("target")).agg(F.min_by("weight", first).alias("weight"), F.min_by("first_seen", first).alias("first_seen"), F.min_by("last_seen", first).alias("last_seen"), sources)
-    return merged, moved, mapping.select(F.col("node").alias("duplicate"), F.col("into").alias("canonical"))
+    return merged, moved, merges
 
 
 def sweep(nodes: DataFrame, edges: DataFrame, as_of: Column) -> DataFrame:

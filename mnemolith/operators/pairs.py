@@ -78,6 +78,22 @@ def _drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """id and component (its smallest id) of all ends of pairs (i, j): the least of the neighbours' again and again, by doubling."""
+    both = _stored(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")).union(pairs.select("j", "i")).distinct())
+    of = _stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    while True:
+        near = both.join(of.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
+        lower = of.join(near, "id").select("id", F.least("component", "least").alias("to"), F.col("component").alias("was"))
+        up = of.select(F.col("id").alias("to"), F.col("component").alias("next"))
+        after = _stored(lower.join(up, "to").select("id", F.least("to", "next").alias("component"), "was"))
+        _drop(of)
+        of = after
+        if of.where("component <> was").isEmpty():
+            _drop(both)
+            return of.select("id", "component")
+
+
 def greedy_removals(pairs: DataFrame, loser: Column) -> DataFrame:
     """What a pass over i, and for each i over j > i, removes: node and the turn `by` that removed it first.
 

@@ -195,12 +195,51 @@ def test_resolution(spark):
     nodes = spark.createDataFrame([node("javascript", 5, ["a"]), node("java", 2, ["b"], description="long text"), node("redis", 1), node("java script", 9)], NODE)
     edges = spark.createDataFrame([("java", "P", "redis", 3, None, None, ["x"]), ("javascript", "P", "redis", 1, None, None, ["y"]), ("java", "P", "javascript", 1, None, None, None)], EDGE)
     n, e, mapping = graph.resolve(nodes, edges)
-    assert {(r.duplicate, r.canonical) for r in mapping.collect()} == {("java", "java script"), ("javascript", "java script")}
+    assert {tuple(r) for r in mapping.collect()} == {("java", "java script", 11), ("java", "javascript", 7), ("javascript", "java script", 18)}
     merged = {r.id: r for r in n.collect()}
-    assert merged["java script"].mentions == 16 and merged["java script"].sources == ["a", "b"] and merged["java script"].description == "long text"
+    assert merged["java script"].mentions == 18 and set(merged) == {"java script", "redis"} and merged["java script"].sources == ["a", "b"] and merged["java script"].description == "long text"
     assert [(r.source, r.target, r.weight, r.sources) for r in e.collect()] == [("java script", "redis", 3, ["x", "y"])]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_resolution_with_running_sums_equals_the_loop(spark, seed):
+    rnd = random.Random(seed)
+    names = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(3, 6))) for _ in range(50)})
+    have = {n: {"mentions": rnd.randint(1, 4), "sources": {f"s{rnd.randint(0, 9)}"}, "description": rnd.choice(["", "x", "longer"]) + n} for n in names}
+    edges = {(a, b): rnd.randint(1, 9) for a, b in ((rnd.choice(names), rnd.choice(names)) for _ in range(80)) if a != b}
+    nodes = spark.createDataFrame([node(n, v["mentions"], sorted(v["sources"]), description=v["description"]) for n, v in have.items()], NODE)
+    e = spark.createDataFrame([(a, "P", b, w, None, None, None) for (a, b), w in edges.items()], EDGE)
+    got_n, got_e, merges = graph.resolve(nodes, e, 0.6)
+
+    def sim(a, b):
+        x, y = ({s[i : i + 2] for i in range(len(s) - 1)} for s in (a, b))
+        return 0.8 if a in b or b in a else 2 * len(x & y) / max(1, len(x) + len(y))
+
+    gone, log, ends = set(), [], set(edges)
+    for k, i in enumerate(names):
+        if i in gone:
+            continue
+        for j in names[k + 1 :]:
+            if j in gone or sim(i, j) < 0.6:
+                continue
+            stays, goes = (i, j) if have[i]["mentions"] >= have[j]["mentions"] else (j, i)
+            c, d = have[stays], have[goes]
+            c["mentions"] += d["mentions"]
+            c["sources"] |= d["sources"]
+            c["description"] = d["description"] if len(d["description"]) > len(c["description"]) else c["description"]
+            for a, b in [x for x in ends if goes in x]:
+                moved = (stays if a == goes else a, stays if b == goes else b)
+                if moved[0] != moved[1]:
+                    ends.add(moved)
+            gone.add(goes)
+            log.append((goes, stays, c["mentions"]))
+    assert sorted(map(tuple, merges.collect())) == sorted(log) and len(log) > 10
+    left = {r.id: r for r in got_n.collect()}
+    assert set(left) == set(names) - gone
+    assert {n: (r.mentions, set(r.sources), len(r.description)) for n, r in left.items()} == {n: (have[n]["mentions"], have[n]["sources"], len(have[n]["description"])) for n in left}
+    assert {(r.source, r.target) for r in got_e.collect()} == {x for x in ends if not gone & set(x)}
+
+
 def test_reach_sweep_and_provenance(spark):
     t = dt.datetime(2024, 1, 31)
     nodes = spark.createDataFrame([node("alpha", 9, ["d"], last=t), node("beta", 1, ["d", "e"], last=t), node("gamma", 1, ["d"], last=dt.datetime(2023, 1, 1)), node("delta", 1, None, last=t), node("fed76be", 9, last=t), node("aspirin", 1, ["d"], "Medication", t)], NODE)
