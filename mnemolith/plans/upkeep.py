@@ -205,18 +205,19 @@ def synthesis_contexts(spark: SparkSession, d: str) -> DataFrame:
     return partitions.synthesis_context(sweeps, totals).select("query", F.md5("context").alias("digest"))
 
 
-# The sweep of duplicates, whose SQL walks through its turns.
+# The sweep of duplicates, whose SQL walks through its turns, copies and all.
 
 
-@query("""WITH RECURSIVE r AS (SELECT conv_id * 1000 + turn AS id, text AS m, turn::VARCHAR AS s FROM conversations), top AS (SELECT m, max(s) AS s FROM r GROUP BY m),
-best AS (SELECT r.m, min(id) AS id, any_value(r.s) AS s FROM r JOIN top ON top.m = r.m AND top.s = r.s GROUP BY 1), t AS (SELECT id, x, count(*) AS c FROM (SELECT id, unnest(list_filter(string_split_regex(lower(m), '[^a-z0-9_A-Z]+'), lambda w: length(w) > 2)) AS x FROM best) GROUP BY 1, 2),
-n AS (SELECT id, sqrt(sum(c * c)::DOUBLE) AS norm FROM t GROUP BY id), p AS (SELECT a.id AS i, b.id AS j, sum(a.c * b.c)::DOUBLE AS dot FROM t a JOIN t b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
-near AS (SELECT i, j, bi.s >= bj.s AS j_goes FROM p JOIN n ni ON ni.id = i JOIN n nj ON nj.id = j JOIN best bi ON bi.id = i JOIN best bj ON bj.id = j WHERE dot / (ni.norm * nj.norm) >= 0.6),
+@query("""WITH RECURSIVE r AS (SELECT conv_id * 1000 + turn AS id, turn::VARCHAR AS s, list_sort(list_filter(string_split_regex(lower(text), '[^a-z0-9_A-Z]+'), lambda w: length(w) > 2)) AS bag FROM conversations),
+b AS (SELECT bag, row_number() OVER () AS c FROM (SELECT DISTINCT bag FROM r WHERE len(bag) > 0)), m AS (SELECT id, s, c FROM r JOIN b USING (bag)), t AS (SELECT c, x, count(*) AS f FROM (SELECT c, unnest(bag) AS x FROM b) GROUP BY 1, 2),
+n AS (SELECT c, sqrt(sum(f * f)::DOUBLE) AS norm FROM t GROUP BY c), p AS (SELECT a.c, e.c AS d, sum(a.f * e.f)::DOUBLE AS dot FROM t a JOIN t e ON a.x = e.x AND a.c < e.c GROUP BY 1, 2),
+k AS (SELECT p.c, d FROM p JOIN n nc ON nc.c = p.c JOIN n nd ON nd.c = d WHERE dot / (nc.norm * nd.norm) >= 0.6), alike AS (SELECT c, d FROM k UNION ALL SELECT d, c FROM k UNION ALL SELECT c, c FROM b),
+near AS (SELECT a.id AS i, e.id AS j, a.s >= e.s AS j_goes FROM m a JOIN alike ON alike.c = a.c JOIN m e ON e.c = alike.d AND e.id > a.id),
 turns AS (SELECT i, coalesce(list(j) FILTER (j_goes), []) AS lose, coalesce(list(j) FILTER (NOT j_goes), []) AS win, row_number() OVER (ORDER BY i) AS k FROM near GROUP BY i),
 walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone, 0::BIGINT AS turn_of, []::BIGINT[] AS got
   UNION ALL SELECT k, list_concat(gone, got), i, got FROM (SELECT t.k, walk.gone, t.i, CASE WHEN list_contains(walk.gone, t.i) THEN [] ELSE list_concat(list_filter(t.lose, lambda j: NOT list_contains(walk.gone, j)), CASE WHEN len(list_filter(t.win, lambda j: NOT list_contains(walk.gone, j))) > 0 THEN [t.i] ELSE [] END) END AS got FROM walk JOIN turns t ON t.k = walk.k + 1))
-SELECT unnest(got) AS id, turn_of AS "by" FROM walk UNION ALL SELECT r.id, best.id FROM r JOIN best USING (m) WHERE r.id <> best.id""")
+SELECT unnest(got) AS id, turn_of AS "by" FROM walk""")
 def dedup_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Turns that a sweep at 0.6 archives, and by which; of equal texts the last seen goes on."""
+    """Turns that a sweep at 0.6 archives, and by which, in the order of their ids."""
     rows = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("memory"), F.col("turn").alias("seen"))
     return hygiene.dedup_sweep(rows, least=0.6)
