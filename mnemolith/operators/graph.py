@@ -206,6 +206,27 @@ def without_source(nodes: DataFrame, edges: DataFrame, source: str) -> tuple[Dat
     return n.where(~F.col("_had") | (F.size("sources") > 0) | (F.col("degree") > 0)).drop("_had", "degree"), e
 
 
+def without_sources(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph without what only these sources (column source) said, as without_source one by one.
+
+    Nodes and edges that know no sources stay. Only what one of the sources said is regrouped; whether a node that is
+    left without source still has an edge is asked for those nodes alone. A source named often, or that nothing knows,
+    changes nothing more.
+    """
+    ids = gone.select(F.col("source").alias("_s")).distinct()
+
+    def stripped(table: DataFrame, key: list[str]) -> DataFrame:
+        hit = table.select(*key, F.explode("sources").alias("_s")).join(ids, "_s", "left_semi").groupBy(*key).agg(F.collect_set("_s").alias("_gone"))
+        j = table.join(hit, key, "left")
+        return j.withColumn("sources", F.when(F.col("_gone").isNotNull(), F.array_except("sources", "_gone")).otherwise(F.col("sources")))
+
+    e = stripped(edges, ["source", "predicate", "target"]).where("_gone is null or size(sources) > 0").drop("_gone").select(*edges.columns)
+    n = stripped(nodes, ["id"])
+    ends = e.select(F.col("source").alias("id")).union(e.select("target"))
+    dead = n.where("_gone is not null and size(sources) = 0").select("id").join(ends, "id", "left_anti")
+    return n.join(dead, "id", "left_anti").drop("_gone").select(*nodes.columns), e
+
+
 def without_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph without these nodes and their edges."""
     gone = ids.select("id").distinct()

@@ -111,6 +111,19 @@ def ingest(nodes: DataFrame, edges: DataFrame, events: DataFrame, *, blocked: Da
     return after, moved
 
 
+def reingest(nodes: DataFrame, edges: DataFrame, events: DataFrame, **rules) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges after memories were given new texts: what only their old ones said goes, then the events are ingested.
+
+    events are what the new texts say, with the memories' ids as sources; one without entities and relations takes the old
+    ones back. All are one batch: what two memories said goes if both are among them. Mentions and weights count what was
+    ever said and don't fall. What no event touches is not derived again; ids of edges and their sources are those of a
+    graph built from the new texts. rules are those of ingest.
+    """
+    told = pairs._stored(events)
+    n, e = graph.without_sources(nodes, edges, told.select(F.explode("sources").alias("source")))
+    return ingest(pairs._stored(n), pairs._stored(e), told, **rules)
+
+
 def decide(nodes: DataFrame, edges: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes and edges after decisions (ord, scope, name, description, options, chosen, related: array of name and type, seen, sources).
 

@@ -81,6 +81,37 @@ def decided_graph(spark: SparkSession, d: str) -> DataFrame:
     return nodes.join(into, "id", "left").select("id", "type", "mentions", "n_in")
 
 
+def _revised(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of all orders, after each seventh was written anew with another priority."""
+    none = F.lit(None).cast("string")
+    said = lambda name: read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("ord"), none.alias("scope"), F.col("o_orderdate").cast("timestamp").alias("seen"), F.array(F.col("o_orderkey").cast("string")).alias("sources"),
+        F.array(F.struct(name.alias("name"), F.lit("Concept").alias("type"), none.alias("description"))).alias("entities"),
+        F.array(F.struct(F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("subject"), F.lit("ORDERED").alias("predicate"), name.alias("object"))).alias("relationships"),
+    )
+    nodes, edges = ingest.ingest(spark.createDataFrame([], tables.NODES), spark.createDataFrame([], tables.EDGES), said(F.col("o_orderpriority")))
+    again = said(F.concat(F.lit("revised "), F.col("o_orderpriority"))).where("ord % 7 = 0")
+    return ingest.reingest(nodes, edges, again)
+
+
+_REVISED_SQL = "o AS (SELECT o_orderkey AS k, 'customer ' || o_custkey AS c, lower(o_orderpriority) AS p, o_orderdate::TIMESTAMP AS t, o_orderkey % 7 = 0 AS u FROM orders)"
+
+
+@query(f"""WITH {_REVISED_SQL} SELECT p AS id, 'Concept' AS type, count(*)::BIGINT AS mentions, min(t) AS first_seen, max(t) AS last_seen, (count(*) FILTER (NOT u))::BIGINT AS n_sources FROM o GROUP BY p HAVING bool_or(NOT u)
+UNION ALL SELECT 'revised ' || p, 'Concept', count(*), min(t), max(t), count(*) FROM o WHERE u GROUP BY p
+UNION ALL SELECT c, 'Other', 1, arg_min(t, k), arg_min(t, k), CASE WHEN arg_min(u, k) AND bool_or(NOT u) THEN 0 ELSE 1 END FROM o GROUP BY c""")
+def graph_update(spark: SparkSession, d: str) -> DataFrame:
+    nodes, _ = _revised(spark, d)
+    return nodes.select("id", "type", "mentions", "first_seen", "last_seen", F.size("sources").cast("bigint").alias("n_sources"))
+
+
+@query(f"""WITH {_REVISED_SQL} SELECT c AS source, p AS target, count(*)::BIGINT AS weight, (count(*) FILTER (NOT u))::BIGINT AS n_sources, max(t) AS last_seen FROM o GROUP BY 1, 2 HAVING bool_or(NOT u)
+UNION ALL SELECT c, 'revised ' || p, count(*), count(*), max(t) FROM o WHERE u GROUP BY 1, 2""")
+def graph_update_edges(spark: SparkSession, d: str) -> DataFrame:
+    _, edges = _revised(spark, d)
+    return edges.select("source", "target", "weight", F.size("sources").cast("bigint").alias("n_sources"), "last_seen")
+
+
 _WRAP = "((({0}) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648"
 
 

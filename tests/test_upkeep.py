@@ -49,6 +49,62 @@ def test_a_tenants_budget_is_claimed_in_order(spark):
     assert [(r.source, r.target) for r in e.collect()] == [("tn-ana::old 1", "tn-ana::first")]
 
 
+def plain_ingest(nodes, edges, events):
+    for _, _, _, entities, relations, sources in events:
+        for name, _, _ in entities:
+            n = nodes.setdefault(name, [0, set()])
+            n[0] += 1
+            n[1].update(sources)
+        for s, p, t in relations:
+            for end in (s, t):
+                nodes.setdefault(end, [1, set(sources)])
+            e = edges.setdefault((s, p, t), [0, set()])
+            e[0] += 1
+            e[1].update(sources)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_reingest_equals_a_plain_graph_and_the_edges_of_a_rebuild(spark, seed):
+    rnd = random.Random(seed)
+    names = [f"name {c * 3}" for c in "abcdefghij"]
+
+    def said(i):
+        return event(i, None, [(n, "Other", None) for n in rnd.sample(names, rnd.randint(0, 2))], [(a, rnd.choice(["IS", "OF"]), b) for a, b in [rnd.sample(names, 2) for _ in range(rnd.randint(0, 2))]])
+
+    before = [said(i) for i in range(14)]
+    after = [said(i) for i in rnd.sample(range(16), 6)]
+    after.sort()
+    table = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    n, e = ingest.ingest(spark.createDataFrame([], tables.NODES), spark.createDataFrame([], tables.EDGES), table(before))
+    n, e = ingest.reingest(n, e, table(after))
+    nodes, edges = {}, {}
+    plain_ingest(nodes, edges, before)
+    gone = {f"m{x[0]}" for x in after}
+    for key in list(edges):
+        had = edges[key][1] & gone
+        edges[key][1] -= gone
+        if had and not edges[key][1]:
+            del edges[key]
+    for key in list(nodes):
+        had = nodes[key][1] & gone
+        nodes[key][1] -= gone
+        if had and not nodes[key][1] and not any(key in (s, t) for s, _, t in edges):
+            del nodes[key]
+    plain_ingest(nodes, edges, after)
+    assert {r.id: [r.mentions, set(r.sources)] for r in n.collect()} == nodes
+    assert {(r.source, r.predicate, r.target): [r.weight, set(r.sources)] for r in e.collect()} == edges
+    again = {}
+    plain_ingest({}, again, [x for x in before if f"m{x[0]}" not in gone] + after)
+    assert {k: v[1] for k, v in edges.items()} == {k: v[1] for k, v in again.items()}
+
+
+def test_what_knows_no_sources_stays(spark):
+    nodes = spark.createDataFrame([("old", None, "old", "Other", None, DAY, DAY, 1, None), ("mine", None, "mine", "Other", None, DAY, DAY, 1, ["m1"]), ("both", None, "both", "Other", None, DAY, DAY, 1, ["m1", "m2"]), ("held", None, "held", "Other", None, DAY, DAY, 1, ["m1"])], tables.NODES)
+    edges = spark.createDataFrame([("old", "IS", "held", 1, DAY, DAY, None), ("mine", "IS", "both", 1, DAY, DAY, ["m1"])], tables.EDGES)
+    n, e = graph.without_sources(nodes, edges, spark.createDataFrame([("m1",), ("m1",), ("m9",), (None,)], "source string"))
+    assert {r.id: r.sources for r in n.collect()} == {"old": None, "both": ["m2"], "held": []} and [(r.source, r.target) for r in e.collect()] == [("old", "held")]
+
+
 def test_removals_are_scoped(spark):
     ids = ["tn-ana::a", "tn-ana--p::b", "tn-bia::c", "d"]
     nodes = spark.createDataFrame([(i,) for i in ids], "id string")
