@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.markup import markdown
 from ..functions.rules import java_pattern
 
 _SENTENCE = re.compile(r"[^.!?]+[.!?]+")
@@ -63,6 +64,27 @@ def page_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
 
 
+#: Fixed value: pages of more bytes are not read.
+MOST_PAGE_BYTES = 2 * 1024 * 1024
+
+
+def page_markdown(pages: DataFrame, *, html_col: str = "html", most: int = MOST_PAGE_BYTES) -> DataFrame:
+    """Pages with their markdown, or null and a problem: too large (bytes of UTF-8), or no text.
+
+    Pages are read batch by batch where they lie; those that are too large don't reach Python.
+    """
+
+    @F.pandas_udf("string")
+    def read(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield t.map(markdown, na_action="ignore")
+
+    html = F.col(html_col).cast("string")
+    small = F.octet_length(html) <= most
+    df = pages.withColumn("markdown", read(F.when(small, html)))
+    return df.withColumn("problem", F.when(~small, "too large").when(F.coalesce("markdown", F.lit("")) == "", "no text"))
+
+
 def source_type(name: Column) -> Column:
     """By scheme or extension: url, pdf, docx, txt, or text itself."""
     n = F.lower(F.trim(name))

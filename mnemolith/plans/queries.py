@@ -635,6 +635,12 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", documents.page_text(F.col("html")).alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
+@query()
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as Markdown, whole; SQL has no stack for open elements."""
+    return documents.page_markdown(read(spark, d, "pages")).select("page_id", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("digest"), "problem")
+
+
 @query("SELECT source, count(*)::BIGINT AS n, count(*) FILTER (len(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 4))) >= 4)::BIGINT AS rich FROM documents GROUP BY source HAVING count(*) > 5")
 def scope_quotas(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").withColumn("rich", (F.size(text.words(F.col("text"), 4)) >= 4).cast("bigint"))
