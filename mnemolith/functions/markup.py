@@ -39,7 +39,7 @@ def _line(text: str) -> str:
 
 
 def _indented(text: str, by: str) -> str:
-    return re.sub(r"([\n\x00])(?=[^\n])", lambda m: m[1] + by, text)
+    return text.replace("\n", "\n" + by).replace(_KEPT, _KEPT + by)
 
 
 class _Page:
@@ -161,7 +161,7 @@ class _Page:
             return f"\n{inside.strip(chr(10))}\n" if self.within({"li"}) else f"\n\n{inside.strip(chr(10))}\n\n"
         if tag == "blockquote":
             quoted = re.sub(r"\n{3,}", "\n\n", inside.strip(" \n"))
-            return "\n\n> " + re.sub(r"[\n\x00]", lambda m: m[0] + "> ", quoted) + "\n\n"
+            return "\n\n> " + _indented(quoted, "> ") + "\n\n"
         return f"\n\n{inside.strip(' ')}\n\n"
 
     @staticmethod
