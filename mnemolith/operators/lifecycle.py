@@ -145,6 +145,30 @@ def query_decisions(nodes: DataFrame, edges: DataFrame, context: str, most: int
     return out.withColumn("relevance", own + F.coalesce("near", F.lit(0.0))).drop("near").where("relevance > 0").orderBy(F.desc("relevance"), F.desc("last_seen"), "id").limit(most)
 
 
+def decisions_for(nodes: DataFrame, edges: DataFrame, contexts: DataFrame, most: int = 10) -> DataFrame:
+    """query, id, relevance and place (up to `most`) of the decisions that each of many contexts (query, text) is about.
+
+    Each word of a context, of three characters or more and as often as it stands there, counts one where a decision says
+    it, inside of words too; each node that a decision leads to counts a half if its id has any of them. The later
+    seen one of equals is first, then the smaller id. Words find texts by an index of runs of three characters. nodes are
+    those that the asker may see. A context that is null or has no such word has no rows.
+    """
+    from . import lookup
+
+    kept = F.filter(F.split(text.normalize_name(F.col("text")), r"\s+"), lambda w: F.length(w) > 2)
+    words = contexts.select("query", F.explode(kept).alias("word")).groupBy("query", "word").agg(F.count("*").alias("times"))
+    empty = F.array().cast("array<string>")
+    said = F.lower(F.concat_ws(" ", "id", "description", "chosen", "reasoning", F.coalesce("options", empty), F.coalesce("criteria", empty)))
+    decisions = nodes.where("type = 'Decision'").select("id", "last_seen", said.alias("said"))
+    own = lookup.containing(words, decisions, run=3, said="said").join(words, "word").groupBy("query", "id").agg(F.sum("times").cast("double").alias("r"))
+    out = edges.select("source", "target").distinct().join(decisions.select(F.col("id").alias("source")), "source", "left_semi")
+    named = lookup.containing(words, out.select(F.col("target").alias("id")).distinct(), run=3).join(words, "word").select("query", F.col("id").alias("target")).distinct()
+    near = out.join(nodes.select(F.col("id").alias("target")), "target", "left_semi").join(named, "target").groupBy("query", F.col("source").alias("id")).agg((F.count("*") * 0.5).alias("r"))
+    relevant = own.union(near).groupBy("query", "id").agg(F.sum("r").alias("relevance")).join(decisions.select("id", "last_seen"), "id")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("relevance"), F.desc("last_seen"), "id"))
+    return relevant.withColumn("place", place).where(F.col("place") <= most).select("query", "id", "relevance", "place")
+
+
 # Seeds and bundles
 
 

@@ -37,15 +37,15 @@ def _runs(s, n: int):
     return F.when(F.length(s) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substr(s, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def containing(words: DataFrame, ids: DataFrame) -> DataFrame:
-    """word and id, of words (word: four characters or more) that ids contain."""
+def containing(words: DataFrame, ids: DataFrame, *, run: int = RUN, said: str = "id") -> DataFrame:
+    """word and id, of words (word: `run` characters or more) that ids, or another text of theirs, contain."""
     w = words.select("word").distinct()
-    has = ids.select("id", F.explode(_runs(F.col("id"), RUN)).alias("run"))
-    own = w.select("word", F.explode(_runs(F.col("word"), RUN)).alias("run"))
+    has = ids.select("id", F.col(said).alias("_said"), F.explode(_runs(F.col(said), run)).alias("run"))
+    own = w.select("word", F.explode(_runs(F.col("word"), run)).alias("run"))
     spread = has.join(own.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"))
     # A run that no id has has no row: then the word has no match either.
     probe = own.join(spread, "run", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("m")).where("m.n > 0").select("word", F.col("m.run").alias("run"))
-    return probe.join(has, "run").where(F.contains("id", "word")).select("word", "id")
+    return probe.join(has, "run").where(F.contains("_said", "word")).select("word", "id")
 
 
 def near_spellings(words: DataFrame, ids: DataFrame, least: float = NEAR) -> DataFrame:

@@ -166,3 +166,16 @@ def context(lines: DataFrame, budget: int, *, key: str, is_global: str, order: l
     used = F.sum(F.length(text_col) + 2).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     rest = rest.withColumn("used", used + F.coalesce("spent", F.lit(0))).where(F.col("used") <= budget).drop("_k", "spent")
     return first.unionByName(rest)
+
+
+def spawn_context(lines: DataFrame, budget: int, *, key: str, is_global: str, order: list[Column], project: str | None = None, text_col: str = "memory") -> DataFrame:
+    """key and the context to begin with: the lines of context() under a head for global ones and one for the project's.
+
+    project is the column with its name (the key's where not given). Heads don't count to the budget, which bounds what is
+    put together for a key; keys without a line have no row.
+    """
+    kept = context(lines.withColumn("_project", F.col(project or key).cast("string")), budget, key=key, is_global=is_global, order=order, text_col=text_col)
+    line = F.struct("used", F.concat(F.lit("- "), text_col).alias("line"))
+    both = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.expr(is_global), line))).alias("g"), F.array_sort(F.collect_list(F.when(~F.expr(is_global), line))).alias("p"), F.max("_project").alias("_project"))
+    block = lambda c, head: F.when(F.size(c) > 0, F.concat(head, F.lit("\n"), F.array_join(F.transform(c, lambda x: x["line"]), "\n")))
+    return both.select(key, F.concat_ws("\n\n", block("g", F.lit("## Global (preferences & facts)")), block("p", F.concat(F.lit("## Project: "), "_project"))).alias("context"))

@@ -318,6 +318,17 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
     return recall.context(rows, 600, key="conv_id", is_global="role = 'system'", order=[F.col("turn")]).select("conv_id", "turn", F.col("used").cast("bigint").alias("used"))
 
 
+@query("""WITH l AS (SELECT conv_id, turn, role = 'system' AS global, '- ' || text AS line FROM conversations),
+g AS (SELECT *, sum(length(line)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM l WHERE global), g2 AS (SELECT * FROM g WHERE used <= 600), s AS (SELECT conv_id, max(used) AS spent FROM g2 GROUP BY conv_id),
+p AS (SELECT l.*, sum(length(line)) OVER (PARTITION BY l.conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) + coalesce(spent, 0) AS used FROM l LEFT JOIN s USING (conv_id) WHERE NOT global),
+b AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY used) FILTER (global) AS g, string_agg(line, chr(10) ORDER BY used) FILTER (NOT global) AS p FROM (SELECT * FROM g2 UNION ALL SELECT * FROM p WHERE used <= 600) GROUP BY 1)
+SELECT conv_id, md5(concat_ws(chr(10) || chr(10), '## Global (preferences & facts)' || chr(10) || g, '## Project: ' || conv_id || chr(10) || p)) AS digest FROM b""")
+def spawn_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """What each conversation would begin with: system turns are global, the others its own."""
+    rows = read(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("memory"))
+    return recall.spawn_context(rows, 600, key="conv_id", is_global="role = 'system'", order=[F.col("turn")]).select("conv_id", F.md5("context").alias("digest"))
+
+
 #: How an extractor words what is said in a turn, by the turn's number.
 _WORDINGS = ["O usuário disse: ", "The user said ", "Segundo o assistente, o usuário disse ", "Ana Lima contou: ", "", "Bom dia, o USUARIO falou ", "Mariana contou: "]
 _WORDED_SQL = "CASE turn % 7 " + " ".join(f"WHEN {i} THEN {quoted(w)}" for i, w in enumerate(_WORDINGS)) + " END || text"

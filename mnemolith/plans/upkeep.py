@@ -112,6 +112,24 @@ def graph_update_edges(spark: SparkSession, d: str) -> DataFrame:
     return edges.select("source", "target", "weight", F.size("sources").cast("bigint").alias("n_sources"), "last_seen")
 
 
+@query("""WITH n AS (SELECT n_nationkey, lower(n_name) AS n, lower(r_name) AS r FROM nation JOIN region ON r_regionkey = n_regionkey),
+d AS (SELECT 'plan ' || c_custkey AS id, 'plan ' || c_custkey || ' for ' || n || ' ' || lower(c_mktsegment) || ' ' || lower(c_mktsegment) || ' none of them' AS said, c_custkey % 7 AS seen, [lower(c_mktsegment), 'region ' || r] AS leads FROM customer JOIN n ON n_nationkey = c_nationkey),
+w AS (SELECT n_nationkey::BIGINT AS query, unnest(list_filter(string_split_regex('building plan for ' || n || ' in ' || r || ' with this plan', ' +'), lambda x: length(x) > 2)) AS word FROM n),
+own AS (SELECT query, id, count(*)::DOUBLE AS r FROM d JOIN w ON contains(said, word) GROUP BY 1, 2), near AS (SELECT query, id, 0.5 * count(DISTINCT t) AS r FROM (SELECT id, unnest(leads) AS t FROM d) JOIN w ON contains(t, word) GROUP BY 1, 2),
+both_ AS (SELECT query, id, sum(r) AS relevance FROM (SELECT * FROM own UNION ALL SELECT * FROM near) GROUP BY 1, 2)
+SELECT query, id, relevance::DOUBLE AS relevance, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relevance DESC, seen DESC, id) AS place FROM both_ JOIN d USING (id)) WHERE place <= 10""")
+def decisions_asked(spark: SparkSession, d: str) -> DataFrame:
+    """The customers' decisions that each nation's context is about."""
+    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.lower("n_name").alias("n"), F.lower("r_name").alias("r"))
+    c = read(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("id", F.concat(F.lit("plan "), F.col("c_custkey").cast("string")))
+    none = F.lit(None).cast("string")
+    made = c.select("id", F.lit("Decision").alias("type"), F.concat(F.lit("for "), "n").alias("description"), F.col("c_mktsegment").alias("chosen"), none.alias("reasoning"), F.array(F.col("c_mktsegment"), F.lit("None of them")).alias("options"), F.lit(None).cast("array<string>").alias("criteria"), F.timestamp_seconds(F.col("c_custkey") % 7).alias("last_seen"))
+    edges = c.select(F.col("id").alias("source"), F.explode(F.array(F.lower("c_mktsegment"), F.concat(F.lit("region "), "r"))).alias("target"))
+    others = edges.select(F.col("target").alias("id")).distinct().select("id", F.lit("Concept").alias("type"), *[F.lit(None).cast(made.schema[x].dataType).alias(x) for x in made.columns[2:]])
+    asked = n.select(F.col("n_nationkey").cast("bigint").alias("query"), F.concat(F.lit("Building plan for "), "n", F.lit(" in "), "r", F.lit(" with this plan")).alias("text"))
+    return lifecycle.decisions_for(made.unionByName(others), edges, asked)
+
+
 _WRAP = "((({0}) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648"
 
 

@@ -75,3 +75,40 @@ def test_tenants_and_small_ones(spark):
     log = spark.createDataFrame([(1, "a", "{}", 1), (2, "b", "{}", 1), (3, "a", "{}", 1)], "timestamp bigint, action string, details string, duration_ms bigint")
     assert [r.timestamp for r in lifecycle.log_entries(log, "a", 1).collect()] == [3] and lifecycle.log_kept(log, 2).count() == 2
     assert {r.action: r.runs for r in lifecycle.log_actions(log).collect()} == {"a": 2, "b": 1}
+
+
+def test_decisions_for_many_contexts_equal_a_plain_scan(spark):
+    import random
+
+    rnd = random.Random(7)
+    syllables = ["red", "blue", "is", "post", "gres", "my", "sql", "cache"]
+    name = lambda: "".join(rnd.choices(syllables, k=2))
+    decisions = [(f"pick {name()} {i}", "Decision", rnd.choice([None, name()]), name(), None, rnd.choice([None, [name(), name()]]), None, rnd.randint(0, 3)) for i in range(25)]
+    others = [(x, "Concept", None, None, None, None, None, 0) for x in sorted({name() for _ in range(20)})]
+    edges = sorted({(rnd.choice(decisions)[0], rnd.choice(others)[0], p) for p in ("FOR", "AGAINST") for _ in range(40)})
+    texts = [" ".join(rnd.choice(syllables + ["of"]) for _ in range(rnd.randint(0, 5))) for _ in range(12)] + ["RED  Red", None, "a b"]
+    nodes = spark.createDataFrame(decisions + others, "id string, type string, description string, chosen string, reasoning string, options array<string>, criteria array<string>, last_seen int")
+    got = {}
+    for r in lifecycle.decisions_for(nodes, spark.createDataFrame(edges, "source string, target string, predicate string"), spark.createDataFrame(list(enumerate(texts)), "query int, text string"), most=4).collect():
+        got.setdefault(r["query"], {})[r.place] = (r.id, r.relevance)
+    want = {}
+    for q, t in enumerate(texts):
+        words = [w for w in (t or "").lower().split() if len(w) > 2]
+        scored = []
+        for i, _, d, c, _, o, _, seen in decisions:
+            said = " ".join(x for x in [i, d, c, *(o or [])] if x)
+            r = sum(w in said for w in words) + 0.5 * len({b for a, b, _ in edges if a == i and any(w in b for w in words)})
+            if r:
+                scored.append((-r, -seen, i))
+        if scored:
+            want[q] = {k + 1: (i, -r) for k, (r, _, i) in enumerate(sorted(scored)[:4])}
+    assert got == want
+
+
+def test_a_context_has_heads(spark):
+    from mnemolith.operators import recall
+
+    rows = [(1, 1, "g", "one"), (1, 2, "p", "two"), (1, 3, "p", "three is far too long"), (2, 1, "p", "only"), (3, 1, "g", "x" * 40), (4, 1, "g", None)]
+    df = spark.createDataFrame(rows, "conv int, turn int, role string, memory string")
+    got = {r.conv: r.context for r in recall.spawn_context(df, 12, key="conv", is_global="role = 'g'", order=[F.col("turn")]).collect()}
+    assert got == {1: "## Global (preferences & facts)\n- one\n\n## Project: 1\n- two", 2: "## Project: 2\n- only"}
