@@ -22,8 +22,9 @@ verified exactly. Not all pairs of a band are made, yet none is lost:
   side);
 - in a band with more than CROWDED such texts they are not paired with each other: a text of n
   shingles with more than n / 5 besides the center can only be similar to one that shares some of these,
-  one of its first n / 5 + 1 by hash among them, so they meet by those; only texts that lie within the
-  center but for so many, being much smaller, are still paired among themselves.
+  one of its first n / 5 + 1 by hash among them, so they meet by those, each text once for all bands of a
+  center; texts that lie within the center but for so many are still paired among themselves, where one
+  of the two at least is not similar to the center.
 
 Classes are the connected components, found by repeated minimum and pointer jumping over tables
 in the shared folder; nothing but counts reaches the driver. A group's members meet neither in one
@@ -288,21 +289,41 @@ def _bound_by_center():
     return (1 + SIMILARITY) * both >= SIMILARITY * (F.col("p.n") + F.col("q.n"))
 
 
-def open_pairs(members: DataFrame, crowded: int) -> DataFrame:
-    """x, y of a band (members: band, label, node, n, u, p, within, first) with different labels that can be similar; each once."""
+def _holds_with_center(p: str):
+    """Whether a member is similar to the center of its band."""
+    bits = sum((F.bit_count(F.col(f"{p}.more")[k]) for k in range(1, LONGS)), F.bit_count(F.col(f"{p}.more")[0]))
+    both = F.col(f"{p}.n") - bits - F.col(f"{p}.extra")
+    return both >= SIMILARITY * (F.col(f"{p}.nx") + F.col(f"{p}.n") - both)
+
+
+def by_shingle(members: DataFrame, center: str = "band") -> DataFrame:
+    """Members by their first shingles besides the center, those of a text once for all bands of a center."""
+    once = members.select(F.col(center).alias("c"), "label", "within", F.col("node").alias("x"), "n", "u", "first").dropDuplicates(["c", "x"])
+    return once.select("c", "label", "within", "x", "n", "u", F.explode("first").alias("s"))
+
+
+def open_pairs(members: DataFrame, crowded: int, center: str = "band") -> DataFrame:
+    """x, y of a band (members: band, label, node, n, u, p, within, first) with different labels that can be similar; each once.
+
+    center: the column with the center of the band. Two texts that are similar to it have one label.
+    """
     big = members.groupBy("band").agg(F.count("*").alias("c")).where(F.col("c") > crowded).select("band")
     both = (F.col("p.node").alias("x"), F.col("q.node").alias("y"))
 
-    def among(rows: DataFrame) -> DataFrame:
-        pairs = rows.select("band", "label", "p").join(rows.select("band", F.col("label").alias("label_q"), F.col("p").alias("q")), "band")
-        return pairs.where("p.node < q.node and label <> label_q").where(_bound("p", "q")).where(_bound_by_center()).select(*both)
+    def among(rows: DataFrame, unlike: DataFrame, once) -> DataFrame:
+        pairs = unlike.select("band", "label", "p").join(rows.select("band", F.col("label").alias("label_q"), F.col("p").alias("q")), "band")
+        return pairs.where("label <> label_q").where(once).where(_bound("p", "q")).where(_bound_by_center())
 
     few = members.join(big, "band", "left_anti")
     many = members.join(big, "band", "left_semi")
-    each = many.select("band", "label", "within", F.col("node").alias("x"), "n", "u", F.explode("first").alias("s"))
-    other = each.select("band", "s", F.col("label").alias("label_q"), F.col("within").alias("within_q"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("u").alias("v"))
-    met = each.join(other, ["band", "s"]).where("x < y and label <> label_q and not (within and within_q)").where(_can_be_similar(*map(F.col, "numv"))).select("x", "y")
-    return among(few).union(among(many.where("within"))).union(met).distinct()
+    inside = many.where("within")
+    # Of two inside one at least is unlike the center: p; if both are, p is the first.
+    unlike = among(inside, inside.where(~_holds_with_center("p")), F.expr("p.node < q.node") | _holds_with_center("q"))
+    each = by_shingle(many, center)
+    other = each.select("c", "s", F.col("label").alias("label_q"), F.col("within").alias("within_q"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("u").alias("v"))
+    met = each.join(other, ["c", "s"]).where("x < y and label <> label_q and not (within and within_q)").where(_can_be_similar(*map(F.col, "numv"))).select("x", "y")
+    inner = unlike.select(F.least("p.node", "q.node").alias("x"), F.greatest("p.node", "q.node").alias("y"))
+    return among(few, few, F.expr("p.node < q.node")).select(*both).union(inner).union(met).distinct()
 
 
 def components(links: DataFrame, store: Stored) -> DataFrame:
@@ -375,8 +396,8 @@ def labels_of_texts(docs: DataFrame, text_col: str, store: Stored, crowded: int
     besides = F.col("m.n") - F.col("both")
     set_bits = sum((F.bit_count(F.col("more")[k]) for k in range(1, LONGS)), F.bit_count(F.col("more")[0]))
     within = besides <= F.floor(F.col("m.n") * F.lit(1 - SIMILARITY) + 1e-9)
-    member3 = store.write(open_.select("band", "label", "m.node", "m.n", "m.u", F.struct("m.node", "m.n", "m.u", "nx", "more", "less", (besides - set_bits).alias("extra")).alias("p"), within.alias("within"), "first"))
-    rest = open_pairs(member3, crowded)
+    member3 = store.write(open_.select("band", "x", "label", "m.node", "m.n", "m.u", F.struct("m.node", "m.n", "m.u", "nx", "more", "less", (besides - set_bits).alias("extra")).alias("p"), within.alias("within"), "first"))
+    rest = open_pairs(member3, crowded, "x")
     tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     second = store.write(compare(rest.join(tried, ["x", "y"], "left_anti")).where("holds").select("x", "y"))
     if second.limit(1).count():

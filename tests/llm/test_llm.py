@@ -658,3 +658,24 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
             out.write.parquet(f"{d}/{k}")
             docs = spark.read.parquet(f"{d}/{k}")
         assert sorted((r.doc_id is None, r.doc_id) for r in docs.select("doc_id").collect()) == ([(False, i) for i in (*range(12), 42)] + [(True, None)] if n else [])
+
+
+def test_a_text_meets_others_once_for_all_bands_of_a_center(spark):
+    """Rows by shingles grow with the texts of a center, not with the bands that they share; pairs stay the same."""
+    rnd = random.Random(5)
+    center = set(range(200))
+    rows, sets = [], []
+    for i in range(40):
+        s = set(rnd.sample(sorted(center), rnd.choice((100, 170)))) | set(rnd.sample(range(1000, 1200), rnd.choice((30, 80))))
+        sets += [s, (s - set(rnd.sample(sorted(s), 5))) | {2000 + i}]
+    for i, s in enumerate(sets):
+        besides = np.array(sorted(s - center), np.uint64)
+        more, less = near_dedup._bitmap(besides), near_dedup._bitmap(np.array(sorted(center - s), np.uint64))
+        extra = len(besides) - sum(bin(x & (2**64 - 1)).count("1") for x in more)
+        p = (bytes([i]), len(s), 0, 200, more, less, extra)
+        rows += [(band, b"x", bytes([i]), *p[:3], p, len(besides) <= int(0.2 * len(s) + 1e-9), besides[: int(0.2 * len(s) + 1e-9) + 1].astype(np.int64).tolist()) for band in range(24)]
+    df = spark.createDataFrame(rows, "band bigint, x binary, label binary, node binary, n bigint, u bigint, p struct<node: binary, n: bigint, u: bigint, nx: bigint, more: array<bigint>, less: array<bigint>, extra: bigint>, within boolean, first array<bigint>")
+    assert near_dedup.by_shingle(df, "x").count() == sum(len(r[-1]) for r in rows[::24])
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    got = [(r.x[0], r.y[0]) for r in near_dedup.open_pairs(df, 0, "x").collect()]
+    assert want <= set(got) and len(want) >= 40 and len(got) == len(set(got))
