@@ -530,6 +530,12 @@ def _text(text_col: str):
     return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
 
+def shared_places(places: DataFrame) -> DataFrame:
+    """Places of buckets that have more than one. Most have one, where nothing can repeat; they are told apart by the bucket's number alone."""
+    shared = places.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket")
+    return places.join(shared, "bucket", "left_semi").select(*places.columns)
+
+
 def repeated_spans(docs: DataFrame, text_col: str = "text", *, units: Sequence[Unit] = (BYTES,), crowd: int = CROWD, store: Stored | None = None) -> tuple[DataFrame, DataFrame]:
     """One row for each different text that can hold a string: node, t, copies; and node with spans_0, spans_1 and so
     on for the units (starts and ends of repeated bytes in turn, unsorted, overlapping), without what copies repeat.
@@ -540,15 +546,17 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", *, units: Sequence[U
     least = min(u.least for u in units)
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).where(F.octet_length("t") >= least)
     places = store.write(rows.mapInArrow(_places(units), _PLACES))
-    known = places.where("bucket is not null")
-    kinds = known.groupBy("bucket", "stretch").agg(F.sum("n").alias("n"))
-    variety = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
-    known = known.join(variety, "bucket")
+    met_places = store.write(shared_places(places))
+    here_already = store.write(places.where("bucket is null").select("unit", "node", "lo", "till"))
+    store.drop(places)
+    kinds = store.write(met_places.groupBy("bucket", "stretch").agg(F.sum("n").alias("n")))
+    variety = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"))
     # Of a stretch the repeated ones are settled; one of each goes on where a bucket has others.
-    twice = kinds.where("n > 1").select(F.col("bucket").alias("b2"), F.col("stretch").alias("s2"))
-    known = store.write(known.join(twice, (F.col("bucket") == F.col("b2")) & (F.col("stretch") == F.col("s2")), "left").select("unit", "bucket", "stretch", "node", "lo", "till", "kinds", F.col("b2").isNotNull().alias("repeated")))
+    facts = kinds.join(variety, "bucket").select("bucket", "stretch", "kinds", (F.col("n") > 1).alias("repeated"))
+    known = store.write(met_places.join(facts, ["bucket", "stretch"]).select("unit", "bucket", "stretch", "node", "lo", "till", "kinds", "repeated"))
+    store.drop(met_places, kinds)
     covered = ("unit", "node", F.array("lo", "till").alias("spans"))
-    settled = known.where("repeated").select(*covered).union(places.where("bucket is null").select(*covered))
+    settled = known.where("repeated").select(*covered).union(here_already.select(*covered))
     going = known.where("kinds > 1")
     asks = ("unit", "bucket", "lo", "till", "kinds")
     single = going.where("not repeated").select("node", *asks)
@@ -566,7 +574,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", *, units: Sequence[U
     met = dealt.where("part is not null").select("unit", "part", "windows", "nodes").repartition(parts, "unit", "part").sortWithinPartitions("unit", "part").mapInArrow(_met_windows, _FOUND)
     here = dealt.where("part is null").select("unit", "node", "spans")
     found = store.write(settled.unionByName(compared).unionByName(met).unionByName(here))
-    store.drop(places, known, cut, dealt)
+    store.drop(here_already, known, cut, dealt)
     return texts, found.groupBy("node").agg(*[F.flatten(F.collect_list(F.when(F.col("unit") == u, F.col("spans")))).alias(f"spans_{u}") for u in range(len(units))])
 
 

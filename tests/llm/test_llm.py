@@ -679,3 +679,32 @@ def test_a_text_meets_others_once_for_all_bands_of_a_center(spark):
     want = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
     got = [(r.x[0], r.y[0]) for r in near_dedup.open_pairs(df, 0, "x").collect()]
     assert want <= set(got) and len(want) >= 40 and len(got) == len(set(got))
+
+
+def test_places_alone_in_their_bucket_are_not_dealt(spark):
+    """All places are stored only until those of shared buckets are known; texts that differ leave none."""
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(10**9)}" for _ in range(200)) for _ in range(12)]
+    shared = " ".join(f"s{rnd.randrange(10**9)}" for _ in range(120))
+
+    class Watched(suffix_dedup.Stored):
+        alive, seen = {}, []
+
+        def write(self, df):
+            out = super().write(df)
+            self.alive[out.stored_at] = out.count()
+            self.seen.append(dict(self.alive))
+            return out
+
+        def drop(self, *tables):
+            super().drop(*tables)
+            for t in tables:
+                del self.alive[t.stored_at]
+
+    store = Watched(spark)
+    _, spans = suffix_dedup.repeated_spans(frame(spark, [*texts, texts[0] + " a " + shared, texts[1] + " b " + shared]), units=(suffix_dedup.BYTES, suffix_dedup.WORDS), store=store)
+    assert spans.count() == 4
+    first = next(iter(store.seen[0]))
+    assert sum(first in s for s in store.seen) <= 3 and store.seen[1][f"{store.folder}/2"] < store.seen[0][first]
+    places = spark.createDataFrame([(0, b, bytes([i]), b"n", 0, 9, n) for i, (b, n) in enumerate([(1, 1), (2, 1), (2, 1), (3, 2), (None, 2)])], suffix_dedup._PLACES)
+    assert sorted(r.bucket for r in suffix_dedup.shared_places(places).collect()) == [2, 2, 3]
