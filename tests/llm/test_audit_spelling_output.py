@@ -196,6 +196,33 @@ def test_encoder_equals_library():
         assert [x.tolist() for at in range(0, len(texts), 100) for x in e.encode([t.encode() for t in texts[at : at + 100]])] == want
 
 
+SIGNS = ["a", "b", "Z", " ", "  ", "\n", "\n\n", "'", "'s", "'ll", "1", "23", "!", ",", "-", "$$", "<", "|>", "<|endoftext|>", "é", "ß", "×", "÷", "²", "ª", "¡", "\u0301", "語", "\xa0", "\u3000", "\x7f", "\0", "\t", "\r\n", "word", "ÿ", "þ", "😀"]
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_encoder_equals_library_around_signs(together):
+    rnd = random.Random(13)
+    texts = ["".join(rnd.choices(SIGNS, k=rnd.randint(0, 25))) for _ in range(6000)]
+    texts += [a + b + c for a in SIGNS for b in SIGNS for c in SIGNS[::3]]
+    want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+    e = token_output.Encoder(pt.path(VOCABULARY))
+    assert e.between is not None
+    if not together:
+        e.between = None
+    assert [x.tolist() for at in range(0, len(texts), 500) for x in e.encode([t.encode() for t in texts[at : at + 500]])] == want
+    with pytest.raises(ValueError):
+        e.encode([b"ab", b"c\xffd"])
+
+
+def test_a_pre_token_is_merged_once():
+    batches = [["Some words, (others) stand: x1 é,"], ["Some words. others! stand", " stand; words? 1x é."], ["words\nothers\n", "Some (words"]]
+    e, merged = token_output.Encoder(pt.path(VOCABULARY)), []
+    e.merged = lambda words, f=e.merged: merged.extend(words) or f(words)
+    got = [x.tolist() for b in batches for x in e.encode([t.encode() for t in b])]
+    assert got == [library().encode(t, add_special_tokens=False).ids for b in batches for t in b]
+    assert len(merged) == len(set(merged)) == len({w for b in batches for t in b for w in token_output.PATTERN.findall(t)})
+
+
 def test_blocks_are_independent_and_checked():
     rng = np.random.default_rng(5)
     blocks = [rng.zipf(1.4, n).clip(max=50_000).astype(np.uint32) for n in (1, 31, 32, 33, 500, 4097)] + [np.full(700, 9, np.uint32)]
