@@ -302,9 +302,9 @@ def count_ids(rows: DataFrame, width: int) -> dict[int, int]:
 
     def run(batches):
         total = np.zeros(0, np.int64)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(x, f"<u{width}"))
+        for whole in batches:
+            for b in _slices(whole, 0, 1 << 22):
+                n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), f"<u{width}"))
                 if len(n) > len(total):
                     total = np.concatenate((total, np.zeros(len(n) - len(total), np.int64)))
                 total[: len(n)] += n
