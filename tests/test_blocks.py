@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from mnemolith.operators import blocks, pairs
+from mnemolith.operators import blocks, hygiene, pairs
 
 
 def bags(n, seed, vocabulary=30):
@@ -43,3 +43,25 @@ def test_pairs_that_share_a_common_word_are_not_shuffled(spark):
     found = pairs.tf_cosine_pairs(df, "id", "t", 0.6)
     assert found.where("similarity < 0.999").isEmpty() and found.count() == 5 * 28
     assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def stored_rows(monkeypatch):
+    """What is stored from now on: rows of each table."""
+    rows, plain = [], pairs._stored
+
+    def counted(df):
+        out = plain(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(pairs, "_stored", counted)
+    return rows
+
+
+def test_a_sweep_stores_no_pairs(spark, monkeypatch):
+    rows = stored_rows(monkeypatch)
+    df = spark.createDataFrame([(f"m{i:02d}", f"the the the word{i}", i % 4) for i in range(60)], "id string, memory string, seen int")
+    got = {r.id: r.by for r in hygiene.dedup_sweep(df, least=0.6).collect()}
+    # The first turn of each seen that is later than all before it removes what was seen by then, and loses to the next.
+    assert got == {"m00": "m00", "m01": "m01", "m02": "m02", **{f"m{i:02d}": f"m{i % 4:02d}" for i in range(4, 60)}}
+    assert max(rows) <= 60
