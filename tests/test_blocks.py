@@ -65,3 +65,11 @@ def test_a_sweep_stores_no_pairs(spark, monkeypatch):
     # The first turn of each seen that is later than all before it removes what was seen by then, and loses to the next.
     assert got == {"m00": "m00", "m01": "m01", "m02": "m02", **{f"m{i:02d}": f"m{i % 4:02d}" for i in range(4, 60)}}
     assert max(rows) <= 60
+
+
+def test_topics_store_no_pairs_and_keep_to_scopes(spark, monkeypatch):
+    rows = stored_rows(monkeypatch)
+    df = spark.createDataFrame([(f"m{i:02d}", f"s{i % 2}", f"garden flowers summer other{i:02d}") for i in range(60)], "id string, scope string, memory string")
+    got = sorted((r.grp, r.id) for r in hygiene.topic_groups(df, scope_col="scope").collect())
+    assert got == sorted((f"topic:m{i % 2:02d}", f"m{i:02d}") for i in range(60))
+    assert max(rows) <= 60
