@@ -17,7 +17,7 @@ def fragments(memories: DataFrame, *, least: float = P.TOPIC_DICE) -> DataFrame:
     """grp, scope, ids and prompt text of each group of a scope's memories (id, scope, memory) that are about one topic."""
     busy = memories.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_MEMORIES).select("scope")
     rows = memories.join(busy, "scope", "left_semi")
-    groups = hygiene.topic_groups(rows, least=least, scope_col="scope")
+    groups = pairs._stored(hygiene.topic_groups(rows, least=least, scope_col="scope"))
     each = groups.join(rows.select("id", "scope", "memory"), "id").groupBy("grp", "scope").agg(F.array_sort(F.collect_list(F.struct("id", "memory"))).alias("m"))
     return each.select("grp", "scope", F.transform("m", lambda x: x["id"]).alias("ids"), F.array_join(F.transform("m", lambda x: x["memory"]), "\n- ").alias("fragments"))
 
@@ -32,7 +32,7 @@ def consolidate(memories: DataFrame, groups: DataFrame, answers: DataFrame, as_o
     groups as from fragments(); answers: grp, merged (a provider's text, null if it failed). A group whose text does not
     pass the gates keeps its fragments. Fragments go to the trash with replaced_by, the new memory's id.
     """
-    judged = pairs._stored(groups.join(answers.select("grp", "merged"), "grp", "left").withColumn("ok", accepts_merged(F.col("merged"))))
+    judged = pairs._stored(groups.drop("fragments").join(answers.select("grp", "merged"), "grp", "left").withColumn("ok", accepts_merged(F.col("merged"))))
     new_id = F.concat(F.lit("merged-"), F.substring(F.sha2(F.concat_ws("|", "scope", "grp", "merged"), 256), 1, 16))
     done = judged.where("ok").withColumn("new_id", new_id)
     gone = done.select(F.explode("ids").alias("id"), F.lit("merged into consolidated memory").alias("reason"), F.col("new_id").alias("replaced_by"))

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from mnemolith.operators import blocks, hygiene, pairs
+from mnemolith.operators import blocks, consolidation, hygiene, pairs
 
 
 def bags(n, seed, vocabulary=30):
@@ -73,3 +73,14 @@ def test_topics_store_no_pairs_and_keep_to_scopes(spark, monkeypatch):
     got = sorted((r.grp, r.id) for r in hygiene.topic_groups(df, scope_col="scope").collect())
     assert got == sorted((f"topic:m{i % 2:02d}", f"m{i:02d}") for i in range(60))
     assert max(rows) <= 60
+
+
+def test_merging_does_not_store_the_fragments_texts_again(spark, monkeypatch):
+    kept, plain = [], pairs._stored
+    monkeypatch.setattr(pairs, "_stored", lambda df: kept.append(df.columns) or plain(df))
+    m = spark.createDataFrame([(f"m{i}", "s", f"garden flowers summer other{i}") for i in range(5)], "id string, scope string, memory string")
+    groups = consolidation.fragments(m)
+    answers = groups.select("grp", F.concat(F.lit("Decided: "), "fragments").alias("merged"))
+    _, _, audit = consolidation.consolidate(m, groups, answers, F.lit("2024-02-01").cast("timestamp"))
+    assert [r.fragments for r in audit.collect()] == [5]
+    assert kept and not any("fragments" in c for c in kept)
