@@ -80,6 +80,14 @@ def ingest(nodes: DataFrame, edges: DataFrame, events: DataFrame, *, blocked: Da
     A known entity counts one mention more; the longest description stays, the first of equals. An end of a relation
     that no node has by then becomes one of type Other. A node's type is that of its first appearance.
     """
+    said, r = _told(nodes, events, blocked, patterns, cap)
+    sources = F.when(F.max(F.col("sources").isNotNull()), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources"))))).alias("sources_n")
+    both = F.when(F.col("sources").isNull(), F.col("sources_n")).when(F.col("sources_n").isNull(), F.col("sources")).otherwise(F.array_sort(F.array_union("sources", "sources_n"))).alias("sources")
+    return _upserted(nodes, edges, said, r, sources, both)
+
+
+def _told(nodes: DataFrame, events: DataFrame, blocked: DataFrame | None, patterns: Sequence[str], cap: int | None) -> tuple[DataFrame, DataFrame]:
+    """What is said of nodes, ends created on the way too, and of edges."""
     e, r = extracted(events, blocked=blocked, patterns=patterns)
     if cap is not None:
         e, r = within_budget(nodes, pairs._stored(e), pairs._stored(r), cap)
@@ -88,29 +96,67 @@ def ingest(nodes: DataFrame, edges: DataFrame, events: DataFrame, *, blocked: Da
     ends = _ends(r).join(nodes.select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct("at", "seen", "sources", "scope", "name")).alias("m"))
     made = ends.join(first_entity, "id", "left").where("named is null or m.at < named").select("id", "m.*", F.lit("Other").alias("type"), F.lit(None).cast("string").alias("description"))
     columns = ["id", "scope", "name", "type", "description", "seen", "sources", "at"]
-    said = e.select(*columns).unionByName(made.select(*columns))
-    longest = F.max_by("description", F.when(F.col("description") != "", F.struct(F.length("description"), -F.col("rank"))))
-    ranked = said.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("at")))
-    sources = F.when(F.max(F.col("sources").isNotNull()), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))))
-    new = ranked.groupBy("id").agg(
-        F.min_by("scope", "rank").alias("scope_n"), F.min_by(text.normalize_name(F.col("name")), "rank").alias("name_n"), F.min_by("type", "rank").alias("type_n"),
-        longest.alias("description_n"), F.min("seen").alias("first_n"), F.max("seen").alias("last_n"), F.count("*").alias("mentions_n"), sources.alias("sources_n"),
+    return e.select(*columns).unionByName(made.select(*columns)), r
+
+
+_EDGE = ["source", "predicate", "target"]
+
+
+def _upserted(nodes: DataFrame, edges: DataFrame, said: DataFrame, r: DataFrame, sources: Column, both: Column) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges with what is said of them; sources is made of a group's rows, both of that and what was there."""
+    longest = F.min_by("description", F.when(F.col("description") != "", F.struct(-F.length("description"), "at")))
+    new = said.groupBy("id").agg(
+        F.min_by("scope", "at").alias("scope_n"), F.min_by(text.normalize_name(F.col("name")), "at").alias("name_n"), F.min_by("type", "at").alias("type_n"),
+        longest.alias("description_n"), F.min("seen").alias("first_n"), F.max("seen").alias("last_n"), F.count("*").alias("mentions_n"), sources,
     )
     j = nodes.join(new, "id", "full_outer")
     longer = F.coalesce(F.length("description_n"), F.lit(0)) > F.coalesce(F.length("description"), F.lit(0))
-    both = lambda a, b: F.when(F.col(a).isNull(), F.col(b)).when(F.col(b).isNull(), F.col(a)).otherwise(F.array_sort(F.array_union(a, b)))
     after = j.select(
         "id", F.coalesce("scope", "scope_n").alias("scope"), F.coalesce("name", "name_n").alias("name"), F.coalesce("type", "type_n").alias("type"),
         F.when(longer, F.col("description_n")).otherwise(F.col("description")).alias("description"), F.coalesce("first_seen", "first_n").alias("first_seen"),
-        F.greatest("last_seen", "last_n").alias("last_seen"), (F.coalesce("mentions", F.lit(0)) + F.coalesce("mentions_n", F.lit(0))).alias("mentions"), both("sources", "sources_n").alias("sources"),
+        F.greatest("last_seen", "last_n").alias("last_seen"), (F.coalesce("mentions", F.lit(0)) + F.coalesce("mentions_n", F.lit(0))).alias("mentions"), both,
     )
-    key = ["source", "predicate", "target"]
-    known = r.groupBy(*key).agg(F.count("*").alias("weight_n"), F.min("seen").alias("first_n"), F.max("seen").alias("last_n"), sources.alias("sources_n"))
-    k = edges.join(known, key, "full_outer")
-    moved = k.select(*key, (F.coalesce("weight", F.lit(0)) + F.coalesce("weight_n", F.lit(0))).alias("weight"), F.coalesce("first_seen", "first_n").alias("first_seen"), F.greatest("last_seen", "last_n").alias("last_seen"), both("sources", "sources_n").alias("sources"))
+    told = r.groupBy(*_EDGE).agg(F.count("*").alias("weight_n"), F.min("seen").alias("first_n"), F.max("seen").alias("last_n"), sources)
+    k = edges.join(told, _EDGE, "full_outer")
+    moved = k.select(*_EDGE, (F.coalesce("weight", F.lit(0)) + F.coalesce("weight_n", F.lit(0))).alias("weight"), F.coalesce("first_seen", "first_n").alias("first_seen"), F.greatest("last_seen", "last_n").alias("last_seen"), both)
     return after, moved
 
 
+def apart(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A graph with its sources as tables of their own: nodes and edges with `known` (they have sources, or had), who said a node (id, by), who said an edge (source, predicate, target, by)."""
+    bare = lambda t: t.withColumn("known", F.col("sources").isNotNull()).drop("sources")
+    return bare(nodes), bare(edges), nodes.select("id", F.explode("sources").alias("by")), edges.select(*_EDGE, F.explode("sources").alias("by"))
+
+
+def ingest_apart(nodes: DataFrame, edges: DataFrame, of_nodes: DataFrame, of_edges: DataFrame, events: DataFrame, *, blocked: DataFrame | None = None, patterns: Sequence[str] = (), cap: int | None = NODE_CAP) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """As ingest, for a graph whose sources are tables of their own: what millions name is a row, its sources are rows too."""
+    said, r = _told(nodes, events, blocked, patterns, cap)
+    known = F.max(F.col("sources").isNotNull()).alias("known_n")
+    both = (F.coalesce("known", F.lit(False)) | F.coalesce("known_n", F.lit(False))).alias("known")
+    after, moved = _upserted(nodes, edges, said, r, known, both)
+    more = lambda old, new, key: old.select(*key, "by").union(new.select(*key, F.explode("sources").alias("by"))).distinct()
+    return after, moved, more(of_nodes, said, ["id"]), more(of_edges, r, _EDGE)
+
+
+def with_counts(rows: DataFrame, said: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of a graph whose sources are apart with their number, null where none were ever known."""
+    n = said.groupBy(*key).agg(F.count("*").alias("_n"))
+    return rows.join(n, list(key), "left").withColumn("n_sources", F.when(F.col("known"), F.coalesce("_n", F.lit(0)))).drop("_n")
+
+
+def reingest_apart(nodes: DataFrame, edges: DataFrame, of_nodes: DataFrame, of_edges: DataFrame, events: DataFrame, **rules) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """As reingest, for a graph whose sources are tables of their own."""
+    told, of_nodes, of_edges = pairs._stored(events), pairs._stored(of_nodes), pairs._stored(of_edges)
+    ids = told.select(F.explode("sources").alias("by")).distinct()
+    left = lambda said: pairs._stored(said.join(ids, "by", "left_anti"))
+    ns, es = left(of_nodes), left(of_edges)
+    bare = lambda before, after, key: before.join(ids, "by", "left_semi").select(*key).distinct().join(after, list(key), "left_anti")
+    e = pairs._stored(edges.join(bare(of_edges, es, _EDGE), _EDGE, "left_anti"))
+    ends = e.select(F.col("source").alias("id")).union(e.select("target"))
+    n = pairs._stored(nodes.join(bare(of_nodes, ns, ["id"]).join(ends, "id", "left_anti"), "id", "left_anti"))
+    return ingest_apart(n, e, ns, es, told, **rules)
+
+
 def reingest(nodes: DataFrame, edges: DataFrame, events: DataFrame, **rules) -> tuple[DataFrame, DataFrame]:
     """nodes and edges after memories were given new texts: what only their old ones said goes, then the events are ingested.
 
