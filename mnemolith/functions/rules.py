@@ -68,6 +68,14 @@ def java_pattern(pattern: str, fold: bool = False) -> str:
     return (("(?i)" if pattern.isascii() else "(?iu)") if fold else "") + "".join(out)
 
 
+def _once(pattern: str) -> str:
+    """The pattern without the repetition of a group at its end: it is found in the same texts.
+
+    The JVM's matcher goes one level deeper for each repetition of a group and overflows its stack on long runs.
+    """
+    return re.sub(r"(?<!\\)\)(?:\+|\{1,\})\Z", ")", re.sub(r"\(\?:[^()|]*\)\*\Z", "", pattern))
+
+
 @cache
 def required(pattern: str, least: int = 3) -> frozenset[str]:
     """Strings of `least` characters or more one of which every match has in it; none if there aren't such.
@@ -127,7 +135,7 @@ class Has(Condition):
     fold: bool = False
 
     def column(self, text: Column, lower: Column | None = None) -> Column:
-        found = text.rlike(java_pattern(self.pattern, self.fold))
+        found = text.rlike(java_pattern(_once(self.pattern), self.fold))
         needed = required(self.pattern)
         if not needed:
             return found

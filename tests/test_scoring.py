@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemolith.functions import patterns as P
-from mnemolith.functions import scoring, text
+from mnemolith.functions import rules, scoring, text
 from mnemolith.functions.rules import java_pattern, plain_pattern
 
 NOW = dt.datetime(2024, 6, 1, 12)
@@ -79,3 +79,12 @@ def test_small_functions(spark):
     assert column(spark, ["2,5,8-10", "3,1,3", "", "x,4-2"], text.page_range) == [[1, 4, 7, 8, 9], [0, 2], [], []]
     got = column(spark, ["Como está o PROJETO da Ana? projeto!", "oi"], lambda c: text.search_query(c, F.lit(None).cast("string"), P.QUERY_STOPWORDS))
     assert got == ["está projeto ana", "oi"]
+
+
+def test_long_runs_of_names_do_not_overflow_the_stack(spark):
+    df = spark.createDataFrame([("Ana Silva " * 50_000,), ("Ana silva " * 10,), ("Ana Silva",)], "t string")
+    got = df.select(scoring.memory_quality(F.col("t")).alias("q"), scoring.fact_quality(F.col("t")).alias("f"), rules.Has(P.NAMED_ENTITY).column(F.col("t")).alias("named")).collect()
+    assert [r.named for r in got] == [True, False, True] and got[0].q >= 3 and got[0].f >= 3
+    more = spark.createDataFrame([("Ana, Bruno, " * 50_000,), ("TEST-12345678" + "-ab" * 100_000,), ("Ana, ",)], "t string")
+    many = more.select(rules.Has(P.NAME_LIST).column(F.col("t")).alias("l"), scoring.CREDENTIALS.column(F.col("t")).alias("c")).collect()
+    assert [tuple(r) for r in many] == [(True, False), (False, True), (False, False)]
