@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemolith.operators import blocks, consolidation, hygiene, pairs
+from mnemolith.plans import QUERIES
 
 
 def bags(n, seed, vocabulary=30):
@@ -84,3 +85,11 @@ def test_merging_does_not_store_the_fragments_texts_again(spark, monkeypatch):
     _, _, audit = consolidation.consolidate(m, groups, answers, F.lit("2024-02-01").cast("timestamp"))
     assert [r.fragments for r in audit.collect()] == [5]
     assert kept and not any("fragments" in c for c in kept)
+
+
+def test_jaccard_pairs_read_the_texts_once(spark, tmp_path):
+    docs = [(i, f"alpha beta gamma delta epsilon zeta theta word{i // 2}") for i in range(6)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["jaccard_pairs"](spark, str(tmp_path))
+    assert "documents.parquet" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 0
